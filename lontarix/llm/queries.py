@@ -7,27 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, quality
+from . import linededup, packing, quality, sharding, warc
+from .common import scratch
 
 
 def _docs(spark: SparkSession, sf_dir: str, *cols: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*cols)
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenize_pieces(_docs(spark, sf_dir, "doc_id", "text"), "byte_bpe_50k", 2048)
+    narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.place(narrow, 2048)
+
+
+def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_docs(spark, sf_dir, "doc_id", "text"), limit=SHARD_BYTES).select("doc_id", "shard", "depth", "n_bytes")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_docs(spark, sf_dir, "doc_id", "text", "source"))
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left"]
     return out.select(*cols)
 
 
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "archive")
+    warc.write_archive(_docs(spark, sf_dir, "page_id", "url", "html", table="pages"), path)
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir, "doc_id", "text")
     out = linededup.LineDedup(spark, min_docs=10).insert(docs).apply(docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: Bytes of text a shard may hold in op2.
+SHARD_BYTES = 1 << 20
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_extendible_sharding": op2_extendible_sharding,
     "op4_quality_rules": op4_quality_rules,
+    "op5_warc_archive": op5_warc_archive,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -59,6 +82,18 @@ base AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_tra
 SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_left >= 0.2e0 * n_words AS kept
 FROM base""",
+    "op2_extendible_sharding": """
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+                  lpad(bin(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT), 60, '0') AS a FROM documents),
+p AS (SELECT doc_id, n_bytes, a, k, substr(a, 1, k) AS shard FROM (SELECT *, unnest(range(0, 61)) AS k FROM d)),
+s AS (SELECT shard FROM p GROUP BY 1 HAVING sum(n_bytes) <= 1048576 OR min(a) = max(a)),
+f AS (SELECT doc_id, any_value(n_bytes) AS n_bytes, min(k) AS depth, min_by(shard, k) AS shard FROM p SEMI JOIN s USING (shard) GROUP BY 1)
+SELECT doc_id, shard, depth::BIGINT AS depth, n_bytes FROM f""",
+    "op5_warc_archive": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> f THEN f END AS refers_to FROM m""",
     "op10_line_dedup": rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
