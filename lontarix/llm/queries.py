@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, minhash, packing, quality, sharding, warc
+from . import linededup, lm, minhash, packing, quality, sharding, warc
 from .common import scratch
 
 
@@ -37,6 +37,10 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_docs(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_docs(spark, sf_dir, "doc_id", "text"), k=3, pct=85)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_extendible_sharding": op2_extendible_sharding,
     "op4_quality_rules": op4_quality_rules,
     "op5_warc_archive": op5_warc_archive,
+    "op7_log_bilinear_lm": op7_log_bilinear_lm,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
