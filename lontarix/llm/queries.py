@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, lm, minhash, packing, quality, sharding, warc
+from . import linededup, lm, minhash, packing, quality, sharding, topk, warc
 from .common import scratch
 
 
@@ -25,6 +25,11 @@ def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_docs(spark, sf_dir, "doc_id", "text"), limit=SHARD_BYTES).select("doc_id", "shard", "depth", "n_bytes")
 
 
+def op3_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir, "vec_id", "embedding", table="embeddings")
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_docs(spark, sf_dir, "doc_id", "text", "source"))
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left"]
@@ -57,6 +62,7 @@ SHARD_BYTES = 1 << 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_extendible_sharding": op2_extendible_sharding,
+    "op3_bit_sliced_topk": op3_bit_sliced_topk,
     "op4_quality_rules": op4_quality_rules,
     "op5_warc_archive": op5_warc_archive,
     "op7_log_bilinear_lm": op7_log_bilinear_lm,
@@ -68,6 +74,13 @@ _TRIM = r"regexp_replace(regexp_replace({0}, '^[\x20\x09-\x0D]+', ''), '[\x20\x0
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op3_bit_sliced_topk": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(list_zip(q.e, r.e), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM k WHERE rank <= 5""",
     "op4_quality_rules": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, text FROM d),
