@@ -4,10 +4,11 @@ Every permutation keeps both its minimum and its maximum over a document's shing
 cost ``n_perm`` hash evaluations. Values are banded; documents that share a band are candidates, candidates whose
 signatures agree too little are set aside, and the rest are confirmed on the full shingle sets.
 
-Groups of any size stay linear. Documents with equal sets are one class from the start. In each bucket the members are
-compared with one representative first and links are joined into components; then only members of *different*
-components that still share a bucket are compared, until no bucket holds two components that have not been compared. No
-link between different texts that share a band is lost, and pairs inside a component are never listed.
+Documents with equal sets are one class from the start. The members of each bucket are compared with one representative
+first, and links are joined into components; then members of *different* components that share a bucket are compared on
+their full sets. In a bucket of more than ``SMALL`` members that is done a pair of chunks at a time inside bounded tasks,
+which return what joins their members, not the pairs; so no list of a group's pairs is ever made, and no link between
+different texts that share a band is lost.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing. A text of fewer words than a
 shingle is one shingle, its whole sequence. Repeated rows (same id) are one vertex. Null ids are left out of the links:
@@ -20,6 +21,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ from .words import LOWER, hashes, mix, whole, windows, words
 #: A pair at the threshold is missed by all bands with at most this chance.
 MISS = 1e-6
 ROWS = 5
+#: Buckets up to this size are compared pair by pair, larger ones in pairs of chunks of about ``CHUNK`` members.
+SMALL, CHUNK = 32, 256
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,18 +163,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "d
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(reps, "id", "left_semi")
     sets = cut(_sets(texts, k).dropDuplicates(["id"]), "class-sets")
     least = threshold - 6 * math.sqrt(threshold * (1 - threshold) / (2 * Bands(threshold).n_perm))
-    # First every member against the smallest member of its buckets, then whatever is left between components.
+    # First every member against the smallest member of its buckets, then all that different components share a bucket with.
     low = member.groupBy("key").agg(F.min("id").alias("low"))
     first = member.join(low, "key").where("id <> low").groupBy("id").agg(F.min("low").alias("a")).select("a", F.col("id").alias("b"))
     tried = cut(first, "pairs")
     links = cut(_confirmed(_alike(tried, sigs, least), sets, pct), "confirmed")
-    while True:
-        labels = components(links) if links.limit(1).count() else links.select(F.col("a").alias("id"), F.col("a").alias("label"))
-        pairs = cut(_between(member, labels).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            break
-        tried = tried.unionByName(pairs)
-        links = cut(links.unionByName(_confirmed(_alike(pairs, sigs, least), sets, pct)), "confirmed")
+    own, small, large = _open_buckets(member, components(links))
+    pairs = cut(_pairs(own.join(small, "key")).join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = _confirmed(_alike(pairs, sigs, least), sets, pct).unionByName(_blocks(own.join(large, "key"), sets, pct))
+    labels = components(cut(links.unionByName(rest), "confirmed"))
     named = classes.join(labels, "id", "left").select("sha", F.coalesce("label", "id").alias("component"))
     out = rows.select("id", "n", "sha").join(named, "sha", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
@@ -197,15 +198,65 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
     return map_arrow(texts, run, f"id {kind}, members binary")
 
 
-def _between(member: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one bucket that are in different components, each once.
+def _open_buckets(member: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, id, label) of all bucket members, and the keys of small and (with their size) large buckets of several components."""
+    own = cut(member.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "bucket-labels")
+    still = own.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    return own, still.where(F.col("size") <= SMALL).select("key"), still.where(F.col("size") > SMALL).select("key", "size")
 
-    In each bucket the members outside the component of most members are paired with all members of other components.
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """Each pair of different components in a small bucket, once."""
+    other = members.select("key", F.col("id").alias("b"), F.col("label").alias("label_b"))
+    both = members.select("key", F.col("id").alias("a"), "label").join(other, "key").where("a < b AND label <> label_b")
+    return both.select("a", "b").distinct()
+
+
+def _blocks(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Links (a, b) that join what large buckets link across components.
+
+    A bucket is cut into chunks of about ``CHUNK`` members, and each pair of chunks is compared in one task on the full sets, by
+    a matrix product. A task returns what joins its members, at most a row for each, never the pairs.
     """
-    own = member.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    sizes = own.groupBy("key", "label").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    still = own.join(main.select("key", "main"), "key")
-    few = still.where("label <> main").select("key", F.col("id").alias("p"), F.col("label").alias("own"))
-    pairs = still.join(few, "key").where("label <> own")
-    return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    rows = members.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    rows = rows.select("key", "id", "label", "c", other.alias("o")).withColumn("i", F.least("c", "o")).withColumn("j", F.greatest("c", "o"))
+    # A task whose members are all of one component has nothing to find.
+    live = rows.groupBy("key", "i", "j").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "i", "j")
+    rows = rows.join(live, ["key", "i", "j"], "left_semi").join(sets, "id")
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def link(part: pd.DataFrame) -> pd.DataFrame:
+        _, label = np.unique(part["label"].to_numpy(), return_inverse=True)
+        c = part["c"].to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in part["members"]]
+        size = np.array([len(x) for x in own], np.float64)
+        _, column, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(own)), size.astype(np.int64))
+        # Members of one set only don't count; shared ones go through the product some thousand columns at a time.
+        shared = times[column] > 1
+        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(own), len(own)), np.float64)
+        n_columns = int(column[-1]) + 1 if len(column) else 0
+        for a in range(0, n_columns, 4096):
+            x, y = np.searchsorted(column, [a, a + 4096])
+            dense = np.zeros((len(own), min(4096, n_columns - a)), np.float32)
+            dense[row[x:y], column[x:y] - a] = 1
+            both += dense @ dense.T
+        linked = 100 * both >= pct * (size[:, None] + size[None, :] - both)
+        linked &= (label[:, None] != label[None, :]) & ((c[:, None] != c[None, :]) | (part["i"].iloc[0] == part["j"].iloc[0]))
+        root = np.arange(len(own))
+        while True:
+            near = np.minimum(root, np.where(linked, root[None, :], len(own)).min(1))
+            near = np.minimum(near, near[near])
+            if (near == root).all():
+                break
+            root = near
+        moved = np.flatnonzero(root != np.arange(len(own)))
+        ids = part["id"].to_numpy()
+        return pd.DataFrame({"a": ids[root[moved]], "b": ids[moved]})
+
+    return rows.groupBy("key", "i", "j").applyInPandas(link, f"a {kind}, b {kind}")
