@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, lm, minhash, packing, quality, sharding, topk, warc
+from . import binpack, linededup, lm, minhash, packing, quality, sharding, spm, topk, warc
 from .common import scratch
 
 
@@ -42,6 +42,20 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_suffix_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = spm.encode(_docs(spark, sf_dir, "doc_id", "text"), "piece_bpe_32k.model")
+    back = spm.decode(encoded, "piece_bpe_32k.model")
+    n = (F.octet_length("ids") / 4).cast("long")
+    return back.select("doc_id", n.alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op8_packed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "packed")
+    binpack.write_matrix(binpack.pack_matrix(_docs(spark, sf_dir, "doc_id", "text"), "byte_bpe_multi_50k", 2048), path)
+    packed = spark.read.parquet(path)
+    return packed.select("sequence_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"), "cu_seqlens", "docs", "pieces", "starts")
+
+
 def op7_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_docs(spark, sf_dir, "doc_id", "text"))
 
@@ -65,7 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bit_sliced_topk": op3_bit_sliced_topk,
     "op4_quality_rules": op4_quality_rules,
     "op5_warc_archive": op5_warc_archive,
+    "op6_suffix_sentencepiece": op6_suffix_sentencepiece,
     "op7_log_bilinear_lm": op7_log_bilinear_lm,
+    "op8_packed_matrix": op8_packed_matrix,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }

@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -81,17 +82,23 @@ def load(model: str) -> Pieces:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes, sorted by their first ``depth`` characters at least (prefix doubling)."""
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    done = 1
+    """Starts of all suffixes, sorted by their first ``depth`` characters at least.
+
+    As many characters as fit 62 bits make the first keys; from there ranks are doubled.
+    """
+    _, code = np.unique(text, return_inverse=True)
+    bits = max(1, int(code.max() + 1).bit_length())
+    done = min(depth, 62 // bits)
+    key = np.zeros(len(text), np.int64)
+    for k in range(done):
+        key <<= bits
+        key[: len(text) - k] |= code[k:] + 1
     while done < depth:
-        key = rank * (rank.max() + 1)
-        key[:-done] += rank[done:]
         _, rank = np.unique(key, return_inverse=True)
-        rank = rank.astype(np.int64) + 1
+        key = (rank + 1) * (len(text) + 2)
+        key[:-done] += rank[done:] + 1
         done *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(key)
 
 
 def occurrences(text: np.ndarray, order: np.ndarray, chars: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,25 +129,26 @@ def occurrences(text: np.ndarray, order: np.ndarray, chars: np.ndarray, length:
 
 
 class Lattice:
-    """Edges of a text of segments (each closed by a 0), sorted by position; ``piece`` finds the piece that spans a range."""
+    """Edges of a text of segments (each closed by a 0): ``edge[i, n]`` is the piece of n characters at i, or -1.
+
+    The table is the edges sorted by position (by counting: each goes to its place), so a range's piece is one look away.
+    """
 
     def __init__(self, text: np.ndarray, pieces: Pieces) -> None:
         order = suffix_array(text, pieces.width)
         lo, hi = occurrences(text, order, pieces.chars, pieces.length)
         count = hi - lo
-        which = np.repeat(np.arange(len(count)), count)
+        which = np.repeat(np.arange(len(count), dtype=np.int32), count)
         begin = order[np.arange(len(which)) + np.repeat(lo - np.cumsum(count) + count, count)]
         self.wide = pieces.width + 1
-        key = begin * self.wide + pieces.length[which]
-        by = np.argsort(key)
-        self.key, self.which, self.pieces = key[by], which[by], pieces
+        self.edge = np.full(len(text) * self.wide, -1, np.int32)
+        self.edge[begin * self.wide + pieces.length[which]] = which
+        self.pieces = pieces
 
     def piece(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Index into the model's pieces, -1 if none."""
-        key = begin * self.wide + np.minimum(end - begin, self.wide - 1)
-        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
-        ok = (end - begin < self.wide) & (len(self.key) > 0)
-        return np.where(ok & (self.key[at] == key), self.which[at], -1) if len(self.key) else np.full(len(key), -1)
+        size = end - begin
+        return np.where(size < self.wide, self.edge[begin * self.wide + np.minimum(size, self.wide - 1)], -1)
 
     def rank(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         p = self.piece(begin, end)
@@ -176,7 +184,10 @@ class Lattice:
             keep[hit + 1] = False
             moved = np.cumsum(keep)[hit] - 1
             begin, end, seg, rank = begin[keep], end[keep], seg[keep], rank[keep]
-            again = np.unique(np.concatenate([moved, moved[moved > 0] - 1]))
+            touched = np.zeros(len(begin), bool)
+            touched[moved] = True
+            touched[moved[moved > 0] - 1] = True
+            again = np.flatnonzero(touched)
             rank[again] = self._pair_ranks(begin, end, seg, again)
         b = np.concatenate([x for x, _ in done]) if done else np.zeros(0, np.int64)
         e = np.concatenate([x for _, x in done]) if done else np.zeros(0, np.int64)
@@ -191,8 +202,9 @@ class Lattice:
         return out
 
     def _heap(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        lo, hi = np.searchsorted(self.key, [a * self.wide, b * self.wide])
-        ranks = dict(zip(self.key[lo:hi].tolist(), self.pieces.rank[self.which[lo:hi]].tolist(), strict=True))
+        held = self.edge[a * self.wide : b * self.wide]
+        at = np.flatnonzero(held >= 0)
+        ranks = dict(zip((at + a * self.wide).tolist(), self.pieces.rank[held[at]].tolist(), strict=True))
         end = {i: i + 1 for i in range(a, b)}
         before = {i: i - 1 for i in range(a + 1, b)}
         heap: list[tuple[int, int, int]] = []
@@ -224,13 +236,13 @@ class Lattice:
         n = int(first[-1])
         best, back = np.full(n + 1, -np.inf), np.arange(-1, n)
         best[first[:-1]] = 0.0
-        at = np.searchsorted(self.key, np.arange(n + 1) * self.wide)
+        edge = self.edge.reshape(-1, self.wide)
         last = np.zeros(n + 1, bool)
         last[first[1:] - 1] = True
         for i in range(n):
             if last[i]:
                 continue
-            options = [(int(self.key[k] % self.wide), float(self.pieces.score[self.which[k]])) for k in range(at[i], at[i + 1])]
+            options = [(int(k), float(self.pieces.score[edge[i, k]])) for k in np.flatnonzero(edge[i] >= 0)]
             if all(length != 1 for length, _ in options):
                 options.append((1, unknown))
             for length, s in options:
@@ -268,19 +280,10 @@ def segments(text: str, prefix: bool) -> list[str]:
     return out
 
 
-def encode_batch(texts: list[str | None], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts and n + 1 offsets."""
-    code: dict[str, int] = {}
-    number, count = [], []
-    for t in texts:
-        own = segments(t or "", pieces.prefix)
-        count.append(len(own))
-        number += [code.setdefault(s, len(code)) for s in own]
-    if not code:
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    joined = np.frombuffer(("\x00".join(code) + "\x00").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) + 1
-    size = np.array([len(s) for s in code], np.int64)
-    first = np.concatenate([[0], np.cumsum(size + 1)])
+def _solve(found: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all distinct segments and their offsets."""
+    joined = np.frombuffer(("\x00".join(found) + "\x00").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) + 1
+    first = np.concatenate([[0], np.cumsum(np.array([len(s) + 1 for s in found], np.int64))])
     joined[first[1:] - 1] = 0
     lattice = Lattice(joined, pieces)
     begin, end = lattice.merge(first) if pieces.bpe else lattice.path(first, float(pieces.score.min()) - 10.0)
@@ -292,16 +295,45 @@ def encode_batch(texts: list[str | None], pieces: Pieces) -> tuple[np.ndarray, n
     raw = [chr(c - 1).encode("utf-8", "surrogatepass") for c in joined[begin[lost]]] if len(pieces.byte_of) else [b""] * len(lost)
     width[lost] = [max(1, len(x)) for x in raw]
     at = np.cumsum(width) - width
-    flat = np.full(int(width.sum()), pieces.unk, np.int64)
+    flat = np.full(int(width.sum()), pieces.unk, np.int32)
     flat[at[ids >= 0]] = ids[ids >= 0]
     for i, x in zip(lost.tolist(), raw, strict=True):
         flat[at[i] : at[i] + len(x)] = pieces.byte_id[list(x)]
-    bounds = np.append(at, len(flat))[np.searchsorted(begin, first)]
-    number = np.array(number, np.int64)
-    n = np.diff(bounds)[number]
-    total = np.concatenate([[0], np.cumsum(n)])
-    out = flat[np.arange(total[-1]) + np.repeat(bounds[:-1][number] - total[:-1], n)]
-    return out, total[np.concatenate([[0], np.cumsum(count)])]
+    return flat, np.append(at, len(flat))[np.searchsorted(begin, first)]
+
+
+class Encoder:
+    """Encodes batches of texts; segments solved for one batch are remembered for the next, up to ``KNOWN`` of them."""
+
+    KNOWN = 400_000
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        self._forget()
+
+    def _forget(self) -> None:
+        self.code: dict[str, int] = {}
+        self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and n + 1 offsets."""
+        if len(self.code) > self.KNOWN:
+            self._forget()
+        code, before = self.code, len(self.code)
+        number, count = [], []
+        for t in texts:
+            own = segments(t or "", self.pieces.prefix)
+            count.append(len(own))
+            number += [code.setdefault(s, len(code)) for s in own]
+        if len(code) > before:
+            flat, bounds = _solve(list(islice(code, before, None)), self.pieces)
+            self.bounds = np.concatenate([self.bounds, bounds[1:] + len(self.flat)])
+            self.flat = np.concatenate([self.flat, flat])
+        number = np.array(number, np.int64)
+        begin, n = self.bounds[number], self.bounds[number + 1] - self.bounds[number]
+        total = np.concatenate([[0], np.cumsum(n)])
+        out = self.flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], n)]
+        return out, total[np.concatenate([[0], np.cumsum(count)]).astype(np.int64)]
 
 
 def decode_batch(ids: np.ndarray, off: np.ndarray, pieces: Pieces) -> list[str]:
@@ -332,11 +364,11 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "d
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(model)
+        encode_batch = Encoder(load(model))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in _runs(texts, batch_chars):
-                ids, off = encode_batch(texts[i:j], pieces)
+                ids, off = encode_batch(texts[i:j])
                 raw = ids.astype("<u4").tobytes()
                 rows = pa.array([raw[4 * a : 4 * b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), rows], [id_col, "ids"])

@@ -20,6 +20,17 @@ def vocab_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@functools.cache
+def rank_bpe(vocab: str) -> Callable[[str], list[int]]:
+    """text -> ids of the rank file ``<vocab>.tiktoken``."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(vocab_path(f"{vocab}.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding(vocab, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 @functools.cache
 def byte_bpe(vocab: str = "byte_bpe_50k") -> Callable[[str], list[int]]:
     """text -> ids of ``<vocab>.json``, special tokens' strings taken as ordinary text.
@@ -28,19 +39,15 @@ def byte_bpe(vocab: str = "byte_bpe_50k") -> Callable[[str], list[int]]:
     on which the two libraries' tables might differ goes through the json file itself.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    with open(vocab_path(f"{vocab}.tiktoken"), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding(vocab, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = rank_bpe(vocab)
     full = Tokenizer.from_file(vocab_path(f"{vocab}.json"))
     full.encode_special_tokens = True
 
     def encode(text: str) -> list[int]:
         if _PLAIN.fullmatch(text):
-            return fast.encode_ordinary(text)
+            return fast(text)
         return list(full.encode(text, add_special_tokens=False).ids)
 
     return encode
