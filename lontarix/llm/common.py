@@ -2,63 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-_written: list[str] = []
+from ..sources.shared import cut, release, scratch, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (a local session, as in tests) a temporary folder stands in for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lontarix-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later plans start from the table.
-
-    A lost executor costs no more than the tasks that read the table again.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table that ``cut`` and ``scratch`` made so far; call it once no result depends on them."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-def only(df: DataFrame, *names: str) -> list[Column]:
-    """The named columns, by name alone; a clash in letter case with another column does not confuse them.
-
-    An exact spelling is preferred; all other columns are left out.
-    """
-    return [F.col(f"`{n}`") for n in names]
+__all__ = ["cut", "map_arrow", "release", "scratch", "shared_dir", "slices", "utf8"]
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
