@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lexical, retrieval
+from . import lexical, retrieval, temporal
 
-FAMILIES = (lexical, retrieval)
+FAMILIES = (lexical, retrieval, temporal)
 
 
 def queries() -> dict:
