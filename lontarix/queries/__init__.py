@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lexical, retrieval, temporal
+from . import graph, lexical, retrieval, temporal
 
-FAMILIES = (lexical, retrieval, temporal)
+FAMILIES = (lexical, retrieval, temporal, graph)
 
 
 def queries() -> dict:
