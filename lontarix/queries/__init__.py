@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph, lexical, retrieval, temporal
+from . import evaluation, evidence, graph, jobs, lexical, retrieval, temporal
 
-FAMILIES = (lexical, retrieval, temporal, graph)
+FAMILIES = (lexical, retrieval, temporal, graph, evidence, evaluation, jobs)
 
 
 def queries() -> dict:
