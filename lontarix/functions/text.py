@@ -90,54 +90,55 @@ def is_roman(c: Column | str) -> Column:
     return (F.length(col(c)) > 0) & col(c).rlike(f"^{ROMAN}$")
 
 
-#: Fixed values: (kind, level, pattern of the trimmed line). The first that matches is the line's heading.
+#: Fixed values: (kind, level, pattern of the trimmed line). The first that matches is the line's heading; those of level 50
+#: and more are markers that text may follow, the others take the whole line.
 HEADINGS: list[tuple[str, int, str]] = [
-    ("ELUCIDATION", 5, r"(?i)^PENJELASAN$"),
-    ("ANNEX", 5, r"(?i)^LAMPIRAN(?: [0-9A-Z]+)?$"),
-    ("CHAPTER", 10, rf"^(?i:BAB) (?:[0-9]+|(?=[MDCLXVI]){ROMAN})$"),
-    ("PART", 20, r"(?i)^BAGIAN \p{L}+$"),
-    ("SUBPART", 30, r"(?i)^PARAGRAF [0-9]+$"),
-    ("ARTICLE_ROMAN", 35, rf"^(?i:PASAL) (?=[MDCLXVI]){ROMAN}$"),
-    ("ARTICLE", 40, r"(?i)^PASAL [0-9]+[A-Z]?$"),
-    ("CLAUSE", 50, r"^\([0-9]+[a-z]?\)(?:\s.*)?$"),
-    ("ITEM", 60, r"^[a-z]\.(?:\s.*)?$"),
-    ("PARAGRAPH", 70, r"^[0-9]+\.(?:\s.*)?$"),
+    ("PARAGRAPH", 50, r"^\([0-9]{1,4}\)(?:\s.*)?$"),
+    ("ITEM", 60, r"^[A-Za-z]\.(?:\s.*)?$"),
+    ("ITEM", 70, r"^[0-9]{1,4}\.(?:\s.*)?$"),
+    ("EXPLANATION", 5, r"(?i)^PENJELASAN(?: ATAS)?$"),
+    ("ANNEX", 5, r"(?i)^LAMPIRAN(?:\s+(?:[IVXLCDM]+|[0-9A-Z]*[0-9][0-9A-Z]*))?$"),
+    ("CHAPTER", 10, r"(?i)^BAB\s+(?:[0-9]+|[IVXLCDM]+)$"),
+    ("PART", 20, r"(?i)^BAGIAN\s+\p{L}+$"),
+    ("PARAGRAPH", 30, r"(?i)^PARAGRAF\s+(?:[0-9]+|[IVXLCDM]+)$"),
+    ("ARTICLE", 40, r"(?i)^PASAL\s+(?=[0-9A-Z]{1,12}$)[0-9A-Z]*[0-9][0-9A-Z]*$"),
+    ("ARTICLE", 35, rf"(?i)^PASAL\s+(?=[IVXLCDM]){ROMAN}$"),
 ]
 
 
-def heading_level(line: Column | str) -> Column:
-    """Level of a heading line (its depth order), null for other lines and for lines over 512 bytes."""
+def _heading(line: Column | str, pick: int) -> Column:
     text = F.trim(col(line))
-    out = F.lit(None).cast("int")
-    for _, level, pattern in reversed(HEADINGS):
-        out = F.when(text.rlike(pattern), F.lit(level)).otherwise(out)
-    return F.when(F.octet_length(text) <= 512, out)
+    out = F.lit(None)
+    for row in reversed(HEADINGS):
+        short = F.lit(True) if row[1] >= 50 else F.octet_length(text) <= 512
+        out = F.when(text.rlike(row[2]) & short, F.lit(row[pick])).otherwise(out)
+    return out
+
+
+def heading_level(line: Column | str) -> Column:
+    """Level of a heading line (its depth order), null for other lines and for whole-line headings over 512 bytes."""
+    return _heading(line, 1).cast("int")
 
 
 def heading_kind(line: Column | str) -> Column:
-    text = F.trim(col(line))
-    out = F.lit(None).cast("string")
-    for kind, _, pattern in reversed(HEADINGS):
-        out = F.when(text.rlike(pattern), F.lit(kind)).otherwise(out)
-    return F.when(F.octet_length(text) <= 512, out)
+    return _heading(line, 0).cast("string")
 
 
-_MARKER = re.compile(r"^(\([0-9]+[a-z]?\)|[a-z]\.|[0-9]+\.)")
+_MARKER = re.compile(r"\([0-9]+\)|[A-Za-z]\.|[0-9]+\.")
 
 
 def heading_of(line: str) -> tuple[str, int, str] | None:
     """(kind, level, label) of a line, in Python for the per-document parsers."""
     text = line.strip()
-    if not text or len(text.encode()) > 512:
+    if not text:
         return None
     for kind, level, pattern in _COMPILED:
-        if pattern.match(text):
-            marker = _MARKER.match(text)
-            return kind, level, marker.group(1) if marker and level >= 50 else " ".join(text.split())
+        if pattern.match(text) and (level >= 50 or len(text.encode()) <= 512):
+            return kind, level, _MARKER.match(text).group() if level >= 50 else text
     return None
 
 
-_COMPILED = [(k, n, re.compile(p.replace(r"\p{L}", r"[^\W\d_]").replace("^(?i:", "(?i:"))) for k, n, p in HEADINGS]
+_COMPILED = [(k, n, re.compile(p.replace(r"\p{L}", r"[^\W\d_]"), re.DOTALL)) for k, n, p in HEADINGS]
 
 
 def span_of_quote(text: Column, prefix: Column, quote: Column, suffix: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, evidence, graph, jobs, lexical, retrieval, temporal
+from . import evaluation, evidence, graph, jobs, lexical, retrieval, structure, temporal
 
-FAMILIES = (lexical, retrieval, temporal, graph, evidence, evaluation, jobs)
+FAMILIES = (lexical, retrieval, temporal, graph, evidence, evaluation, jobs, structure)
 
 
 def queries() -> dict:
