@@ -11,8 +11,9 @@ which return what joins their members, not the pairs; so no list of a group's pa
 different texts that share a band is lost.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing. A text of fewer words than a
-shingle is one shingle, its whole sequence. Repeated rows (same id) are one vertex. Null ids are left out of the links:
-such rows return with a null component and are kept. An empty table gives no rows. Extra columns are left out.
+shingle is one shingle, its whole sequence. Rows that repeat an id are judged each by its own text. A row with a null id is linked like
+any other but never names a component; it is kept only where no linked row has an id. An empty table gives no rows. Extra
+columns are left out.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,14 +92,18 @@ def _bytes(values: np.ndarray, begin: np.ndarray) -> pa.Array:
     return pa.array([values[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
 
 
+def _digests(sets: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """128-bit hashes of whole sets."""
+    raw = sets.tobytes()
+    return pa.array([xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())
+
+
 def signatures(docs: DataFrame, k: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, sha, keys, sig): set size, a 128-bit hash of the set, band keys and the values' low 16 bits. One narrow row a document."""
     plan = Bands(threshold)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         buf, off = utf8(batch.column(1))
         for i, j in slices(off, 1 << 20):
             sets, begin = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
@@ -106,11 +112,9 @@ def signatures(docs: DataFrame, k: int, threshold: float, id_col: str = "doc_id"
             sig = plan.signatures(sets, begin[np.append(full, len(size))] if len(full) else np.zeros(1, np.int64)) if len(full) else np.zeros((0, 2 * plan.n_perm), np.uint64)
             keys = plan.keys(sig).view(np.int64)
             at = np.concatenate([[0], np.cumsum(size > 0)])
-            raw = sets.tobytes()
-            sha = pa.array([xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())
             low = np.ascontiguousarray(sig & np.uint64(0xFFFF)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), sha, _flat(keys.ravel(), at * plan.bands), _bytes(low.ravel(), at * 2 * plan.n_perm)],
+                [batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), _digests(sets, begin), _flat(keys.ravel(), at * plan.bands), _bytes(low.ravel(), at * 2 * plan.n_perm)],
                 ["id", "n", "sha", "keys", "sig"],
             )
 
@@ -119,8 +123,8 @@ def signatures(docs: DataFrame, k: int, threshold: float, id_col: str = "doc_id"
 
 def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose signatures agree in at least ``least`` of their values."""
-    left = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
-    right = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
+    left = sigs.select(F.col("v").alias("a"), F.col("sig").alias("sig_a"))
+    right = sigs.select(F.col("v").alias("b"), F.col("sig").alias("sig_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -128,14 +132,13 @@ def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
         yes = np.flatnonzero((x == y).mean(1) >= least) if batch.num_rows else np.zeros(0, np.int64)
         return batch.select([0, 1]).take(pa.array(yes))
 
-    kind = sigs.schema["id"].dataType.simpleString()
-    return map_arrow(both, run, f"a {kind}, b {kind}")
+    return map_arrow(both, run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """Pairs with 100 * |intersection| >= pct * |union| on the full sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
+    left = sets.select(F.col("v").alias("a"), F.col("members").alias("x"))
+    right = sets.select(F.col("v").alias("b"), F.col("members").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -146,69 +149,75 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
             yes.append(100 * both >= pct * (len(x) + len(y) - both))
         return batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
 
-    kind = sets.schema["id"].dataType.simpleString()
-    return map_arrow(both, run, f"a {kind}, b {kind}")
+    return map_arrow(both, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable over links), ``kept`` (it is that id)."""
     threshold = pct / 100
-    rows = cut(signatures(docs, k, threshold, id_col, text_col), "signatures")
-    # Equal sets are one class, which stands under its smallest id.
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("sha").agg(F.min("id").alias("id"))
-    nodes = rows.join(classes.select("id", F.col("sha").alias("s")), ["id"], "left_semi").where("n > 0").dropDuplicates(["id", "sha"])
-    member = cut(_in_shared_buckets(nodes.select("id", "n", "keys")), "buckets")
-    reps = member.select("id").distinct()
-    sigs = cut(rows.select("id", "n", "sig").join(reps, "id", "left_semi").dropDuplicates(["id"]), "class-signatures")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(reps, "id", "left_semi")
-    sets = cut(_sets(texts, k).dropDuplicates(["id"]), "class-sets")
+    rows = cut(signatures(docs, k, threshold, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    # Equal sets are one class: its vertex is the number of one of its rows.
+    classes = cut(rows.where("n > 0").groupBy("sha").agg(F.min("row").alias("v"), F.min("id").alias("least")), "classes")
+    nodes = rows.withColumnRenamed("row", "v").join(classes.select("v"), "v", "left_semi")
+    member = cut(_in_shared_buckets(nodes.select("v", "keys")), "buckets")
+    reps = member.select("v").distinct()
+    chosen = cut(nodes.select("v", "id", "sha", "sig").join(reps, "v", "left_semi"), "class-signatures")
+    sigs = chosen.select("v", "sig")
+    wanted = chosen.select(F.col("id").alias("want")).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text")
+    sets = cut(_sets(texts, k).join(chosen.select("v", "sha"), "sha").dropDuplicates(["v"]).select("v", "members"), "class-sets")
     least = threshold - 6 * math.sqrt(threshold * (1 - threshold) / (2 * Bands(threshold).n_perm))
     # First every member against the smallest member of its buckets, then all that different components share a bucket with.
-    low = member.groupBy("key").agg(F.min("id").alias("low"))
-    first = member.join(low, "key").where("id <> low").groupBy("id").agg(F.min("low").alias("a")).select("a", F.col("id").alias("b"))
+    low = cut(member.groupBy("key").agg(F.min("v").alias("low")), "bucket-heads")
+    first = member.join(low, "key").where("v <> low").groupBy("v").agg(F.min("low").alias("a")).select("a", F.col("v").alias("b"))
     tried = cut(first, "pairs")
     links = cut(_confirmed(_alike(tried, sigs, least), sets, pct), "confirmed")
     own, small, large = _open_buckets(member, components(links))
     pairs = cut(_pairs(own.join(small, "key")).join(tried, ["a", "b"], "left_anti"), "pairs")
     rest = _confirmed(_alike(pairs, sigs, least), sets, pct).unionByName(_blocks(own.join(large, "key"), sets, pct))
-    labels = components(cut(links.unionByName(rest), "confirmed"))
-    named = classes.join(labels, "id", "left").select("sha", F.coalesce("label", "id").alias("component"))
+    labels = components(cut(links.unionByName(rest), "confirmed")).withColumnRenamed("id", "v")
+    named = cut(classes.join(labels, "v", "left").select("sha", "least", F.coalesce("label", "v").alias("label")), "labels")
+    names = named.groupBy("label").agg(F.min("least").alias("component"))
+    # Written first, so that the join below can split a class that very many rows share.
+    named = cut(named.join(names, "label").select("sha", "component"), "components")
     out = rows.select("id", "n", "sha").join(named, "sha", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def _in_shared_buckets(nodes: DataFrame) -> DataFrame:
-    """(key, id, n): bucket membership, only of buckets with two members at least."""
-    all_ = nodes.select("id", "n", F.explode("keys").alias("key"))
-    shared = all_.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
+    """(key, v): bucket membership, only of buckets with two members at least."""
+    all_ = nodes.select("v", F.explode("keys").alias("key"))
+    shared = all_.groupBy("key").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x <> y").select("key")
     return all_.join(shared, "key", "left_semi")
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
-    kind = texts.schema["id"].dataType.simpleString()
+    """(sha, members) of the texts."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        buf, off = utf8(batch.column(1))
+        buf, off = utf8(batch.column(0))
         for i, j in slices(off, 1 << 20):
             sets, begin = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _bytes(sets, begin)], ["id", "members"])
+            yield pa.RecordBatch.from_arrays([_digests(sets, begin), _bytes(sets, begin)], ["sha", "members"])
 
-    return map_arrow(texts, run, f"id {kind}, members binary")
+    return map_arrow(texts, run, "sha binary, members binary")
 
 
 def _open_buckets(member: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(key, id, label) of all bucket members, and the keys of small and (with their size) large buckets of several components."""
-    own = cut(member.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "bucket-labels")
+    """(key, v, label) of all bucket members, and the keys of small and (with their size) large buckets of several components."""
+    labels = labels.withColumnRenamed("id", "v")
+    own = cut(member.join(labels, "v", "left").select("key", "v", F.coalesce("label", "v").alias("label")), "bucket-labels")
     still = own.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     return own, still.where(F.col("size") <= SMALL).select("key"), still.where(F.col("size") > SMALL).select("key", "size")
 
 
 def _pairs(members: DataFrame) -> DataFrame:
     """Each pair of different components in a small bucket, once."""
-    other = members.select("key", F.col("id").alias("b"), F.col("label").alias("label_b"))
-    both = members.select("key", F.col("id").alias("a"), "label").join(other, "key").where("a < b AND label <> label_b")
+    other = members.select("key", F.col("v").alias("b"), F.col("label").alias("label_b"))
+    both = members.select("key", F.col("v").alias("a"), "label").join(other, "key").where("a < b AND label <> label_b")
     return both.select("a", "b").distinct()
 
 
@@ -219,13 +228,12 @@ def _blocks(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     a matrix product. A task returns what joins its members, at most a row for each, never the pairs.
     """
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    rows = members.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    rows = members.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    rows = rows.select("key", "id", "label", "c", other.alias("o")).withColumn("i", F.least("c", "o")).withColumn("j", F.greatest("c", "o"))
+    rows = rows.select("key", "v", "label", "c", other.alias("o")).withColumn("i", F.least("c", "o")).withColumn("j", F.greatest("c", "o"))
     # A task whose members are all of one component has nothing to find.
     live = rows.groupBy("key", "i", "j").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "i", "j")
-    rows = rows.join(live, ["key", "i", "j"], "left_semi").join(sets, "id")
-    kind = sets.schema["id"].dataType.simpleString()
+    rows = rows.join(live, ["key", "i", "j"], "left_semi").join(sets, "v")
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
         _, label = np.unique(part["label"].to_numpy(), return_inverse=True)
@@ -256,7 +264,7 @@ def _blocks(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
                 break
             root = near
         moved = np.flatnonzero(root != np.arange(len(own)))
-        ids = part["id"].to_numpy()
+        ids = part["v"].to_numpy()
         return pd.DataFrame({"a": ids[root[moved]], "b": ids[moved]})
 
-    return rows.groupBy("key", "i", "j").applyInPandas(link, f"a {kind}, b {kind}")
+    return rows.groupBy("key", "i", "j").applyInPandas(link, "a long, b long")
