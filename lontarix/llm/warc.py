@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 CRLF = "\r\n"
 #: The header of a record; WARC-Date is a parameter so that archives are reproducible.
 VERSION = "WARC/1.1"
@@ -61,6 +63,8 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 100, date: str
     rows.select("digest", "payload").groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
     narrow = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
     first = narrow.where(F.col("payload_bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id")).where(F.col("first_id").isNotNull())
+    # Written first, so that the join can split a payload that very many pages share.
+    first = cut(first, "first-records")
     marked = narrow.join(first, "digest", "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     marked = marked.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first_id")))
