@@ -135,6 +135,8 @@ def judge(
     lines = single.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
     lines = lines.where(F.col("n") > min_docs)
     over = lines.join(hosts.withColumnRenamed("host", "in_host"), F.col("host").eqNullSafe(F.col("in_host"))).where(F.col("n") > max_share * F.col("docs")).select(F.col("host").alias("hot_host"), F.col("h").alias("hot"))
+    # Written first, so that the join can split a line that very many documents share.
+    over = cut(over, "frequent-lines")
     own = table.select("row", "host", F.explode(F.arrays_zip("hashes", "counts")).alias("l")).select("row", "host", F.col("l.hashes").alias("h"), F.col("l.counts").alias("words"))
     gone = own.join(over, F.col("host").eqNullSafe(F.col("hot_host")) & (F.col("h") == F.col("hot"))).groupBy("row").agg(F.sum("words").alias("gone"))
     out = table.drop("sha", "hashes", "counts").join(gone, "row", "left")
