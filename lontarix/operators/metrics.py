@@ -56,8 +56,8 @@ def ndcg_at(found: DataFrame, gold: DataFrame, k: int, by: str = "query_id") ->
 def required_sets(found: DataFrame, sets: DataFrame, k: int, by: str = "query_id", key: str = "vec_id") -> DataFrame:
     """(by, complete): whether any of a question's required sets is within its k first rows."""
     top = found.where(F.col("rank") <= k).groupBy(by).agg(F.collect_set(key).alias("top"))
-    some = F.exists("sets", lambda x: F.size(F.array_except(x, F.coalesce("top", F.array().cast("array<bigint>")))) == 0)
-    return sets.join(top, by, "left").select(by, some.alias("complete"))
+    some = F.exists("sets", lambda x: F.size(F.array_except(x, F.col("top"))) == 0)
+    return sets.join(top, by, "left").select(by, F.coalesce(some, F.lit(False)).alias("complete"))
 
 
 def micro_f1(tp: Column, fp: Column, fn: Column) -> Column:
