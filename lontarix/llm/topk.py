@@ -155,11 +155,12 @@ def top_k(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best rows for every row for which ``is_query`` holds."""
     ints = rows.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    table = cut(ints.where("id IS NOT NULL AND v IS NOT NULL"), "vectors")
+    # Numbers are written with the rows: all copies of a row below must go by the same one.
+    table = cut(ints.where("id IS NOT NULL AND v IS NOT NULL").withColumn("number", F.monotonically_increasing_id()), "vectors")
     n, n_queries = table.agg(F.count("*"), F.count_if("q")).first()
     row_groups, query_groups = max(1, -(-n // row_block)), max(1, -(-n_queries // query_block))
     # Blocks are dealt by running number, not by a value: no key of the data can make one block large.
-    number = F.monotonically_increasing_id()
+    number = F.col("number")
     side = F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))).alias("qg")
     base = table.select("id", "v", F.pmod(F.xxhash64(number), F.lit(row_groups)).cast("int").alias("rg"), side)
     side = F.explode(F.sequence(F.lit(0), F.lit(row_groups - 1))).alias("rg")
