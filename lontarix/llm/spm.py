@@ -92,7 +92,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(len(text), np.int64)
     for k in range(done):
         key <<= bits
-        key[: len(text) - k] |= code[k:] + 1
+        key[: max(0, len(text) - k)] |= code[k:] + 1
     while done < depth:
         _, rank = np.unique(key, return_inverse=True)
         key = (rank + 1) * (len(text) + 2)
