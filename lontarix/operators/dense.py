@@ -39,14 +39,16 @@ def cosine_top_k(
     Blocks of rows and of queries meet in a grid of bounded tasks, each a matrix product that keeps its k best; only those
     are ranked across blocks. Scores are rounded to ``digits`` before they are ranked. A query may find its own row.
     """
-    own = cut(rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("v IS NOT NULL"), "vectors")
-    asked = cut(queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector_col).alias("v")).where("v IS NOT NULL"), "queries")
+    # Numbers are written with the rows: all copies of a row below must go by the same one.
+    number = F.monotonically_increasing_id().alias("number")
+    own = cut(rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), number), "vectors")
+    asked = cut(queries.where(F.col(vector_col).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(vector_col).alias("v"), number), "queries")
     n_rows, n_queries = own.count(), asked.count()
     row_groups, query_groups = max(1, -(-n_rows // row_block)), max(1, -(-n_queries // query_block))
 
     def spread(df: DataFrame, mine: str, groups: int, other: str, others: int) -> DataFrame:
-        number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")
-        return df.select("*", number.alias(mine), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+        group = F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int")
+        return df.select("*", group.alias(mine), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
