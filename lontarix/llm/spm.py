@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices, utf8
 from .tokens import vocab_path
 
 SPACE = "▁"
@@ -305,7 +306,7 @@ def _solve(found: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Encodes batches of texts; segments solved for one batch are remembered for the next, up to ``KNOWN`` of them."""
 
-    KNOWN = 400_000
+    KNOWN = 200_000
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
@@ -348,27 +349,16 @@ def decode_batch(ids: np.ndarray, off: np.ndarray, pieces: Pieces) -> list[str]:
     return out
 
 
-def _runs(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
-    i = 0
-    while i < len(texts):
-        j, held = i, 0
-        while j < len(texts) and (j == i or held + len(texts[j] or "") <= most):
-            held += len(texts[j] or "")
-            j += 1
-        yield i, j
-        i = j
-
-
-def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 6 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
     """(id, ``ids``): each text's ids as little-endian unsigned 32-bit numbers."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_batch = Encoder(load(model))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in _runs(texts, batch_chars):
-                ids, off = encode_batch(texts[i:j])
+            _, sizes = utf8(batch.column(1))
+            for i, j in slices(sizes, batch_bytes):
+                ids, off = encode_batch(batch.column(1).slice(i, j - i).to_pylist())
                 raw = ids.astype("<u4").tobytes()
                 rows = pa.array([raw[4 * a : 4 * b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), rows], [id_col, "ids"])
