@@ -80,3 +80,21 @@ def state_diff(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataF
     j = e.join(a, keys, "full_outer")
     state = F.when(F.col("e").isNull(), "EXTRA").when(F.col("a").isNull(), "MISSING").when(~F.col("e").eqNullSafe(F.col("a")), "CHANGED")
     return j.select(*keys, state.alias("state")).where("state IS NOT NULL")
+
+
+def by_phrase(rows: DataFrame, text: str, phrases: list[str], key: str, limit: int) -> DataFrame:
+    """(key, priority): rows that hold a phrase, by the place of the first that they hold, then by digest; one row a text."""
+    rank = F.lit(None).cast("int")
+    for i in reversed(range(len(phrases))):
+        rank = F.when(F.lower(F.col(text)).contains(phrases[i]), F.lit(i)).otherwise(rank)
+    found = rows.select(key, rank.alias("priority"), F.sha2(text, 256).alias("__sha")).where("priority IS NOT NULL")
+    one = found.groupBy("__sha").agg(F.min(key).alias(key), F.first("priority").alias("priority"))
+    return one.orderBy("priority", "__sha").limit(limit).select(key, "priority")
+
+
+def reusable(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
+    """(by, reusable): whether a part has the same rows in both builds. Sides are counted together, in one shuffle."""
+    cols = old.columns
+    both = old.select(*cols, F.lit(1).alias("__n")).unionByName(new.select(*cols, F.lit(-1).alias("__n")))
+    diff = both.groupBy(*cols).agg(F.sum("__n").alias("n"))
+    return diff.groupBy(by).agg((F.max(F.abs("n")) == 0).alias("reusable"))

@@ -202,6 +202,30 @@ def byte_maps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return _per_text(docs, id_col, text_col, "long long long long string", ["raw_start", "raw_stop", "norm_start", "norm_stop", "kind"], lambda t: normalize_with_map(t)[1])
 
 
+def unit_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, unit, start, stop): byte range of each source unit, for spans given as ranges of units."""
+
+    def of(text: str) -> list[tuple[int, int, int]]:
+        at, last, out = 0, 0, []
+        for i, m in enumerate(_UNIT.finditer(text)):
+            start = at + len(text[last : m.start()].encode())
+            at, last = start + len(m.group().encode()), m.end()
+            out.append((i, start, at))
+        return out
+
+    return _per_text(docs, id_col, text_col, "int long long", ["unit", "start", "stop"], of)
+
+
+def project_units(ranges: DataFrame, units: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, first, last, start, stop) of unit ranges; one that is out of order or of range stops the job."""
+    a = units.select(id_col, F.col("unit").alias("first"), F.col("start"))
+    z = units.select(id_col, F.col("unit").alias("last"), F.col("stop"))
+    j = ranges.join(a, [id_col, "first"], "left").join(z, [id_col, "last"], "left")
+    bad = (F.col("first") > F.col("last")) | F.col("start").isNull() | F.col("stop").isNull()
+    start = F.when(bad, F.raise_error(F.lit("unit range")).cast("long")).otherwise(F.col("start"))
+    return j.select(id_col, "first", "last", start.alias("start"), "stop")
+
+
 def render_input(labels: F.Column, chunk: F.Column) -> F.Column:
     """Text for an embedding model: the labels above a chunk as context, if there are any."""
     return F.when(F.size(labels) > 0, F.concat(F.lit("Konteks: "), F.array_join(labels, " > "), F.lit("\nTeks: "), chunk)).otherwise(chunk)

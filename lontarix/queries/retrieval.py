@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import rounded
 from ..operators import dense, fusion, metrics
 from ..operators import lexical as lx
+from ..plans import evidence as plan
 from ..session import table
 from .lexical import INDEX, _T, r6
 
@@ -127,7 +128,15 @@ def required_set_complete(s, d):
     return metrics.required_sets(found, sets, 20)
 
 
-QUERIES = {f.__name__: f for f in (dense_norm_check, dense_topk, dense_topk_filtered, dense_parity, rrf_fusion, rrf_weighted, rrf_provenance, profile_vector, rank_check, rerank_order, rerank_batches, overflow_probe, recall_at_k, ndcg_at_k, required_set_complete)}
+def evidence_query(s, d):
+    """The whole evidence query over a pinned snapshot, for every question of the stated set."""
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("key"), "text", (F.col("doc_id") % 10).alias("from_seq"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 10 + 4).alias("to_seq"))
+    vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    asked = _questions(s, d).select(F.col("query_id").alias("question_id"), "embedding").join(docs.select(F.col("key").alias("question_id"), "text"), "question_id")
+    return plan.answer_context(plan.Corpus(docs, vectors, 5), plan.Request(asked, "HYBRID", 20, 1500))
+
+
+QUERIES = {f.__name__: f for f in (evidence_query, dense_norm_check, dense_topk, dense_topk_filtered, dense_parity, rrf_fusion, rrf_weighted, rrf_provenance, profile_vector, rank_check, rerank_order, rerank_batches, overflow_probe, recall_at_k, ndcg_at_k, required_set_complete)}
 
 _DENSE = f"""
 e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -152,7 +161,21 @@ FROM den d JOIN embeddings r ON r.vec_id = d.vec_id JOIN embeddings q ON q.vec_i
 h AS (SELECT q.vec_id AS query_id, count(*) FILTER (r.label = q.label) AS n3, count(*) FILTER (r.label <> q.label) AS n1
       FROM embeddings q JOIN embeddings r ON abs(r.label - q.label) <= 1 WHERE q.vec_id % 100 = 0 GROUP BY 1)"""
 
+_SEEN = "{0} % 10 <= 5 AND NOT ({0} % 3 = 0 AND {0} % 10 + 4 <= 5)"
+_EVIDENCE = f"""WITH RECURSIVE {INDEX.replace("FROM documents", "FROM seen").replace("tok AS", "seen AS (SELECT * FROM documents WHERE " + _SEEN.format("doc_id") + "), tok AS", 1)}, {_DENSE},
+dv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r2 FROM sim WHERE {_SEEN.format("vec_id")} AND vec_id IN (SELECT doc_id FROM documents)) WHERE r2 <= 20),
+lq AS (SELECT DISTINCT doc_id AS query_id, unnest({_T.format("text")}) AS term FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
+ls AS (SELECT query_id, doc_id, {r6("sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * dw.weight)")} AS score FROM lq JOIN df USING (term) JOIN dw USING (term), st GROUP BY 1, 2),
+lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r2 FROM ls) WHERE r2 <= 20),
+u AS (SELECT coalesce(d.query_id, l.query_id) AS question_id, coalesce(d.vec_id, l.doc_id) AS key, d.r2 AS dr, l.r2 AS lr FROM dv d FULL JOIN lex l ON d.query_id = l.query_id AND d.vec_id = l.doc_id),
+f AS (SELECT *, coalesce(1e0 / (60 + dr), 0e0) + coalesce(1e0 / (60 + lr), 0e0) AS raw FROM u),
+k AS (SELECT question_id, key, raw, row_number() OVER (PARTITION BY question_id ORDER BY raw DESC, least(dr, lr), key)::INTEGER AS rank, len({_T.format("text")}) AS t FROM f JOIN documents ON doc_id = key),
+g AS (SELECT question_id, rank, key, raw, t <= 1500 AS packed, CASE WHEN t <= 1500 THEN t ELSE 0 END AS total FROM k WHERE rank = 1 UNION ALL
+SELECT k.question_id, k.rank, k.key, k.raw, g.total + t <= 1500, CASE WHEN g.total + t <= 1500 THEN g.total + t ELSE g.total END FROM g JOIN k ON k.question_id = g.question_id AND k.rank = g.rank + 1)
+SELECT question_id, rank, key, floor(raw * 1e9 + 0.5e0) / 1e9 AS score, 'COMPLETE' AS state, packed, total::BIGINT AS total FROM g"""
+
 ORACLES = {
+    "evidence_query": _EVIDENCE,
     "dense_norm_check": f"WITH n AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS m FROM embeddings) SELECT vec_id, {r6('m')} AS norm, abs(m - 1) <= 0.01e0 AS ok FROM n",
     "dense_topk": f"WITH {_DENSE} SELECT * FROM den",
     "dense_topk_filtered": f"WITH {_DENSE}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM sim WHERE vec_id % 10 <= 5 AND NOT (vec_id % 3 = 0 AND vec_id % 10 + 4 <= 5)) SELECT * FROM f WHERE rank <= 20",

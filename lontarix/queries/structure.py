@@ -76,6 +76,30 @@ def roman_check(s, d):
     return n.select("p_partkey", is_roman(text).alias("ok"))
 
 
+def unit_projection(s, d):
+    """From a turn's first unit to its last: the turn without the white space around it."""
+    turns = table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.concat(F.lit(" \n"), "text", F.lit("  ")).alias("text"))
+    units = structure.unit_spans(turns)
+    ranges = units.groupBy("doc_id").agg(F.min("unit").alias("first"), F.max("unit").alias("last"))
+    return structure.project_units(ranges, units).select("doc_id", "start", "stop")
+
+
+def duplicate_ordinal(s, d):
+    o = table(s, d, "orders").select("o_custkey", "o_orderkey", heading_kind(_line(F.col("o_orderkey"))).alias("kind")).where("kind IS NOT NULL")
+    return o.withColumn("ordinal", F.expr("row_number() OVER (PARTITION BY o_custkey, kind ORDER BY o_orderkey) - 1"))
+
+
+def phrase_priority_sample(s, d):
+    """Documents ranked by the first of the phrases that they hold, one a text, at least 80 characters."""
+    return quality.by_phrase(table(s, d, "documents").where("length(trim(text)) >= 80"), "text", ["the and", "ing", "en la"], "doc_id", 60)
+
+
+def index_reuse(s, d):
+    """Languages whose documents are the same in two builds may be used again."""
+    a = table(s, d, "documents").select("lang", "doc_id", F.sha2("text", 256).alias("h"))
+    return quality.reusable(a, a.withColumn("h", F.when((F.col("lang") == "de") & (F.col("doc_id") % 100 < 30), "new").otherwise(F.col("h"))), "lang")
+
+
 def html_title(s, d):
     return table(s, d, "pages").select("page_id", html.title_of("html").alias("title"))
 
@@ -171,7 +195,7 @@ def readback_diff(s, d):
     return quality.state_diff(e, a.unionByName(extra), ["s_suppkey"])
 
 
-QUERIES = {f.__name__: f for f in (text_normalize, byte_map, headings, structure_tree, chunk_split, embedding_input, roman_check, html_title, html_text, html_links, html_parse, link_discovery, field_rule_issues, nested_any_match, paired_triple_match, filter_admission, stratified_sample, exact_field, page_classes, inventory_audit, identity_collisions, orphan_blobs, exact_dup_groups, readback_diff)}
+QUERIES = {f.__name__: f for f in (unit_projection, duplicate_ordinal, phrase_priority_sample, index_reuse, text_normalize, byte_map, headings, structure_tree, chunk_split, embedding_input, roman_check, html_title, html_text, html_links, html_parse, link_discovery, field_rule_issues, nested_any_match, paired_triple_match, filter_admission, stratified_sample, exact_field, page_classes, inventory_audit, identity_collisions, orphan_blobs, exact_dup_groups, readback_diff)}
 
 _RAW = "raw AS (SELECT doc_id, replace(replace(replace(text, '. ', '.' || chr(13) || chr(10)), 'tion', 'ti' || chr(173) || 'on'), ', ', ',' || chr(9) || '  ') || chr(13) || 'ﬁn ﬄ' AS text FROM documents)"
 _NORM = r"replace(replace(replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), chr(173), ''), 'ﬁ', 'fi'), 'ﬄ', 'ffl')"
@@ -205,6 +229,11 @@ FROM m LEFT JOIN v q ON q.doc_id = m.doc_id AND q.k = m.pk""",
     "embedding_input": """WITH i AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN 'Konteks: ' || upper(role) || ' > ' || conv_id || chr(10) || 'Teks: ' || text ELSE text END AS t FROM conversations)
 SELECT conv_id, turn, sha256(t) AS input_sha256, sha256(length(t) || ':' || t || '|model-v1') AS reuse_key FROM i""",
     "roman_check": "SELECT p_partkey, p_partkey % 3 <> 0 AS ok FROM part",
+    "unit_projection": r"SELECT conv_id || '-' || turn AS doc_id, (2 + strlen(regexp_extract(text, '^\s*')))::BIGINT AS start, (2 + strlen(regexp_replace(text, '\s+$', '')))::BIGINT AS stop FROM conversations WHERE regexp_matches(text, '\S')",
+    "duplicate_ordinal": f"WITH x AS (SELECT o_custkey, o_orderkey, o_orderkey AS k FROM orders), y AS (SELECT o_custkey, o_orderkey, {_KIND} AS kind FROM x) SELECT *, (row_number() OVER (PARTITION BY o_custkey, kind ORDER BY o_orderkey) - 1)::INTEGER AS ordinal FROM y WHERE kind IS NOT NULL",
+    "phrase_priority_sample": """WITH d AS (SELECT doc_id, CASE WHEN contains(lower(text), 'the and') THEN 0 WHEN contains(lower(text), 'ing') THEN 1 WHEN contains(lower(text), 'en la') THEN 2 END AS priority, sha256(text) AS sha FROM documents WHERE length(trim(text)) >= 80),
+o AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY doc_id) AS n FROM d WHERE priority IS NOT NULL) SELECT doc_id, priority::INTEGER AS priority FROM o WHERE n = 1 ORDER BY priority, sha LIMIT 60""",
+    "index_reuse": "SELECT lang, lang <> 'de' OR count(*) FILTER (doc_id % 100 < 30) = 0 AS reusable FROM documents GROUP BY 1",
     "html_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "html_text": f"SELECT page_id, sha256({_TEXT.format('html')}) AS text_sha256 FROM pages",
     "html_links": f"WITH {_LINKS} SELECT * FROM lk",
