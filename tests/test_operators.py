@@ -260,3 +260,20 @@ def test_upsert_and_claims(spark):
     old, new = (spark.createDataFrame(r, "k int, v string") for r in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]))
     assert {tuple(r) for r in registry.upsert(old, new, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
     assert {tuple(r) for r in registry.upsert(old, new, ["k"], update=False).collect()} == {(1, "a"), (2, "b"), (3, "d")}
+
+
+def test_question_trace(spark):
+    from lontarix.functions.questions import mechanical, trace
+
+    text = '  apa   "isi  pasal"\t\'kutip  ini\' jum\'at  cafe\u0301 “a  b'
+    search, edits = mechanical(text)
+    assert search == 'apa "isi  pasal" \'kutip  ini\' jum\'at caf\u00e9 “a  b'
+    assert [e[4] for e in edits] == ["whitespace", "whitespace", "whitespace", "whitespace", "nfc"]
+    raw, out = text.encode(), search.encode()
+    for a, b, c, d, kind in edits:
+        assert kind == "nfc" or not raw[a:b].strip() and out[c:d] in (b"", b" ")
+    assert mechanical(search) == (search, [])
+    row = spark.createDataFrame([(text,), (None,)], "q string").select(trace("q").alias("t")).collect()
+    assert row[0]["t"]["search"] == search and len(row[0]["t"]["edits"]) == 5
+    with pytest.raises(ValueError, match="nonblank"):
+        mechanical(" \n")
