@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, map_arrow, slices, utf8
 from .graph import components
@@ -37,6 +38,10 @@ MISS = 1e-6
 ROWS = 5
 #: Buckets up to this size are compared pair by pair, larger ones in pairs of chunks of about ``CHUNK`` members.
 SMALL, CHUNK = 32, 256
+#: Up to so many ids of documents in shared buckets, of 8 bytes at most each, are sent to the tasks that read the texts again;
+#: beyond it texts and ids are joined by a shuffle.
+SENT_IDS = 2_000_000
+NUMBERS = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +169,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "d
     chosen = cut(nodes.select("v", "id", "sha", "sig").join(reps, "v", "left_semi"), "class-signatures")
     sigs = chosen.select("v", "sig")
     wanted = chosen.select(F.col("id").alias("want")).distinct()
+    if isinstance(docs.schema[id_col].dataType, NUMBERS) and wanted.count() <= SENT_IDS:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text")
     sets = cut(_sets(texts, k).join(chosen.select("v", "sha"), "sha").dropDuplicates(["v"]).select("v", "members"), "class-sets")
