@@ -118,3 +118,11 @@ def provenance(chunks: DataFrame, versions: DataFrame, chunk: str = "chunk_id")
     """(chunk, n_versions, n_sources): chunk to versions to sources, distinct."""
     rows = chunks.select(chunk, F.explode("version_ids").alias("version_id")).join(versions.select("version_id", "source_id"), "version_id")
     return rows.groupBy(chunk).agg(F.count_distinct("version_id").alias("n_versions"), F.count_distinct("source_id").alias("n_sources"))
+
+
+def account(hits: DataFrame, kept: DataFrame, rejected: DataFrame, key: str = "key") -> DataFrame:
+    """(key, issue) where kept and rejected don't add up to the hits: LOST, TWICE or UNKNOWN. Empty if they do."""
+    rows = hits.select(key, F.lit(1).alias("h"), F.lit(0).alias("o")).unionByName(kept.select(key, F.lit(0).alias("h"), F.lit(1).alias("o"))).unionByName(rejected.select(key, F.lit(0).alias("h"), F.lit(1).alias("o")))
+    sums = rows.groupBy(key).agg(F.sum("h").alias("h"), F.sum("o").alias("o"))
+    issue = F.when(F.col("h") == 0, "UNKNOWN").when(F.col("o") == 0, "LOST").when(F.col("o") > F.col("h"), "TWICE")
+    return sums.select(key, issue.alias("issue")).where("issue IS NOT NULL")

@@ -102,3 +102,23 @@ def point_uuid(key: Column) -> Column:
     h = F.sha2(key, 256)
     variant = F.conv(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8).cast("string"), 10, 16)
     return F.lower(F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("8"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)))
+
+
+def compare_and_set(current: DataFrame, proposals: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, outcome): a proposal is ACCEPTED if it expects the revision that is current, and is the first to; else STALE.
+
+    ``current``: keys, revision; ``proposals``: keys, expected, proposal_id. A key without a row is at revision 0.
+    """
+    j = proposals.join(current.select(*keys, "revision"), keys, "left")
+    hit = F.col("expected") == F.coalesce("revision", F.lit(0))
+    part = ", ".join(keys)
+    first = F.expr(f"min(CASE WHEN hit THEN proposal_id END) OVER (PARTITION BY {part})") == F.col("proposal_id")
+    return j.withColumn("hit", hit).withColumn("outcome", F.when(F.coalesce(first, F.lit(False)) & F.col("hit"), "ACCEPTED").otherwise("STALE")).select("proposal_id", *keys, "outcome")
+
+
+def used_identities(*columns: DataFrame) -> DataFrame:
+    """Distinct ids of a batch over several one-column sources: its registry dependencies."""
+    out = columns[0].toDF("canonical_id")
+    for c in columns[1:]:
+        out = out.unionByName(c.toDF("canonical_id"))
+    return out.where("canonical_id IS NOT NULL").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import rounded
-from ..operators import jobs
+from ..operators import evidence, jobs, registry
 from ..session import table
 from ..streaming import windows
 
@@ -99,6 +99,23 @@ def authority_join(s, d):
     return j.groupBy("r_name", "s_nation").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
 
 
+def review_accept(s, d):
+    """Reviews that name the revision they saw: the first that names the current one is accepted."""
+    current = table(s, d, "customer").where("c_custkey % 4 <> 0").select("c_custkey", (F.col("c_custkey") % 3).alias("revision"))
+    asked = table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderkey") % 3).alias("expected"), F.col("o_orderkey").alias("proposal_id"))
+    return registry.compare_and_set(current, asked, ["c_custkey"])
+
+
+def batch_dependencies(s, d):
+    o, li = table(s, d, "orders"), table(s, d, "lineitem")
+    return registry.used_identities(o.select("o_custkey"), li.select("l_partkey"), li.select("l_suppkey"))
+
+
+def hit_accounting(s, d):
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("key"))
+    return evidence.account(docs.where("key % 11 <> 4"), docs.where("key % 2 = 0"), docs.where("key % 2 = 1 AND key % 13 <> 5").unionByName(docs.where("key % 34 = 0")))
+
+
 def rollup_inventory(s, d):
     return table(s, d, "documents").rollup("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"), F.grouping_id().alias("level"))
 
@@ -125,7 +142,7 @@ def stream_latest(s, d):
     return windows.merge_latest(s, d, "events", ["user_id"], ["ts", "event_id"], ["event_type"])
 
 
-QUERIES = {f.__name__: f for f in (job_submit, job_claim, job_leases, illegal_transitions, retry_exhausted, job_latest_checkpoint, stage_order, keyset_page, byte_guard, byte_budget, first_seen, queue_progress, snapshot_ready, unassigned_jobs, authority_join, rollup_inventory, events_tumbling, events_sliding, events_session, stream_tumbling, stream_latest)}
+QUERIES = {f.__name__: f for f in (job_submit, job_claim, job_leases, illegal_transitions, retry_exhausted, job_latest_checkpoint, stage_order, keyset_page, byte_guard, byte_budget, first_seen, queue_progress, snapshot_ready, unassigned_jobs, authority_join, review_accept, batch_dependencies, hit_accounting, rollup_inventory, events_tumbling, events_sliding, events_session, stream_tumbling, stream_latest)}
 
 _LED = """led AS (SELECT event_id, ts, user_id, CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'RUNNING' WHEN 'click' THEN 'WAITING_REVIEW' WHEN 'purchase' THEN 'SUCCEEDED' ELSE 'FAILED' END AS state,
 value, (props ->> '$.k')::INTEGER AS k FROM events)"""
@@ -157,6 +174,12 @@ SELECT snapshot, count(*) FILTER (b IN ('view', 'click', 'signup')) = 3 AS ready
 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""",
     "authority_join": """SELECT r_name, sn.n_name AS s_nation, count(*)::BIGINT AS n, sum(l_quantity::BIGINT)::BIGINT AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey
 JOIN supplier ON l_suppkey = s_suppkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN region ON cn.n_regionkey = r_regionkey JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2""",
+    "review_accept": """WITH p AS (SELECT o_orderkey AS proposal_id, o_custkey AS c_custkey, o_orderkey % 3 = CASE WHEN o_custkey % 4 <> 0 THEN o_custkey % 3 ELSE 0 END AS hit FROM orders),
+f AS (SELECT c_custkey, min(proposal_id) AS first FROM p WHERE hit GROUP BY 1)
+SELECT proposal_id, c_custkey, CASE WHEN hit AND proposal_id = first THEN 'ACCEPTED' ELSE 'STALE' END AS outcome FROM p LEFT JOIN f USING (c_custkey)""",
+    "batch_dependencies": "SELECT o_custkey AS canonical_id FROM orders UNION SELECT l_partkey FROM lineitem UNION SELECT l_suppkey FROM lineitem",
+    "hit_accounting": """WITH x AS (SELECT doc_id AS key, (doc_id % 11 <> 4)::INTEGER AS h, (doc_id % 2 = 0)::INTEGER + (doc_id % 2 = 1 AND doc_id % 13 <> 5)::INTEGER + (doc_id % 34 = 0)::INTEGER AS o FROM documents)
+SELECT key, CASE WHEN h = 0 THEN 'UNKNOWN' WHEN o = 0 THEN 'LOST' ELSE 'TWICE' END AS issue FROM x WHERE (h = 0 AND o > 0) OR (h = 1 AND o <> 1)""",
     "rollup_inventory": "SELECT source, lang, count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS n_chars, grouping_id(source, lang)::BIGINT AS level FROM documents GROUP BY ROLLUP (source, lang)",
     "events_tumbling": _TUMBLE,
     "stream_tumbling": _TUMBLE,
