@@ -134,6 +134,29 @@ def split_chunks(text: str, max_bytes: int = MAX_CHUNK_BYTES, max_tokens: int =
     return out
 
 
+def split_windows(text: str, size: int = 1600, overlap: int = 160, least: int = 60) -> list[tuple[int, int]]:
+    """(start, stop) in UTF-8 bytes of search windows: ``size`` characters, back to the last line end if that is past the half.
+
+    The next window begins ``overlap`` characters before the end. Windows of less than ``least`` bytes of text are left out.
+    """
+    offsets = [0]
+    for ch in text:
+        offsets.append(offsets[-1] + len(ch.encode()))
+    out, a, n = [], 0, len(text)
+    while a < n:
+        z = min(a + size, n)
+        if z < n:
+            k = text.rfind("\n", a, z)
+            if k >= 0 and offsets[k] - offsets[a] > (offsets[z] - offsets[a]) // 2:
+                z = k + 1
+        if len(text[a:z].strip().encode()) >= least:
+            out.append((offsets[a], offsets[z]))
+        if z == n:
+            break
+        a = z - overlap if z - overlap > a else z
+    return out
+
+
 def normalize_with_map(text: str) -> tuple[str, list[tuple[int, int, int, int, str]]]:
     """Normalized text and its byte map: (raw_start, raw_stop, norm_start, norm_stop, kind); neighbouring identities are one span."""
     out: list[str] = []
@@ -197,6 +220,11 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **li
     return _per_text(docs, id_col, text_col, "int long long int", ["chunk", "start", "stop", "tokens"], lambda t: [(i, a, z, n) for i, (a, z, n) in enumerate(split_chunks(t, **limits))])
 
 
+def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+    """(id, start, stop) of every document's search windows."""
+    return _per_text(docs, id_col, text_col, "long long", ["start", "stop"], lambda t: split_windows(t, **limits))
+
+
 def byte_maps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, raw_start, raw_stop, norm_start, norm_stop, kind) of every document."""
     return _per_text(docs, id_col, text_col, "long long long long string", ["raw_start", "raw_stop", "norm_start", "norm_stop", "kind"], lambda t: normalize_with_map(t)[1])

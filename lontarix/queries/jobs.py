@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import rounded
 from ..operators import evidence, jobs, registry
 from ..session import table
 from ..streaming import windows
