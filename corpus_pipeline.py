@@ -6,6 +6,7 @@ Parquet and read again before the next stage starts. All but the last return the
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lontarix.llm import linededup, minhash, packing, quality
-from lontarix.llm.common import release, shared_dir
+from lontarix.sources.shared import release, shared_dir, since, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,37 +22,56 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL: str | None = None
 
 
+#: Tables behind the last stage's result; its result is written by the time the next stage begins.
+_behind: list[str] = []
+
+
+def _stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Before the stage, delete the tables behind its predecessor's result, so that the pipeline's disk does not add up."""
+
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _behind)
+        mark = written()
+        out = fn(spark, docs, sf_dir)
+        _behind[:] = since(mark)
+        return out
+
+    return run_stage
+
+
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is in ``kept``; a null id matches a null id."""
     ids = kept.withColumnRenamed("doc_id", "kept_id")
     return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are not depleted by lines their host repeats."""
-    release(spark)
     kept = quality.judge(docs).where("kept").select("doc_id")
     return _only(docs, kept)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines found in at least 10 documents; ``n_chars`` follows the text. A document left empty stays, empty."""
-    release(spark)
     out = linededup.LineDedup(spark, min_docs=10).insert(docs).apply(docs.select(*COLUMNS))
     out = out.withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*COLUMNS)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
-    release(spark)
     kept = minhash.near_duplicates(docs, k=5, pct=80).where("kept").select("doc_id")
     return _only(docs, kept)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes, with a digest of its ids."""
-    release(spark)
+    """Where each piece of each document goes, with a digest of its ids. Its tables stay: its result is the caller's."""
+    release(spark, _behind)
+    _behind.clear()
     pieces = packing.tokenize_pieces(docs, "byte_bpe_50k", 2048)
     return packing.place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), 2048)
 

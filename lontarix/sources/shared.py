@@ -41,9 +41,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that ``cut`` and ``scratch`` made so far; call it once no result depends on them."""
+def written() -> int:
+    """How many tables ``cut`` and ``scratch`` have made so far; ``since`` names those made after that."""
+    return len(_written)
+
+
+def since(mark: int) -> list[str]:
+    return _written[mark:]
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete ``paths``, or every table that ``cut`` and ``scratch`` made so far. No result that is still needed may depend on them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in list(_written) if paths is None else paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    if paths is None:
+        _written.clear()
