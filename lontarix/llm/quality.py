@@ -1,6 +1,6 @@
 """Quality rules: counts of a text, and cross-document line frequency within a host.
 
-Normalised lines (stripped of ASCII white space, A-Z lower-cased, digits made 0) are hashed. For each host the distinct
+Normalised lines (stripped of ASCII white space, A-Z lower-cased) are hashed. For each host the distinct
 documents that hold a line are counted; identical texts of a host count as one document, so that a page copied many times
 does not make its own lines look like boilerplate. Lines in more than ``max(min_docs, max_share * documents of the host)``
 documents are removed, and a document left with less than ``min_left`` of its words is rejected as depleted.
@@ -12,7 +12,6 @@ are judged alike, each on its own row. An empty table gives an empty result. Ext
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,6 @@ from .words import LOWER, words
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
-_DIGITS = re.compile(rb"[0-9]+")
 _SCHEMA = "row long, id {id}, host string, sha binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, hashes array<long>, counts array<int>"
 
 
@@ -86,8 +84,7 @@ def _measure(buf: np.ndarray, off: np.ndarray) -> dict[str, list]:
                 line = raw[s:t]
                 dup += line in seen
                 seen.add(line)
-                key = _DIGITS.sub(b"0", low[starts[x] : ends[y - 1]])
-                h = xxhash.xxh3_64_intdigest(key) - (1 << 63)
+                h = _key(low[starts[x] : ends[y - 1]])
                 weight[h] = weight.get(h, 0) + y - x
         out["n_dup_lines"].append(dup)
         out["hashes"].append(list(weight))
@@ -95,6 +92,11 @@ def _measure(buf: np.ndarray, off: np.ndarray) -> dict[str, list]:
     return out
 
 
+def _key(low: bytes) -> int:
+    """Hash of a stripped, lower-cased line."""
+    return xxhash.xxh3_64_intdigest(low) - (1 << 63)
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One narrow row a document: its counts, the hashes of its distinct normalised lines and their words."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -112,6 +114,20 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     return map_arrow(rows, run, _SCHEMA.format(id=kind))
 
 
+def _frequent(table: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+    """(hot_host, hot): lines above the limits of their host."""
+    # One row for each distinct text of a host stands for its copies; counts are summed per task before the shuffle.
+    texts = table.groupBy("host", "sha").agg(F.min("row").alias("row"))
+    single = table.select("row", "host", "hashes").join(texts.select("row"), "row", "left_semi")
+    hosts = texts.groupBy("host").agg(F.count("*").alias("docs"))
+    lines = single.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
+    lines = lines.where(F.col("n") > min_docs)
+    over = lines.join(hosts.withColumnRenamed("host", "in_host"), F.col("host").eqNullSafe(F.col("in_host"))).where(F.col("n") > max_share * F.col("docs")).select(F.col("host").alias("hot_host"), F.col("h").alias("hot"))
+    # Written first, so that the join can split a line that very many documents share.
+    over = cut(over, "frequent-lines")
+    return over
+
+
 def judge(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -128,15 +144,7 @@ def judge(
     ``row`` numbers the rows; ``join_verdict`` and the pipeline use ``id_col``.
     """
     table = cut(measure(docs, id_col, text_col, host_col), "line-stats")
-    # One row for each distinct text of a host stands for its copies; counts are summed per task before the shuffle.
-    texts = table.groupBy("host", "sha").agg(F.min("row").alias("row"))
-    single = table.select("row", "host", "hashes").join(texts.select("row"), "row", "left_semi")
-    hosts = texts.groupBy("host").agg(F.count("*").alias("docs"))
-    lines = single.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
-    lines = lines.where(F.col("n") > min_docs)
-    over = lines.join(hosts.withColumnRenamed("host", "in_host"), F.col("host").eqNullSafe(F.col("in_host"))).where(F.col("n") > max_share * F.col("docs")).select(F.col("host").alias("hot_host"), F.col("h").alias("hot"))
-    # Written first, so that the join can split a line that very many documents share.
-    over = cut(over, "frequent-lines")
+    over = _frequent(table, min_docs, max_share)
     own = table.select("row", "host", F.explode(F.arrays_zip("hashes", "counts")).alias("l")).select("row", "host", F.col("l.hashes").alias("h"), F.col("l.counts").alias("words"))
     gone = own.join(over, F.col("host").eqNullSafe(F.col("hot_host")) & (F.col("h") == F.col("hot"))).groupBy("row").agg(F.sum("words").alias("gone"))
     out = table.drop("sha", "hashes", "counts").join(gone, "row", "left")
@@ -144,3 +152,32 @@ def judge(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     out = out.withColumn("n_left", left).withColumn("base_failed", failed)
     return out.withColumn("kept", ~failed & (left >= min_left * F.col("n_words"))).drop("gone").withColumnRenamed("id", id_col)
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, max_share: float = 0.02, **rules: float) -> DataFrame:
+    """The kept documents with the lines above the limits removed from their text; other columns stay as they are.
+
+    Rows are matched by id and host, null with null; rows that repeat both share one verdict: kept if any of them is.
+    """
+    table = cut(measure(docs, id_col, text_col, host_col), "line-stats")
+    over = _frequent(table, min_docs, max_share)
+    own = table.select("id", "host", F.explode("hashes").alias("h"))
+    drops = own.join(over, F.col("host").eqNullSafe(F.col("hot_host")) & (F.col("h") == F.col("hot"))).groupBy("id", "host").agg(F.collect_set("h").alias("__drop"))
+    kept = judge(docs, id_col, text_col, host_col, min_docs=min_docs, max_share=max_share, **rules).where("kept").select(F.col(id_col).alias("id"), "host").distinct()
+    side = kept.join(drops.toDF("d_id", "d_host", "__drop"), F.col("id").eqNullSafe(F.col("d_id")) & F.col("host").eqNullSafe(F.col("d_host")), "left").select(F.col("id").alias("__id"), F.col("host").alias("__host"), "__drop")
+    rest = [c for c in docs.columns if c != text_col]
+    rows = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text_col).alias("__text"))
+    rows = rows.join(side, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(host_col).cast("string").eqNullSafe(F.col("__host"))).drop("__id", "__host")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+
+    def strip(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at = {c: i for i, c in enumerate(batch.schema.names)}
+        texts = []
+        for text, drop in zip(batch.column(at["__text"]), batch.column(at["__drop"]), strict=True):
+            raw, gone = (text.as_py() or "").encode(), set(drop.as_py() or ())
+            if gone:
+                raw = b"\n".join(x for x in raw.split(b"\n") if not (k := x.strip(b" \t\n\v\f\r").lower()) or _key(k) not in gone)
+            texts.append(raw.decode())
+        yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in rest), pa.array(texts, pa.string())], [*rest, text_col])
+
+    return map_arrow(rows, strip, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + f", `{text_col}` string")

@@ -106,7 +106,7 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS p FROM twice) GROUP BY 1),
 ln AS (SELECT doc_id, source, sha256(text) AS sha, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS lw
        FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS l FROM d)),
-lines AS (SELECT *, regexp_replace({_LOWER.format(_TRIM.format("l"))}, '[0-9]+', '0', 'g') AS k FROM ln WHERE len(lw) > 0),
+lines AS (SELECT *, {_LOWER.format(_TRIM.format("l"))} AS k FROM ln WHERE len(lw) > 0),
 dup AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, l, count(*) AS n FROM lines GROUP BY 1, 2) GROUP BY 1),
 hosts AS (SELECT source, count(DISTINCT sha256(text)) AS docs FROM d GROUP BY 1),
 freq AS (SELECT source, k, count(DISTINCT sha) AS n FROM lines GROUP BY 1, 2),

@@ -47,6 +47,16 @@ def test_frequent_lines_deplete_and_copies_do_not(spark):
     assert all(got[100 + i] for i in range(60)) and all(got[300 + i] for i in range(10))
 
 
+def test_clean_removes_lines(spark):
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, f" Menu \n{body(i)}\n\nMENU", "h") for i in range(40)] + [(99, "menu", "h"), (None, f"menu\n{body('n')}", "h"), (100, f"menu\n{body('o')}", None)]
+    df = docs(spark, rows)
+    got = quality.clean(df, min_docs=20)
+    assert set(got.columns) == set(df.columns)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {**{i: f"{body(i)}\n" for i in range(40)}, None: body("n"), 100: f"menu\n{body('o')}"}
+    assert quality.clean(empty(spark)).count() == 0
+
+
 def plain_dedup(rows, least):
     strip = lambda x: x.strip(" \t\n\v\f\r")
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -20,7 +20,7 @@ def plain_lines(text):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     keys = Counter()
     for x in (text or "").split("\n"):
-        k = re.sub("[0-9]+", "0", x.strip(" \t\n\v\f\r").translate(lower))
+        k = x.strip(" \t\n\v\f\r").translate(lower)
         if k:
             keys[k] += len([w for w in re.findall(r"[^\x20\x09-\x0D]+", x)])
     return keys
