@@ -26,6 +26,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import slices, utf8
@@ -34,6 +35,8 @@ from .tokens import vocab_path
 SPACE = "▁"
 #: Segments of more symbols are merged one by one with a heap.
 SHORT = 64
+#: Edges put in their places at a time.
+EDGES = 1 << 19
 UNKNOWN_TEXT = " ⁇ ".encode()
 _NONE = np.int64(1) << np.int64(40)
 
@@ -87,7 +90,9 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
     As many characters as fit 62 bits make the first keys; from there ranks are doubled.
     """
-    _, code = np.unique(text, return_inverse=True)
+    there = np.zeros(int(text.max()) + 1, bool)
+    there[text] = True
+    code = (np.cumsum(there) - 1)[text]
     bits = max(1, int(code.max() + 1).bit_length())
     done = min(depth, 62 // bits)
     key = np.zeros(len(text), np.int64)
@@ -106,27 +111,38 @@ def occurrences(text: np.ndarray, order: np.ndarray, chars: np.ndarray, length:
     """For every piece the range [lo, hi) of ``order`` whose suffixes begin with it."""
     width = chars.shape[1]
     wide = np.concatenate([text, np.zeros(width, text.dtype)])
-    n = len(order)
 
-    def bound(after: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(chars), np.int64), np.full(len(chars), n, np.int64)
-        while (open_ := lo < hi).any():
-            at = np.flatnonzero(open_)
+    def compare(begin: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Suffixes against pieces: -1 less, 1 greater, 0 begins with it."""
+        state = np.zeros(len(piece), np.int8)
+        live = np.arange(len(piece))
+        for k in range(width):
+            live = live[length[piece[live]] > k]
+            if not len(live):
+                break
+            a, b = wide[begin[live] + k], chars[piece[live], k]
+            state[live] = np.where(a < b, -1, np.where(a > b, 1, 0))
+            live = live[a == b]
+        return state
+
+    def bound(piece: np.ndarray, lo: np.ndarray, after: bool) -> np.ndarray:
+        lo, hi = lo.copy(), np.full(len(piece), len(order), np.int64)
+        at = np.flatnonzero(lo < hi)
+        while len(at):
             mid = (lo[at] + hi[at]) >> 1
-            begin = order[mid]
-            state = np.zeros(len(at), np.int8)  # suffix against piece: -1 less, 1 greater, 0 begins with it
-            for k in range(width):
-                live = np.flatnonzero((state == 0) & (length[at] > k))
-                if not len(live):
-                    break
-                a, b = wide[begin[live] + k], chars[at[live], k]
-                state[live] = np.where(a < b, -1, np.where(a > b, 1, 0))
+            state = compare(order[mid], piece[at])
             right = (state < 0) | ((state == 0) & after)
             lo[at] = np.where(right, mid + 1, lo[at])
             hi[at] = np.where(right, hi[at], mid)
+            at = at[lo[at] < hi[at]]
         return lo
 
-    return bound(False), bound(True)
+    lo = bound(np.arange(len(chars)), np.zeros(len(chars), np.int64), False)
+    hi = lo.copy()
+    found = np.flatnonzero(lo < len(order))
+    found = found[compare(order[lo[found]], found) == 0]
+    hi[found] = bound(found, lo[found], True)
+    return lo, hi
 
 
 class Lattice:
@@ -138,12 +154,17 @@ class Lattice:
     def __init__(self, text: np.ndarray, pieces: Pieces) -> None:
         order = suffix_array(text, pieces.width)
         lo, hi = occurrences(text, order, pieces.chars, pieces.length)
-        count = hi - lo
-        which = np.repeat(np.arange(len(count), dtype=np.int32), count)
-        begin = order[np.arange(len(which)) + np.repeat(lo - np.cumsum(count) + count, count)]
         self.wide = pieces.width + 1
         self.edge = np.full(len(text) * self.wide, -1, np.int32)
-        self.edge[begin * self.wide + pieces.length[which]] = which
+        count, some = hi - lo, np.flatnonzero(hi > lo)
+        upto = np.cumsum(count[some])
+        while len(some):  # a bounded number of edges at a time
+            n = max(1, int(np.searchsorted(upto, upto[0] - count[some[0]] + EDGES, "right")))
+            part, some, upto = some[:n], some[n:], upto[n:]
+            size = count[part]
+            which = np.repeat(part, size)
+            begin = order[np.arange(len(which)) + np.repeat(lo[part] - np.cumsum(size) + size, size)]
+            self.edge[begin * self.wide + pieces.length[which]] = which
         self.pieces = pieces
 
     def piece(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -349,7 +370,7 @@ def decode_batch(ids: np.ndarray, off: np.ndarray, pieces: Pieces) -> list[str]:
     return out
 
 
-def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 3 << 19) -> DataFrame:
     """(id, ``ids``): each text's ids as little-endian unsigned 32-bit numbers."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -373,9 +394,11 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
         for batch in batches:
-            rows = [x or b"" for x in batch.column(1).to_pylist()]
-            off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in rows])]).astype(np.int64)
-            texts = decode_batch(np.frombuffer(b"".join(rows), "<u4").astype(np.int64), off, pieces)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, "ids", "text"])
+            column = batch.column(1).fill_null(b"")
+            off = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy() // 4)]).astype(np.int64)
+            for i, j in slices(off, 1 << 18):
+                ids = np.frombuffer(b"".join(column.slice(i, j - i).to_pylist()), "<u4").astype(np.int64)
+                texts = decode_batch(ids, off[i : j + 1] - off[i], pieces)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), column.slice(i, j - i), pa.array(texts, pa.string())], [id_col, "ids", "text"])
 
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids binary, text string")
