@@ -18,8 +18,6 @@ candidates each. Ties go to the smaller id. With fewer candidates than k, all ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
