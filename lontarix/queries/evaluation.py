@@ -73,7 +73,7 @@ def pairwise_precision_recall(s, d):
 
 def cer(s, d):
     c = table(s, d, "conversations")
-    return c.groupBy("role").agg(rounded(m.character_error_rate(F.substring("text", 1, 200), F.substring(ascii_lower("text"), 1, 200))).alias("cer"))
+    return c.groupBy("role").agg(rounded(m.character_error_rate(F.col("text"), ascii_lower("text"))).alias("cer"))
 
 
 def abstention(s, d):
