@@ -129,10 +129,10 @@ def required_set_complete(s, d):
 
 
 def evidence_query(s, d):
-    """The whole evidence query over a pinned snapshot, for every question of the stated set."""
+    """The whole evidence query over a pinned snapshot, for every question of the stated set; one without a document has the dense branch alone."""
     docs = table(s, d, "documents").select(F.col("doc_id").alias("key"), "text", (F.col("doc_id") % 10).alias("from_seq"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 10 + 4).alias("to_seq"))
     vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
-    asked = _questions(s, d).select(F.col("query_id").alias("question_id"), "embedding").join(docs.select(F.col("key").alias("question_id"), "text"), "question_id")
+    asked = _questions(s, d).select(F.col("query_id").alias("question_id"), "embedding").join(docs.select(F.col("key").alias("question_id"), "text"), "question_id", "left")
     return plan.answer_context(plan.Corpus(docs, vectors, 5), plan.Request(asked, "HYBRID", 20, 1500))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pytest
+from conftest import SF
+from oracle import assert_same, connect
 
 from lontarix import queries
 
@@ -27,3 +29,11 @@ def test_cer_counts_whole_texts(spark, tmp_path):
         want[role] = sum(edits(t, t.translate(lower)) for t in texts) / sum(map(len, texts))
     got = {r["role"]: r["cer"] for r in queries.queries()["cer"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_evidence_query_answers_questions_without_document(spark):
+    got = queries.queries()["evidence_query"](spark, SF)
+    con = connect(SF)
+    asked = {q for (q,) in con.sql("SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0").fetchall()}
+    assert {r["question_id"] for r in got.select("question_id").collect()} == asked
+    assert_same(got, con, queries.oracles()["evidence_query"].replace(" AND query_id IN (SELECT doc_id FROM documents)", ""))
