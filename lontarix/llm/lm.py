@@ -1,11 +1,11 @@
 """Scoring texts with a log-bilinear model trained by noise-contrastive estimation.
 
 Units of the model are the ``n_top`` most frequent training tokens, the end of a text, and ``n_buckets`` classes that all
-other words fall into by their last three bytes. The representation of the previous unit goes through a bilinear map and
+other words fall into by their last three bytes. Both grow with the training tokens (``sizes``), without an upper end. The representation of the previous unit goes through a bilinear map and
 is matched with every unit's: ``s(c, u) = (R[c] M) . Q[u] + b[u]``. Training sees every training token: the counts of all
-pairs of neighbouring units are summed up on the cluster (at most ``units ** 2`` cells, whatever the corpus), and each step
-follows the expected gradient of the contrastive objective over them, in numpy. Scores are normalised over all units by
-batched matrix products. A word of a class has the class's probability times its share there, ``(c + 1) / (n + v + 1)`` with
+pairs of neighbouring units are summed up on the cluster and gathered in blocks as a sparse table, and each step follows the
+expected gradient of the contrastive objective over them, block by block in numpy. Scores are normalised over all units by
+batched matrix products, once a context. A word of a class has the class's probability times its share there, ``(c + 1) / (n + v + 1)`` with
 the class's tokens n and words v; the one left over is for words never seen, so all tokens together sum to 1.
 
 Word counts cover the whole corpus. The ``HEAD`` most frequent words travel to the tasks (a bound on that table's size);
@@ -28,11 +28,22 @@ from pyspark.sql import functions as F
 from .common import cut, slices, utf8
 from .words import LOWER, hashes, mix, words
 
+#: Classes of the table of word counts; a model's classes are a power of two, so they divide it.
+CLASSES = 1 << 30
+#: Cells of the pair table that are gathered, and made dense in training, at a time.
+BLOCK = 1 << 21
 END = np.uint64(0x656E64206F662061)
 #: Words whose counts are sent to the tasks, at 16 bytes each.
 HEAD = 1 << 20
 
 
+def sizes(n: int) -> tuple[int, int]:
+    """``n_top`` and ``n_buckets`` for n training tokens: units grow as their power 0.4, cells of pairs as 0.8; an eighth to a quarter are classes."""
+    units = max(1024, int(1.4 * n**0.4))
+    n_buckets = 1 << ((units // 4).bit_length() - 1)
+    return units - n_buckets - 1, n_buckets
+
+
 def held_out(id_col: str, folds: int = 7, fold: int = 2) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(folds)) == fold
 
@@ -68,6 +79,7 @@ class Model:
     bucket_total: np.ndarray
     n: int
     v: int
+    log_z: np.ndarray | None = None
 
     @property
     def units(self) -> int:
@@ -77,6 +89,23 @@ class Model:
         at = np.minimum(np.searchsorted(self.top, h), len(self.top) - 1)
         return np.where(self.top[at] == h, at, len(self.top) + bucket)
 
+    def normalise(self) -> None:
+        """Sets ``log_z``: each context's logarithm of the sum over all units."""
+        hidden, step = self.R @ self.M, max(1, BLOCK // self.units)
+        self.log_z = np.zeros(len(hidden))
+        for a in range(0, len(hidden), step):
+            s = hidden[a : a + step] @ self.Q.T + self.b
+            most = s.max(1)
+            self.log_z[a : a + step] = most + np.log(np.exp(s - most[:, None]).sum(1))
+
+    def log10p_of(self, hidden: np.ndarray, contexts: np.ndarray, unit: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """Normalised log10 probability of each ``unit`` after its context; ``hidden`` is R M."""
+        out = np.empty(len(unit))
+        for a in range(0, len(unit), step):
+            c, u = contexts[a : a + step], unit[a : a + step]
+            out[a : a + step] = np.einsum("ij,ij->i", hidden[c], self.Q[u]) + self.b[u] - self.log_z[c]
+        return out / np.log(10)
+
     def log10p(self, contexts: np.ndarray) -> np.ndarray:
         """(contexts, units): normalised log10 probabilities of the next unit."""
         s = (self.R[contexts] @ self.M) @ self.Q.T + self.b
@@ -119,38 +148,83 @@ def word_counts(docs: DataFrame, n_buckets: int) -> DataFrame:
     return part.groupBy("h").agg(F.first("bucket").alias("bucket"), F.sum("c").alias("c"))
 
 
-def pair_counts(docs: DataFrame, model: Model) -> np.ndarray:
+@dataclass
+class Pairs:
+    """A sparse (contexts, units) table of counts, by context; slices are dense."""
+
+    first: np.ndarray
+    unit: np.ndarray
+    count: np.ndarray
+    units: int
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.first) - 1, self.units
+
+    def sum(self, axis: int) -> np.ndarray:
+        if axis == 0:
+            return np.bincount(self.unit, self.count, self.units)
+        upto = np.concatenate([[0.0], np.cumsum(self.count, dtype=np.float64)])
+        return np.diff(upto[self.first])
+
+    def __getitem__(self, rows: slice) -> np.ndarray:
+        a, z, _ = rows.indices(self.shape[0])
+        out = np.zeros((z - a, self.units), np.float32)
+        i, j = self.first[a], self.first[z]
+        out[np.repeat(np.arange(z - a), np.diff(self.first[a : z + 1])), self.unit[i:j]] = self.count[i:j]
+        return out
+
+
+def pair_counts(docs: DataFrame, model: Model) -> Pairs:
     """(units + 1, units): how often each unit follows each context; the last context is the start of a text."""
     units = model.units
     shipped = docs.sparkSession.sparkContext.broadcast((model.top, model.n_buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, n_buckets = shipped.value
-        cells = np.zeros((units + 1) * units, np.int64)
         own = Model(top, n_buckets, *[None] * 8, 0)  # type: ignore[list-item]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            cell, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            one, back = np.unique(cell, return_inverse=True)
+            return one, np.bincount(back, n, len(one)).astype(np.int64)
+
         for batch in batches:
             buf, off = utf8(batch.column(0))
             for i, j in slices(off):
                 h, b, begin = tokens(buf[off[i] : off[j]], off[i : j + 1] - off[i], n_buckets)
                 unit = own.unit(h, b)
-                cells += np.bincount(context(unit, begin, units) * units + unit, minlength=len(cells))
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
+                held.append(np.unique(context(unit, begin, units) * units + unit, return_counts=True))
+                if sum(len(x[0]) for x in held) > 1 << 21:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > 1 << 20:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, held.pop())), ["cell", "n"])
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, merged())), ["cell", "n"])
 
-    part = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((units + 1) * units)
-    out[part["cell"].to_numpy()] = part["n"].to_numpy()
-    return out.reshape(units + 1, units)
+    table = cut(docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "pair-counts")
+    row, unit, count, step = [], [], [], max(1, BLOCK // units)
+    for a in range(0, units + 1, step):
+        part = table.where(F.col("cell").between(a * units, (a + step) * units - 1)).toArrow()
+        cell, n = part["cell"].to_numpy(), part["n"].to_numpy()
+        order = np.argsort(cell)
+        row.append(np.bincount(cell // units - a, minlength=min(step, units + 1 - a)))
+        unit.append((cell[order] % units).astype(np.int32))
+        count.append(n[order].astype(np.float32))
+    first = np.concatenate([[0], np.cumsum(np.concatenate(row))]).astype(np.int64)
+    return Pairs(first, np.concatenate(unit), np.concatenate(count), units)
 
 
-def train(pairs: np.ndarray, dim: int = 24, noise: float = 8.0, steps: int = 240, rate: float = 0.05, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """R, M, Q, b by noise-contrastive estimation with the unigram distribution as noise.
+def train(pairs: np.ndarray | Pairs, dim: int = 24, noise: float = 8.0, steps: int = 240, rate: float = 0.05, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """R, M, Q, b by noise-contrastive estimation with the unigram distribution as noise. Blocks of contexts add up to each step.
 
     ``pairs`` weighs every (context, unit); the expected number of noise samples of a context is ``noise`` times its count.
     """
     n_ctx, units = pairs.shape
-    total = pairs.sum()
-    q = (pairs.sum(0) + 0.5) / (total + 0.5 * units)
+    often = pairs.sum(0)
+    total = often.sum()
+    q = (often + 0.5) / (total + 0.5 * units)
     rng = np.random.default_rng(seed)
     p = [rng.normal(0, 0.1, (n_ctx, dim)), np.eye(dim), rng.normal(0, 0.1, (units, dim)), np.log(q)]
     p = [x.astype(np.float32) for x in p]
@@ -159,17 +233,22 @@ def train(pairs: np.ndarray, dim: int = 24, noise: float = 8.0, steps: int = 240
     # A context's weight grows slower than its count, so that rare contexts are learnt as well.
     row = pairs.sum(1)
     weight = (np.sqrt(row) / np.sqrt(row).sum() / np.maximum(row, 1)).astype(np.float32)[:, None]
-    data = pairs.astype(np.float32) * weight
-    fake = (noise * row * weight[:, 0])[:, None].astype(np.float32) * q.astype(np.float32)[None, :]
+    fakes, q32, rows = (noise * row * weight[:, 0])[:, None].astype(np.float32), q.astype(np.float32)[None, :], max(1, BLOCK // units)
     shift = np.log(noise * q).astype(np.float32)
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     for t in range(1, steps + 1):
         R, M, Q, b = p
-        hidden = R @ M
-        sure = 1 / (1 + np.exp(-np.clip(hidden @ Q.T + (b - shift), -30, 30)))
-        g = data - (data + fake) * sure
-        back = g @ Q
-        grads = [back @ M.T, R.T @ back, g.T @ hidden, g.sum(0)]
+        grads = [np.zeros_like(x) for x in p]
+        for a in range(0, n_ctx, rows):
+            own = slice(a, a + rows)
+            hidden = R[own] @ M
+            sure = 1 / (1 + np.exp(-np.clip(hidden @ Q.T + (b - shift), -30, 30)))
+            data = pairs[own].astype(np.float32, copy=False) * weight[own]
+            g = data - (data + fakes[own] * q32) * sure
+            back = g @ Q
+            for d, part in zip(grads[1:], (R[own].T @ back, g.T @ hidden, g.sum(0)), strict=True):
+                d += part
+            grads[0][own] = back @ M.T
         step = rate * min(1.0, 2 * (1 - t / (steps + 1)))
         for i, d in enumerate(grads):
             m[i] += 0.1 * (d - m[i])
@@ -178,10 +257,14 @@ def train(pairs: np.ndarray, dim: int = 24, noise: float = 8.0, steps: int = 240
     return tuple(p)  # type: ignore[return-value]
 
 
-def fit(docs: DataFrame, n_top: int = 767, n_buckets: int = 256, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """The model and the (h, bucket, c) table of all training tokens. ``docs``: (text) of the training rows."""
-    counts = cut(word_counts(docs, n_buckets), "word-counts")
+def fit(docs: DataFrame, n_top: int | None = None, n_buckets: int | None = None, head: int = HEAD) -> tuple[Model, DataFrame]:
+    """The model and the (h, bucket, c) table of all training tokens. ``docs``: (text) of the training rows; ``n_buckets``: a power of two."""
+    counts = cut(word_counts(docs, CLASSES), "word-counts")
     totals = counts.agg(F.sum("c"), F.count("*")).first()
+    grown = sizes(totals[0] or 0)
+    n_top, n_buckets = n_top or grown[0], n_buckets or grown[1]
+    if CLASSES % n_buckets:
+        raise ValueError(f"{n_buckets} classes: not a power of two")
     end = np.array([END]).view(np.int64)[0].item()
     top = counts.where(F.col("h") != end).orderBy(F.desc("c"), "h").limit(n_top).toArrow()
     top_h = np.sort(np.append(top["h"].to_numpy(), end).astype(np.int64).view(np.uint64))
@@ -195,12 +278,13 @@ def fit(docs: DataFrame, n_top: int = 767, n_buckets: int = 256, head: int = HEA
     often = counts.where(F.col("c") >= least).select("h", "c").toArrow()
     h, c = often["h"].to_numpy().view(np.uint64), often["c"].to_numpy()
     order = np.argsort(h)
-    rest = counts.where(~F.col("h").isin(top_h.view(np.int64).tolist())).groupBy("bucket").agg((F.sum("c") + F.count("*")).alias("size")).collect()
-    sizes = np.ones(n_buckets)
+    rest = counts.where(~F.col("h").isin(top_h.view(np.int64).tolist())).groupBy((F.col("bucket") % n_buckets).alias("bucket")).agg((F.sum("c") + F.count("*")).alias("size")).collect()
+    size = np.ones(n_buckets)
     for r in rest:
-        sizes[r["bucket"]] += r["size"]
-    model = Model(top_h, n_buckets, *[None] * 4, h[order], c[order], sizes, totals[0] or 0, totals[1])  # type: ignore[list-item]
+        size[r["bucket"]] += r["size"]
+    model = Model(top_h, n_buckets, *[None] * 4, h[order], c[order], size, totals[0] or 0, totals[1])  # type: ignore[list-item]
     model.R, model.M, model.Q, model.b = train(pair_counts(docs, model))
+    model.normalise()
     return model, counts
 
 
@@ -214,7 +298,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shipped.value
-        table = np.concatenate([own.log10p(np.arange(a, min(a + 256, own.units + 1))) for a in range(0, own.units + 1, 256)])
+        hidden = own.R @ own.M
         share = np.log10(own.bucket_total)
         is_top = np.arange(own.units) < len(own.top)
         for batch in batches:
@@ -227,7 +311,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 log = np.where(known, np.log10(own.head_counts[at] + 1.0), 0.0) if len(own.head) else np.zeros(len(u))
                 unit = own.unit(h, bucket)
                 word = np.where(is_top[unit], 0.0, log[back] - share[bucket])
-                model_log = table[context(unit, begin, own.units), unit] + word
+                model_log = own.log10p_of(hidden, context(unit, begin, own.units), unit) + word
                 n = j - i
                 doc = np.repeat(np.arange(n), np.diff(begin))
                 base = np.bincount(doc, log[back], n)
