@@ -82,7 +82,8 @@ def assign(rows: DataFrame, limit: int, key_col: str = "doc_id", payload_col: st
 
 
 def write_shards(rows: DataFrame, path: str, limit: int, key_col: str = "doc_id", payload_col: str = "text") -> None:
-    """Write whole rows, one folder a shard. Rows must have unique keys: the assignment is joined back by key."""
-    placed = assign(rows.select(key_col, payload_col), limit, key_col, payload_col).select(F.col(key_col).alias("__k"), "shard")
-    joined = rows.join(placed, F.col(key_col).eqNullSafe(F.col("__k"))).drop("__k")
+    """Write whole rows, one folder a shard. Rows are numbered once, written, and joined by number, so keys may repeat."""
+    numbered = cut(rows.withColumn("__n", F.monotonically_increasing_id()), "shard-texts")
+    placed = assign(numbered.select("__n", key_col, payload_col), limit, key_col, payload_col).select("__n", "shard")
+    joined = numbered.join(placed, "__n").drop("__n")
     joined.withColumn("shard", F.concat(F.lit("b"), "shard")).repartition("shard").write.partitionBy("shard").parquet(path)
