@@ -2,52 +2,82 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+_gathered: ContextVar[list[str] | None] = ContextVar("gathered", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session, as in tests) a temporary folder stands in for it.
+    Only where that is unset in a local session, as in tests, a temporary folder stands in for it; on a cluster that is an error,
+    since executors could not read the driver's own folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lontarix-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path in the shared folder. Within ``working`` it is deleted at the end, unless it is to ``keep``."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
+    for names in ([] if keep else [_scope.get()]) + [_gathered.get()]:
+        if names is not None:
+            names.append(path)
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later plans start from the table.
 
-    A lost executor costs no more than the tasks that read the table again.
+    A lost executor costs no more than the tasks that read the table again. Within ``working`` the table is deleted at the end,
+    unless it is to ``keep``.
     """
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = scratch(spark, name, keep)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written() -> int:
-    """How many tables ``cut`` and ``scratch`` have made so far; ``since`` names those made after that."""
-    return len(_written)
+@contextlib.contextmanager
+def working(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread writes inside are deleted at the end, but for those it keeps: what is returned may depend on these alone.
 
-
-def since(mark: int) -> list[str]:
-    return _written[mark:]
+    Scopes nest: what an inner scope keeps stays at the end of outer ones too, until ``release``.
+    """
+    own: list[str] = []
+    token = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        release(spark, own)
+
+
+@contextlib.contextmanager
+def gathered() -> Iterator[list[str]]:
+    """The list of all tables that this thread writes inside, kept ones too, for ``release`` once no result needs them."""
+    names: list[str] = []
+    token = _gathered.set(names)
+    try:
+        yield names
+    finally:
+        _gathered.reset(token)
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
