@@ -2,15 +2,41 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..sources.shared import cut, release, scratch, shared_dir
+from ..sources.shared import cut, release, scratch, shared_dir, working
 
-__all__ = ["cut", "map_arrow", "release", "scratch", "shared_dir", "slices", "utf8"]
+__all__ = ["batches_of", "cut", "map_arrow", "numbered", "release", "scratch", "shared_dir", "slices", "utf8", "working"]
+
+
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def batches_of(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` for ``mapInArrow``; its task's end gives freed memory back to the system, since the worker lives on and waits."""
+
+    @functools.wraps(fn)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
+
+    return run
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
@@ -24,7 +50,13 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
             else:
                 yield from out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(batches_of(run), schema)
+
+
+def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` written once with a number of their own, so that what is found out about a row can be joined to that row alone,
+    whatever ids repeat or are null, and also after a lost task is run again."""
+    return cut(rows.withColumn(column, F.monotonically_increasing_id()), name, keep=True)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +73,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def slices(off: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``most`` bytes each; one longer row stands alone. Bounds working memory, drops nothing."""
     i, n = 0, len(off) - 1
     while i < n:

@@ -6,7 +6,8 @@ does not make its own lines look like boilerplate. Lines in more than ``max(min_
 documents are removed, and a document left with less than ``min_left`` of its words is rejected as depleted.
 
 Defined cases: a null or empty text has no words and fails the base rules. A null host is a host of its own. Repeated rows
-are judged alike, each on its own row. An empty table gives an empty result. Extra columns stay out of ``judge``'s result.
+are judged alike, each on its own row, whatever ids repeat or are null. An empty table gives an empty result. Extra columns
+stay out of ``judge``'s result and pass through ``clean``; ``clean`` gives an empty text for a null one, if the rules keep it.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, slices, utf8
+from .common import cut, map_arrow, numbered, slices, utf8, working
 from .words import LOWER, words
 
 #: The symbols counted by the base rules.
@@ -56,12 +57,18 @@ def _repeat_words(raw: bytes, starts: np.ndarray, ends: np.ndarray, first: np.nd
     return out
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """0 and the running sums; 32 bits hold those of a text, which has less than 2 GB."""
+    out = np.zeros(len(x) + 1, np.int32)
+    np.cumsum(x, out=out[1:])
+    return out
+
+
 def _measure(buf: np.ndarray, off: np.ndarray) -> dict[str, list]:
     starts, ends, first = words(buf, off)
     raw, low = buf.tobytes(), LOWER[buf].tobytes()
-    points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    inside = np.concatenate([[0], np.cumsum(points[ends] - points[starts])])
-    symbols = np.concatenate([[0], np.cumsum(_IS_SYMBOL[buf])])
+    points, symbols = _sums((buf & 0xC0) != 0x80), _sums(_IS_SYMBOL[buf])
+    inside = _sums(points[ends] - points[starts])
     out: dict[str, list] = {
         "n_words": np.diff(first).tolist(),
         "word_chars": np.diff(inside[first]).tolist(),
@@ -97,10 +104,11 @@ def _key(low: bytes) -> int:
     return xxhash.xxh3_64_intdigest(low) - (1 << 63)
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One narrow row a document: its counts, the hashes of its distinct normalised lines and their words."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", row: Column | None = None) -> DataFrame:
+    """One narrow row a document: its counts, the hashes of its distinct normalised lines and their words. ``row``: its number."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
+    number = F.monotonically_increasing_id() if row is None else row
+    rows = docs.select(number.alias("row"), F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
     types = [pa.binary(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int32())]
     names = ["sha", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "hashes", "counts"]
 
@@ -128,6 +136,21 @@ def _frequent(table: DataFrame, min_docs: int, max_share: float) -> DataFrame:
     return over
 
 
+def _hot_lines(table: DataFrame, over: DataFrame) -> DataFrame:
+    """(row, h, words): the lines above the limits, once a row, and how many words they have there."""
+    own = table.select("row", "host", F.explode(F.arrays_zip("hashes", "counts")).alias("l")).select("row", "host", F.col("l.hashes").alias("h"), F.col("l.counts").alias("words"))
+    return own.join(over, F.col("host").eqNullSafe(F.col("hot_host")) & (F.col("h") == F.col("hot"))).select("row", "h", "words")
+
+
+def _verdicts(table: DataFrame, gone: DataFrame, min_words: int, max_repeat_pct: int, min_left: float) -> DataFrame:
+    """``table`` with ``n_left``, ``base_failed`` and ``kept``; ``gone``: (row, gone) words in removed lines."""
+    out = table.drop("sha", "hashes", "counts").join(gone, "row", "left")
+    left = F.col("n_words") - F.coalesce("gone", F.lit(0))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
+    out = out.withColumn("n_left", left).withColumn("base_failed", failed)
+    return out.withColumn("kept", ~failed & (left >= min_left * F.col("n_words"))).drop("gone")
+
+
 def judge(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -139,45 +162,52 @@ def judge(
     max_share: float = 0.02,
     min_left: float = 0.2,
 ) -> DataFrame:
-    """Counts and verdict of every row: the counts, ``base_failed``, ``n_left`` (words outside removed lines) and ``kept``.
+    """Counts and verdict of every row: the counts, ``base_failed``, ``n_left`` (words outside removed lines) and ``kept``."""
+    with working(docs.sparkSession):
+        table = cut(measure(docs, id_col, text_col, host_col), "line-stats", keep=True)
+        over = _frequent(table, min_docs, max_share)
+        gone = cut(_hot_lines(table, over).groupBy("row").agg(F.sum("words").alias("gone")), "hot-words", keep=True)
+    return _verdicts(table, gone, min_words, max_repeat_pct, min_left).withColumnRenamed("id", id_col)
 
-    ``row`` numbers the rows; ``join_verdict`` and the pipeline use ``id_col``.
-    """
-    table = cut(measure(docs, id_col, text_col, host_col), "line-stats")
-    over = _frequent(table, min_docs, max_share)
-    own = table.select("row", "host", F.explode(F.arrays_zip("hashes", "counts")).alias("l")).select("row", "host", F.col("l.hashes").alias("h"), F.col("l.counts").alias("words"))
-    gone = own.join(over, F.col("host").eqNullSafe(F.col("hot_host")) & (F.col("h") == F.col("hot"))).groupBy("row").agg(F.sum("words").alias("gone"))
-    out = table.drop("sha", "hashes", "counts").join(gone, "row", "left")
-    left = F.col("n_words") - F.coalesce("gone", F.lit(0))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
-    out = out.withColumn("n_left", left).withColumn("base_failed", failed)
-    return out.withColumn("kept", ~failed & (left >= min_left * F.col("n_words"))).drop("gone").withColumnRenamed("id", id_col)
 
-
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, max_share: float = 0.02, **rules: float) -> DataFrame:
-    """The kept documents with the lines above the limits removed from their text; other columns stay as they are.
-
-    Rows are matched by id and host, null with null; rows that repeat both share one verdict: kept if any of them is.
-    """
-    table = cut(measure(docs, id_col, text_col, host_col), "line-stats")
-    over = _frequent(table, min_docs, max_share)
-    own = table.select("id", "host", F.explode("hashes").alias("h"))
-    drops = own.join(over, F.col("host").eqNullSafe(F.col("hot_host")) & (F.col("h") == F.col("hot"))).groupBy("id", "host").agg(F.collect_set("h").alias("__drop"))
-    kept = judge(docs, id_col, text_col, host_col, min_docs=min_docs, max_share=max_share, **rules).where("kept").select(F.col(id_col).alias("id"), "host").distinct()
-    side = kept.join(drops.toDF("d_id", "d_host", "__drop"), F.col("id").eqNullSafe(F.col("d_id")) & F.col("host").eqNullSafe(F.col("d_host")), "left").select(F.col("id").alias("__id"), F.col("host").alias("__host"), "__drop")
+def clean(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    min_words: int = 50,
+    max_repeat_pct: int = 50,
+    min_docs: int = 20,
+    max_share: float = 0.02,
+    min_left: float = 0.2,
+) -> DataFrame:
+    """The rows that ``judge`` keeps, without the lines above the limits in their text; other columns stay as they are."""
+    rows = numbered(docs, "__row", "quality-texts")
+    with working(docs.sparkSession):
+        table = cut(measure(rows, id_col, text_col, host_col, F.col("__row")), "line-stats")
+        hot = _hot_lines(table, _frequent(table, min_docs, max_share)).groupBy("row").agg(F.sum("words").alias("gone"), F.collect_set("h").alias("__drop"))
+        hot = cut(hot, "hot-lines")
+        kept = _verdicts(table, hot.select("row", "gone"), min_words, max_repeat_pct, min_left).where("kept").select("row")
+        side = cut(kept.join(hot.select("row", "__drop"), "row", "left").withColumnRenamed("row", "__kept"), "kept-rows", keep=True)
     rest = [c for c in docs.columns if c != text_col]
-    rows = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text_col).alias("__text"))
-    rows = rows.join(side, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(host_col).cast("string").eqNullSafe(F.col("__host"))).drop("__id", "__host")
+    rows = rows.join(side, F.col("__row") == F.col("__kept")).select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").alias("__text"), "__drop")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def strip(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = {c: i for i, c in enumerate(batch.schema.names)}
-        texts = []
-        for text, drop in zip(batch.column(at["__text"]), batch.column(at["__drop"]), strict=True):
-            raw, gone = (text.as_py() or "").encode(), set(drop.as_py() or ())
-            if gone:
-                raw = b"\n".join(x for x in raw.split(b"\n") if not (k := x.strip(b" \t\n\v\f\r").lower()) or _key(k) not in gone)
-            texts.append(raw.decode())
-        yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in rest), pa.array(texts, pa.string())], [*rest, text_col])
-
-    return map_arrow(rows, strip, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + f", `{text_col}` string")
+        _, off = utf8(batch.column(at["__text"]))
+        for i, j in slices(off):
+            part = batch.slice(i, j - i)
+            text, drop = part.column(at["__text"]).fill_null(""), part.column(at["__drop"])
+            if drop.null_count < len(drop):
+                text = pa.array([_without(t, d) if d.is_valid else t.as_py() for t, d in zip(text, drop, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(at[c]) for c in rest), text], [*rest, text_col])
+
+    made = map_arrow(rows, strip, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), f"`{text_col}` string"]))
+    return made.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _without(text: pa.Scalar, drop: pa.Scalar) -> str:
+    """The text without the lines whose hashes ``drop`` holds."""
+    gone = set(drop.as_py())
+    return b"\n".join(x for x in text.as_buffer().to_pybytes().split(b"\n") if not (k := x.strip(b" \t\n\v\f\r").lower()) or _key(k) not in gone).decode()
