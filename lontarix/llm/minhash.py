@@ -25,11 +25,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_arrow, slices, utf8
+from .common import cut, map_arrow, numbered, slices, utf8, working
 from .graph import components
 from .words import LOWER, hashes, mix, whole, windows, words
 
@@ -38,6 +38,9 @@ MISS = 1e-6
 ROWS = 5
 #: Buckets up to this size are compared pair by pair, larger ones in pairs of chunks of about ``CHUNK`` members.
 SMALL, CHUNK = 32, 256
+#: Parts that a bucket's members are dealt over where they are joined with what is known of the bucket, so that no bucket is
+#: one task; and members of a large bucket in such a part where its size is known.
+SALTS, PART = 64, 1024
 #: Up to so many ids of documents in shared buckets, of 8 bytes at most each, are sent to the tasks that read the texts again;
 #: beyond it texts and ids are joined by a shuffle.
 SENT_IDS = 2_000_000
@@ -103,14 +106,14 @@ def _digests(sets: np.ndarray, begin: np.ndarray) -> pa.Array:
     return pa.array([xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())
 
 
-def signatures(docs: DataFrame, k: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, sha, keys, sig): set size, a 128-bit hash of the set, band keys and the values' low 16 bits. One narrow row a document."""
+def signatures(docs: DataFrame, k: int, threshold: float, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """(row, id, n, sha, keys, sig): number, set size, a 128-bit hash of the set, band keys and the values' low 16 bits. One narrow row a document."""
     plan = Bands(threshold)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        buf, off = utf8(batch.column(1))
-        for i, j in slices(off, 1 << 20):
+        buf, off = utf8(batch.column(2))
+        for i, j in slices(off):
             sets, begin = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
             size = np.diff(begin)
             full = np.flatnonzero(size)
@@ -119,11 +122,13 @@ def signatures(docs: DataFrame, k: int, threshold: float, id_col: str = "doc_id"
             at = np.concatenate([[0], np.cumsum(size > 0)])
             low = np.ascontiguousarray(sig & np.uint64(0xFFFF)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), _digests(sets, begin), _flat(keys.ravel(), at * plan.bands), _bytes(low.ravel(), at * 2 * plan.n_perm)],
-                ["id", "n", "sha", "keys", "sig"],
+                [*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(size, pa.int64()), _digests(sets, begin), _flat(keys.ravel(), at * plan.bands), _bytes(low.ravel(), at * 2 * plan.n_perm)],
+                ["row", "id", "n", "sha", "keys", "sig"],
             )
 
-    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, n long, sha binary, keys array<long>, sig binary")
+    number = F.monotonically_increasing_id() if row is None else row
+    texts = docs.select(number.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_arrow(texts, run, f"row long, id {kind}, n long, sha binary, keys array<long>, sig binary")
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -159,8 +164,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable over links), ``kept`` (it is that id)."""
+    with working(docs.sparkSession):
+        rows = _grouped(docs, k, pct, id_col, text_col, keep=True)
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    out = rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: exactly one of each group stays, that of the smallest id (a row without an id
+    only where none has one), and of rows that share it the first. Rows without words all stay. Columns stay as they are."""
+    texts = numbered(docs, "__row", "dedup-texts")
+    with working(docs.sparkSession):
+        rows = _grouped(texts, k, pct, id_col, text_col, F.col("__row"))
+        first = rows.where("n > 0").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m"))
+        keep = first.select(F.col("m.row").alias("__kept")).unionByName(rows.where("n = 0").select(F.col("row").alias("__kept")))
+        keep = cut(keep, "kept-rows", keep=True)
+    return texts.join(keep, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+
+
+def _grouped(docs: DataFrame, k: int, pct: int, id_col: str, text_col: str, row: Column | None = None, keep: bool = False) -> DataFrame:
+    """(row, id, n, label, component): for rows with words the number of their group and the smallest id in it. Its two tables are kept if asked."""
     threshold = pct / 100
-    rows = cut(signatures(docs, k, threshold, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    rows = cut(signatures(docs, k, threshold, id_col, text_col, row), "signatures", keep)
     # Equal sets are one class: its vertex is the number of one of its rows.
     classes = cut(rows.where("n > 0").groupBy("sha").agg(F.min("row").alias("v"), F.min("id").alias("least")), "classes")
     nodes = rows.withColumnRenamed("row", "v").join(classes.select("v"), "v", "left_semi")
@@ -176,29 +202,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "d
     sets = cut(_sets(texts, k).join(chosen.select("v", "sha"), "sha").dropDuplicates(["v"]).select("v", "members"), "class-sets")
     least = threshold - 6 * math.sqrt(threshold * (1 - threshold) / (2 * Bands(threshold).n_perm))
     # First every member against the smallest member of its buckets, then all that different components share a bucket with.
-    low = cut(member.groupBy("key").agg(F.min("v").alias("low")), "bucket-heads")
-    first = member.join(low, "key").where("v <> low").groupBy("v").agg(F.min("low").alias("a")).select("a", F.col("v").alias("b"))
+    first = member.where("v <> low").groupBy("v").agg(F.min("low").alias("a")).select("a", F.col("v").alias("b"))
     tried = cut(first, "pairs")
     links = cut(_confirmed(_alike(tried, sigs, least), sets, pct), "confirmed")
-    own, small, large = _open_buckets(member, components(links))
-    pairs = cut(_pairs(own.join(small, "key")).join(tried, ["a", "b"], "left_anti"), "pairs")
-    rest = _confirmed(_alike(pairs, sigs, least), sets, pct).unionByName(_blocks(own.join(large, "key"), sets, pct))
+    small, large = _open_buckets(member, components(links))
+    pairs = cut(_pairs(small).join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = _confirmed(_alike(pairs, sigs, least), sets, pct).unionByName(_blocks(large, sets, pct))
     labels = components(cut(links.unionByName(rest), "confirmed")).withColumnRenamed("id", "v")
     named = cut(classes.join(labels, "v", "left").select("sha", "least", F.coalesce("label", "v").alias("label")), "labels")
     names = named.groupBy("label").agg(F.min("least").alias("component"))
     # Written first, so that the join below can split a class that very many rows share.
-    named = cut(named.join(names, "label").select("sha", "component"), "components")
-    out = rows.select("id", "n", "sha").join(named, "sha", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
+    named = cut(named.join(names, "label").select("sha", "label", "component"), "components", keep)
+    return rows.select("row", "id", "n", "sha").join(named, "sha", "left").drop("sha")
 
 
 def _in_shared_buckets(nodes: DataFrame) -> DataFrame:
-    """(key, v): bucket membership, only of buckets with two members at least."""
-    all_ = nodes.select("v", F.explode("keys").alias("key"))
-    shared = all_.groupBy("key").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x <> y").select("key")
-    return all_.join(shared, "key", "left_semi")
+    """(key, v, low, size): bucket membership, only of buckets with two members at least, with their smallest member and size.
+
+    Buckets are summed up within tasks first; what is known of one then goes to those of its ``SALTS`` parts that have members.
+    """
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt")
+    all_ = nodes.select("v", salt, F.explode("keys").alias("key"))
+    parts = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("parts")
+    shared = all_.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("size"), parts).where("low <> high")
+    used = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.bit_get("parts", i) == 1)
+    return all_.join(shared.select("key", "low", "size", F.explode(used).alias("salt")), ["key", "salt"]).select("key", "v", "low", "size")
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -206,19 +234,24 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         buf, off = utf8(batch.column(0))
-        for i, j in slices(off, 1 << 20):
+        for i, j in slices(off):
             sets, begin = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
             yield pa.RecordBatch.from_arrays([_digests(sets, begin), _bytes(sets, begin)], ["sha", "members"])
 
     return map_arrow(texts, run, "sha binary, members binary")
 
 
-def _open_buckets(member: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(key, v, label) of all bucket members, and the keys of small and (with their size) large buckets of several components."""
+def _open_buckets(member: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, v, label, size): the members of small and of large buckets that hold several components."""
     labels = labels.withColumnRenamed("id", "v")
-    own = cut(member.join(labels, "v", "left").select("key", "v", F.coalesce("label", "v").alias("label")), "bucket-labels")
-    still = own.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    return own, still.where(F.col("size") <= SMALL).select("key"), still.where(F.col("size") > SMALL).select("key", "size")
+    own = cut(member.join(labels, "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"), "size"), "bucket-labels")
+    still = own.groupBy("key", "size").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "size")
+    small = own.where(F.col("size") <= SMALL).join(still.where(F.col("size") <= SMALL).select("key"), "key", "left_semi")
+    # A large bucket's members are dealt over parts of about PART members.
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    many = still.where(F.col("size") > SMALL).select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = own.where(F.col("size") > SMALL).withColumn("part", F.pmod(F.xxhash64("v"), parts).cast("int"))
+    return small, dealt.join(many, ["key", "part"], "left_semi").drop("part")
 
 
 def _pairs(members: DataFrame) -> DataFrame:
