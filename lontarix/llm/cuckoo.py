@@ -28,7 +28,7 @@ class CuckooFilter:
             rows *= 2
         while True:
             made = cls(np.zeros((rows, SLOTS), np.uint16))
-            if all(made.insert(k) for k in np.asarray(keys, np.uint64)):
+            if made.insert_all(np.asarray(keys, np.uint64)):
                 return made
             rows *= 2
 
@@ -51,6 +51,22 @@ class CuckooFilter:
         mark = mark[:, None]
         return (self.table[one] == mark).any(1) | (self.table[two] == mark).any(1)
 
+    def insert_all(self, keys: np.ndarray) -> bool:
+        """All ``keys``, those that find a free slot in one of their two rows at once, the rest one by one; False if there is no room."""
+        mark, one, two = self._place(keys)
+        left = np.arange(len(keys))
+        for row in (one, two):
+            order = left[np.argsort(row[left], kind="stable")]
+            at = row[order]
+            nth = np.arange(len(at)) - np.searchsorted(at, at)
+            free = self.table == 0
+            fits = nth < free.sum(1)[at]
+            # The nth key of a row takes its nth free slot: slots in use sort last.
+            slot = np.argsort(~free[at[fits]], 1, kind="stable")[np.arange(fits.sum()), nth[fits]]
+            self.table[at[fits], slot] = mark[order[fits]]
+            left = order[~fits]
+        return all(self.insert(k) for k in keys[left])
+
     def insert(self, key: np.uint64) -> bool:
         """False if there is no room: then build a larger filter from the reference table."""
         mark, one, two = (x[0] for x in self._place(np.array([key], np.uint64)))

@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, slices, utf8
+from .common import cut, map_arrow, numbered, slices, utf8, working
 from .cuckoo import CuckooFilter
 from .words import LOWER, words
 
-#: Filters together are shipped to the tasks up to this size; beyond it every line goes to the exact table instead.
-FILTER_BYTES = 64 << 20
+#: Keys that are asked of a filter at a time, on average.
+PART_KEYS = 1 << 18
 #: Keys a filter shard holds on average.
 SHARD_KEYS = 1 << 15
 
@@ -88,7 +88,7 @@ class LineDedup:
     def _change(self, counts: DataFrame) -> LineDedup:
         before = self.frequent()
         total = self.refs.unionByName(counts).groupBy("h", "g").agg(F.sum("refs").alias("refs")).where("refs > 0")
-        self.refs = cut(total, "line-refs")
+        self.refs = cut(total, "line-refs", keep=True)
         now = self.frequent()
         if self.filters is None or not self._updated(before, now):
             self._rebuild(now)
@@ -110,7 +110,7 @@ class LineDedup:
             return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "filter": [made.dump()], "full": [False]})
 
         shards = frequent.withColumn("shard", self._shard()).groupBy("shard")
-        self.filters = cut(shards.applyInPandas(build, "shard long, filter binary, full boolean"), "line-filters")
+        self.filters = cut(shards.applyInPandas(build, "shard long, filter binary, full boolean"), "line-filters", keep=True)
 
     def _updated(self, before: DataFrame, now: DataFrame) -> bool:
         """Insert and delete what crossed the limit; False if a shard has run full and all must be built anew."""
@@ -119,33 +119,40 @@ class LineDedup:
         def change(held: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
             shard = (held if len(held) else keys)["shard"].iloc[0]
             f = CuckooFilter.load(held["filter"].iloc[0]) if len(held) else CuckooFilter.build(np.zeros(0, np.uint64))
-            full = False
-            for g, to in sorted(zip(keys["g"].to_numpy().view(np.uint64), keys["to"], strict=True), key=lambda x: x[1]):
-                full |= not (f.insert(g) if to else f.delete(g))
+            g, to = keys["g"].to_numpy().view(np.uint64), keys["to"].to_numpy()
+            for x in g[to == 0]:
+                f.delete(x)
+            full = not f.insert_all(g[to == 1])
             return pd.DataFrame({"shard": [shard], "filter": [f.dump()], "full": [full]})
 
         moved = moved.withColumn("shard", self._shard())
-        made = cut(self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(change, "shard long, filter binary, full boolean"), "line-filters")
+        made = cut(self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(change, "shard long, filter binary, full boolean"), "line-filters", keep=True)
         if made.where("full").limit(1).count():
             return False
         self.filters = made
         return True
 
-    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def apply(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``docs`` with the frequent lines gone from ``text_col``, and ``n_lines`` (before) and ``n_dropped``.
 
         Columns named n_lines or n_dropped in the input are replaced.
         """
-        suspects = self._suspects(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-        known = self.frequent().withColumnsRenamed({"h": "kh", "g": "kg"})
-        sure = suspects.join(known, (suspects.h == known.kh) & (suspects.g == known.kg), "left_semi")
-        drops = sure.groupBy("id").agg(F.collect_set(F.struct("h", "g")).alias("__drop")).withColumnRenamed("id", "__id")
-        rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-        joined = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text_col).alias("__text"))
-        joined = joined.join(drops, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+        rows = numbered(docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped"))), "__row", "line-texts")
+        with working(self.spark):
+            lines = cut(_line_rows(rows.select("__row", F.col(text_col).alias("text"))), "lines")
+            known = self.frequent().withColumnsRenamed({"h": "kh", "g": "kg"})
+            asked = self._suspects(lines)
+            # Written first, so that the join with all lines can split a line that very many rows share.
+            hot = cut(asked.join(known, (asked.h == known.kh) & (asked.g == known.kg), "left_semi"), "hot-lines")
+            sure = lines.join(hot, ["h", "g"], "left_semi")
+            drops = sure.groupBy("row").agg(F.collect_set(F.struct("h", "g")).alias("__drop")).withColumnRenamed("row", "__at")
+            drops = cut(drops, "drops", keep=True)
+        rest = [c for c in rows.columns if c not in (text_col, "__row")]
+        joined = rows.select("__row", *(F.col(f"`{c}`") for c in rest), F.col(text_col).alias("__text"))
+        joined = joined.join(drops, F.col("__row") == F.col("__at"), "left").select(*(F.col(f"`{c}`") for c in rest), "__text", "__drop")
         fields = [f for f in docs.schema.fields if f.name in rest]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-        schema += f", `{text_col}` string, n_lines long, n_dropped long"
+        schema += ("," if fields else "") + f" `{text_col}` string, n_lines long, n_dropped long"
 
         def strip(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             at = {c: i for i, c in enumerate(batch.schema.names)}
@@ -159,39 +166,44 @@ class LineDedup:
 
         return map_arrow(joined, strip, schema)
 
-    def _suspects(self, docs: DataFrame) -> DataFrame:
-        """(id, h, g) of the lines, once a document, that the filters report."""
-        kind = docs.schema["id"].dataType.simpleString()
-        filters: dict[int, bytes] | None = None
+    def _suspects(self, lines: DataFrame) -> DataFrame:
+        """(h, g) of the keys that the filters report; each distinct key is asked once, whatever number of rows shares it.
+
+        Keys go to their shard's filter at every size: those of a shard are dealt over parts of at most about ``PART_KEYS`` keys, and
+        each part gets a copy of the filter.
+        """
         if self.filters is None:
-            filters = {}
-        elif (self.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) <= FILTER_BYTES:
-            filters = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()}
-        shipped, n_shards = self.spark.sparkContext.broadcast(filters), self.n_shards
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = None if shipped.value is None else {k: CuckooFilter.load(v) for k, v in shipped.value.items()}
-            for batch in batches:
-                buf, off = utf8(batch.column(1))
-                for i, j in slices(off):
-                    rows: list[int] = []
-                    digests: list[bytes] = []
-                    for n, (_, keys) in enumerate(line_keys(buf[off[i] : off[j]], off[i : j + 1] - off[i]), i):
-                        own = set(keys) - {b""}
-                        rows += [n] * len(own)
-                        digests += own
-                    h, g = _longs(digests)
-                    at = np.array(rows, np.int64)
-                    if held is not None:
-                        yes = np.zeros(len(h), bool)
-                        shard = h & (n_shards - 1)
-                        for s, f in held.items():
-                            mine = np.flatnonzero(shard == s)
-                            yes[mine] = f.contains(g[mine].view(np.uint64))
-                        h, g, at = h[yes], g[yes], at[yes]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(h), pa.array(g)], ["id", "h", "g"])
-
-        return docs.mapInArrow(run, f"id {kind}, h long, g long")
+            return lines.where("false").select("h", "g")
+        parts = -(-lines.count() // (PART_KEYS * self.n_shards)) or 1
+        keys = lines.select("h", "g").distinct().select("h", "g", self._shard().alias("shard"), F.pmod(F.xxhash64("g"), F.lit(parts)).alias("part"))
+        filters = self.filters.select("shard", "filter", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+
+        def ask(held: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            yes = np.zeros(len(own), bool)
+            if len(held) and len(own):
+                yes = CuckooFilter.load(held["filter"].iloc[0]).contains(own["g"].to_numpy().view(np.uint64))
+            return own.loc[yes, ["h", "g"]]
+
+        return filters.groupBy("shard", "part").cogroup(keys.groupBy("shard", "part")).applyInPandas(ask, "h long, g long")
+
+
+def _line_rows(docs: DataFrame) -> DataFrame:
+    """(row, h, g): the key hashes of each row's lines, once a row. ``docs``: (number, text)."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        buf, off = utf8(batch.column(1))
+        number = batch.column(0).to_numpy()
+        for i, j in slices(off):
+            at: list[int] = []
+            digests: list[bytes] = []
+            for n, (_, keys) in enumerate(line_keys(buf[off[i] : off[j]], off[i : j + 1] - off[i]), i):
+                own = set(keys) - {b""}
+                at += [n] * len(own)
+                digests += own
+            h, g = _longs(digests)
+            yield pa.RecordBatch.from_arrays([pa.array(number[np.array(at, np.int64)]), pa.array(h), pa.array(g)], ["row", "h", "g"])
+
+    return map_arrow(docs, run, "row long, h long, g long")
 
 
 def _without(column: pa.Array, drop: pa.Array) -> tuple[list[str], list[int], list[int]]:

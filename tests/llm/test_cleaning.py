@@ -70,9 +70,9 @@ def plain_dedup(rows, least):
     return out
 
 
-@pytest.mark.parametrize("bound", [0, 64 << 20])
-def test_line_dedup_of_odd_rows(spark, monkeypatch, bound):
-    monkeypatch.setattr(linededup, "FILTER_BYTES", bound)
+@pytest.mark.parametrize("size", [2, 1 << 18])
+def test_line_dedup_of_odd_rows(spark, monkeypatch, size):
+    monkeypatch.setattr(linededup, "PART_KEYS", size)
     df = docs(spark)
     out = linededup.LineDedup(spark, min_docs=3).insert(df).apply(df)
     assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in out.collect()) == plain_dedup(ROWS, 3)
@@ -105,6 +105,21 @@ def test_cuckoo_filter():
     assert all(f.delete(k) for k in keys[:2500]) and f.contains(keys[2500:]).all()
     assert f.contains(keys[:2500]).mean() < 0.01
     assert not CuckooFilter.build(np.zeros(0, np.uint64)).contains(keys).any()
+    # All at once or one by one: the same keys are in, and every one of them can be taken out again.
+    whole = CuckooFilter(np.zeros((1 << 11, 4), np.uint16))
+    assert whole.insert_all(keys) and whole.contains(keys).all() and (whole.table > 0).sum() == len(keys)
+    assert all(whole.delete(k) for k in keys) and not whole.table.any()
+    assert not CuckooFilter(np.zeros((1 << 8, 4), np.uint16)).insert_all(keys)
+
+
+def test_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 4)
+    monkeypatch.setattr(linededup, "PART_KEYS", 3)
+    rows = [(i % 7 or None, "\n".join(f"line {(i * 5 + j) % 60}" for j in range(8)), "a") for i in range(60)]
+    one = linededup.LineDedup(spark, min_docs=8).insert(docs(spark, rows[:30])).insert(docs(spark, rows[30:]))
+    assert one.n_shards > 4
+    got = one.apply(docs(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == plain_dedup(rows, 8)
 
 
 def test_long_text_is_whole(spark):
