@@ -1,20 +1,20 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate removal, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame; it is written as
-Parquet and read again before the next stage starts. All but the last return the columns of ``documents``.
+Parquet and read again before the next stage starts. All but the last return the columns of ``documents``. Rows go by a number
+that a stage writes with them, so rows without an id, or that share one, are judged each. A stage's result depends on tables in
+the shared folder, which stay until ``run``, or whoever called the stage, releases them; so stages can also be nested.
 """
 
 from __future__ import annotations
 
-import functools
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lontarix.llm import linededup, minhash, packing, quality
-from lontarix.sources.shared import release, shared_dir, since, written
+from lontarix.sources.shared import gathered, release, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,56 +22,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL: str | None = None
 
 
-#: Tables behind the last stage's result; its result is written by the time the next stage begins.
-_behind: list[str] = []
+def _texts(docs: DataFrame) -> DataFrame:
+    """``n_chars`` follows the text."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
-def _stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """Before the stage, delete the tables behind its predecessor's result, so that the pipeline's disk does not add up."""
-
-    @functools.wraps(fn)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _behind)
-        mark = written()
-        out = fn(spark, docs, sf_dir)
-        _behind[:] = since(mark)
-        return out
-
-    return run_stage
-
-
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept``; a null id matches a null id."""
-    ids = kept.withColumnRenamed("doc_id", "kept_id")
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted by lines their host repeats."""
-    kept = quality.judge(docs).where("kept").select("doc_id")
-    return _only(docs, kept)
+    """Documents that pass the base rules and are not depleted, without the lines that too many documents of their host repeat."""
+    return _texts(quality.clean(docs.select(*COLUMNS)))
 
 
-@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines found in at least 10 documents; ``n_chars`` follows the text. A document left empty stays, empty."""
-    out = linededup.LineDedup(spark, min_docs=10).insert(docs).apply(docs.select(*COLUMNS))
-    out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*COLUMNS)
+    """Texts without the lines found in at least 10 documents. A document left empty stays, empty."""
+    return _texts(linededup.LineDedup(spark, min_docs=10).insert(docs).apply(docs.select(*COLUMNS)))
 
 
-@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
-    kept = minhash.near_duplicates(docs, k=5, pct=80).where("kept").select("doc_id")
-    return _only(docs, kept)
+    return minhash.one_of_each(docs.select(*COLUMNS), k=5, pct=80)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes, with a digest of its ids. Its tables stay: its result is the caller's."""
-    release(spark, _behind)
-    _behind.clear()
+    """Where each piece of each document goes, with a digest of its ids."""
     pieces = packing.tokenize_pieces(docs, "byte_bpe_50k", 2048)
     return packing.place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), 2048)
 
@@ -85,10 +57,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the ``documents`` of ``sf_dir``."""
+    """All stages over the ``documents`` of ``sf_dir``. A stage's tables go when its result is written, its result when the next
+    stage's is; what the last result is read from stays: its pieces, which are written before their places are known."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        path = scratch(spark, f"stage-{name}")
+        with gathered() as tables:
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        release(spark, tables + before)
+        docs, before = spark.read.parquet(path), [path]
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    release(spark, before)
+    return out
