@@ -1,15 +1,21 @@
 """Scoring texts with a log-bilinear model trained by noise-contrastive estimation.
 
 Units of the model are the ``n_top`` most frequent training tokens, the end of a text, and ``n_buckets`` classes that all
-other words fall into by their last three bytes. Both grow with the training tokens (``sizes``), without an upper end. The representation of the previous unit goes through a bilinear map and
-is matched with every unit's: ``s(c, u) = (R[c] M) . Q[u] + b[u]``. Training sees every training token: the counts of all
-pairs of neighbouring units are summed up on the cluster and gathered in blocks as a sparse table, and each step follows the
-expected gradient of the contrastive objective over them, block by block in numpy. Scores are normalised over all units by
-batched matrix products, once a context. A word of a class has the class's probability times its share there, ``(c + 1) / (n + v + 1)`` with
-the class's tokens n and words v; the one left over is for words never seen, so all tokens together sum to 1.
+other words fall into by their last three bytes. Both grow with the training tokens (``sizes``), without an upper end. Two units
+of context have a matrix each: ``s(c, k, u) = (R[c] M + R2[k] M2) . Q[u] + b[u]``, where c is the unit before and k the group of the
+unit before that: the ``OWN`` most frequent units alone, the others in ``SHARED`` groups, whose representation is the mean of theirs.
 
-Word counts cover the whole corpus. The ``HEAD`` most frequent words travel to the tasks (a bound on that table's size);
-all other tokens' counts come from an exact join.
+Training sees every training token, twice. First the counts of all pairs of neighbouring units are summed up on the cluster and
+gathered in blocks as a sparse table, and each step follows the expected gradient of the contrastive objective over them, block by
+block in numpy: that gives R, M, Q and b. Then every task fits both matrices to the tokens of its rows by steps over batches, with
+noise units drawn for each, and the tasks' matrices are averaged by their tokens.
+
+Scores are normalised over all units by batched matrix products, once a context. A word of a class has the class's probability
+times its share there, ``(c + 1) / (n + v + 1)`` with the class's tokens n and words v; the one left over is for words never seen,
+so all tokens together sum to 1.
+
+Word counts cover the whole corpus. At most ``HEAD`` of the most frequent words travel to the tasks; all other tokens' counts come
+from an exact join.
 
 Defined cases: a null or empty text is one end token. Without any training row all counts are 0 and the model is uniform. A
 null id counts as the empty text for the held-out fold. Repeated rows are rows of their own. Extra columns are left out.
@@ -22,10 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, utf8
+from .common import batches_of, cut, slices, utf8, working
 from .words import LOWER, hashes, mix, words
 
 #: Classes of the table of word counts; a model's classes are a power of two, so they divide it.
@@ -33,8 +40,11 @@ CLASSES = 1 << 30
 #: Cells of the pair table that are gathered, and made dense in training, at a time.
 BLOCK = 1 << 21
 END = np.uint64(0x656E64206F662061)
-#: Words whose counts are sent to the tasks, at 16 bytes each.
+#: Words whose counts are sent to the tasks at most, at 16 bytes each.
 HEAD = 1 << 20
+#: Groups of the second unit of context: units with one of their own, groups of others, and one for the start of a text.
+OWN, SHARED = 24, 7
+GROUPS = OWN + SHARED + 1
 
 
 def sizes(n: int) -> tuple[int, int]:
@@ -79,6 +89,9 @@ class Model:
     bucket_total: np.ndarray
     n: int
     v: int
+    M2: np.ndarray | None = None
+    R2: np.ndarray | None = None
+    group: np.ndarray | None = None
     log_z: np.ndarray | None = None
 
     @property
@@ -89,26 +102,62 @@ class Model:
         at = np.minimum(np.searchsorted(self.top, h), len(self.top) - 1)
         return np.where(self.top[at] == h, at, len(self.top) + bucket)
 
-    def normalise(self) -> None:
-        """Sets ``log_z``: each context's logarithm of the sum over all units."""
-        hidden, step = self.R @ self.M, max(1, BLOCK // self.units)
-        self.log_z = np.zeros(len(hidden))
-        for a in range(0, len(hidden), step):
-            s = hidden[a : a + step] @ self.Q.T + self.b
+    def set_groups(self, often: np.ndarray) -> None:
+        """Groups of the second unit of context from the units' counts. The matrix of that position starts as 0."""
+        self.group = np.full(self.units + 1, GROUPS - 1, np.int64)
+        self.group[:-1] = OWN + np.arange(self.units) % SHARED
+        first = np.argsort(-often, kind="stable")[:OWN]
+        self.group[first] = np.arange(len(first))
+        weight = np.append(often, often.sum() or 1) + 1.0
+        total = np.bincount(self.group, weight, GROUPS)
+        sums = np.stack([np.bincount(self.group, weight * x, GROUPS) for x in self.R.T], 1)
+        self.R2 = (sums / np.maximum(total, 1)[:, None]).astype(np.float32)
+        self.M2 = np.zeros_like(self.M)
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each position adds to the hidden vector."""
+        return self.R @ self.M, self.R2 @ self.M2
+
+    def log_sums(self, a: int, z: int) -> np.ndarray:
+        """For the contexts whose first unit is in a .. z, by group: the logarithm of the sum over all units."""
+        one, two = self.parts()
+        hidden = (one[a:z, None, :] + two[None]).reshape(-1, one.shape[1])
+        out, step = np.empty(len(hidden), np.float32), max(1, BLOCK // self.units)
+        for i in range(0, len(hidden), step):
+            s = hidden[i : i + step] @ self.Q.T + self.b
             most = s.max(1)
-            self.log_z[a : a + step] = most + np.log(np.exp(s - most[:, None]).sum(1))
+            out[i : i + step] = most + np.log(np.exp(s - most[:, None]).sum(1))
+        return out
 
-    def log10p_of(self, hidden: np.ndarray, contexts: np.ndarray, unit: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-        """Normalised log10 probability of each ``unit`` after its context; ``hidden`` is R M."""
+    def normalise(self, spark: SparkSession | None = None) -> None:
+        """Sets ``log_z``. With a session, blocks of contexts are summed up by its tasks; what comes back has 4 bytes a context."""
+        n = self.units + 1
+        if spark is None:
+            self.log_z = self.log_sums(0, n)
+            return
+        step = max(1, 16 * BLOCK // (self.units * GROUPS))
+        shipped = spark.sparkContext.broadcast(self)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([shipped.value.log_sums(a, a + step).tobytes()], pa.binary())], ["a", "sums"])
+
+        blocks = spark.range(0, n, step, -(-n // step)).mapInArrow(batches_of(run), "a long, sums binary").collect()
+        self.log_z = np.concatenate([np.frombuffer(r["sums"], np.float32) for r in sorted(blocks)])
+
+    def log10p_of(self, parts: tuple[np.ndarray, np.ndarray], contexts: np.ndarray, before: np.ndarray, unit: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """Normalised log10 probability of each ``unit`` after its context: the unit ``contexts`` and, before it, the group ``before``."""
         out = np.empty(len(unit))
         for a in range(0, len(unit), step):
-            c, u = contexts[a : a + step], unit[a : a + step]
-            out[a : a + step] = np.einsum("ij,ij->i", hidden[c], self.Q[u]) + self.b[u] - self.log_z[c]
+            c, k, u = contexts[a : a + step], before[a : a + step], unit[a : a + step]
+            out[a : a + step] = np.einsum("ij,ij->i", parts[0][c] + parts[1][k], self.Q[u]) + self.b[u] - self.log_z[c * GROUPS + k]
         return out / np.log(10)
 
-    def log10p(self, contexts: np.ndarray) -> np.ndarray:
+    def log10p(self, contexts: np.ndarray, before: np.ndarray) -> np.ndarray:
         """(contexts, units): normalised log10 probabilities of the next unit."""
-        s = (self.R[contexts] @ self.M) @ self.Q.T + self.b
+        one, two = self.parts()
+        s = (one[contexts] + two[before]) @ self.Q.T + self.b
         s -= s.max(1, keepdims=True)
         return (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
 
@@ -120,6 +169,12 @@ def context(unit: np.ndarray, begin: np.ndarray, start: int) -> np.ndarray:
     return prev
 
 
+def contexts(model: Model, unit: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unit before each token, and the group of the one before that."""
+    one = context(unit, begin, model.units)
+    return one, model.group[context(one, begin, model.units)]
+
+
 def word_counts(docs: DataFrame, n_buckets: int) -> DataFrame:
     """(h, bucket, c): how often each token is in ``docs`` (text). Summed up within a task before the shuffle."""
 
@@ -144,7 +199,7 @@ def word_counts(docs: DataFrame, n_buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    part = docs.select("text").mapInArrow(run, "h long, bucket int, c long")
+    part = docs.select("text").mapInArrow(batches_of(run), "h long, bucket int, c long")
     return part.groupBy("h").agg(F.first("bucket").alias("bucket"), F.sum("c").alias("c"))
 
 
@@ -203,7 +258,7 @@ def pair_counts(docs: DataFrame, model: Model) -> Pairs:
         if held:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, merged())), ["cell", "n"])
 
-    table = cut(docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "pair-counts")
+    table = cut(docs.select("text").mapInArrow(batches_of(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "pair-counts")
     row, unit, count, step = [], [], [], max(1, BLOCK // units)
     for a in range(0, units + 1, step):
         part = table.where(F.col("cell").between(a * units, (a + step) * units - 1)).toArrow()
@@ -216,10 +271,12 @@ def pair_counts(docs: DataFrame, model: Model) -> Pairs:
     return Pairs(first, np.concatenate(unit), np.concatenate(count), units)
 
 
-def train(pairs: np.ndarray | Pairs, dim: int = 24, noise: float = 8.0, steps: int = 240, rate: float = 0.05, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def train(pairs: np.ndarray | Pairs, dim: int = 24, noise: float = 8.0, steps: int = 240, rate: float = 0.05, seed: int = 7, prior: float = 100.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """R, M, Q, b by noise-contrastive estimation with the unigram distribution as noise. Blocks of contexts add up to each step.
 
-    ``pairs`` weighs every (context, unit); the expected number of noise samples of a context is ``noise`` times its count.
+    ``pairs`` weighs every (context, unit); the expected number of noise samples of a context is ``noise`` times its count. ``prior``
+    is the precision of a normal prior of the representations: it keeps rare units near the unigram distribution, and the more
+    tokens there are, the less it weighs.
     """
     n_ctx, units = pairs.shape
     often = pairs.sum(0)
@@ -230,10 +287,8 @@ def train(pairs: np.ndarray | Pairs, dim: int = 24, noise: float = 8.0, steps: i
     p = [x.astype(np.float32) for x in p]
     if not total:
         return tuple(p)  # type: ignore[return-value]
-    # A context's weight grows slower than its count, so that rare contexts are learnt as well.
-    row = pairs.sum(1)
-    weight = (np.sqrt(row) / np.sqrt(row).sum() / np.maximum(row, 1)).astype(np.float32)[:, None]
-    fakes, q32, rows = (noise * row * weight[:, 0])[:, None].astype(np.float32), q.astype(np.float32)[None, :], max(1, BLOCK // units)
+    fakes = (noise * pairs.sum(1) / total)[:, None].astype(np.float32)
+    q32, rows, decay = q.astype(np.float32)[None, :], max(1, BLOCK // units), np.float32(prior / total)
     shift = np.log(noise * q).astype(np.float32)
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     for t in range(1, steps + 1):
@@ -243,12 +298,14 @@ def train(pairs: np.ndarray | Pairs, dim: int = 24, noise: float = 8.0, steps: i
             own = slice(a, a + rows)
             hidden = R[own] @ M
             sure = 1 / (1 + np.exp(-np.clip(hidden @ Q.T + (b - shift), -30, 30)))
-            data = pairs[own].astype(np.float32, copy=False) * weight[own]
+            data = pairs[own] / np.float32(total)
             g = data - (data + fakes[own] * q32) * sure
             back = g @ Q
             for d, part in zip(grads[1:], (R[own].T @ back, g.T @ hidden, g.sum(0)), strict=True):
                 d += part
             grads[0][own] = back @ M.T
+        grads[0] -= decay * p[0]
+        grads[2] -= decay * p[2]
         step = rate * min(1.0, 2 * (1 - t / (steps + 1)))
         for i, d in enumerate(grads):
             m[i] += 0.1 * (d - m[i])
@@ -257,9 +314,80 @@ def train(pairs: np.ndarray | Pairs, dim: int = 24, noise: float = 8.0, steps: i
     return tuple(p)  # type: ignore[return-value]
 
 
+class _Positions:
+    """Both matrices, fitted by steps over batches of tokens; what is kept in the end is a running mean of them."""
+
+    def __init__(self, model: Model, q: np.ndarray, seed: int, noise: float = 8.0, samples: int = 128, rate: float = 0.01) -> None:
+        self.model, self.noise, self.samples, self.rate = model, noise, samples, rate
+        self.rng = np.random.default_rng([11, seed])
+        self.upto, self.shift = np.cumsum(q), np.log(noise * q).astype(np.float32)
+        self.p = np.stack([model.M, model.M2]).astype(np.float32)
+        self.mean, self.m, self.v, self.t, self.tokens = self.p.copy(), np.zeros_like(self.p), np.zeros_like(self.p), 0, 0
+
+    def step(self, c: np.ndarray, k: np.ndarray, u: np.ndarray) -> None:
+        own = self.model
+        x, y, right = own.R[c], own.R2[k], own.Q[u]
+        hidden = x @ self.p[0] + y @ self.p[1]
+        drawn = np.minimum(np.searchsorted(self.upto, self.rng.random(self.samples) * self.upto[-1], "right"), own.units - 1)
+        left = own.Q[drawn]
+        sure = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", hidden, right) + own.b[u] - self.shift[u], -30, 30)))
+        fake = 1 / (1 + np.exp(-np.clip(hidden @ left.T + (own.b - self.shift)[drawn], -30, 30)))
+        back = (1 - sure)[:, None] * right - (self.noise / self.samples) * (fake @ left)
+        d = np.stack([x.T @ back, y.T @ back]) / len(u)
+        self.t += 1
+        self.tokens += len(u)
+        self.m += 0.1 * (d - self.m)
+        self.v += 0.01 * (d * d - self.v)
+        self.p += self.rate / (1 + self.t / 100) ** 0.5 * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
+        self.mean += max(0.02, 1 / self.t) * (self.p - self.mean)
+
+
+def position_matrices(docs: DataFrame, model: Model, batch_tokens: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """M and M2 after one pass over all training tokens: every task's own steps, averaged by its tokens. ``docs``: (text)."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shape = model.M.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Model = shipped.value
+        q = np.exp(own.b.astype(np.float64) - own.b.max())
+        fitted = _Positions(own, q / q.sum(), TaskContext.get().partitionId())
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush(least: int) -> None:
+            c, k, u = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            for a in range(0, len(u), batch_tokens):
+                if len(u) - a < least:
+                    held.append((c[a:], k[a:], u[a:]))
+                else:
+                    fitted.step(*(x[a : a + batch_tokens] for x in (c, k, u)))
+
+        for batch in batches:
+            buf, off = utf8(batch.column(0))
+            for i, j in slices(off):
+                h, b, begin = tokens(buf[off[i] : off[j]], off[i : j + 1] - off[i], own.n_buckets)
+                unit = own.unit(h, b)
+                held.append((*contexts(own, unit, begin), unit))
+                flush(batch_tokens)
+        if held:
+            flush(1)
+        if fitted.tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([fitted.tokens]), pa.array([fitted.mean.astype(np.float64).ravel().tolist()])], ["tokens", "p"])
+
+    made = docs.select("text").mapInArrow(batches_of(run), "tokens long, p array<double>")
+    # One sum for each number of the matrices, added up within tasks: nothing grows with the number of tasks at the driver.
+    sums = made.select("tokens", F.posexplode("p").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x") * F.col("tokens")).alias("x"), F.sum("tokens").alias("n")).collect()
+    if not sums:
+        return model.M, model.M2
+    p = np.zeros(2 * shape[0] * shape[1], np.float32)
+    for r in sums:
+        p[r["i"]] = r["x"] / r["n"]
+    return p.reshape(2, *shape)[0], p.reshape(2, *shape)[1]
+
+
 def fit(docs: DataFrame, n_top: int | None = None, n_buckets: int | None = None, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model and the (h, bucket, c) table of all training tokens. ``docs``: (text) of the training rows; ``n_buckets``: a power of two."""
-    counts = cut(word_counts(docs, CLASSES), "word-counts")
+    counts = cut(word_counts(docs, CLASSES), "word-counts", keep=True)
     totals = counts.agg(F.sum("c"), F.count("*")).first()
     grown = sizes(totals[0] or 0)
     n_top, n_buckets = n_top or grown[0], n_buckets or grown[1]
@@ -268,14 +396,14 @@ def fit(docs: DataFrame, n_top: int | None = None, n_buckets: int | None = None,
     end = np.array([END]).view(np.int64)[0].item()
     top = counts.where(F.col("h") != end).orderBy(F.desc("c"), "h").limit(n_top).toArrow()
     top_h = np.sort(np.append(top["h"].to_numpy(), end).astype(np.int64).view(np.uint64))
-    most = 10_000
-    steps = sorted(((r["c"], r["count"]) for r in counts.groupBy(F.least("c", F.lit(most)).alias("c")).count().collect()), reverse=True)
-    least, held = most + 1, 0
-    for c, n in steps:
-        if held + n > head:
+    # Words by count in steps of a 16th of a power of two: some thousand steps at most, however large counts are.
+    step = F.floor(16 * F.log2("c")).cast("int")
+    least, held = 1 << 30, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        if held + r["count"] > head:
             break
-        least, held = c, held + n
-    often = counts.where(F.col("c") >= least).select("h", "c").toArrow()
+        least, held = r["step"], held + r["count"]
+    often = counts.where(step >= least).select("h", "c").toArrow()
     h, c = often["h"].to_numpy().view(np.uint64), often["c"].to_numpy()
     order = np.argsort(h)
     rest = counts.where(~F.col("h").isin(top_h.view(np.int64).tolist())).groupBy((F.col("bucket") % n_buckets).alias("bucket")).agg((F.sum("c") + F.count("*")).alias("size")).collect()
@@ -283,8 +411,12 @@ def fit(docs: DataFrame, n_top: int | None = None, n_buckets: int | None = None,
     for r in rest:
         size[r["bucket"]] += r["size"]
     model = Model(top_h, n_buckets, *[None] * 4, h[order], c[order], size, totals[0] or 0, totals[1])  # type: ignore[list-item]
-    model.R, model.M, model.Q, model.b = train(pair_counts(docs, model))
-    model.normalise()
+    pairs = pair_counts(docs, model)
+    model.R, model.M, model.Q, model.b = train(pairs)
+    model.set_groups(pairs.sum(0))
+    del pairs
+    model.M, model.M2 = position_matrices(docs, model)
+    model.normalise(docs.sparkSession)
     return model, counts
 
 
@@ -292,13 +424,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     """Per row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col, folds, fold).alias("held_out"), F.col(text_col).alias("text"))
-    model, counts = fit(rows.where("NOT held_out").select("text"), **sizes)
+    with working(docs.sparkSession):
+        model, counts = fit(rows.where("NOT held_out").select("text"), **sizes)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<long>, times array<int>"
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<long>, times array<int>, shared array<boolean>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shipped.value
-        hidden = own.R @ own.M
+        parts = own.parts()
         share = np.log10(own.bucket_total)
         is_top = np.arange(own.units) < len(own.top)
         for batch in batches:
@@ -311,7 +444,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 log = np.where(known, np.log10(own.head_counts[at] + 1.0), 0.0) if len(own.head) else np.zeros(len(u))
                 unit = own.unit(h, bucket)
                 word = np.where(is_top[unit], 0.0, log[back] - share[bucket])
-                model_log = own.log10p_of(hidden, context(unit, begin, own.units), unit) + word
+                model_log = own.log10p_of(parts, *contexts(own, unit, begin), unit) + word
                 n = j - i
                 doc = np.repeat(np.arange(n), np.diff(begin))
                 base = np.bincount(doc, log[back], n)
@@ -322,16 +455,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 cuts = pa.array(np.searchsorted(pair, np.arange(n + 1) * len(u)).astype(np.int32))
                 rest = pa.ListArray.from_arrays(cuts, pa.array(u[pair % len(u)].view(np.int64)))
                 times = pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32)))
+                # A unit of its own has its probability already; only words of a class have a share that their count decides.
+                shared = np.zeros(len(u), bool)
+                shared[back] = ~is_top[unit]
+                shared = pa.ListArray.from_arrays(cuts, pa.array(shared[pair % len(u)]))
                 kept = [batch.column(k).slice(i, n) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(begin)), pa.array(seen), pa.array(base), pa.array(total), rest, times], ["id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "times"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(begin)), pa.array(seen), pa.array(base), pa.array(total), rest, times, shared], ["id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "times", "shared"])
 
-    numbered = rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+    numbered = rows.mapInArrow(batches_of(run), schema).withColumn("row", F.monotonically_increasing_id())
     part = cut(numbered, "scores")
-    far = part.select("row", F.explode(F.arrays_zip("rest", "times")).alias("t")).select("row", F.col("t.rest").alias("h"), F.col("t.times").alias("times"))
+    far = part.select("row", F.explode(F.arrays_zip("rest", "times", "shared")).alias("t")).select("row", F.col("t.rest").alias("h"), F.col("t.times").alias("times"), F.col("t.shared").alias("shared"))
     found = far.join(counts.select("h", "c"), "h")
-    more = found.groupBy("row").agg(F.sum("times").alias("k"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log"))
-    out = part.drop("rest", "times").join(more, "row", "left")
-    log, k = F.coalesce("log", F.lit(0.0)), F.coalesce("k", F.lit(0))
+    more = found.groupBy("row").agg(F.sum("times").alias("k"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log"), F.sum(F.when(F.col("shared"), F.col("times") * F.log10(F.col("c") + 1))).alias("share"))
+    out = part.drop("rest", "times", "shared").join(more, "row", "left")
+    log, share, k = (F.coalesce(c, F.lit(0.0)) for c in ("log", "share", "k"))
     size = float(np.log10(float(model.n + model.v + 1)))
     return out.select(
         F.col("id").alias(id_col),
@@ -340,5 +477,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         (F.col("n_known") + k).cast("long").alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("base") + log - F.col("n_tokens") * size).alias("base_score"),
-        (F.col("score") + log).alias("score"),
+        (F.col("score") + share).alias("score"),
     )

@@ -40,4 +40,44 @@ def test_pairs_of_all_rows_and_normalised_scores(spark, monkeypatch):
     row = np.repeat(np.arange(model.units + 1), np.diff(pairs.first))
     assert dict(zip(zip(row.tolist(), pairs.unit.tolist(), strict=True), pairs.count.tolist(), strict=True)) == want
     c, u = np.arange(model.units + 1), np.arange(model.units + 1) % model.units
-    assert np.allclose(model.log10p_of(model.R @ model.M, c, u), model.log10p(c)[c, u], atol=1e-4)
+    k = c % lm.GROUPS
+    p = model.log10p(c, k)
+    assert np.allclose((10**p).sum(1), 1, atol=1e-3)
+    assert np.allclose(model.log10p_of(model.parts(), c, k, u), p[c, u], atol=1e-4)
+    spread = model.log_z
+    model.normalise()
+    assert np.allclose(model.log_z, spread, atol=1e-4)
+
+
+def test_second_position_is_learnt():
+    """Units that depend on the unit two before alone: without its matrix they are uniform."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 2, 40_000)
+    unit = np.empty(40_000, np.int64)
+    unit[:2] = 0, 1
+    for i in range(2, len(unit)):
+        unit[i] = unit[i - 2] if rng.random() < 0.9 else x[i]
+    pairs = np.zeros((3, 2))
+    np.add.at(pairs, (np.append(2, unit[:-1]), unit), 1)
+    R, M, Q, b = lm.train(pairs, dim=4, prior=0.0)
+    model = lm.Model(np.arange(1, dtype=np.uint64), 1, R, M, Q, b, None, None, None, 1, 1)
+    model.set_groups(pairs.sum(0))
+    begin = np.array([0, len(unit)])
+    c, k = lm.contexts(model, unit, begin)
+    model.normalise()
+    before = model.log10p_of(model.parts(), c, k, unit).mean()
+    fitted = lm._Positions(model, np.array([0.5, 0.5]), 1, samples=16, rate=0.05)
+    for a in range(0, 40_000, 100):
+        fitted.step(c[a : a + 100], k[a : a + 100], unit[a : a + 100])
+    model.M, model.M2 = fitted.mean
+    model.normalise()
+    assert model.log10p_of(model.parts(), c, k, unit).mean() > before + 0.1
+
+
+def test_head_is_a_bound(spark):
+    """More words of one count than the table may hold: none travels, and the counts are the same."""
+    texts = docs(spark, [(i, " ".join(f"w{j}" for j in range(40)), "a") for i in range(30)])
+    model, _ = lm.fit(texts.select("text"), head=10)
+    assert len(model.head) <= 10
+    few, many = (lm.score(texts, head=n).orderBy("doc_id").collect() for n in (10, 1000))
+    assert [r["n_known"] for r in few] == [r["n_known"] for r in many] and np.allclose([r["score"] for r in few], [r["score"] for r in many])

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -71,8 +72,19 @@ def test_vectors_that_take_no_part(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got if r["query_id"] == 0] == [(0, 1, 6), (0, 2, 7), (0, 3, 50)]
     assert {r["query_id"] for r in got} == {0, 50}
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
-    with pytest.raises(Exception, match="too large"):
-        topk.top_k(spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<double>"), F.lit(True)).count()
+
+
+def test_components_of_any_size_and_repeated_queries(spark):
+    big = 1.7e308
+    v = [(0, [1e9, 2.0]), (0, [-3.5, 1e300]), (1, [big, big]), (2, [big, -big]), (3, [0.5, 0.25]), (4, [-big, -big]), (5, [1e9, 1e9]), (6, [2.0**40, 1.0]), (6, [2.0**40, 1.0]), (7, [0.0, 0.0]), (8, [131071.99, -131072.0])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.lit(True), k=4, row_block=4, query_block=3).collect()
+    ints = [(i, [math.floor(Fraction(x) * 256) for x in c]) for i, c in v]
+    want = Counter()
+    for i, q in ints:
+        best = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in ints if j != i)[:4]
+        want.update((i, n + 1, j, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, j) in enumerate(best))
+    assert Counter(map(tuple, got)) == want
 
 
 @pytest.mark.parametrize("blocks", [(8, 3), (8192, 2048)])
@@ -198,8 +210,9 @@ def test_op7_base_and_held_out_gain(spark, head):
         w = want[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:4]
         assert r["base_score"] == pytest.approx(w[4], rel=1e-9)
-    train = [r for r in got if not r["held_out"]]
-    assert sum(r["score"] for r in train) > sum(r["base_score"] for r in train)
+    for held in (False, True):
+        own = [r for r in got if r["held_out"] == held]
+        assert own and sum(r["score"] for r in own) > sum(r["base_score"] for r in own)
 
 
 def test_model_is_normalised_and_learns():
@@ -209,7 +222,8 @@ def test_model_is_normalised_and_learns():
         pairs[c] = rng.multinomial(5000, np.roll([0.7, 0.1, 0.1, 0.05, 0.03, 0.02], c))
     R, M, Q, b = lm.train(pairs, dim=8)
     model = lm.Model(np.zeros(1, np.uint64), 5, R, M, Q, b, None, None, None, 1, 1)
-    p = 10 ** model.log10p(np.arange(7))
+    model.set_groups(pairs.sum(0))
+    p = 10 ** model.log10p(np.arange(7), np.zeros(7, np.int64))
     assert np.allclose(p.sum(1), 1, atol=1e-5)
     assert np.abs(p - pairs / pairs.sum(1, keepdims=True)).max() < 0.1
 
