@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import batches_of, cut
 from .tokens import byte_bpe
 
 
@@ -55,7 +55,7 @@ def tokenize_pieces(docs: DataFrame, vocab: str = "byte_bpe_50k", capacity: int
         own = batch.column(0).take(pa.array(rows, pa.int64()))
         return pa.RecordBatch.from_arrays([own, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary())], [id_col, "piece", "start", "length", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(batches_of(run), f"`{id_col}` {kind}, piece int, start long, length long, ids binary")
 
 
 class _Sums:
@@ -200,7 +200,7 @@ def place(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("do
             yield pa.RecordBatch.from_arrays([*own, pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
     fields = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
-    return ranked.mapInArrow(run, ", ".join(f"`{c}` {fields[c]}" for c in kept) + ", sequence_id long, offset long")
+    return ranked.mapInArrow(batches_of(run), ", ".join(f"`{c}` {fields[c]}" for c in kept) + ", sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, vocab: str = "byte_bpe_50k", capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

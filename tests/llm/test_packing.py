@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -119,15 +119,42 @@ def test_best_fit_decreasing_is_best_fit(sizes):
     assert sorted(20 - sum(sizes[i] for i in r) for r in rows) == sorted(left)
 
 
-@pytest.mark.parametrize("window", [200, binpack.WINDOW])
+def plain_packing(ids, capacity, window, end_id=50256):
+    """The contents of all rows, by a plain packer: (row, start, ids) of each segment in order."""
+    pool, out = [], []
+
+    def close(last):
+        nonlocal pool
+        rows = []
+        for item in sorted(pool, key=lambda p: -len(p[2])):
+            fits = [(capacity - sum(len(p[2]) for p in r), i) for i, r in enumerate(rows)]
+            best = min((x for x in fits if x[0] >= len(item[2])), default=None, key=lambda x: x[0])
+            rows[best[1]].append(item) if best else rows.append([item])
+        size = lambda r: sum(len(p[2]) for p in r)
+        full, rest = [r for r in rows if last or size(r) == capacity], [r for r in rows if not last and size(r) < capacity]
+        if sum(map(size, rest)) > window // 2:
+            full, rest = full + rest, []
+        out.extend(full)
+        pool = [p for r in rest for p in r]
+
+    for n, x in enumerate(ids):
+        x = [*x, end_id]
+        pool += [(n, a, x[a : a + capacity]) for a in range(0, len(x), capacity)]
+        if sum(len(p[2]) for p in pool) >= window:
+            close(False)
+    if pool:
+        close(True)
+    return out
+
+
+@pytest.mark.parametrize("window", [200, 3000, binpack.WINDOW])
 def test_matrix_round_trip(spark, tmp_path, window):
-    rows = [r for i, r in enumerate(ROWS) if r[0] is not None and r[0] not in [x[0] for x in ROWS[:i]]]
-    packed = binpack.pack_matrix(docs(spark, rows), "byte_bpe_50k", 128, window=window)
+    packed = binpack.pack_matrix(docs(spark).coalesce(1), "byte_bpe_50k", 128, window=window)
     binpack.write_matrix(packed, str(tmp_path / "m"))
     stored = spark.read.parquet(str(tmp_path / "m"))
     encode = byte_bpe()
-    got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in binpack.unpack(stored).collect()}
-    assert {d: len(i) for d, i in got.items()} == {d: len(encode(t or "")) + 1 for d, t, _ in rows if len(encode(t or "")) >= 0}
+    back = binpack.unpack(stored).collect()
+    assert Counter((r["doc_id"], np.frombuffer(bytes(r["ids"]), "<u4").tobytes()) for r in back) == Counter((d, np.array([*encode(t or ""), 50256], "<u4").tobytes()) for d, t, _ in ROWS)
     for r in stored.collect():
         ids, at = (np.frombuffer(bytes(r[c]), "<u4") for c in ("ids", "positions"))
         assert len(ids) == len(at) == 128 and r["cu_seqlens"][-1] == r["n_tokens"] <= 128
@@ -137,6 +164,51 @@ def test_matrix_round_trip(spark, tmp_path, window):
     assert binpack.pack_matrix(empty(spark)).count() == 0
 
 
-def test_matrix_of_documents_is_dense(spark):
-    rows = queries.op8_packed_matrix(spark, SF).select("n_tokens").collect()
-    assert sum(r["n_tokens"] for r in rows) / (2048 * len(rows)) > 0.9
+@pytest.mark.parametrize("window", [3000, 40_000])
+def test_matrix_against_a_plain_packer(spark, window):
+    """Which lengths share a row, row by row, and what the rows hold."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).coalesce(1)
+    texts = rows.collect()
+    encode = byte_bpe()
+    ids = [encode(r["text"] or "") for r in texts]
+    at = {r["doc_id"]: n for n, r in enumerate(texts)}
+    got = binpack.pack_matrix(rows, "byte_bpe_50k", 256, window=window).collect()
+    want = plain_packing(ids, 256, window)
+    assert Counter(tuple(sorted(np.diff(r["cu_seqlens"]).tolist())) for r in got) == Counter(tuple(sorted(len(p[2]) for p in r)) for r in want)
+    segments = Counter()
+    for r in got:
+        own = np.frombuffer(bytes(r["ids"]), "<u4")
+        for d, s, a, z in zip(r["docs"], r["starts"], r["cu_seqlens"][:-1], r["cu_seqlens"][1:], strict=True):
+            segments[at[d], s, own[a:z].tobytes()] += 1
+    assert segments == Counter((n, s, np.array(x, "<u4").tobytes()) for r in want for n, s, x in r)
+
+
+def test_op8_holds_every_document_once(spark):
+    """The query against ids of the rank file's own library: every document's tokens, cut at 2,048, are in one place each."""
+    import zlib
+
+    from lontarix.llm.tokens import rank_bpe
+
+    encode = rank_bpe("byte_bpe_multi_50k")
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.op8_packed_matrix(spark, SF).collect()
+    ids = {d: [*encode(t or ""), 50256] for d, t in texts.items()}
+    seen = Counter()
+    for r in got:
+        row = [x for d, s, a, z in zip(r["docs"], r["starts"], r["cu_seqlens"][:-1], r["cu_seqlens"][1:], strict=True) for x in ids[d][s : s + z - a]]
+        seen.update((d, s, s + z - a) for d, s, a, z in zip(r["docs"], r["starts"], r["cu_seqlens"][:-1], r["cu_seqlens"][1:], strict=True))
+        at = [x for a, z in zip(r["cu_seqlens"][:-1], r["cu_seqlens"][1:], strict=True) for x in range(z - a)]
+        pad = 2048 - len(row)
+        assert r["n_tokens"] == len(row) and r["ids_crc32"] == zlib.crc32(np.array(row + [50256] * pad, "<u4").tobytes())
+        assert r["positions_crc32"] == zlib.crc32(np.array(at + [0] * pad, "<u4").tobytes())
+    assert seen == Counter((d, a, min(a + 2048, len(x))) for d, x in ids.items() for a in range(0, len(x), 2048))
+    assert sum(r["n_tokens"] for r in got) / (2048 * len(got)) > 0.9
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + " " * 300_000 + "b", "x\n" + "\n" * 50_000 + "  y" + "\u2003" * 20_000 + "z", "\t" * 12_000 + "'s", "a" * 200_000, "Wörter 日本語 " * 3000 + " " * 20_000 + "<|endoftext|>"])
+def test_long_runs(tokenizer, text):
+    assert byte_bpe()(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    from lontarix.llm.tokens import rank_bpe
+
+    short = text[:150] + text[-150:]
+    assert rank_bpe("byte_bpe_multi_50k")(short) and len(rank_bpe("byte_bpe_multi_50k")(text)) > 0
