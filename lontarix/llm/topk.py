@@ -7,33 +7,51 @@ the coarse score of all rows at once as slices again. Selection goes from the mo
 to the k-th largest coarse score; every row whose coarse score could still reach it, given what the bits left out can add,
 is a boundary row and is resolved with exact integers.
 
-Blocks of rows and blocks of queries meet in a grid of bounded tasks: a cell holds at most ``row_block`` rows and
-``query_block`` queries. Each gives its best k a query, and those are merged with partial aggregation.
+The index is built once, a row for each block of rows, and written to the shared folder. Its blocks and blocks of queries then
+meet in a grid of bounded tasks: a cell holds at most about ``row_block`` rows and ``query_block`` queries. Each gives its best k
+a query, and those are merged with partial aggregation.
+
+Vectors with a component of ``LIMIT`` or more in size (or of more than ``WIDEST`` components) can't be scored in 64 bits. They stay
+outside the slices, and their scores are exact integers of any size, one pair at a time.
 
 Defined cases: a null vector, or one with a null, NaN or infinite component or another length than the query's, takes no part.
-A null id takes no part. Rows with the same id are no candidates of a query of that id; otherwise repeated rows are
-candidates each. Ties go to the smaller id. With fewer candidates than k, all are returned. Components must stay below
-2 ** 25 in size, so that scores fit 64 bits; larger ones stop the job. Extra columns are left out; empty tables give no rows.
+A null id takes no part. Every query row is a query of its own, also where ids repeat. Rows with the same id are no candidates of
+a query of that id; otherwise repeated rows are candidates each. Ties go to the smaller id. With fewer candidates than k, all are
+returned. Scores beyond 64 bits are ranked exactly and returned as the nearest 64-bit number. Extra columns are left out; empty
+tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, working
+
+LIMIT, WIDEST = 1 << 25, 4096
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
-LIMIT = 1 << 25
+
+def takes_part(vector: Column) -> Column:
+    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
 
 
 def quantised(vector: Column, scale: float) -> Column:
-    """Integers floor(scale * x), or null where the vector takes no part."""
-    ok = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    small = F.forall(vector, lambda x: F.abs(F.lit(scale) * x.cast("double")) < LIMIT)
-    ints = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("int"))
-    return F.when(ok & small, ints).when(ok & ~small, F.raise_error(F.lit("component too large")).cast("array<int>"))
+    """Integers floor(scale * x), or null where a component is too large for them."""
+    small = F.forall(vector, lambda x: F.abs(F.lit(scale) * x.cast("double")) < LIMIT) & (F.size(vector) <= WIDEST)
+    return F.when(small, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("int")))
+
+
+def exact(vector: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) as Python integers, which have no upper end."""
+    near = [scale * x for x in vector.tolist()]
+    return np.array([math.floor(y) if abs(y) < 1 << 52 else math.floor(Fraction(x) * Fraction(scale)) for x, y in zip(vector.tolist(), near, strict=True)], object)
 
 
 class SlicedBlock:
@@ -41,8 +59,7 @@ class SlicedBlock:
 
     def __init__(self, values: np.ndarray, slices: int = 6) -> None:
         self.values = values
-        self.low = values.min(0)
-        u = (values - self.low).astype(np.int64)
+        u = (values - values.min(0)).astype(np.int64)
         wide = max(1, int(u.max()).bit_length())
         self.shift = max(0, wide - slices)
         self.bits = wide - self.shift
@@ -54,6 +71,19 @@ class SlicedBlock:
         self.slices = np.ascontiguousarray(packed).view(np.uint64)  # component, bit, word
         self.valid = np.packbits(np.arange(len(u)) < len(values), bitorder="little").view(np.uint64)
 
+    def dump(self) -> dict[str, object]:
+        return {"shift": self.shift, "bits": self.bits, "values": self.values.astype(np.int32).tobytes(), "slices": self.slices.tobytes(), "valid": self.valid.tobytes()}
+
+    @classmethod
+    def load(cls, row: dict, size: int) -> SlicedBlock:
+        made = cls.__new__(cls)
+        made.shift, made.bits = int(row["shift"]), int(row["bits"])
+        made.values = np.frombuffer(row["values"], np.int32).reshape(-1, size)
+        made.valid = np.frombuffer(row["valid"], np.uint64)
+        made.words = len(made.valid)
+        made.slices = np.frombuffer(row["slices"], np.uint64).reshape(size, made.bits, made.words)
+        return made
+
     @staticmethod
     def _digits(w: int) -> list[tuple[int, bool]]:
         """Signed binary digits of w > 0: (power, negative), no two neighbours set."""
@@ -140,6 +170,59 @@ class SlicedBlock:
         return above | equal
 
 
+_INDEX = "rg int, size int, ids binary, shift int, bits int, values binary, slices binary, valid binary, wide_ids binary, wide binary"
+
+
+def index(table: DataFrame, slices: int) -> DataFrame:
+    """A row for each block and length of vectors: ids and slices, and the ids and components of vectors outside the slices. ``table``: (rg, id, v, w)."""
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        sizes = part["w"].map(len).to_numpy()
+        out = []
+        for size in np.unique(sizes[sizes > 0]):
+            own = part[sizes == size]
+            fits = own["v"].notna()
+            near, wide = own[fits], own[~fits]
+            row = SlicedBlock(np.stack(near["v"].to_numpy()).astype(np.int64), slices).dump() if len(near) else {"shift": 0, "bits": 0, "values": b"", "slices": b"", "valid": b""}
+            far = np.stack(wide["w"].to_numpy()).astype(np.float64).tobytes() if len(wide) else b""
+            out.append({"rg": part["rg"].iloc[0], "size": size, "ids": near["id"].to_numpy(np.int64).tobytes(), **row, "wide_ids": wide["id"].to_numpy(np.int64).tobytes(), "wide": far})
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _INDEX.split(", ")])
+
+    return table.groupBy("rg").applyInPandas(build, _INDEX)
+
+
+class _Block:
+    """A row of the index, opened: sliced rows, and wide rows as exact integers."""
+
+    def __init__(self, row: dict, scale: float) -> None:
+        size = int(row["size"])
+        self.ids, self.wide_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["wide_ids"], np.int64)
+        self.order = np.argsort(self.ids, kind="stable")
+        self.block = SlicedBlock.load(row, size) if len(self.ids) else None
+        self.wide = [exact(x, scale) for x in np.frombuffer(row["wide"], np.float64).reshape(-1, size)]
+        self.scale = scale
+
+    def best(self, query_id: int, v: np.ndarray | None, w: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
+        """(id, score) of the k best rows."""
+        found: list[tuple[int, int]] = []
+        q = exact(w, self.scale) if v is None or self.wide else None
+        if self.block is not None and v is not None:
+            a, b = np.searchsorted(self.ids, [query_id, query_id + 1], sorter=self.order)
+            at, score = self.block.top(np.asarray(v, np.int64), k, self.order[a:b])
+            ids = self.ids[at]
+            first = np.lexsort((ids, -score))[:k]
+            found = list(zip(ids[first].tolist(), score[first].tolist(), strict=True))
+        elif self.block is not None:
+            found = [(i, int(x @ q)) for i, x in zip(self.ids.tolist(), self.block.values.astype(object), strict=True) if i != query_id]
+        found += [(i, int(x @ q)) for i, x in zip(self.wide_ids.tolist(), self.wide, strict=True) if i != query_id]
+        return iter(sorted(found, key=lambda x: (-x[1], x[0]))[:k])
+
+
+def _beyond(score: int) -> str:
+    """For scores that 64 bits don't hold: text that sorts like them among those cut to the same number. Doubles give less than 2 ** 2200."""
+    return f"{score + (1 << 2200):0551x}" if score <= _LEAST or score >= _MOST else ""
+
+
 def top_k(
     rows: DataFrame,
     is_query: Column,
@@ -148,41 +231,35 @@ def top_k(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     row_block: int = 8192,
-    query_block: int = 2048,
+    query_block: int = 4096,
     slices: int = 6,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best rows for every row for which ``is_query`` holds."""
-    ints = rows.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    # Numbers are written with the rows: all copies of a row below must go by the same one.
-    table = cut(ints.where("id IS NOT NULL AND v IS NOT NULL").withColumn("number", F.monotonically_increasing_id()), "vectors")
-    n, n_queries = table.agg(F.count("*"), F.count_if("q")).first()
-    row_groups, query_groups = max(1, -(-n // row_block)), max(1, -(-n_queries // query_block))
-    # Blocks are dealt by running number, not by a value: no key of the data can make one block large.
-    number = F.col("number")
-    side = F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))).alias("qg")
-    base = table.select("id", "v", F.pmod(F.xxhash64(number), F.lit(row_groups)).cast("int").alias("rg"), side)
-    side = F.explode(F.sequence(F.lit(0), F.lit(row_groups - 1))).alias("rg")
-    asked = table.where("q").select("id", "v", F.pmod(F.xxhash64(number, F.lit(1)), F.lit(query_groups)).cast("int").alias("qg"), side)
+    v = F.col(vector_col)
+    ints = rows.select(F.col(id_col).cast("long").alias("id"), quantised(v, scale).alias("v"), v.cast("array<double>").alias("w"), F.coalesce(is_query, F.lit(False)).alias("q"), takes_part(v).alias("ok"))
+    with working(rows.sparkSession):
+        # Numbers are written with the rows: all copies of a row below must go by the same one.
+        table = cut(ints.where("id IS NOT NULL AND ok").drop("ok").withColumn("number", F.monotonically_increasing_id()), "vectors")
+        n, n_queries = table.agg(F.count("*"), F.count_if("q")).first()
+        row_groups, query_groups = max(1, -(-n // row_block)), max(1, -(-n_queries // query_block))
+        # Blocks are dealt by running number, not by a value: no key of the data can make one block large.
+        number = F.col("number")
+        blocks = cut(index(table.select(F.pmod(F.xxhash64(number), F.lit(row_groups)).cast("int").alias("rg"), "id", "v", "w"), slices), "sliced-index", keep=True)
+        asked = cut(table.where("q").select("number", "id", "v", "w", F.pmod(F.xxhash64(number, F.lit(1)), F.lit(query_groups)).cast("int").alias("qg")), "queries", keep=True)
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, int]] = []
-        sizes = left["v"].map(len).to_numpy() if len(left) else np.zeros(0, int)
-        for size in np.unique(sizes):
-            own = left[sizes == size]
-            mine = right[right["v"].map(len).to_numpy() == size] if len(right) else right
-            if not size or not len(mine):
-                continue
-            ids = own["id"].to_numpy()
-            block = SlicedBlock(np.stack(own["v"].to_numpy()).astype(np.int64), slices)
-            order = np.argsort(ids, kind="stable")
-            for qid, v in zip(mine["id"].tolist(), mine["v"], strict=True):
-                a, b = np.searchsorted(ids, [qid, qid + 1], sorter=order)
-                at, score = block.top(np.asarray(v, np.int64), k, order[a:b])
-                best = np.lexsort((ids[at], -score))[:k]
-                found += [(qid, int(ids[at[i]]), int(score[i])) for i in best]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    schema = "query_id long, vec_id long, score long"
-    near = base.groupBy("rg", "qg").cogroup(asked.groupBy("rg", "qg")).applyInPandas(search, schema)
-    rank = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")
+        found: list[tuple[int, int, int, int, str]] = []
+        sizes = right["w"].map(len).to_numpy() if len(right) else np.zeros(0, int)
+        for row in left.to_dict("records"):
+            mine = right[sizes == row["size"]]
+            block = _Block(row, scale) if len(mine) else None
+            for at, qid, v, w in zip(mine["number"].tolist(), mine["id"].tolist(), mine["v"], mine["w"], strict=True):
+                for i, score in block.best(qid, v, w, k):
+                    found.append((at, qid, i, min(max(score, _LEAST), _MOST), _beyond(score)))
+        return pd.DataFrame(found, columns=["number", "query_id", "vec_id", "score", "beyond"]).astype({c: "int64" for c in ("number", "query_id", "vec_id", "score")})
+
+    cells = blocks.withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))))
+    asked = asked.withColumn("rg", F.explode(F.sequence(F.lit(0), F.lit(row_groups - 1))))
+    near = cells.groupBy("rg", "qg").cogroup(asked.groupBy("rg", "qg")).applyInPandas(search, "number long, query_id long, vec_id long, score long, beyond string")
+    rank = F.expr("row_number() OVER (PARTITION BY number ORDER BY score DESC, beyond DESC, vec_id)")
     return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
