@@ -76,16 +76,12 @@ class _Page(HTMLParser):
             url = urldefrag(urljoin(self.base, target.strip())).url if target.strip() else ""
             if urlsplit(url).scheme in ("http", "https"):
                 self.links.setdefault(url)
-        if tag in ("div", "td", "dt", "label"):
-            self._text = []
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self._skip = max(0, self._skip - 1)
         elif tag == "h1" and self._h1 is not None:
             self.title, self._h1 = " ".join("".join(self._h1).split()), None
-        elif tag in ("div", "td", "dt", "dd", "label", "span") and self._label:
-            self._label = None if getattr(self, "_seen", False) else self._label
 
     def handle_data(self, data):
         if self._skip:

@@ -37,12 +37,17 @@ def cosine_top_k(
     """(query_id, id, score, rank): the k rows of highest cosine for each query; ties to the smaller id.
 
     Blocks of rows and of queries meet in a grid of bounded tasks, each a matrix product that keeps its k best; only those
-    are ranked across blocks. Scores are rounded to ``digits`` before they are ranked. A query may find its own row.
+    are ranked across blocks. Scores are rounded to ``digits`` before they are ranked. A query may find its own row. Vectors that
+    have no direction take no part on either side: null, of length 0, or with a null or non-finite component; nor do rows of
+    another number of components than the query's.
     """
+    v = F.col(vector_col)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    usable = v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
     # Numbers are written with the rows: all copies of a row below must go by the same one.
     number = F.monotonically_increasing_id().alias("number")
-    own = cut(rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), number), "vectors")
-    asked = cut(queries.where(F.col(vector_col).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(vector_col).alias("v"), number), "queries")
+    own = cut(rows.where(usable).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), number), "vectors")
+    asked = cut(queries.where(usable).select(F.col(query_id).cast("long").alias("q"), F.col(vector_col).alias("v"), number), "queries")
     n_rows, n_queries = own.count(), asked.count()
     row_groups, query_groups = max(1, -(-n_rows // row_block)), max(1, -(-n_queries // query_block))
 
@@ -51,9 +56,16 @@ def cosine_top_k(
         return df.select("*", group.alias(mine), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"q": [], "id": [], "score": []}).astype({"q": "int64", "id": "int64", "score": "float64"})
         if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "id": [], "score": []}).astype({"q": "int64", "id": "int64", "score": "float64"})
+            return none
+        sizes, wanted = (p["v"].map(len).to_numpy() for p in (left, right))
+        return pd.concat([none, *(best(left[sizes == n], right[wanted == n]) for n in np.intersect1d(sizes, wanted))])
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x, y = (np.stack(p["v"].to_numpy()).astype(np.float64) for p in (right, left))
+        # By the largest component first: squares of very large or very small ones leave the doubles.
+        x, y = (m / np.abs(m).max(1, keepdims=True) for m in (x, y))
         x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
         ids, q, out = left["id"].to_numpy(), right["q"].to_numpy(), []
         for a in range(0, len(x), 256):

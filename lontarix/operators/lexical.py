@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +54,11 @@ def query_weights(queries: DataFrame, df: DataFrame, stats: DataFrame, dictionar
 
     ``distinct`` counts a repeated query term once.
     """
-    own = postings(queries, id_col, text_col)
+    return query_weights_of(postings(queries, id_col, text_col), df, stats, id_col, distinct, dictionary)
+
+
+def query_weights_of(own: DataFrame, df: DataFrame, stats: DataFrame, id_col: str, distinct: bool = False, dictionary: DataFrame | None = None) -> DataFrame:
+    """``query_weights`` of the queries' postings."""
     known = dictionary.select("term") if dictionary is not None else df.select("term")
     own = own.join(known, "term").join(df, "term", "left").crossJoin(F.broadcast(stats))
     qtf = F.lit(1) if distinct else F.col("tf")
@@ -71,6 +77,37 @@ def sparse_scores(query: DataFrame, docs: DataFrame, query_id: str = "item_id",
     return left.join(docs, "term").groupBy(query_id, doc_id).agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
 
 
+@dataclass
+class Index:
+    """A tokenized corpus: ``post`` (id, term, tf) as a written table, ``lengths`` (id, len), and statistics in one row."""
+
+    post: DataFrame
+    lengths: DataFrame
+    stats: DataFrame
+    id_col: str
+
+
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Texts are tokenized once: lengths and statistics come from the written postings. Ids must be unique."""
+    post = cut(postings(docs, id_col, text_col), "postings")
+    sums = post.groupBy(id_col).agg(F.sum("tf").alias("len"))
+    lengths = cut(docs.select(id_col).join(sums, id_col, "left").select(id_col, F.coalesce("len", F.lit(0)).alias("len")), "lengths")
+    return Index(post, lengths, corpus_stats(lengths), id_col)
+
+
+def bm25(corpus: Index, queries: DataFrame, id_col: str = "item_id", text_col: str = "text", distinct: bool = False, without: tuple[str, ...] = ()) -> DataFrame:
+    """(query id, id, score) of all documents that share a term with a query; ``without``: terms left out of the queries.
+
+    Postings are cut down to the queries' terms before anything is weighted. Those terms are written first, so the planner knows
+    their size: a small table goes to the postings, and no posting is shuffled by its term.
+    """
+    asked = cut(postings(queries, id_col, text_col).where(~F.col("term").isin(list(without))), "query-terms")
+    post = corpus.post.join(asked.select("term").distinct(), "term", "left_semi")
+    post = cut(post, "query-postings")
+    query = cut(query_weights_of(asked, document_frequency(post), corpus.stats, id_col, distinct), "query-weights")
+    return sparse_scores(query, document_weights(post, corpus.lengths, corpus.stats, corpus.id_col), id_col, corpus.id_col)
+
+
 def top_k(scores: DataFrame, k: int, part: str, order: list[Column]) -> DataFrame:
     """``rank`` from 1 and the k first rows of each ``part``; cut within tasks before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(part).orderBy(*order))

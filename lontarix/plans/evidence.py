@@ -11,6 +11,7 @@ from ..functions.text import rounded, terms
 from ..operators import dense, evidence, fusion
 from ..operators import lexical as lx
 from ..operators.temporal import visible
+from ..sources.shared import cut
 
 
 @dataclass
@@ -43,10 +44,7 @@ def branches(corpus: Corpus, request: Request) -> dict[str, DataFrame]:
         found = dense.cosine_top_k(vectors, request.questions, request.per_branch, "key", "embedding", "question_id")
         out["dense"] = found.select("question_id", "key", "rank")
     if "bm25" in wanted:
-        post, lengths = lx.postings(seen, "key"), lx.document_lengths(seen, "key")
-        df, stats = lx.document_frequency(post), lx.corpus_stats(lengths)
-        query = lx.query_weights(request.questions, df, stats, id_col="question_id", distinct=True)
-        scores = lx.sparse_scores(query, lx.document_weights(post, lengths, stats, "key"), "question_id", "key")
+        scores = lx.bm25(lx.index(seen, "key"), request.questions, "question_id", distinct=True)
         scores = scores.select("question_id", "key", rounded(F.col("score")).alias("score"))
         out["bm25"] = lx.top_k(scores, request.per_branch, "question_id", [F.desc("score"), F.asc("key")]).select("question_id", "key", "rank")
     if "graph" in wanted and corpus.graph is not None:
@@ -57,7 +55,9 @@ def branches(corpus: Corpus, request: Request) -> dict[str, DataFrame]:
 def answer_context(corpus: Corpus, request: Request) -> DataFrame:
     """(question_id, rank, key, score, state, packed, total): every fused candidate, and whether it is in the packed context."""
     fused = fusion.fuse({k: fusion.checked_branch(v) for k, v in branches(corpus, request).items()}, request.weights)
-    texts = corpus.texts.select("key", F.size(terms("text")).alias("tokens"))
+    # Only texts of found keys are tokenized.
+    fused = cut(fused, "fused")
+    texts = corpus.texts.join(fused.select("key").distinct(), "key", "left_semi").select("key", F.size(terms("text")).alias("tokens"))
     held = evidence.hydrate(fused, corpus.texts.select("key"), texts)
     packed = evidence.pack(held.where("state = 'COMPLETE'"), "question_id", "rank", "tokens", request.budget)
     out = held.join(packed, ["question_id", "rank"], "left")

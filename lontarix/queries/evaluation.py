@@ -197,7 +197,7 @@ SELECT {r6('p')} AS precision, {r6('r')} AS recall, {r6('2 * p * r / (p + r)')}
     "pairwise_precision_recall": f"""WITH {_PRED}, b AS (SELECT sum(n * (n - 1) / 2) AS x FROM (SELECT count(*) AS n FROM pr GROUP BY lang, guess, quality)),
 g AS (SELECT sum(n * (n - 1) / 2) AS y FROM (SELECT count(*) AS n FROM pr GROUP BY lang, guess)), q AS (SELECT sum(n * (n - 1) / 2) AS z FROM (SELECT count(*) AS n FROM pr GROUP BY lang, quality))
 SELECT {r6('x::DOUBLE / y')} AS precision, {r6('x::DOUBLE / z')} AS recall FROM b, g, q""",
-    "cer": f"""SELECT role, {r6("sum(levenshtein(text[1:200], translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')[1:200])) / sum(length(text[1:200]))::DOUBLE")} AS cer FROM conversations GROUP BY 1""",
+    "cer": f"""SELECT role, {r6("sum(levenshtein(text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) / sum(length(text))::DOUBLE")} AS cer FROM conversations GROUP BY 1""",
     "abstention": f"WITH {_PRED} SELECT {r6('count(*) FILTER (toxic = 1 AND guess = 0) / (count(*) FILTER (toxic = 1))::DOUBLE')} AS abstention_recall, {r6('count(*) FILTER (toxic = 0 AND guess = 0) / (count(*) FILTER (toxic = 0))::DOUBLE')} AS false_abstention FROM pr",
     "citation_ratios": f"WITH c AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag <> 'R') AS ok FROM lineitem GROUP BY 1) SELECT {r6('sum(ok) / sum(n)::DOUBLE')} AS precision, {r6('count(*) FILTER (ok > 0) / count(*)::DOUBLE')} AS coverage FROM c",
     "gate_status": f"WITH {_GATE} SELECT * FROM st",

@@ -71,7 +71,7 @@ def citation_map(s, d):
 def hydration(s, d):
     hits = table(s, d, "labels").select(F.col("doc_id").alias("key"), "quality")
     records = table(s, d, "documents").where("doc_id % 7 <> 3").select(F.col("doc_id").alias("key"), "source")
-    texts = table(s, d, "documents").where("doc_id % 5 <> 2").select(F.col("doc_id").alias("key"), F.substring("text", 1, 40).alias("slice"))
+    texts = table(s, d, "documents").where("doc_id % 5 <> 2").select(F.col("doc_id").alias("key"), F.sha2("text", 256).alias("slice"))
     return ev.hydrate(hits, records, texts)
 
 
@@ -123,7 +123,7 @@ FROM p JOIN documents USING (doc_id) GROUP BY 1""",
 FROM lineitem JOIN pages ON page_id = l_partkey % 300 GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY source_id)::INTEGER AS n, count(*) OVER (PARTITION BY claim_id) AS k FROM g)
 SELECT claim_id, source_id, n, url, CASE WHEN k = 1 THEN sp.a END AS span_start, CASE WHEN k = 1 THEN sp.b END AS span_stop FROM r WHERE n <= 3""",
-    "hydration": """SELECT l.doc_id AS key, quality, CASE WHEN l.doc_id % 7 <> 3 THEN source END AS source, CASE WHEN l.doc_id % 5 <> 2 THEN substr(text, 1, 40) END AS slice,
+    "hydration": """SELECT l.doc_id AS key, quality, CASE WHEN l.doc_id % 7 <> 3 THEN source END AS source, CASE WHEN l.doc_id % 5 <> 2 THEN sha256(text) END AS slice,
 CASE WHEN l.doc_id % 7 = 3 THEN 'MISSING_RECORD' WHEN l.doc_id % 5 = 2 THEN 'MISSING_TEXT' ELSE 'COMPLETE' END AS state FROM labels l JOIN documents USING (doc_id)""",
     "chunk_provenance": "SELECT l_orderkey AS chunk_id, count(DISTINCT l_partkey)::BIGINT AS n_versions, count(DISTINCT p_brand)::BIGINT AS n_sources FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1",
     "quote_align": """WITH q AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS quote FROM documents), w AS (SELECT *, quote || chr(10) AS x FROM q),

@@ -137,7 +137,7 @@ def _mentions(s: SparkSession, d: str) -> DataFrame:
 
 
 def _names(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "part").where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("canonical_id"), F.col("p_brand").alias("scope"), surface("p_name").alias("surface"))
+    return table(s, d, "part").select(F.col("p_partkey").alias("canonical_id"), F.col("p_brand").alias("scope"), surface("p_name").alias("surface"))
 
 
 def blocking_lookup(s, d):
@@ -179,9 +179,9 @@ QUERIES = {f.__name__: f for f in (neighbors, paths_2hop, paths_3hop_simple, pat
 EDGES = """
 ed AS (SELECT 'o' || o_orderkey AS assertion_id, 'c' || o_custkey AS subject, 'PLACED' AS predicate, 'o' || o_orderkey AS object FROM orders UNION ALL
 SELECT DISTINCT concat_ws('-', 'l', l_orderkey, l_linenumber, l_partkey, l_suppkey), 'o' || l_orderkey, 'CONTAINS', 'p' || l_partkey FROM lineitem),
-di AS (SELECT subject AS node, assertion_id, object AS other FROM ed UNION ALL SELECT object, assertion_id, subject FROM ed WHERE subject <> object),
-p1 AS (SELECT 'c' || c_custkey AS seed, 1 AS hop, ['c' || c_custkey, other] AS nodes, [assertion_id] AS a FROM customer JOIN di ON node = 'c' || c_custkey WHERE c_custkey % 100 = 0),
-p2 AS (SELECT seed, 2 AS hop, list_append(nodes, other) AS nodes, list_append(a, assertion_id) AS a FROM p1 JOIN di ON node = nodes[-1] WHERE NOT list_contains(nodes, other)),
+di AS MATERIALIZED (SELECT subject AS node, assertion_id, object AS other FROM ed UNION ALL SELECT object, assertion_id, subject FROM ed WHERE subject <> object),
+p1 AS MATERIALIZED (SELECT 'c' || c_custkey AS seed, 1 AS hop, ['c' || c_custkey, other] AS nodes, [assertion_id] AS a FROM customer JOIN di ON node = 'c' || c_custkey WHERE c_custkey % 100 = 0),
+p2 AS MATERIALIZED (SELECT seed, 2 AS hop, list_append(nodes, other) AS nodes, list_append(a, assertion_id) AS a FROM p1 JOIN di ON node = nodes[-1] WHERE NOT list_contains(nodes, other)),
 p3 AS (SELECT seed, 3 AS hop, list_append(nodes, other) AS nodes, list_append(a, assertion_id) AS a FROM p2 JOIN di ON node = nodes[-1] WHERE NOT list_contains(nodes, other)),
 p12 AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2), p123 AS (SELECT * FROM p12 UNION ALL SELECT * FROM p3)"""
 _LI = "concat_ws('-', 'l', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
@@ -227,8 +227,8 @@ SELECT assertion_id, issue, count(*)::BIGINT AS n FROM i GROUP BY 1, 2""",
     "graph_merge": """WITH x AS (SELECT doc_id AS key, doc_id % 2 = 0 AS h, doc_id % 3 = 0 AS g, doc_id IN (SELECT doc_id FROM labels) AS c FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)
 SELECT key, CASE WHEN h AND g THEN 'BOTH' WHEN h THEN 'HYBRID' ELSE 'GRAPH' END AS origin, h OR c AS accepted, CASE WHEN NOT (h OR c) THEN 'outside_graph_support_spans' END AS reason FROM x""",
     "graph_delta_merge": "SELECT 'o' || o_orderkey AS assertion_id, 'c' || o_custkey AS subject, 'PLACED' AS predicate, 'o' || o_orderkey AS object, CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 2 END::BIGINT AS from_seq FROM orders",
-    "blocking_lookup": "SELECT m.p_partkey AS mention_id, a.p_partkey AS canonical_id, lower(trim(a.p_name)) AS surface FROM part m JOIN part a ON m.p_brand = a.p_brand AND lower(trim(m.p_name)) = lower(trim(a.p_name)) WHERE a.p_partkey % 7 = 0",
-    "link_proposals": """WITH c AS (SELECT m.p_partkey AS mention_id, count(DISTINCT a.p_partkey) AS n, min(a.p_partkey) AS one FROM part m LEFT JOIN part a ON m.p_brand = a.p_brand AND lower(trim(m.p_name)) = lower(trim(a.p_name)) AND a.p_partkey % 7 = 0 GROUP BY 1)
+    "blocking_lookup": "SELECT m.p_partkey AS mention_id, a.p_partkey AS canonical_id, lower(trim(a.p_name)) AS surface FROM part m JOIN part a ON m.p_brand = a.p_brand AND lower(trim(m.p_name)) = lower(trim(a.p_name))",
+    "link_proposals": """WITH c AS (SELECT m.p_partkey AS mention_id, count(DISTINCT a.p_partkey) AS n, min(a.p_partkey) AS one FROM part m LEFT JOIN part a ON m.p_brand = a.p_brand AND lower(trim(m.p_name)) = lower(trim(a.p_name)) GROUP BY 1)
 SELECT mention_id, CASE WHEN n = 1 THEN 'LINK' ELSE 'DEFER' END AS proposal, CASE WHEN n = 1 THEN one END AS canonical_id FROM c""",
     "ngram_alias_link": r"""WITH al AS (SELECT DISTINCT doc_id, array_to_string(regexp_split_to_array(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[^a-z]+')[1:2], ' ') AS s FROM documents),
 t AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:\p{L}+(?:-\p{L}+)*|[0-9]+(?:/[0-9]+)*)+', 0) AS w FROM benchmark),

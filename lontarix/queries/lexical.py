@@ -52,11 +52,9 @@ def lex_oov(s, d):
     return lx.out_of_vocabulary(table(s, d, "conversations").select("conv_id", "text"), _index(s, d)[2], "conv_id")
 
 
-def bm25_scores(s: SparkSession, d: str, distinct: bool = False) -> DataFrame:
-    post, lengths, df, stats = _index(s, d)
-    weights = lx.document_weights(post, lengths, stats)
-    query = lx.query_weights(table(s, d, "benchmark"), df, stats, distinct=distinct)
-    return lx.sparse_scores(query, weights).select("item_id", "doc_id", rounded(F.col("score")).alias("score"))
+def bm25_scores(s: SparkSession, d: str, distinct: bool = False, without: tuple[str, ...] = ()) -> DataFrame:
+    scores = lx.bm25(lx.index(table(s, d, "documents").select("doc_id", "text")), table(s, d, "benchmark"), distinct=distinct, without=without)
+    return scores.select("item_id", "doc_id", rounded(F.col("score")).alias("score"))
 
 
 def bm25_topk(s, d):
@@ -65,9 +63,7 @@ def bm25_topk(s, d):
 
 def preview_search_topk(s, d):
     """Distinct query terms without stop words; one hit a distinct text; 12 at most."""
-    post, lengths, df, stats = _index(s, d)
-    query = lx.query_weights(table(s, d, "benchmark"), df, stats, distinct=True).where(~F.col("term").isin(lx.PREVIEW_STOPWORDS))
-    scores = lx.sparse_scores(query, lx.document_weights(post, lengths, stats)).select("item_id", "doc_id", rounded(F.col("score")).alias("score"))
+    scores = bm25_scores(s, d, True, tuple(lx.PREVIEW_STOPWORDS))
     pages = table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("page"))
     best = scores.join(pages, "doc_id").withColumn("nth", F.expr("row_number() OVER (PARTITION BY item_id, page ORDER BY score DESC, doc_id)")).where("nth = 1")
     return lx.top_k(best.drop("nth", "page"), 12, "item_id", [F.desc("score"), F.asc("doc_id")])

@@ -50,11 +50,8 @@ def _branches(s: SparkSession, d: str) -> dict[str, DataFrame]:
     """Dense and lexical branches for the same questions: the question's document is the lexical query."""
     vec = dense_topk(s, d).select(F.col("query_id").alias("question_id"), F.col("vec_id").alias("key"), "rank")
     docs = table(s, d, "documents").select("doc_id", "text")
-    lengths, post = lx.document_lengths(docs), lx.postings(docs)
-    df, stats = lx.document_frequency(post), lx.corpus_stats(lengths)
     asked = _questions(s, d).select("query_id").join(docs.withColumnRenamed("doc_id", "query_id"), "query_id")
-    query = lx.query_weights(asked, df, stats, id_col="query_id", distinct=True)
-    scores = lx.sparse_scores(query, lx.document_weights(post, lengths, stats), "query_id")
+    scores = lx.bm25(lx.index(docs), asked, "query_id", distinct=True)
     scores = scores.select("query_id", "doc_id", rounded(F.col("score")).alias("score"))
     top = lx.top_k(scores, 20, "query_id", [F.desc("score"), F.asc("doc_id")])
     return {"dense": vec, "bm25": top.select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("key"), "rank")}
@@ -163,7 +160,7 @@ h AS (SELECT q.vec_id AS query_id, count(*) FILTER (r.label = q.label) AS n3, co
 
 _SEEN = "{0} % 10 <= 5 AND NOT ({0} % 3 = 0 AND {0} % 10 + 4 <= 5)"
 _EVIDENCE = f"""WITH RECURSIVE {INDEX.replace("FROM documents", "FROM seen").replace("tok AS", "seen AS (SELECT * FROM documents WHERE " + _SEEN.format("doc_id") + "), tok AS", 1)}, {_DENSE},
-dv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r2 FROM sim WHERE {_SEEN.format("vec_id")} AND vec_id IN (SELECT doc_id FROM documents) AND query_id IN (SELECT doc_id FROM documents)) WHERE r2 <= 20),
+dv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r2 FROM sim WHERE {_SEEN.format("vec_id")} AND vec_id IN (SELECT doc_id FROM documents)) WHERE r2 <= 20),
 lq AS (SELECT DISTINCT doc_id AS query_id, unnest({_T.format("text")}) AS term FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
 ls AS (SELECT query_id, doc_id, {r6("sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * dw.weight)")} AS score FROM lq JOIN df USING (term) JOIN dw USING (term), st GROUP BY 1, 2),
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r2 FROM ls) WHERE r2 <= 20),

@@ -36,4 +36,21 @@ def test_evidence_query_answers_questions_without_document(spark):
     con = connect(SF)
     asked = {q for (q,) in con.sql("SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0").fetchall()}
     assert {r["question_id"] for r in got.select("question_id").collect()} == asked
-    assert_same(got, con, queries.oracles()["evidence_query"].replace(" AND query_id IN (SELECT doc_id FROM documents)", ""))
+    assert_same(got, con, queries.oracles()["evidence_query"])
+
+
+def test_cosine_leaves_out_vectors_without_direction(spark):
+    from lontarix.operators import dense
+
+    rows = [(i, [1.0, i / 10]) for i in range(10)] + [(20 + i, [0.0, 0.0]) for i in range(3)] + [(30, None), (31, [float("nan"), 1.0]), (32, [None, 1.0]), (33, [float("inf"), 0.0]), (34, [1.0]), (35, [1e200, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id IN (0, 20, 30, 34)").withColumnRenamed("vec_id", "query_id")
+    got = dense.cosine_top_k(df, asked, 5).collect()
+    found = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in {r["query_id"] for r in got}}
+    assert found == {0: [0, 35, 1, 2, 3], 34: [34]}
+
+
+def test_links_search_all_names(spark, tmp_path):
+    spark.createDataFrame([(1, "Baut", "b1"), (2, " baut", "b2"), (3, "mur", "b2"), (9, "Mur ", "b2")], "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["mention_id"]: (r["proposal"], r["canonical_id"]) for r in queries.queries()["link_proposals"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("LINK", 1), 2: ("LINK", 2), 3: ("DEFER", None), 9: ("DEFER", None)}
