@@ -130,11 +130,11 @@ def update_plan(before: DataFrame, after: DataFrame, dependencies: DataFrame) ->
 
 
 def admit(assertions: DataFrame, rules: DataFrame) -> DataFrame:
-    """(assertion_id, issue): what an ontology's predicate rules forbid. ``rules`` is small by nature: one row a predicate.
+    """(assertion_id, issue): what an ontology's predicate rules forbid. ``rules`` has one row a predicate; the planner broadcasts it if it is small.
 
     Columns of rules: predicate, subject_type, object_type, self_loop.
     """
-    r = F.broadcast(rules.select("predicate", F.col("subject_type").alias("want_s"), F.col("object_type").alias("want_o"), F.col("self_loop").alias("loop_ok")))
+    r = rules.select("predicate", F.col("subject_type").alias("want_s"), F.col("object_type").alias("want_o"), F.col("self_loop").alias("loop_ok"))
     j = assertions.join(r, "predicate", "left")
     issues = F.array(
         F.when(F.col("want_s").isNull(), "unknown_predicate"),

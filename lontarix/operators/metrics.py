@@ -36,6 +36,59 @@ def nearest_rank(values: DataFrame, value: str, shares: dict[str, float], *by: s
     return placed.groupBy(*by).agg(*picks)
 
 
+def throughput_ratio(ts: Column, one: Column, other: Column) -> Column:
+    """Rows a second among ``one`` over rows a second among ``other``, as an aggregate."""
+
+    def rate(which: Column) -> Column:
+        at = F.when(which, F.unix_micros(ts.cast("timestamp")))
+        return quotient(F.count(at), (F.max(at) - F.min(at)) / 1e6)
+
+    return quotient(rate(one), rate(other))
+
+
+def _rank_of(share: float):
+    return lambda samples: F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{samples}`)")
+
+
+#: What each statistic is computed from: aggregates, or for samples and scores the name of a column of the rows. Quantiles count a
+#: group's distinct values in one buffer; ``nearest_rank`` is for groups of more than memory holds.
+_ESTIMATES = {
+    "p50": (("samples",), _rank_of(0.5)),
+    "p95": (("samples",), _rank_of(0.95)),
+    "p99": (("samples",), _rank_of(0.99)),
+    "max": (("samples",), F.max),
+    "throughput": (("completed", "duration_seconds"), quotient),
+    "ratio": (("numerator", "denominator"), quotient),
+    "micro_ratio": (("numerator", "denominator"), ratio),
+    "pairwise_ratio": (("numerator", "denominator"), ratio),
+    "macro_mean": (("group_scores",), F.avg),
+    "minimum_slice_ratio": (("numerator", "denominator"), lambda n, d: F.min(ratio(n, d))),
+    "micro_f1": (("true_positive", "false_positive", "false_negative"), lambda tp, fp, fn: quotient(2 * tp, 2 * tp + fp + fn)),
+    "corpus_cer": (("edits", "gold_units"), quotient),
+    "count": (("value", "denominator"), lambda value, denominator: F.when(denominator > 0, value).otherwise(F.raise_error(F.lit("no population")))),
+    "difference": (("value", "denominator"), lambda value, denominator: F.when(denominator > 0, value / denominator).otherwise(F.raise_error(F.lit("no population")))),
+}
+
+
+def estimate(statistic: str, **evidence: Column | str) -> Column:
+    """The aggregate of a statistic by its name; its evidence must have exactly the fields that the statistic is computed from."""
+    if statistic not in _ESTIMATES:
+        raise ValueError(f"unsupported statistic: {statistic}")
+    fields, make = _ESTIMATES[statistic]
+    if set(evidence) != set(fields):
+        raise ValueError(f"{statistic} is computed from {sorted(fields)}")
+    return make(*(evidence[f] for f in fields))
+
+
+def populations(questions: DataFrame) -> DataFrame:
+    """(population, n): the questions of the test split that each kind of quality gate counts. ``questions``: record_id, test, answerable, slices."""
+    test, ok = questions.where("test"), F.col("answerable")
+    kinds = {"answerable": ok, "multi_hop": ok & F.array_contains("slices", "multi_hop"), "temporal": ok & F.array_contains("slices", "temporal"), "unanswerable": ~ok}
+    sums = test.agg(*(F.count_distinct(F.when(c, F.col("record_id"))).alias(n) for n, c in kinds.items()))
+    pairs = F.array(*(F.struct(F.lit(n).alias("population"), F.col(n).alias("n")) for n in kinds))
+    return sums.select(F.inline(pairs))
+
+
 def recall_at(found: DataFrame, gold: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     """(by, recall): found rows of grade 3 within rank k over ``n_gold``; questions without gold are left out."""
     hits = found.where(F.col("rank") <= k).groupBy(by).agg(F.count_if(F.col("grade") == 3).alias("hits"))

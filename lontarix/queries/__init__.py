@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, evidence, graph, jobs, lexical, retrieval, structure, temporal
+from . import admission, evaluation, evidence, graph, jobs, lexical, retrieval, structure, temporal
 
-FAMILIES = (lexical, retrieval, temporal, graph, evidence, evaluation, jobs, structure)
+FAMILIES = (lexical, retrieval, temporal, graph, evidence, evaluation, jobs, structure, admission)
 
 
 def queries() -> dict:

@@ -277,3 +277,26 @@ def test_question_trace(spark):
     assert row[0]["t"]["search"] == search and len(row[0]["t"]["edits"]) == 5
     with pytest.raises(ValueError, match="nonblank"):
         mechanical(" \n")
+
+
+def test_estimate_checks_its_evidence(spark):
+    from pyspark.sql import functions as F
+
+    from lontarix.operators import metrics
+
+    with pytest.raises(ValueError, match="unsupported"):
+        metrics.estimate("p42", samples="value")
+    with pytest.raises(ValueError, match="computed from"):
+        metrics.estimate("ratio", numerator=F.lit(1))
+    rows = spark.createDataFrame([(x, g) for g in "ab" for x in (3.0, 1.0, 2.0, 10.0)], "value double, g string")
+    got = rows.groupBy("g").agg(metrics.estimate("p50", samples="value").alias("p50"), metrics.estimate("p95", samples="value").alias("p95"), metrics.estimate("macro_mean", group_scores="value").alias("mean")).collect()
+    assert {tuple(r) for r in got} == {("a", 2.0, 10.0, 4.0), ("b", 2.0, 10.0, 4.0)}
+
+
+def test_listing_walk_ends(spark):
+    from lontarix.operators import admission
+
+    following = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 8)], "page long, next long")
+    seeds = spark.createDataFrame([(1,), (7,)], "page long")
+    assert {tuple(r) for r in admission.walk_listing(seeds, following, 10).collect()} == {(1, 1, 0), (1, 2, 1), (1, 3, 2), (7, 7, 0), (7, 8, 1)}
+    assert admission.walk_listing(seeds, following, 2).count() == 4
