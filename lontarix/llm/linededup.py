@@ -149,7 +149,8 @@ class LineDedup:
             drops = cut(drops, "drops", keep=True)
         rest = [c for c in rows.columns if c not in (text_col, "__row")]
         joined = rows.select("__row", *(F.col(f"`{c}`") for c in rest), F.col(text_col).alias("__text"))
-        joined = joined.join(drops, F.col("__row") == F.col("__at"), "left").select(*(F.col(f"`{c}`") for c in rest), "__text", "__drop")
+        # Sorted and merged at every size, so that the plan of a small run is that of a large one.
+        joined = joined.join(drops.hint("merge"), F.col("__row") == F.col("__at"), "left").select(*(F.col(f"`{c}`") for c in rest), "__text", "__drop")
         fields = [f for f in docs.schema.fields if f.name in rest]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
         schema += ("," if fields else "") + f" `{text_col}` string, n_lines long, n_dropped long"

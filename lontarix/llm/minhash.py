@@ -180,7 +180,8 @@ def one_of_each(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "doc_i
         first = rows.where("n > 0").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m"))
         keep = first.select(F.col("m.row").alias("__kept")).unionByName(rows.where("n = 0").select(F.col("row").alias("__kept")))
         keep = cut(keep, "kept-rows", keep=True)
-    return texts.join(keep, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+    # Sorted and merged at every size, so that the plan of a small run is that of a large one.
+    return texts.join(keep.hint("merge"), F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
 
 
 def _grouped(docs: DataFrame, k: int, pct: int, id_col: str, text_col: str, row: Column | None = None, keep: bool = False) -> DataFrame:

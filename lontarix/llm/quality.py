@@ -190,7 +190,8 @@ def clean(
         kept = _verdicts(table, hot.select("row", "gone"), min_words, max_repeat_pct, min_left).where("kept").select("row")
         side = cut(kept.join(hot.select("row", "__drop"), "row", "left").withColumnRenamed("row", "__kept"), "kept-rows", keep=True)
     rest = [c for c in docs.columns if c != text_col]
-    rows = rows.join(side, F.col("__row") == F.col("__kept")).select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").alias("__text"), "__drop")
+    # Sorted and merged at every size, so that the plan of a small run is that of a large one.
+    rows = rows.join(side.hint("merge"), F.col("__row") == F.col("__kept")).select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").alias("__text"), "__drop")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def strip(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
