@@ -260,6 +260,14 @@ def plain_groups(rows, k, pct):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_op9_finds_all_true_pairs(spark):
+    """The whole table at sf0.01, all pairs compared: no pair above the threshold is left in two components."""
+    sf = SF.replace("sf0.001", "sf0.01")
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = plain_groups(rows, 3, 85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op9_minmax_near_dedup(spark, sf).collect()} == want
+
+
 @pytest.mark.parametrize(("small", "chunk"), [(32, 256), (1, 4)])
 def test_groups_of_copies(spark, monkeypatch, small, chunk):
     monkeypatch.setattr(minhash, "SMALL", small)
