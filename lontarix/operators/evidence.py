@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,14 +14,27 @@ from ..functions.text import trusted_url
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line_no, start, stop, line): lines with their UTF-8 byte ranges, line ends left out. No shuffle: sizes are summed in the row."""
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    sizes = F.transform(parts, lambda x: (F.octet_length(x) + 1).cast("long"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    begins = F.aggregate(sizes, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
-    rows = docs.select(id_col, F.posexplode(F.arrays_zip(begins.alias("start"), parts.alias("line"))).alias("line_no", "x"))
-    stop = F.col("x.start") + F.octet_length("x.line")
-    return rows.select(id_col, "line_no", F.col("x.start").alias("start"), stop.alias("stop"), F.col("x.line").alias("line"))
+    """(id, line_no, start, stop, line): lines with their UTF-8 byte ranges, line ends left out; a null text is one empty line.
+
+    No shuffle, and work in proportion to the text: an Arrow batch is split at once and sizes are summed over all its lines.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = pc.split_pattern(pc.fill_null(batch.column(1).cast(pa.large_string()), ""), "\n")
+            rows, line = pc.list_parent_indices(parts).to_numpy(), pc.list_flatten(parts)
+            size = pc.binary_length(line).to_numpy().astype(np.int64)
+            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            begin = np.cumsum(size + 1) - size - 1
+            start = begin - begin[first][rows]
+            number = np.arange(len(rows)) - first[rows]
+            columns = [batch.column(0).take(pa.array(rows)), pa.array(number, pa.int32()), pa.array(start), pa.array(start + size), line.cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "line_no", "start", "stop", "line"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, line_no int, start long, stop long, line string")
 
 
 def _cells(df: DataFrame, start: str, stop: str, width: int) -> DataFrame:
@@ -83,14 +101,28 @@ def render_block(evidence_id: Column, versions: Column, status: Column, text: Co
 
 
 def tiling(claims: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """(key, n_overlaps, n_gaps): claims (start, stop, in characters) must follow each other with white space alone between them."""
-    rows = claims.join(texts.select(key, F.col("text").alias("__text")), key)
-    rows = rows.withColumn("prev", F.coalesce(F.expr(f"lag(stop) OVER (PARTITION BY {key} ORDER BY start, stop)"), F.lit(0)))
-    rows = rows.withColumn("is_last", F.expr(f"lead(start) OVER (PARTITION BY {key} ORDER BY start, stop)").isNull())
-    between = F.substring("__text", F.col("prev") + 1, F.greatest(F.col("start") - F.col("prev"), F.lit(0)))
-    tail = F.substring("__text", F.col("stop") + 1, F.length("__text"))
-    gap = between.rlike(r"\S") | (F.col("is_last") & tail.rlike(r"\S"))
-    return rows.groupBy(key).agg(F.count_if(F.col("start") < F.col("prev")).alias("n_overlaps"), F.count_if(gap).alias("n_gaps"))
+    """(key, n_overlaps, n_gaps): claims (start, stop, in characters) must follow each other with white space alone between them.
+
+    A text meets the sorted array of its claims, so it moves once, however many claims it has.
+    """
+    own = claims.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__claims"))
+    rows = own.join(texts.select(key, F.coalesce("text", F.lit("")).alias("__text")), key)
+
+    def prev(i: Column) -> Column:
+        return F.when(i > 0, F.get("__claims", i - 1)["stop"]).otherwise(F.lit(0))
+
+    overlaps = F.transform("__claims", lambda c, i: (c["start"] < prev(i)).cast("long"))
+    between = F.transform("__claims", lambda c, i: F.substring("__text", prev(i) + 1, F.greatest(c["start"] - prev(i), F.lit(0))).rlike(r"\S").cast("long"))
+    tail = F.substring("__text", F.element_at("__claims", -1)["stop"] + 1, F.length("__text")).rlike(r"\S")
+    last = F.element_at("between", -1)
+
+    def total(c: str) -> Column:
+        return F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    rows = rows.select(key, overlaps.alias("overlaps"), between.alias("between"), tail.alias("tail"))
+    # The last claim has a gap before it or after it, and counts once.
+    gaps = total("between") + F.when(F.col("tail") & (last == 0), 1).otherwise(0)
+    return rows.select(key, total("overlaps").alias("n_overlaps"), gaps.cast("long").alias("n_gaps"))
 
 
 def cite(claims: DataFrame, sources: DataFrame, cap: int, claim: str = "claim_id") -> DataFrame:

@@ -139,12 +139,17 @@ def changed_frequency(df: DataFrame, removed: DataFrame, added: DataFrame) -> Da
 
 
 def fingerprint(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """SHA-256 of an ordered population: of the sorted (key, digest) pairs, by way of 256 partial digests.
+    """SHA-256 of an ordered population: of the sorted digests of its (key, digest) rows, by way of a tree of partial digests.
 
-    Rows are digested one by one, partial lists are digested by the first byte of their key's hash, and the 256 results once
-    more, so no task holds the whole population.
+    Digests of rows are digested together by their first six hex digits, those by the first three, and these once more: at most
+    4,096 a list on the upper levels, and a 2^24th of the rows on the lowest, so no task holds the whole population.
     """
     digest = F.sha2(F.concat_ws("\x1f", F.col(key).cast("string"), F.col(value).cast("string")), 256)
-    one = rows.select(digest.alias("d"), F.substring(digest, 1, 2).alias("p"))
-    parts = one.groupBy("p").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("d"))), 256).alias("d"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list(F.concat("p", "d")))), 256).alias("fingerprint"), F.sum("n").alias("members"))
+
+    def level(df: DataFrame, width: int, n: Column) -> DataFrame:
+        parts = df.groupBy(F.substring("d", 1, width).alias("p")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("d"))), 256).alias("d"), n.alias("n"))
+        return parts.select(F.concat("p", "d").alias("d"), "n")
+
+    low = level(rows.select(digest.alias("d")), 6, F.count("*"))
+    high = level(low, 3, F.sum("n"))
+    return high.agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("d"))), 256).alias("fingerprint"), F.sum("n").alias("members"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import rounded
+from ..sources.shared import cut
 
 #: Gate statuses, worst last.
 STATUS_ORDER = ("PASS", "NOT_MEASURED", "BLOCKED", "FAIL")
@@ -26,12 +27,19 @@ def quotient(num: Column, den: Column) -> Column:
 def nearest_rank(values: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
     """Nearest-rank quantiles of each group: the value at place ceil(p * n), 1 at least. A null value counts as infinite.
 
-    Values are counted first, so places are found on distinct values: a running count over them, not over all rows.
+    Values are counted first and written in range partitions. A running count within a partition, plus the counts of the
+    group's partitions before it, gives each value's place, so no task sees all values of a group.
     """
     v = F.coalesce(F.col(value).cast("double"), F.lit(float("inf")))
     sizes = values.select(*by, v.alias("v")).groupBy(*by, "v").agg(F.count("*").alias("n"))
-    part = f"PARTITION BY {', '.join(by)}" if by else ""
-    placed = sizes.withColumn("upto", F.expr(f"sum(n) OVER ({part} ORDER BY v)")).withColumn("all", F.expr(f"sum(n) OVER ({part})"))
+    sizes = cut(sizes.repartitionByRange(*by, "v").withColumn("part", F.spark_partition_id()), "sizes")
+    group = f"PARTITION BY {', '.join(by)}" if by else ""
+    parts = sizes.groupBy(*by, "part").agg(F.sum("n").alias("size"))
+    # A null group equals itself here: places are joined on a key that tells it from every other.
+    parts = parts.select(F.struct(*by, "part").alias("at"), F.expr(f"sum(size) OVER ({group} ORDER BY part) - size").alias("before"), F.expr(f"sum(size) OVER ({group})").alias("all"))
+    inner = ", ".join((*by, "part"))
+    placed = sizes.withColumn("upto", F.expr(f"sum(n) OVER (PARTITION BY {inner} ORDER BY v)")).withColumn("at", F.struct(*by, "part"))
+    placed = placed.join(parts, placed["at"].eqNullSafe(parts["at"])).withColumn("upto", F.col("upto") + F.col("before"))
     picks = [F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.lit(p) * F.col("all")), F.lit(1)), F.col("v"))).alias(name) for name, p in shares.items()]
     return placed.groupBy(*by).agg(*picks)
 

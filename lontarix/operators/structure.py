@@ -78,9 +78,12 @@ def parse_tree(text: str, artifact: str = "") -> list[dict]:
 def owned_spans(nodes: list[dict], text: str) -> list[tuple[int, int, int]]:
     """(node, start, stop) of the text between a node's children, trimmed of white space, in order."""
     raw, out = text.encode(), []
+    below: dict[int, list[dict]] = {}
+    for n in nodes[1:]:
+        below.setdefault(n["parent"], []).append(n)
     for n in nodes:
         at = n["start"]
-        for c in [c for c in nodes if c["parent"] == n["no"]] + [{"start": n["stop"], "stop": n["stop"]}]:
+        for c in below.get(n["no"], []) + [{"start": n["stop"], "stop": n["stop"]}]:
             part = raw[at : c["start"]]
             lead = len(part) - len(part.decode().lstrip().encode())
             size = len(part.decode().strip().encode())
@@ -210,14 +213,47 @@ _ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
 
 
 def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, no, node_id, kind, label, level, parent, start, stop) of every document."""
-    names = ["no", "node_id", "kind", "label", "level", "parent", "start", "stop"]
-    return _per_text(docs, id_col, text_col, "int string string string int int long long", names, lambda t: [(n["no"], n["id"], n["kind"], n["label"], n["level"], n["parent"], n["start"], n["stop"]) for n in parse_tree(t)])
+    """(id, no, node_id, kind, label, level, parent, parent_label, parent_start, start, stop) of every document.
+
+    A node comes with its parent's label and place, so no join of nodes with nodes is needed; the root has none.
+    """
+    names = ["no", "node_id", "kind", "label", "level", "parent", "parent_label", "parent_start", "start", "stop"]
+
+    def of(text: str) -> list[tuple]:
+        nodes, out = parse_tree(text), []
+        for n in nodes:
+            up = nodes[n["parent"]] if n["no"] else {"label": None, "start": None}
+            out.append((n["no"], n["id"], n["kind"], n["label"], n["level"], n["parent"], up["label"], up["start"], n["start"], n["stop"]))
+        return out
+
+    return _per_text(docs, id_col, text_col, "int string string string int int string long long long", names, of)
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
-    """(id, chunk, start, stop, tokens) of every document."""
-    return _per_text(docs, id_col, text_col, "int long long int", ["chunk", "start", "stop", "tokens"], lambda t: [(i, a, z, n) for i, (a, z, n) in enumerate(split_chunks(t, **limits))])
+    """(id, chunk, start, stop, tokens, overlap, body) of every document.
+
+    ``overlap`` is the number of bytes that the chunk before has too; ``body`` is the chunk's text, cut in the one pass, so the
+    whole text need not be joined to every chunk.
+    """
+
+    def of(text: str) -> list[tuple]:
+        raw, before, out = text.encode(), 0, []
+        for i, (a, z, n) in enumerate(split_chunks(text, **limits)):
+            out.append((i, a, z, n, max(before - a, 0), raw[a:z].decode()))
+            before = z
+        return out
+
+    return _per_text(docs, id_col, text_col, "int long long int long string", ["chunk", "start", "stop", "tokens", "overlap", "body"], of)
+
+
+def owned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, no, label, start, stop): the text between a node's children, in order, from the one pass that parses the tree."""
+
+    def of(text: str) -> list[tuple]:
+        nodes = parse_tree(text)
+        return [(no, nodes[no]["label"], a, z) for no, a, z in owned_spans(nodes, text)]
+
+    return _per_text(docs, id_col, text_col, "int string long long", ["no", "label", "start", "stop"], of)
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:

@@ -154,8 +154,9 @@ a AS (SELECT term, count(DISTINCT item_id) AS k FROM qpost GROUP BY 1)
 SELECT term, (coalesce(df, 0) - coalesce(g.k, 0) + coalesce(a.k, 0))::BIGINT AS df FROM df FULL JOIN g USING (term) FULL JOIN a USING (term)
 WHERE coalesce(df, 0) - coalesce(g.k, 0) + coalesce(a.k, 0) > 0""",
     "population_fingerprint": """WITH d AS (SELECT sha256(doc_id::VARCHAR || chr(31) || text) AS d FROM documents),
-p AS (SELECT d[1:2] AS p, sha256(string_agg(d, '' ORDER BY d)) AS h, count(*) AS n FROM d GROUP BY 1)
-SELECT sha256(string_agg(p || h, '' ORDER BY p || h)) AS fingerprint, sum(n)::BIGINT AS members FROM p""",
+p AS (SELECT d[1:6] || sha256(string_agg(d, '' ORDER BY d)) AS d, count(*) AS n FROM d GROUP BY d[1:6]),
+q AS (SELECT d[1:3] || sha256(string_agg(d, '' ORDER BY d)) AS d, sum(n) AS n FROM p GROUP BY d[1:3])
+SELECT sha256(string_agg(d, '' ORDER BY d)) AS fingerprint, sum(n)::BIGINT AS members FROM q""",
     "unit_tokens": r"""WITH u AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]')) AS token FROM conversations)
 SELECT conv_id, turn, count(*)::BIGINT AS n_units, sum(strlen(token))::BIGINT AS unit_bytes, max(token) AS last_token FROM u GROUP BY 1, 2""",
     "surface_norm": r"SELECT conv_id, turn, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS surface_sha256 FROM conversations",

@@ -46,18 +46,13 @@ def _documents(s: SparkSession, d: str) -> DataFrame:
 
 
 def structure_tree(s, d):
-    t = structure.trees(_documents(s, d)).where("no > 0")
-    up = structure.trees(_documents(s, d)).select("doc_id", F.col("no").alias("parent"), F.col("label").alias("parent_label"), F.col("start").alias("parent_start"))
-    return t.join(up, ["doc_id", "parent"]).select("doc_id", "kind", "label", "level", "parent_label", "parent_start", "start", "stop")
+    return structure.trees(_documents(s, d)).where("no > 0").select("doc_id", "kind", "label", "level", "parent_label", "parent_start", "start", "stop")
 
 
 def chunk_split(s, d):
     """Chunks stay within both limits, and together they hold all that isn't white space."""
-    docs = table(s, d, "documents").select("doc_id", "text")
-    c = structure.chunks(docs).join(docs, "doc_id")
-    before = F.coalesce(F.expr("max(stop) OVER (PARTITION BY doc_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0))
-    c = c.withColumn("b", before)
-    new = F.expr("decode(substring(encode(text, 'UTF-8'), cast(greatest(start, b) + 1 as int), cast(greatest(stop - greatest(start, b), 0) as int)), 'UTF-8')")
+    c = structure.chunks(table(s, d, "documents"))
+    new = F.expr("decode(substring(encode(body, 'UTF-8'), cast(overlap + 1 as int)), 'UTF-8')")
     return c.groupBy("doc_id").agg((F.max(F.col("stop") - F.col("start")) <= structure.MAX_CHUNK_BYTES).alias("within_bytes"), (F.max("tokens") <= structure.MAX_CHUNK_TOKENS).alias("within_tokens"), F.sum(F.length(F.regexp_replace(new, r"\s+", ""))).alias("solid_chars"))
 
 
