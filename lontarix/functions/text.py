@@ -55,10 +55,26 @@ def terms(c: Column | str) -> Column:
 
 
 def checked_terms(c: Column | str) -> Column:
-    """``terms`` that fails on a text, a term or a number of terms over the limits."""
-    text, found = col(c), terms(c)
-    bad = (F.octet_length(text) > MAX_TEXT_BYTES) | (F.size(found) > MAX_TERMS) | F.exists(found, lambda t: F.octet_length(t) > MAX_TERM_BYTES)
-    return F.when(bad, F.raise_error(F.lit("analyzer limit exceeded")).cast("array<string>")).otherwise(found)
+    """``terms`` that fails on a text, a term or a number of terms over the limits. The terms are found once."""
+
+    def checked(one: Column) -> Column:
+        found = one["terms"]
+        bad = (one["size"] > MAX_TEXT_BYTES) | (F.size(found) > MAX_TERMS) | F.exists(found, lambda t: F.octet_length(t) > MAX_TERM_BYTES)
+        return F.when(bad, F.raise_error(F.lit("analyzer limit exceeded")).cast("array<string>")).otherwise(found)
+
+    one = F.struct(terms(c).alias("terms"), F.octet_length(col(c)).alias("size"))
+    return F.element_at(F.transform(F.array(one), checked), 1)
+
+
+def composed(c: Column | str) -> Column:
+    """NFC of a text. Only a text with a character from U+0300 on can change, so no other goes to Python."""
+    text = col(c)
+    return F.coalesce(nfc(F.when(text.rlike(r"[\x{0300}-\x{10FFFF}]"), text)), text)
+
+
+def analyzed(c: Column | str) -> Column:
+    """The analyzer: NFC, then terms within the limits."""
+    return checked_terms(composed(c))
 
 
 def surface(c: Column | str) -> Column:

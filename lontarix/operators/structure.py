@@ -8,13 +8,14 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LIGATURES, UNIT, heading_of
+from .evidence import overlaps
 
 #: Chunk limits in bytes and tokens.
 MAX_CHUNK_BYTES, MAX_CHUNK_TOKENS, MIN_SPLIT_BYTES, OVERLAP_BYTES = 4096, 512, 1024, 256
@@ -137,6 +138,53 @@ def split_chunks(text: str, max_bytes: int = MAX_CHUNK_BYTES, max_tokens: int =
     return out
 
 
+def fit_tokens(text: str, most: int, count: Callable[[str], int]) -> tuple[str, int]:
+    """The beginning of ``text`` that holds at most ``most`` tokens by ``count``, and its tokens.
+
+    While there are too many, the width in bytes is scaled by most / tokens, one byte less at least, down to a whole character.
+    """
+    raw = text.encode()
+    size = len(raw)
+    while True:
+        part = raw[:size].decode()
+        n = count(part)
+        if n < 1 and part.strip():
+            raise ValueError("a text that isn't blank must have tokens")
+        if n <= most:
+            return part, n
+        if len(part) == 1:
+            raise ValueError("one character exceeds the token limit")
+        size = min(max(size * most // n, 1), size - 1)
+        while size and raw[size] & 0xC0 == 0x80:
+            size -= 1
+        size = size or len(part[0].encode())
+
+
+def fitted_chunks(text: str, most: int, count: Callable[[str], int], max_bytes: int = MAX_CHUNK_BYTES, min_split: int = MIN_SPLIT_BYTES, overlap: int = OVERLAP_BYTES) -> list[tuple[int, int, int]]:
+    """``split_chunks`` whose token limit is that of an injected counter: a chunk over it shrinks by ``fit_tokens``, then begins the
+    next one right behind."""
+    raw, out, at = text.encode(), [], 0
+    while at < len(raw):
+        room = raw[at : at + max_bytes + 4].decode(errors="ignore")  # a limit beyond the window's end needs no more of the text
+        _, z, _ = split_chunks(room, max_bytes, len(room) + 1, min_split, overlap)[0]
+        part, n = fit_tokens(room.encode()[:z].decode(), most, count)
+        stop = at + len(part.encode())
+        out.append((at, stop, n))
+        if stop >= len(raw):
+            break
+        at = _next_start(raw, max(stop - overlap, at + 1), stop)
+    return out
+
+
+def _next_start(raw: bytes, back: int, stop: int) -> int:
+    """Behind the first run of white space from ``back`` on, or ``stop`` if no word begins before it."""
+    while back < stop and raw[back] & 0xC0 == 0x80:
+        back += 1
+    tail = raw[back:stop].decode()
+    m = re.search(r"\s+(?=\S)", tail)
+    return back + len(tail[: m.end()].encode()) if m else stop
+
+
 def split_windows(text: str, size: int = 1600, overlap: int = 160, least: int = 60) -> list[tuple[int, int]]:
     """(start, stop) in UTF-8 bytes of search windows: ``size`` characters, back to the last line end if that is past the half.
 
@@ -256,6 +304,27 @@ def owned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return _per_text(docs, id_col, text_col, "int string long long", ["no", "label", "start", "stop"], of)
 
 
+def owned_chunks(docs: DataFrame, count: Callable[[str], int], most: int = MAX_CHUNK_TOKENS, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+    """(id, no, path, start, stop, tokens, body): chunks of each node's own text, within ``most`` tokens by ``count``.
+
+    ``path`` joins the labels above and of the node with " > ", the document's own left out. ``count`` is any function of a
+    text, for example a tokenizer's; it runs in the tasks.
+    """
+
+    def of(text: str) -> list[tuple]:
+        nodes, raw, out = parse_tree(text), text.encode(), []
+        for no, a, z in owned_spans(nodes, text):
+            labels, up = [], no
+            while up:
+                labels.append(nodes[up]["label"])
+                up = nodes[up]["parent"]
+            for b, e, n in fitted_chunks(raw[a:z].decode(), most, count, **limits):
+                out.append((no, " > ".join(reversed(labels)), a + b, a + e, n, raw[a + b : a + e].decode()))
+        return out
+
+    return _per_text(docs, id_col, text_col, "int string long long int string", ["no", "path", "start", "stop", "tokens", "body"], of)
+
+
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """(id, start, stop) of every document's search windows."""
     return _per_text(docs, id_col, text_col, "long long", ["start", "stop"], lambda t: split_windows(t, **limits))
@@ -266,6 +335,31 @@ def byte_maps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return _per_text(docs, id_col, text_col, "long long long long string", ["raw_start", "raw_stop", "norm_start", "norm_stop", "kind"], lambda t: normalize_with_map(t)[1])
 
 
+def raw_cover(maps: DataFrame, ranges: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``ranges`` (id, start, stop of normalized bytes) with ``raw_start``, ``raw_stop``: the least raw range that they come from.
+
+    Identities are cut to the byte, other spans count whole. Empty ranges and those that no span reaches give no row.
+    """
+    return _cover(maps, ranges, id_col, "norm", "raw")
+
+
+def normalized_cover(maps: DataFrame, ranges: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``ranges`` (id, start, stop of raw bytes) with ``norm_start``, ``norm_stop``; what was dropped is an empty range."""
+    return _cover(maps, ranges, id_col, "raw", "norm")
+
+
+def _cover(maps: DataFrame, ranges: DataFrame, id_col: str, source: str, target: str) -> DataFrame:
+    """Ranges and the spans they reach meet in byte cells; a map goes forward on both sides, so least and greatest bounds will do."""
+    a = ranges.where("start < stop").select(id_col, F.col("start").alias("a_start"), F.col("stop").alias("a_stop")).distinct()
+    b = maps.withColumn("b_start", F.col(f"{source}_start")).withColumn("b_stop", F.col(f"{source}_stop"))
+    own = F.col("kind") == "IDENTITY"
+    begin = F.col(f"{target}_start") + F.when(own, F.greatest(F.col("a_start") - F.col("b_start"), F.lit(0))).otherwise(F.lit(0))
+    end = F.when(own, F.col(f"{target}_start") + F.least("a_stop", "b_stop") - F.col("b_start")).otherwise(F.col(f"{target}_stop"))
+    j = overlaps(a, b.where("b_start < b_stop"), id_col)
+    out = j.groupBy(id_col, "a_start", "a_stop").agg(F.min(begin).alias(f"{target}_start"), F.max(end).alias(f"{target}_stop"))
+    return out.withColumnsRenamed({"a_start": "start", "a_stop": "stop"})
+
+
 def unit_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, unit, start, stop): byte range of each source unit, for spans given as ranges of units."""
 

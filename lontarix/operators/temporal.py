@@ -128,3 +128,16 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, v
     buckets = buckets.select(key, "__b", F.expr(carry).alias("__before"))
     out = seen.join(buckets, [key, "__b"]).withColumn("__got", F.coalesce("__own", "__before"))
     return out.select(key, *(F.col(f"__row.{c}").alias(c) for c in cols), *(F.col(f"__got.{v}").alias(v) for v in values))
+
+
+def resolve_scope(mode: Column, effective: Column, compare: Column, instant: Column, zone: str | None) -> Column:
+    """The dates that a question is asked for, as an array; an error for a scope that can't be resolved.
+
+    AS_OF keeps its date. CURRENT is the calendar date of ``instant`` in the configured zone and takes no dates of the caller's.
+    COMPARE gives 2 to 8 distinct dates in their order: discovery runs once, ``applicability`` at each.
+    """
+    n = F.coalesce(F.greatest(F.size(compare), F.lit(0)), F.lit(0))
+    bad = F.raise_error(F.concat(F.lit("temporal scope "), F.coalesce(mode, F.lit("missing")))).cast("array<date>")
+    now = F.when(effective.isNull() & (n == 0) & instant.isNotNull(), F.array(local_date(instant, zone))).otherwise(bad) if zone else bad
+    many = F.when(effective.isNull() & n.between(2, 8) & (F.size(F.array_distinct(compare)) == n) & ~F.exists(compare, lambda x: x.isNull()), compare).otherwise(bad)
+    return F.when(mode == "AS_OF", F.when(effective.isNotNull() & (n == 0), F.array(effective)).otherwise(bad)).when(mode == "CURRENT", now).when(mode == "COMPARE", many).otherwise(bad)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import admission, evaluation, evidence, graph, jobs, lexical, retrieval, structure, temporal
+from . import admission, answers, evaluation, evidence, graph, jobs, lexical, retrieval, structure, temporal
 
-FAMILIES = (lexical, retrieval, temporal, graph, evidence, evaluation, jobs, structure, admission)
+FAMILIES = (lexical, retrieval, temporal, graph, evidence, evaluation, jobs, structure, admission, answers)
 
 
 def queries() -> dict:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,45 +24,68 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def put(rows: DataFrame, path: str, payload: str) -> int:
     """Store payloads under their SHA-256; those that are there already are left alone. Returns how many were new.
 
-    New rows go to a folder of their own, so nothing that is stored is ever written again.
+    New rows go to a folder with a name of its own, so nothing that is stored is ever written again and two writers don't
+    mix; a payload that both bring at once is stored by both, and ``get`` returns it once.
     """
     spark = rows.sparkSession
     new = rows.select(F.sha2(F.col(payload), 256).alias("sha256"), F.col(payload).cast("binary").alias("bytes")).where("bytes IS NOT NULL").groupBy("sha256").agg(F.first("bytes").alias("bytes"))
     new = new.withColumn("size", F.octet_length("bytes").cast("long"))
-    n = 0
     if _exists(spark, path):
-        n = len([s for s in _fs(spark, path)[0].listStatus(_fs(spark, path)[1])])
-        new = new.join(spark.read.option("recursiveFileLookup", "true").parquet(path).select("sha256"), "sha256", "left_anti")
-    part = f"{path}/batch={n:06d}"
+        new = new.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
+    part = f"{path}/batch={uuid.uuid4().hex}"
     new.write.option("compression", "zstd").parquet(part)
     return spark.read.parquet(part).count()
 
 
+def _batched(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return any(s.getPath().getName().startswith("batch=") for s in fs.listStatus(p))
+
+
 def get(spark: SparkSession, path: str) -> DataFrame:
     """(sha256, bytes, size); a row whose bytes don't have its digest or size stops the job."""
-    stored = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    stored = spark.read.parquet(path).withColumn("batch", F.col("batch").cast("string")) if _batched(spark, path) else spark.read.parquet(path).withColumn("batch", F.lit(""))
+    # Payloads that two writers stored at once: few, and found by their digests alone, without moving bytes.
+    twice = stored.select("sha256", "batch").groupBy("sha256").agg(F.count("*").alias("n"), F.min("batch").alias("first")).where("n > 1")
+    stored = stored.join(twice.select("sha256", "first"), "sha256", "left").where("first IS NULL OR batch = first")
     fine = (F.sha2("bytes", 256) == F.col("sha256")) & (F.octet_length("bytes") == F.col("size"))
     checked = F.when(fine, F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("damaged blob "), F.col("sha256"))).cast("binary"))
     return stored.select("sha256", checked.alias("bytes"), "size")
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int:
+def _reserve(spark: SparkSession, root: str) -> int:
+    """A snapshot number that no other writer has: the first whose claim file this one could create."""
+    fs, base = _fs(spark, root)
+    fs.mkdirs(base)
+    taken = [int(m.group(1)) for m in (re.fullmatch(r"(?:snapshot=|claim-)(\d+)", s.getPath().getName()) for s in fs.listStatus(base)) if m]
+    number = max(taken, default=0) + 1
+    while not fs.createNewFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/claim-{number}")):
+        number += 1
+    return number
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], expected: int | None = None) -> int:
     """Write a new snapshot of several tables and make it the active one; returns its sequence.
 
-    Tables go to ``snapshot=<n>/<name>``; then one small manifest is written aside and renamed into place. A reader sees the
-    old snapshot or the new one, never parts of both; a failed write leaves the old one active.
+    A number is claimed first, so two writers never share a folder. Tables go to ``snapshot=<n>/<name>`` and are read back: the
+    manifest holds a receipt (rows) of each. Then one small manifest is written aside and renamed into place. A reader sees
+    the old snapshot or the new one, never parts of both; a failed write leaves the old one active. With ``expected``, the snapshot that
+    the new one builds on, publication fails if another has become active since; snapshots become active in the order of their numbers.
     """
-    fs, base = _fs(spark, root)
+    number = _reserve(spark, root)
+    fs, _ = _fs(spark, root)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs.mkdirs(base)
-    numbers = [int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(base) if s.getPath().getName().startswith("snapshot=")]
-    number = max(numbers, default=0) + 1
+    receipts = {}
     for name, df in tables.items():
         df.write.option("compression", "zstd").parquet(f"{root}/snapshot={number}/{name}")
+        receipts[name] = spark.read.parquet(f"{root}/snapshot={number}/{name}").count()
+    now = active(spark, root)
+    if (expected is not None and now != expected) or (now or 0) > number:
+        raise RuntimeError(f"snapshot {now} has become active")
     done = path(f"{root}/manifest-{number:012d}.json")
     aside = path(f"{root}/.manifest-{number:012d}.tmp")
     out = fs.create(aside, True)
-    out.write(bytearray(json.dumps({"snapshot": number, "tables": sorted(tables)}).encode()))
+    out.write(bytearray(json.dumps({"snapshot": number, "tables": sorted(tables), "receipts": receipts}).encode()))
     out.close()
     if not fs.rename(aside, done):
         raise RuntimeError("the snapshot could not be published")

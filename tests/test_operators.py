@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lontarix.functions import html
-from lontarix.functions.text import checked_terms, heading_of, is_roman, nfc, span_of_quote, surface, terms
+from lontarix.functions.text import analyzed, checked_terms, heading_of, is_roman, nfc, span_of_quote, surface, terms
 from lontarix.operators import evidence, fusion, graph, jobs, lexical, metrics, quality, registry, structure, temporal
 
 
@@ -300,3 +300,94 @@ def test_listing_walk_ends(spark):
     seeds = spark.createDataFrame([(1,), (7,)], "page long")
     assert {tuple(r) for r in admission.walk_listing(seeds, following, 10).collect()} == {(1, 1, 0), (1, 2, 1), (1, 3, 2), (7, 7, 0), (7, 8, 1)}
     assert admission.walk_listing(seeds, following, 2).count() == 4
+
+
+def test_analyzer_fixture(spark):
+    """Fixed cases of the analyzer, by the whole chain: composition, terms, limits."""
+    cases = {
+        "UU No. 12/2020 Pasal 3 ayat (2)": ["uu", "no", "12/2020", "pasal", "3", "ayat", "2"],
+        "Undang-Undang dan peraturan-peraturan": ["undang-undang", "dan", "peraturan-peraturan"],
+        "Ékonomi ékonomi": ["Ékonomi", "ékonomi"],
+        "pasalⅣ berlaku": ["pasal", "berlaku"],
+        "a\u0345b": ["a", "b"],
+        "Cafe\u0301 dan Caf\u00e9": ["café", "dan", "café"],
+        "...?!": [],
+    }
+    for text, want in cases.items():
+        assert one(spark, analyzed("t"), t=text) == want
+    with pytest.raises(Exception, match="limit exceeded"):
+        one(spark, analyzed("t"), t="x" * 257)
+
+
+def test_fit_tokens():
+    words = lambda t: len(t.split())
+    assert structure.fit_tokens("satu dua tiga", 3, words) == ("satu dua tiga", 3)
+    part, n = structure.fit_tokens("é " * 50, 7, words)
+    assert n <= 7 and ("é " * 50).startswith(part) and part
+    with pytest.raises(ValueError, match="one character"):
+        structure.fit_tokens("é", 1, lambda t: 2)
+    with pytest.raises(ValueError, match="must have tokens"):
+        structure.fit_tokens("a", 1, lambda t: 0)
+
+
+def test_fitted_chunks_cover():
+    text = " ".join(f"kata{i} é." for i in range(200))
+    raw = text.encode()
+    for most, size, least, over in ((5, 96, 40, 16), (3, 30, 8, 0), (500, 96, 40, 16)):
+        got = structure.fitted_chunks(text, most, lambda t: len(t.split()), size, least, over)
+        held = set()
+        for a, z, n in got:
+            assert z - a <= size and n <= most and len(raw[a:z].decode().split()) == n
+            held.update(range(a, z))
+        assert not b"".join(raw[i : i + 1] for i in range(len(raw)) if i not in held).strip()
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+
+
+def test_owned_chunks(spark):
+    text = "PEMBUKAAN\nBAB I\nKETENTUAN UMUM\nPasal 1\n(1) Setiap warga memenuhi syarat utama.\na. membawa identitas sah;\n(2) Kewajiban berlaku, kecuali keadaan darurat yang dapat dibuktikan.\n"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    rows = structure.owned_chunks(docs, lambda t: len(t.split()), 512, max_bytes=96, min_split=40, overlap=16).collect()
+    assert {r.doc_id for r in rows} == {1} and all(r.stop - r.start <= 96 and r.tokens > 0 for r in rows)
+    assert next(r.path for r in rows if "identitas sah" in r.body) == "BAB I > Pasal 1 > (1) > a."
+    assert any("PEMBUKAAN" in r.body and r.path == "" for r in rows) and any("kecuali keadaan darurat" in r.body for r in rows)
+
+
+def test_covers(spark):
+    raw = "a\r\nb\t c­deﬁx"
+    docs = spark.createDataFrame([(1, raw)], "doc_id long, text string")
+    maps = structure.byte_maps(docs)
+    norm, spans = structure.normalize_with_map(raw)
+    assert norm == "a\nb cdefix"
+    n = len(norm.encode())
+    asked = [(1, a, z) for a in range(n) for z in range(a + 1, n + 1)]
+    got = {(r.start, r.stop): (r.raw_start, r.raw_stop) for r in structure.raw_cover(maps, spark.createDataFrame(asked, "doc_id long, start long, stop long")).collect()}
+    for _, a, z in asked:
+        hit = [s for s in spans if s[3] > a and s[2] < z]
+        first, last = hit[0], hit[-1]
+        assert got[a, z] == (first[0] + (max(a - first[2], 0) if first[4] == "IDENTITY" else 0), last[0] + min(z, last[3]) - last[2] if last[4] == "IDENTITY" else last[1])
+    size = len(raw.encode())
+    back = structure.normalized_cover(maps, spark.createDataFrame([(1, 1, 3), (1, 0, size), (1, 1, 2), (1, 7, 9)], "doc_id long, start long, stop long")).collect()
+    # CRLF whole and in part is one line end; the dropped hyphen is an empty range.
+    assert {(r.start, r.stop): (r.norm_start, r.norm_stop) for r in back} == {(1, 3): (1, 2), (0, size): (0, n), (1, 2): (1, 2), (7, 9): (5, 5)}
+
+
+def test_scope_errors(spark):
+    def dates(mode, effective=None, compare=None, zone="Asia/Jakarta"):
+        row = spark.createDataFrame([(mode, effective, compare, "2024-01-01 18:00:00")], "m string, e string, c array<string>, t string")
+        c = temporal.resolve_scope(F.col("m"), F.to_date("e"), F.col("c").cast("array<date>"), F.col("t").cast("timestamp"), zone)
+        return [str(x) for x in row.select(c.alias("d")).first().d]
+
+    assert dates("CURRENT") == ["2024-01-02"] and dates("AS_OF", "2020-05-01") == ["2020-05-01"]
+    assert dates("COMPARE", None, ["2020-01-01", "2019-01-01"]) == ["2020-01-01", "2019-01-01"]
+    for bad in (("AS_OF",), ("CURRENT", "2020-01-01"), ("CURRENT", None, None, None), ("COMPARE", None, ["2020-01-01"]), ("COMPARE", None, ["2020-01-01"] * 2), ("OTHER",)):
+        with pytest.raises(Exception, match="temporal scope"):
+            dates(*bad)
+
+
+def test_null_groups_and_empty_lines(spark):
+    rows = spark.createDataFrame([(None, 1.0), (None, 3.0), ("x", None), ("x", 2.0)], "g string, v double")
+    got = {r.g: (r.p50, r.top) for r in metrics.nearest_rank(rows, "v", {"p50": 0.5, "top": 1.0}, "g").collect()}
+    assert got == {None: (1.0, 3.0), "x": (2.0, float("inf"))}
+    docs = spark.createDataFrame([(1, "é\n\nab"), (2, None), (3, ""), (4, "x\n")], "doc_id long, text string")
+    lines = sorted((r.doc_id, r.line_no, r.start, r.stop, r.line) for r in evidence.lines_of(docs).collect())
+    assert lines == [(1, 0, 0, 2, "é"), (1, 1, 3, 3, ""), (1, 2, 4, 6, "ab"), (2, 0, 0, 0, ""), (3, 0, 0, 0, ""), (4, 0, 0, 1, "x"), (4, 1, 2, 2, "")]
