@@ -73,8 +73,19 @@ def composed(c: Column | str) -> Column:
 
 
 def analyzed(c: Column | str) -> Column:
-    """The analyzer: NFC, then terms within the limits."""
-    return checked_terms(composed(c))
+    """The analyzer: NFC, then terms; fails on a text or a number of terms over the limits. ``checked_term`` checks each one.
+
+    A term and what ends it take two bytes, so shorter texts need no count.
+    """
+    text = composed(c)
+    found, size = terms(text), F.octet_length(text)
+    bad = (size > MAX_TEXT_BYTES) | ((size >= 2 * MAX_TERMS - 1) & (F.size(found) > MAX_TERMS))
+    return F.when(bad, F.raise_error(F.lit("analyzer limit exceeded")).cast("array<string>")).otherwise(found)
+
+
+def checked_term(c: Column | str) -> Column:
+    """A term; fails on one over the limit."""
+    return F.when(F.octet_length(col(c)) > MAX_TERM_BYTES, F.raise_error(F.lit("analyzer limit exceeded")).cast("string")).otherwise(col(c))
 
 
 def surface(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import analyzed
+from ..functions.text import analyzed, checked_term, checked_terms, composed
 from ..sources.shared import cut
 
 #: BM25 defaults, and the words the preview search leaves out of a question.
@@ -20,12 +20,13 @@ PREVIEW_STOPWORDS = (
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, tf). One shuffle by (id, term), summed up within tasks first."""
-    return docs.select(F.col(id_col), F.explode(analyzed(text_col)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    found = docs.select(F.col(id_col), F.explode(analyzed(text_col)).alias("term"))
+    return found.select(id_col, checked_term("term").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def document_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, len): number of terms, 0 for documents without any. No shuffle."""
-    return docs.select(F.col(id_col), F.coalesce(F.size(analyzed(text_col)), F.lit(0)).cast("long").alias("len"))
+    return docs.select(F.col(id_col), F.coalesce(F.size(checked_terms(composed(text_col))), F.lit(0)).cast("long").alias("len"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from .evidence import overlaps
 MAX_CHUNK_BYTES, MAX_CHUNK_TOKENS, MIN_SPLIT_BYTES, OVERLAP_BYTES = 4096, 512, 1024, 256
 _UNIT = re.compile(UNIT.replace(r"[\p{L}\p{M}\p{N}]+", r"(?:[^\W_]|[̀-ͯ])+").replace(r"[^\s\p{L}\p{M}\p{N}]", r"[^\s]"))
 _LINE = re.compile(r"[^\n\f]*(?:[\n\f]|$)")
+_STOP, _BLANK = re.compile(r"[\n\f.;?!]"), re.compile(r"\s")
 _SPACES = re.compile(r"[ \t          　]")
 
 
@@ -94,19 +96,25 @@ def owned_spans(nodes: list[dict], text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: x[1])
 
 
+def _offsets(text: str) -> Sequence[int]:
+    """Where each character begins in UTF-8 bytes, and the text's end."""
+    if text.isascii():
+        return range(len(text) + 1)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return [*np.flatnonzero((raw & 0xC0) != 0x80).tolist(), len(raw)]
+
+
 def split_chunks(text: str, max_bytes: int = MAX_CHUNK_BYTES, max_tokens: int = MAX_CHUNK_TOKENS, min_split: int = MIN_SPLIT_BYTES, overlap: int = OVERLAP_BYTES) -> list[tuple[int, int, int]]:
     """(start, stop, tokens) in UTF-8 bytes. A chunk ends at the last sentence or line end after ``min_split``, else at white
     space, else where a limit cuts; the next begins at a word within ``overlap`` bytes of that end.
 
     Positions of characters, tokens and possible ends are listed once; each chunk then takes a few searches by halving.
     """
-    offsets = [0]
-    for ch in text:
-        offsets.append(offsets[-1] + len(ch.encode()))
+    offsets = _offsets(text)
     units = [(m.start(), m.end()) for m in _UNIT.finditer(text)]
     begins, ends = [u[0] for u in units], [u[1] for u in units]
-    stops = [i + 1 for i, ch in enumerate(text) if ch in "\n\f.;?!"]
-    blanks = [i for i, ch in enumerate(text) if ch.isspace()]
+    stops = [m.end() for m in _STOP.finditer(text)]
+    blanks = [m.start() for m in _BLANK.finditer(text)]
 
     def tokens(a: int, z: int) -> int:
         return bisect_left(begins, z) - bisect_right(ends, a)
@@ -190,9 +198,7 @@ def split_windows(text: str, size: int = 1600, overlap: int = 160, least: int =
 
     The next window begins ``overlap`` characters before the end. Windows of less than ``least`` bytes of text are left out.
     """
-    offsets = [0]
-    for ch in text:
-        offsets.append(offsets[-1] + len(ch.encode()))
+    offsets = _offsets(text)
     out, a, n = [], 0, len(text)
     while a < n:
         z = min(a + size, n)

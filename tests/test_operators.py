@@ -315,8 +315,11 @@ def test_analyzer_fixture(spark):
     }
     for text, want in cases.items():
         assert one(spark, analyzed("t"), t=text) == want
-    with pytest.raises(Exception, match="limit exceeded"):
-        one(spark, analyzed("t"), t="x" * 257)
+    docs = spark.createDataFrame([(1, "x" * 257)], "doc_id long, text string")
+    for over in (lambda: lexical.postings(docs).collect(), lambda: lexical.document_lengths(docs).collect(), lambda: one(spark, analyzed("t"), t="a " * 100_001), lambda: one(spark, analyzed("t"), t="." * 2_000_001)):
+        with pytest.raises(Exception, match="limit exceeded"):
+            over()
+    assert len(one(spark, analyzed("t"), t="a " * 99_999 + "a")) == 100_000
 
 
 def test_fit_tokens():
