@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import cut
 
 #: Limits of a traversal.
-MAX_HOPS, MAX_PATHS, MAX_SEEDS, MAX_DEPTH = 16, 4096, 64, 64
+MAX_HOPS, MAX_DEPTH = 16, 64
 
 
 def directions(assertions: DataFrame) -> DataFrame:

@@ -86,3 +86,18 @@ def publish_ready(receipts: DataFrame, backends: list[str]) -> DataFrame:
     """(snapshot, ready): a snapshot may be published when every backend has given a receipt."""
     want = F.array(*(F.lit(b) for b in backends))
     return receipts.groupBy("snapshot").agg((F.size(F.array_except(want, F.collect_set("backend"))) == 0).alias("ready"))
+
+
+def outbox(published: DataFrame, events: DataFrame) -> DataFrame:
+    """``events`` with one for each published snapshot that has none yet; running it again adds nothing.
+
+    ``published``: publication_id, snapshot_id. ``events``: event_id, topic, aggregate_id, payload, delivered. Only ids are joined.
+    """
+    new = published.distinct().select(
+        F.concat(F.lit("snapshot-published:"), "publication_id").alias("event_id"),
+        F.lit("snapshot.published").alias("topic"),
+        F.col("snapshot_id").cast("string").alias("aggregate_id"),
+        F.to_json(F.struct(F.col("publication_id").cast("string").alias("publication_id"), F.col("snapshot_id").cast("string").alias("snapshot_id"))).alias("payload"),
+        F.lit(False).alias("delivered"),
+    )
+    return events.select(*new.columns).unionByName(new.join(events.select("event_id"), "event_id", "left_anti"))

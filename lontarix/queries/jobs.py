@@ -141,7 +141,15 @@ def stream_latest(s, d):
     return windows.merge_latest(s, d, "events", ["user_id"], ["ts", "event_id"], ["event_type"])
 
 
-QUERIES = {f.__name__: f for f in (job_submit, job_claim, job_leases, illegal_transitions, retry_exhausted, job_latest_checkpoint, stage_order, keyset_page, byte_guard, byte_budget, first_seen, queue_progress, snapshot_ready, unassigned_jobs, authority_join, review_accept, batch_dependencies, hit_accounting, rollup_inventory, events_tumbling, events_sliding, events_session, stream_tumbling, stream_latest)}
+def outbox_pending(s, d):
+    """Events to deliver after two runs over the orders that are published; half of them had an event before, some delivered."""
+    o = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("publication_id"), F.concat(F.lit("s"), "o_custkey").alias("snapshot_id"), F.col("o_orderkey").alias("k"))
+    before = o.where("k % 2 = 0").select(F.concat(F.lit("snapshot-published:"), "publication_id").alias("event_id"), F.lit("snapshot.published").alias("topic"), F.col("snapshot_id").alias("aggregate_id"), F.lit("{}").alias("payload"), (F.col("k") % 4 == 0).alias("delivered"))
+    published = o.where("k % 3 <> 0").drop("k")
+    return jobs.outbox(published, jobs.outbox(published, before)).where("NOT delivered").drop("delivered")
+
+
+QUERIES = {f.__name__: f for f in (job_submit, job_claim, job_leases, illegal_transitions, retry_exhausted, job_latest_checkpoint, stage_order, keyset_page, byte_guard, byte_budget, first_seen, queue_progress, snapshot_ready, unassigned_jobs, authority_join, review_accept, batch_dependencies, hit_accounting, rollup_inventory, events_tumbling, events_sliding, events_session, stream_tumbling, stream_latest, outbox_pending)}
 
 _LED = """led AS (SELECT event_id, ts, user_id, CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'RUNNING' WHEN 'click' THEN 'WAITING_REVIEW' WHEN 'purchase' THEN 'SUCCEEDED' ELSE 'FAILED' END AS state,
 value, (props ->> '$.k')::INTEGER AS k FROM events)"""
@@ -150,6 +158,8 @@ _STAGE = ", ".join(f"'{x}'" for x in jobs.STAGES)
 _TUMBLE = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*)::BIGINT AS n, floor(sum(floor(value * 100)) + 0.5e0) / 100 AS total FROM events GROUP BY 1, 2"
 
 ORACLES = {
+    "outbox_pending": """SELECT 'snapshot-published:' || o_orderkey AS event_id, 'snapshot.published' AS topic, 's' || o_custkey AS aggregate_id,
+CASE WHEN o_orderkey % 2 = 0 THEN '{}' ELSE '{"publication_id":"' || o_orderkey || '","snapshot_id":"s' || o_custkey || '"}' END AS payload FROM orders WHERE (o_orderkey % 2 = 0 AND o_orderkey % 4 <> 0) OR (o_orderkey % 2 <> 0 AND o_orderkey % 3 <> 0)""",
     "job_submit": f"""WITH {_LED} SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN 'CREATED' WHEN first_value(state) OVER w = state THEN 'REUSED' ELSE 'CONFLICT' END AS outcome
 FROM led WINDOW w AS (PARTITION BY user_id, k ORDER BY ts, event_id)""",
     "job_claim": f"WITH {_LED} SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(k, (ts, event_id)) AS k FROM led WHERE state = 'QUEUED' GROUP BY 1",

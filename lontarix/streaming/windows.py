@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,25 +55,22 @@ def run_available(spark: SparkSession, sf_dir: str, name: str, plan: Callable[[D
     return spark.read.parquet(*(f"{path}/{i}" for i in range(last[0] + 1)))
 
 
-def merge_latest(spark: SparkSession, sf_dir: str, name: str, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """The newest row of each key over a stream. A batch is merged with the state before it into a new state folder.
+def merge_latest(spark: SparkSession, sf_dir: str, name: str, keys: list[str], order: list[str], values: list[str], state: str | None = None) -> DataFrame:
+    """The newest row of each key over a stream.
 
-    A batch that is run again reads the same former state, so the result does not change.
+    A batch writes its own newest row of each key to a folder with its number, so its cost goes by the batch, not by all that came
+    before, and one that is run again writes the same folder anew. The folders' rows are merged once, where the result is
+    read. With ``state``, a folder of the caller's, a later call goes on where this one, or one that was stopped, ended.
     """
-    path, states = scratch(spark, f"latest-{name}"), {}
+    path = state or scratch(spark, f"latest-{name}")
 
     def newest(rows: DataFrame) -> DataFrame:
         top = rows.groupBy(*keys).agg(F.max(F.struct(*order, *values)).alias("r"))
         return top.select(*keys, *(F.col(f"r.{c}").alias(c) for c in (*order, *values)))
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.select(*keys, *order, *values)
-        before = max((n for n in states if n < number), default=None)
-        if before is not None:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(states[before]))
-        states[number] = f"{path}/{number}-{uuid.uuid4().hex}"
-        newest(rows).write.parquet(states[number])
+    def keep(batch: DataFrame, number: int) -> None:
+        newest(batch.select(*keys, *order, *values)).write.mode("overwrite").parquet(f"{path}/rows/{number}")
 
-    query = read_stream(spark, sf_dir, name).writeStream.option("checkpointLocation", scratch(spark, "progress")).foreachBatch(merge).trigger(availableNow=True).start()
+    query = read_stream(spark, sf_dir, name).writeStream.option("checkpointLocation", f"{path}/progress").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(states[max(states)])
+    return newest(spark.read.parquet(f"{path}/rows/*"))

@@ -78,6 +78,33 @@ def test_stream_in_append_mode(spark):
     assert out.count() == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
+def test_merged_stream_goes_on(spark, tmp_path):
+    """A second call finds all input read and gives the same rows from the state that the first one left."""
+    state = f"file://{tmp_path}/state"
+    args = (spark, SF, "events", ["user_id"], ["ts", "event_id"], ["event_type"])
+    first = sorted(map(tuple, windows.merge_latest(*args, state=state).collect()))
+    assert sorted(map(tuple, windows.merge_latest(*args, state=state).collect())) == first
+    assert len(first) == spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count()
+
+
+def test_publication_needs_its_predecessor(spark, tmp_path):
+    root = str(tmp_path / "cas")
+    assert store.publish(spark, root, {"t": spark.range(1)}) == 1
+    (tmp_path / "cas" / "claim-2").touch()  # another writer's number
+    assert store.publish(spark, root, {"t": spark.range(2)}, expected=1) == 3
+    with pytest.raises(RuntimeError, match="has become active"):
+        store.publish(spark, root, {"t": spark.range(3)}, expected=1)
+    assert store.active(spark, root) == 3 and store.pinned(spark, root)["t"].count() == 2
+
+
+def test_payload_of_two_writers(spark, tmp_path):
+    path = str(tmp_path / "both")
+    row = spark.createDataFrame([("satu",)], "body string")
+    assert store.put(row, path, "body") == 1
+    spark.read.parquet(path).drop("batch").write.parquet(path + "/batch=other")
+    assert store.get(spark, path).count() == 1
+
+
 def test_command_line(capsys, spark, tmp_path):
     main(["list"])
     assert "bm25_topk" in capsys.readouterr().out
