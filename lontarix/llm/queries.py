@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, linededup, lm, minhash, packing, quality, sharding, spm, topk, warc
+from . import bandjoin, binpack, linededup, lm, minhash, packing, quality, sharding, spm, topk, warc
 from .common import scratch
 
 
@@ -70,6 +70,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _docs(spark, sf_dir, "sale_id", "line_no", "item_id", "quantity", "amount", table="sale_lines")
+    return bandjoin.near_prices(lines, _docs(spark, sf_dir, "item_id", "price", table="items"), top=10, within=50, per_mille=5)
+
+
 #: Bytes of text a shard may hold in op2.
 SHARD_BYTES = 1 << 20
 
@@ -84,9 +89,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packed_matrix": op8_packed_matrix,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op13_band_join": op13_band_join,
 }
 
 _TRIM = r"regexp_replace(regexp_replace({0}, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
+#: CRC-32 of the UTF-8 text of {0}, unsigned, a bit at a time.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, octet_length(encode({0}))), lambda i:
+    ('0x' || substr(hex(encode({0})), (2 * i + 1)::BIGINT, 2))::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+    lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
@@ -141,4 +151,17 @@ hot AS (SELECT key FROM k WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT doc_i
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(h.key)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (h.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN hot h ON k.key = h.key GROUP BY 1""",
+    "op13_band_join": rf"""
+WITH l AS (SELECT *, (2 * a + q - (2 * a + q) % (2 * q)) // (2 * q) AS u FROM (
+             SELECT sale_id, line_no::BIGINT AS line_no, item_id AS line_item_id, quantity::BIGINT AS q, floor(100 * amount + 0.5)::BIGINT AS a FROM sale_lines
+             WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity >= 1 AND isfinite(amount))),
+c AS (SELECT *, {_CRC.format("(sale_id || ',' || line_no || ',' || line_item_id)")} AS crc FROM l),
+i AS (SELECT item_id, CASE WHEN isfinite(price) THEN floor(100 * price + 0.5)::BIGINT END AS p FROM items),
+j AS (SELECT i.item_id, abs(u - p) AS gap, u, sale_id, line_no, line_item_id, crc
+      FROM i JOIN c ON line_item_id <> i.item_id AND (abs(u - p) <= 50 OR 1000 * abs(u - p) <= 5 * least(u, p))),
+s AS (SELECT item_id, count(*)::BIGINT AS n_pairs, sum(gap)::BIGINT AS gap_sum, sum(crc)::BIGINT AS lines_crc FROM j GROUP BY 1),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY gap, u, sale_id, line_no, line_item_id) AS rank FROM j) WHERE rank <= 10)
+SELECT item_id, coalesce(rank, 0)::INTEGER AS rank, gap, u, sale_id, line_no, line_item_id, coalesce(n_pairs, 0) AS n_pairs,
+       coalesce(gap_sum, 0) AS gap_sum, coalesce(lines_crc, 0) AS lines_crc
+FROM i LEFT JOIN s USING (item_id) LEFT JOIN r USING (item_id)""",
 }
