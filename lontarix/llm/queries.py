@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bandjoin, binpack, linededup, lm, minhash, packing, quality, sharding, spm, topk, warc
+from . import bandjoin, binpack, linededup, lm, minhash, packing, quality, sharding, spelling, spm, topk, warc
 from .common import scratch
 
 
@@ -70,6 +70,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_docs(spark, sf_dir, "doc_id", "text"), least=5, min_n=3, times=2)
+
+
 def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _docs(spark, sf_dir, "sale_id", "line_no", "item_id", "quantity", "amount", table="sale_lines")
     return bandjoin.near_prices(lines, _docs(spark, sf_dir, "item_id", "price", table="items"), top=10, within=50, per_mille=5)
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packed_matrix": op8_packed_matrix,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_band_join": op13_band_join,
 }
 
@@ -151,6 +156,19 @@ hot AS (SELECT key FROM k WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT doc_i
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(h.key)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (h.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN hot h ON k.key = h.key GROUP BY 1""",
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE r AS (SELECT doc_id, {_LOWER.format("unnest(regexp_extract_all(text, '[A-Za-z" + chr(0xC0) + "-" + chr(0xFF) + "]+'))")} AS run FROM documents),
+h AS (SELECT run, {_CRC.format("(doc_id || ':' || run)")} AS h FROM r WHERE length(run) > 4),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, count(*)::BIGINT AS n FROM w WHERE length(word) > 4 GROUP BY 1 HAVING count(*) > 2),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+b AS (SELECT word, count(*)::BIGINT AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM p GROUP BY 1),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+      FROM v LEFT JOIN b USING (word)),
+t AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, t.root FROM t JOIN f ON f.form = t.word)
+SELECT f.*, root FROM f JOIN t USING (word)""",
     "op13_band_join": rf"""
 WITH l AS (SELECT *, (2 * a + q - (2 * a + q) % (2 * q)) // (2 * q) AS u FROM (
              SELECT sale_id, line_no::BIGINT AS line_no, item_id AS line_item_id, quantity::BIGINT AS q, floor(100 * amount + 0.5)::BIGINT AS a FROM sale_lines
