@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bandjoin, binpack, linededup, lm, minhash, packing, quality, sharding, spelling, spm, topk, warc
+from . import bandjoin, binpack, jaccard, linededup, lm, minhash, packing, quality, sharding, spelling, spm, topk, warc
 from .common import scratch
 
 
@@ -74,6 +74,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_docs(spark, sf_dir, "doc_id", "text"), least=5, min_n=3, times=2)
 
 
+def op12_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_groups(_docs(spark, sf_dir, "doc_id", "text"), k=4, pct=85)
+
+
 def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _docs(spark, sf_dir, "sale_id", "line_no", "item_id", "quantity", "amount", table="sale_lines")
     return bandjoin.near_prices(lines, _docs(spark, sf_dir, "item_id", "price", table="items"), top=10, within=50, per_mille=5)
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_vertical_jaccard": op12_vertical_jaccard,
     "op13_band_join": op13_band_join,
 }
 
@@ -169,6 +174,16 @@ f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n T
       FROM v LEFT JOIN b USING (word)),
 t AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, t.root FROM t JOIN f ON f.form = t.word)
 SELECT f.*, root FROM f JOIN t USING (word)""",
+    "op12_vertical_jaccard": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] END AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+r AS (SELECT a AS doc_id, a AS other FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other),
+m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "op13_band_join": rf"""
 WITH l AS (SELECT *, (2 * a + q - (2 * a + q) % (2 * q)) // (2 * q) AS u FROM (
              SELECT sale_id, line_no::BIGINT AS line_no, item_id AS line_item_id, quantity::BIGINT AS q, floor(100 * amount + 0.5)::BIGINT AS a FROM sale_lines
