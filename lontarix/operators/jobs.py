@@ -1,4 +1,4 @@
-"""Job ledger views: idempotent submission, claiming, leases, transitions, retries, checkpoints, paging, guards."""
+"""Job ledger views: idempotent submission, claiming, transitions, retries, checkpoints, paging, guards."""
 
 from __future__ import annotations
 
@@ -31,15 +31,6 @@ def claim(jobs: DataFrame, by: str, *order: str) -> DataFrame:
     return jobs.groupBy(by).agg(F.min(F.struct(*order, *rest)).alias("j")).select(by, *(F.col(f"j.{c}").alias(c) for c in (*order, *rest)))
 
 
-def leases(claims: DataFrame, job: str, at: str, seconds: int) -> DataFrame:
-    """Claims in order with their ``fence`` (rises with each claim of a job) and whether the lease before had run out."""
-    before = F.expr(f"lag({at}) OVER (PARTITION BY {job} ORDER BY {at}, fence_order)")
-    fence = F.expr(f"row_number() OVER (PARTITION BY {job} ORDER BY {at}, fence_order)")
-    gap = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col("__b").cast("timestamp"))
-    out = claims.withColumn("__b", before).withColumn("fence", fence)
-    return out.withColumn("admitted", F.col("__b").isNull() | (gap >= seconds * 1_000_000)).drop("__b", "fence_order")
-
-
 def illegal_transitions(states: DataFrame, job: str, state: str, *order: str) -> DataFrame:
     """Changes of state that aren't allowed. The allowed ones are a fixed short list."""
     before = F.expr(f"lag({state}) OVER (PARTITION BY {job} ORDER BY {', '.join(order)})")

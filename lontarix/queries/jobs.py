@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, jobs, registry
+from ..operators import evidence, jobs, leases, registry
 from ..session import table
-from ..streaming import windows
+from ..streaming import leases as stream
+from ..streaming import telemetry, windows
 
+#: Seconds of a lease and attempts of a job.
+LEASE, ATTEMPTS = 21_600, 5
 _STATE = {"signup": "QUEUED", "view": "RUNNING", "click": "WAITING_REVIEW", "purchase": "SUCCEEDED", "error": "FAILED"}
 
 
@@ -26,9 +29,26 @@ def job_claim(s, d):
     return jobs.claim(_ledger(s, d).where("state = 'QUEUED'").select("user_id", "ts", "event_id", "k"), "user_id", "ts", "event_id").drop("ts")
 
 
+def _commands_of(events: DataFrame) -> DataFrame:
+    """Views claim, clicks renew, purchases complete; one in ten errors cancels, the others claim too; signups suspend and resume."""
+    k = F.col("event_id")
+    action = F.when(F.col("event_type") == "click", "RENEW").when(F.col("event_type") == "purchase", "COMPLETE").when(F.col("event_type") == "signup", F.when(k % 2 == 0, "SUSPEND").otherwise("RESUME"))
+    action = action.when((F.col("event_type") == "error") & (k % 10 == 0), "CANCEL").otherwise("CLAIM")
+    desired = F.when(k % 40 == 0, "SUCCEEDED").when(k % 40 == 1, "FAILED").otherwise("RETRY_WAIT")
+    return events.select(
+        F.col("user_id").alias("job"), F.col("ts").alias("at"), k.alias("seq"), action.alias("action"), F.concat(F.lit("w"), k % 3).alias("owner"),
+        F.when(k % 5 == 0, 1).alias("fence"), desired.alias("desired"), F.lit(600).alias("delay_s"),
+    )
+
+
 def job_leases(s, d):
-    rows = _ledger(s, d).where("state = 'RUNNING'").select("user_id", "event_id", "ts", F.col("event_id").alias("fence_order"))
-    return jobs.leases(rows, "user_id", "ts", 3600).select("event_id", "fence", "admitted")
+    return leases.decide(_commands_of(table(s, d, "events")), LEASE, ATTEMPTS)
+
+
+def stream_leases(s, d):
+    """The same ledger as a stream; what the watermark, a day behind the newest command, has passed is decided."""
+    rows = windows.read_stream(s, d, "events")
+    return windows.all_available(stream.decide(_commands_of(rows), LEASE, ATTEMPTS, "1 day"), "leases", "append")
 
 
 def illegal_transitions(s, d):
@@ -141,6 +161,14 @@ def stream_latest(s, d):
     return windows.merge_latest(s, d, "events", ["user_id"], ["ts", "event_id"], ["event_type"])
 
 
+def late_requests(s, d):
+    """Clicks are scheduled requests, their arrivals completions unless they are errors; both are streams. An hour is the deadline."""
+    rows = windows.read_stream(s, d, "clicks").withColumns({c: F.col(c).cast("timestamp") for c in ("ts", "arrived_at")})
+    done = windows.read_stream(s, d, "clicks").where("kind <> 'error'").select(F.col("click_id").alias("request_id"), F.col("arrived_at").cast("timestamp").alias("done_at"))
+    out = telemetry.outcomes(rows.select(F.col("click_id").alias("request_id"), F.col("ts").alias("at")), done, 3600, "4 days")
+    return windows.all_available(out, "requests", "append").select("request_id", "latency_ms")
+
+
 def outbox_pending(s, d):
     """Events to deliver after two runs over the orders that are published; half of them had an event before, some delivered."""
     o = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("publication_id"), F.concat(F.lit("s"), "o_custkey").alias("snapshot_id"), F.col("o_orderkey").alias("k"))
@@ -149,7 +177,7 @@ def outbox_pending(s, d):
     return jobs.outbox(published, jobs.outbox(published, before)).where("NOT delivered").drop("delivered")
 
 
-QUERIES = {f.__name__: f for f in (job_submit, job_claim, job_leases, illegal_transitions, retry_exhausted, job_latest_checkpoint, stage_order, keyset_page, byte_guard, byte_budget, first_seen, queue_progress, snapshot_ready, unassigned_jobs, authority_join, review_accept, batch_dependencies, hit_accounting, rollup_inventory, events_tumbling, events_sliding, events_session, stream_tumbling, stream_latest, outbox_pending)}
+QUERIES = {f.__name__: f for f in (job_submit, job_claim, job_leases, stream_leases, late_requests, illegal_transitions, retry_exhausted, job_latest_checkpoint, stage_order, keyset_page, byte_guard, byte_budget, first_seen, queue_progress, snapshot_ready, unassigned_jobs, authority_join, review_accept, batch_dependencies, hit_accounting, rollup_inventory, events_tumbling, events_sliding, events_session, stream_tumbling, stream_latest, outbox_pending)}
 
 _LED = """led AS (SELECT event_id, ts, user_id, CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'RUNNING' WHEN 'click' THEN 'WAITING_REVIEW' WHEN 'purchase' THEN 'SUCCEEDED' ELSE 'FAILED' END AS state,
 value, (props ->> '$.k')::INTEGER AS k FROM events)"""
@@ -157,14 +185,46 @@ _ALLOWED = ", ".join(f"'{a}>{b}'" for a, b in jobs.TRANSITIONS)
 _STAGE = ", ".join(f"'{x}'" for x in jobs.STAGES)
 _TUMBLE = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*)::BIGINT AS n, floor(sum(floor(value * 100)) + 0.5e0) / 100 AS total FROM events GROUP BY 1, 2"
 
+#: A job's commands one by one: what is so before a command, whether it may be done, what is so after it.
+_LEASES = f"""c AS (SELECT user_id AS job, event_id AS seq, epoch_us(ts) AS t, 'w' || event_id % 3 AS owner, CASE WHEN event_id % 5 = 0 THEN 1 END AS fence,
+CASE event_type WHEN 'click' THEN 'RENEW' WHEN 'purchase' THEN 'COMPLETE' WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'SUSPEND' ELSE 'RESUME' END
+WHEN 'error' THEN CASE WHEN event_id % 10 = 0 THEN 'CANCEL' ELSE 'CLAIM' END ELSE 'CLAIM' END AS action,
+CASE event_id % 40 WHEN 0 THEN 'SUCCEEDED' WHEN 1 THEN 'FAILED' ELSE 'RETRY_WAIT' END AS desired, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT DISTINCT job, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS outcome, 'QUEUED' AS st, NULL::VARCHAR AS own, 0::BIGINT AS f, NULL::BIGINT AS ex, 0::BIGINT AS att, NULL::BIGINT AS nx,
+false AS can, false AS told, false AS ran, NULL::BIGINT AS ran_f, NULL::BIGINT AS ran_ex FROM c
+UNION ALL SELECT job, n, seq, outcome, after, CASE WHEN outcome = 'CLAIMED' THEN owner WHEN outcome = 'COMPLETED' OR after = 'CANCELLED' THEN NULL ELSE own END,
+f + (outcome = 'CLAIMED')::BIGINT, CASE WHEN outcome IN ('CLAIMED', 'RENEWED') THEN t + {1_000_000 * LEASE} WHEN outcome = 'COMPLETED' OR after = 'CANCELLED' THEN NULL ELSE ex END,
+CASE outcome WHEN 'RESUMED' THEN 0 WHEN 'CLAIMED' THEN att + 1 ELSE att END, CASE WHEN outcome = 'COMPLETED' THEN t + 600000000 ELSE nx END, can OR outcome = 'CANCELLING',
+outcome <> 'CLAIMED' AND (told OR ran), ran, ran_f, ran_ex
+FROM (SELECT *, CASE outcome WHEN 'CLAIMED' THEN 'RUNNING' WHEN 'SUSPENDED' THEN 'SUSPENDED' WHEN 'RESUMED' THEN 'QUEUED'
+        WHEN 'COMPLETED' THEN CASE WHEN can THEN 'CANCELLED' WHEN desired = 'RETRY_WAIT' AND att >= {ATTEMPTS} THEN 'FAILED' ELSE desired END
+        WHEN 'CANCELLING' THEN CASE WHEN over OR s1 IN ('QUEUED', 'RETRY_WAIT', 'SUSPENDED') THEN 'CANCELLED' ELSE s1 END ELSE s1 END AS after
+  FROM (SELECT *, CASE action
+          WHEN 'CLAIM' THEN CASE WHEN NOT can AND (s1 = 'QUEUED' OR (s1 = 'RETRY_WAIT' AND nx <= t AND att < {ATTEMPTS}) OR over) THEN 'CLAIMED' ELSE 'REFUSED' END
+          WHEN 'RENEW' THEN CASE WHEN held AND NOT can THEN 'RENEWED' ELSE 'STALE' END WHEN 'COMPLETE' THEN CASE WHEN held THEN 'COMPLETED' ELSE 'STALE' END
+          WHEN 'CANCEL' THEN CASE WHEN s1 IN ('SUCCEEDED', 'FAILED', 'CANCELLED') THEN 'REFUSED' ELSE 'CANCELLING' END
+          WHEN 'SUSPEND' THEN CASE WHEN s1 IN ('QUEUED', 'RETRY_WAIT') THEN 'SUSPENDED' ELSE 'REFUSED' END ELSE CASE WHEN s1 = 'SUSPENDED' THEN 'RESUMED' ELSE 'REFUSED' END END AS outcome
+    FROM (SELECT *, s1 = 'RUNNING' AND own = owner AND (fence IS NULL OR fence = f) AND ex >= t AS held, late AND s1 = 'RUNNING' AS over
+      FROM (SELECT r.* EXCLUDE (n, seq, outcome, ran, ran_f, ran_ex), c.* EXCLUDE (job), st = 'RUNNING' AND ex < t AS late, st = 'RUNNING' AND ex < t AND NOT told AS ran, f AS ran_f, ex AS ran_ex,
+              CASE WHEN can AND (st IN ('QUEUED', 'RETRY_WAIT', 'SUSPENDED') OR (st = 'RUNNING' AND ex < t)) THEN 'CANCELLED' ELSE st END AS s1
+            FROM r JOIN c ON c.job = r.job AND c.n = r.n + 1))))),
+decided AS (SELECT job, seq, outcome, st AS state, f AS fence, ex AS expires_us FROM r WHERE n > 0),
+ran_out AS (SELECT job, NULL::BIGINT, 'EXPIRED', 'RUNNING', ran_f, ran_ex FROM r WHERE ran)"""
+
 ORACLES = {
     "outbox_pending": """SELECT 'snapshot-published:' || o_orderkey AS event_id, 'snapshot.published' AS topic, 's' || o_custkey AS aggregate_id,
 CASE WHEN o_orderkey % 2 = 0 THEN '{}' ELSE '{"publication_id":"' || o_orderkey || '","snapshot_id":"s' || o_custkey || '"}' END AS payload FROM orders WHERE (o_orderkey % 2 = 0 AND o_orderkey % 4 <> 0) OR (o_orderkey % 2 <> 0 AND o_orderkey % 3 <> 0)""",
     "job_submit": f"""WITH {_LED} SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN 'CREATED' WHEN first_value(state) OVER w = state THEN 'REUSED' ELSE 'CONFLICT' END AS outcome
 FROM led WINDOW w AS (PARTITION BY user_id, k ORDER BY ts, event_id)""",
     "job_claim": f"WITH {_LED} SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(k, (ts, event_id)) AS k FROM led WHERE state = 'QUEUED' GROUP BY 1",
-    "job_leases": f"""WITH {_LED} SELECT event_id, row_number() OVER w::INTEGER AS fence, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 3600000000, true) AS admitted
-FROM led WHERE state = 'RUNNING' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+    "job_leases": f"WITH RECURSIVE {_LEASES} SELECT * FROM decided UNION ALL SELECT * FROM ran_out",
+    "stream_leases": f"""WITH RECURSIVE until AS (SELECT (epoch_ms(max(ts)) - 86400000) * 1000 AS w FROM events), {_LEASES.replace("FROM events)", "FROM events WHERE epoch_us(ts) < (SELECT w FROM until))")}
+SELECT * FROM decided UNION ALL SELECT * FROM ran_out
+UNION ALL SELECT job, NULL, 'EXPIRED', st, f, ex FROM r WHERE st = 'RUNNING' AND NOT told AND ex < (SELECT w FROM until) AND n = (SELECT max(n) FROM r x WHERE x.job = r.job)""",
+    "late_requests": """WITH s AS (SELECT DISTINCT click_id, ts FROM clicks WHERE ts IS NOT NULL), d AS (SELECT DISTINCT click_id, arrived_at FROM clicks WHERE kind <> 'error'),
+w AS (SELECT least((SELECT max(ts) FROM s), (SELECT max(arrived_at) FROM d)) - INTERVAL 4 DAY AS w)
+SELECT s.click_id AS request_id, coalesce((epoch_us(arrived_at) - epoch_us(ts)) / 1000e0, 'infinity'::DOUBLE) AS latency_ms
+FROM s LEFT JOIN d ON s.click_id = d.click_id AND arrived_at BETWEEN ts AND ts + INTERVAL 1 HOUR WHERE arrived_at IS NOT NULL OR ts + INTERVAL 1 HOUR < (SELECT w FROM w)""",
     "illegal_transitions": f"""WITH {_LED}, b AS (SELECT state, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM led)
 SELECT before, state, count(*)::BIGINT AS n FROM b WHERE before <> state AND before || '>' || state NOT IN ({_ALLOWED}) GROUP BY 1, 2""",
     "retry_exhausted": f"""WITH {_LED}, a AS (SELECT user_id, count(*) FILTER (state = 'FAILED') % 8 AS n FROM led GROUP BY 1)

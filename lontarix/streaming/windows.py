@@ -37,18 +37,29 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+#: The store that keyed state with timers needs; it holds state outside the heap.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def run_available(spark: SparkSession, sf_dir: str, name: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """The result of a streaming plan over a table, see ``all_available``."""
+    return all_available(plan(read_stream(spark, sf_dir, name)), name, mode)
+
+
+def all_available(rows: DataFrame, name: str, mode: str) -> DataFrame:
     """The result of a streaming plan once all that is there has been read; it is a table in the shared folder.
 
     Each batch writes a folder of its own, named by its number; a batch that is run again writes the same folder anew.
     """
+    spark = rows.sparkSession
+    spark.conf.set(*STORE)
     path, last = scratch(spark, f"stream-{name}"), [-1]
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/{number}")
         last[0] = max(last[0], number)
 
-    query = plan(read_stream(spark, sf_dir, name)).writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, "progress")).foreachBatch(write).trigger(availableNow=True).start()
+    query = rows.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, "progress")).foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
     if mode == "complete":
         return spark.read.parquet(f"{path}/{last[0]}")
