@@ -26,11 +26,11 @@ def neighbours(assertions: DataFrame, seeds: DataFrame) -> DataFrame:
     return directions(assertions).join(seeds.select("node"), "node", "left_semi").select("node", "other").distinct()
 
 
-def paths(assertions: DataFrame, seeds: DataFrame, hops: int, max_paths: int | None = None, group: str = "seed") -> DataFrame:
-    """Simple undirected paths of 1 .. ``hops`` edges from each seed: (seed, hop, nodes, assertions, rank).
+def paths(assertions: DataFrame, seeds: DataFrame, hops: int, group: str = "seed") -> DataFrame:
+    """All simple undirected paths of 1 .. ``hops`` edges from each seed: (seed, hop, nodes, assertions).
 
-    No node repeats on a path; parallel edges give paths of their own. ``rank`` is the order in which a breadth-first walk
-    finds them: by hop, then by the edges taken. With ``max_paths`` a seed's paths end there and ``truncated`` says so.
+    No node repeats on a path; parallel edges give paths of their own. Their number can grow with the degree to the power of
+    ``hops``: ``traversal.search`` is the bounded form.
     """
     if not 0 < hops <= MAX_HOPS:
         raise ValueError("hops")
@@ -42,12 +42,7 @@ def paths(assertions: DataFrame, seeds: DataFrame, hops: int, max_paths: int | N
         step = last.join(edges, "node").where(~F.array_contains("nodes", F.col("other")))
         level = step.select(group, F.lit(hop).alias("hop"), F.concat("nodes", F.array("other")).alias("nodes"), F.concat("assertions", F.array("assertion_id")).alias("assertions"))
         found = level if found is None else found.unionByName(level)
-    if max_paths is None:
-        return found
-    rank = F.expr(f"row_number() OVER (PARTITION BY {group} ORDER BY hop, assertions, nodes)")
-    ranked = found.withColumn("rank", rank).where(F.col("rank") <= max_paths + 1)
-    over = F.expr(f"max(rank) OVER (PARTITION BY {group})") > max_paths
-    return ranked.withColumn("truncated", over).where(F.col("rank") <= max_paths)
+    return found
 
 
 def path_sources(found: DataFrame, supports: DataFrame, group: str = "seed") -> DataFrame:
@@ -110,16 +105,60 @@ def reverse_closure(changed: DataFrame, dependencies: DataFrame) -> DataFrame:
     return done
 
 
-def update_plan(before: DataFrame, after: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """(item_id, bucket, reason) from two states (item_id, content_hash, producer) and all dependencies.
+def scope_index(versions: DataFrame, *scope: str) -> DataFrame:
+    """(scope, revision, n): every revision at which the number of a scope's visible rows is written anew, and that number.
 
-    Reasons in this order: ADDED, REMOVED, CONTENT, PRODUCER, DEPENDENCY. Items that are changed or depend on a change are
-    RECOMPUTE, others REUSE, gone ones REVIEW; an item that depends directly on a gone one is REVIEW too.
+    ``versions`` has the scope's columns, ``from_rev`` and ``to_rev`` (null: still visible). A scope that never had a row has no entry.
+    """
+    began = versions.select(*scope, F.col("from_rev").cast("long").alias("revision"), F.lit(1).alias("d"))
+    ended = versions.where("to_rev IS NOT NULL").select(*scope, F.col("to_rev").cast("long").alias("revision"), F.lit(-1).alias("d"))
+    steps = began.unionByName(ended).groupBy(*scope, "revision").agg(F.sum("d").alias("d"))
+    return steps.select(*scope, "revision", F.expr(f"sum(d) OVER (PARTITION BY {', '.join(scope)} ORDER BY revision)").alias("n"))
+
+
+def looked_up(asked: DataFrame, index: DataFrame, scope: str, at: int) -> DataFrame:
+    """``asked`` (item_id, scope) with what a lookup at revision ``at`` relies on: the scope's last ``revision`` and whether it was ``empty``.
+
+    A scope without a row up to then was empty at revision 0: an item that relied on finding nothing depends on it too.
+    """
+    last = index.where(F.col("revision") <= at).groupBy(scope).agg(F.max_by("n", "revision").alias("n"), F.max("revision").alias("revision"))
+    out = asked.select("item_id", scope).distinct().join(last, scope, "left")
+    return out.select("item_id", scope, F.coalesce("revision", F.lit(0)).alias("revision"), (F.coalesce("n", F.lit(0)) == 0).alias("empty"))
+
+
+def _as_one(rows: DataFrame | None, name: str, *columns: str) -> DataFrame | None:
+    """(item_id, name): what an item has of ``columns``, in order, as one text."""
+    if rows is None:
+        return None
+    return rows.groupBy("item_id").agg(F.to_json(F.array_sort(F.collect_set(F.struct(*columns)))).alias(name))
+
+
+def _agreed(lookups: DataFrame, scope: str) -> DataFrame:
+    """The lookups, or an error where two items saw one scope in different states."""
+    states = lookups.groupBy(scope).agg(F.count_distinct("revision", "empty").alias("n"))
+    said = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("conflicting lookup revisions of "), F.col(scope).cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return lookups.join(states, scope).where(said).drop("n")
+
+
+def update_plan(
+    before: DataFrame, after: DataFrame, dependencies: DataFrame, fingerprints: tuple[DataFrame, DataFrame] | None = None, lookups: tuple[DataFrame, DataFrame] | None = None, scope: str = "scope"
+) -> DataFrame:
+    """(item_id, bucket, reason) from two states (item_id, content_hash, producer) and all dependencies (item_id, dependency_id).
+
+    Reasons in this order: ADDED, REMOVED, CONTENT, PRODUCER, DEPENDENCY, LOOKUP. ``fingerprints`` are the dependencies of both states with a
+    ``hash``, ``lookups`` the (item_id, scope, revision, empty) that both states relied on; an item whose own differ is changed by that.
+    Items that are changed or depend on a change are RECOMPUTE, others REUSE, gone ones REVIEW; an item that depends directly on a
+    gone one is REVIEW too. Items of the new state that saw one scope in different states stop the job.
     """
     old = before.select("item_id", F.col("content_hash").alias("c0"), F.col("producer").alias("p0"), F.lit(True).alias("was"))
     new = after.select("item_id", F.col("content_hash").alias("c1"), F.col("producer").alias("p1"), F.lit(True).alias("is"))
     both = old.join(new, "item_id", "full_outer")
     reason = F.when(F.col("was").isNull(), "ADDED").when(F.col("is").isNull(), "REMOVED").when(F.col("c0") != F.col("c1"), "CONTENT").when(F.col("p0") != F.col("p1"), "PRODUCER")
+    for kind, pair, columns in (("DEPENDENCY", fingerprints, ("dependency_id", "hash")), ("LOOKUP", lookups, (scope, "revision", "empty"))):
+        if pair is not None:
+            first, second = pair if kind == "DEPENDENCY" else (pair[0], _agreed(pair[1], scope))
+            both = both.join(_as_one(first, f"{kind}_0", *columns), "item_id", "left").join(_as_one(second, f"{kind}_1", *columns), "item_id", "left")
+            reason = reason.when(~F.col(f"{kind}_0").eqNullSafe(F.col(f"{kind}_1")), kind)
     direct = cut(both.select("item_id", reason.alias("direct")), "plan")
     affected = reverse_closure(direct.where("direct IS NOT NULL"), dependencies)
     gone = direct.where("direct = 'REMOVED'").select(F.col("item_id").alias("dependency_id"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_space, surface
-from ..operators import graph, registry
+from ..operators import graph, registry, traversal
 from ..session import table
+from ..sources.shared import cut
 
 
 def edges(s: SparkSession, d: str) -> DataFrame:
@@ -34,8 +35,32 @@ def paths_3hop_simple(s, d):
 
 
 def paths_budget(s, d):
-    found = graph.paths(edges(s, d), _seeds(s, d), 2, max_paths=25)
-    return found.select("seed", "rank", "truncated", F.array_join("assertions", ">").alias("assertions"))
+    found, ends = traversal.search(edges(s, d), _supports(s, d), _seeds(s, d), 2, max_paths=25)
+    ends = ends.select("seed", F.array_contains("stop_reasons", "path_budget").alias("truncated"))
+    return found.join(ends, "seed").select("seed", "rank", "truncated", F.array_join("assertions", ">").alias("assertions"))
+
+
+def _supports(s: SparkSession, d: str) -> DataFrame:
+    """Line items support their order's edge and their own, by supplier."""
+    li = table(s, d, "lineitem")
+    own = li.select(F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("assertion_id"), F.concat(F.lit("s"), "l_suppkey").alias("support_id"))
+    return own.unionByName(li.select(F.concat(F.lit("o"), "l_orderkey").alias("assertion_id"), F.concat(F.lit("t"), "l_suppkey").alias("support_id")))
+
+
+def _searched(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    seeds = table(s, d, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
+    return traversal.search(edges(s, d), _supports(s, d), seeds, 3, max_paths=60, max_assertions=12)
+
+
+def path_search(s, d):
+    """Walks from customers over orders and parts to other orders, within budgets of paths and of a node's assertions."""
+    found, _ = _searched(s, d)
+    return found.select("seed", "rank", "hop", *(F.array_join(c, ">", "-").alias(c) for c in ("nodes", "assertions", "supports")))
+
+
+def path_stops(s, d):
+    _, ends = _searched(s, d)
+    return ends.withColumn("stop_reasons", F.array_join("stop_reasons", ","))
 
 
 def path_sources(s, d):
@@ -100,6 +125,28 @@ def update_plan(s, d):
     return graph.update_plan(*_plan_state(s, d))
 
 
+def _scoped(s: SparkSession, d: str) -> DataFrame:
+    """Customers as aliases of their segment in their nation, visible from one revision until another."""
+    c, rev = table(s, d, "customer"), F.col("c_custkey") % 40
+    return c.select(F.concat_ws(":", "c_nationkey", "c_mktsegment").alias("scope"), rev.alias("from_rev"), F.when(F.col("c_custkey") % 3 > 0, rev + 1 + F.col("c_custkey") % 7).alias("to_rev"))
+
+
+def scope_index(s, d):
+    return graph.scope_index(_scoped(s, d), "scope")
+
+
+def update_plan_lookups(s, d):
+    """Documents looked up a scope each, some of them one that has no row; the plan goes from revision 20 to 23."""
+    before, after, deps = _plan_state(s, d)
+    index = cut(graph.scope_index(_scoped(s, d), "scope"), "scope-index")
+    segment = F.element_at(F.array(*map(F.lit, ("BUILDING", "MACHINERY", "NOTHING", "FURNITURE"))), (F.col("item_id") % 4 + 1).cast("int"))
+    asked = [df.select("item_id", F.concat_ws(":", F.col("item_id") % 25, segment).alias("scope")) for df in (before, after)]
+    first = graph.looked_up(asked[0], index, "scope", 20)
+    # A tenth of the documents has dropped its dependency.
+    own = [deps.withColumn("hash", F.lit("h")), deps.where("item_id % 10 <> 8").withColumn("hash", F.lit("h"))]
+    return graph.update_plan(before, after, deps, tuple(own), (first, graph.looked_up(asked[1], index, "scope", 23)))
+
+
 def reverse_closure(s, d):
     _, _, deps = _plan_state(s, d)
     changed = table(s, d, "documents").where("doc_id % 37 = 3").select(F.col("doc_id").alias("item_id"))
@@ -174,7 +221,7 @@ def upsert_merge(s, d):
     return registry.upsert(c, new, ["c_custkey"])
 
 
-QUERIES = {f.__name__: f for f in (neighbors, paths_2hop, paths_3hop_simple, paths_budget, path_sources, path_usable, ancestors, assertion_canonical_dedup, support_fanin, orphan_edges, edge_audit, exception_ids, update_plan, reverse_closure, ontology_admission, endpoint_substitution, graph_merge, graph_delta_merge, blocking_lookup, link_proposals, ngram_alias_link, identity_claims, natural_keys, upsert_merge)}
+QUERIES = {f.__name__: f for f in (neighbors, paths_2hop, paths_3hop_simple, paths_budget, path_search, path_stops, scope_index, update_plan_lookups, path_sources, path_usable, ancestors, assertion_canonical_dedup, support_fanin, orphan_edges, edge_audit, exception_ids, update_plan, reverse_closure, ontology_admission, endpoint_substitution, graph_merge, graph_delta_merge, blocking_lookup, link_proposals, ngram_alias_link, identity_claims, natural_keys, upsert_merge)}
 
 EDGES = """
 ed AS (SELECT 'o' || o_orderkey AS assertion_id, 'c' || o_custkey AS subject, 'PLACED' AS predicate, 'o' || o_orderkey AS object FROM orders UNION ALL
@@ -185,6 +232,21 @@ p2 AS MATERIALIZED (SELECT seed, 2 AS hop, list_append(nodes, other) AS nodes, l
 p3 AS (SELECT seed, 3 AS hop, list_append(nodes, other) AS nodes, list_append(a, assertion_id) AS a FROM p2 JOIN di ON node = nodes[-1] WHERE NOT list_contains(nodes, other)),
 p12 AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2), p123 AS (SELECT * FROM p12 UNION ALL SELECT * FROM p3)"""
 _LI = "concat_ws('-', 'l', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+_SEARCH = f"""sd AS (SELECT 'c' || c_custkey AS seed FROM customer WHERE c_custkey % 20 = 0),
+deg AS (SELECT node, count(*) AS k FROM di GROUP BY 1), adj AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY assertion_id, other) AS pl FROM di) WHERE pl <= 12),
+r1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY a, nodes) AS rank FROM (SELECT seed, [seed, other] AS nodes, [assertion_id] AS a FROM sd JOIN adj ON node = seed)),
+f1 AS (SELECT * FROM r1 WHERE seed NOT IN (SELECT seed FROM r1 WHERE rank > 60)), u1 AS (SELECT seed, count(*) AS used FROM f1 GROUP BY 1),
+r2 AS MATERIALIZED (SELECT seed, nodes, a, used + row_number() OVER (PARTITION BY seed ORDER BY a, nodes) AS rank FROM (
+  SELECT seed, list_append(nodes, other) AS nodes, list_append(a, assertion_id) AS a FROM f1 JOIN adj ON node = nodes[-1] WHERE NOT list_contains(nodes, other)) JOIN u1 USING (seed)),
+f2 AS (SELECT * FROM r2 WHERE seed NOT IN (SELECT seed FROM r2 WHERE rank > 60)), u2 AS (SELECT seed, max(rank) AS used FROM f2 GROUP BY 1),
+r3 AS MATERIALIZED (SELECT seed, nodes, a, used + row_number() OVER (PARTITION BY seed ORDER BY a, nodes) AS rank FROM (
+  SELECT seed, list_append(nodes, other) AS nodes, list_append(a, assertion_id) AS a FROM f2 JOIN adj ON node = nodes[-1] WHERE NOT list_contains(nodes, other)) JOIN u2 USING (seed)),
+ranked AS (SELECT *, 1 AS hop FROM r1 UNION ALL SELECT *, 2 FROM r2 UNION ALL SELECT *, 3 FROM r3), kept AS (SELECT * FROM ranked WHERE rank <= 60),
+walked AS (SELECT seed, [seed] AS nodes FROM sd UNION ALL SELECT seed, nodes FROM f1 UNION ALL SELECT seed, nodes FROM f2),
+sup AS (SELECT assertion_id, min(x) AS sup FROM (SELECT {_LI} AS assertion_id, 's' || l_suppkey AS x FROM lineitem UNION ALL SELECT 'o' || l_orderkey, 't' || l_suppkey FROM lineitem) GROUP BY 1)"""
+_SCOPES = """al AS (SELECT c_nationkey || ':' || c_mktsegment AS scope, c_custkey % 40 AS f, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 40 + 1 + c_custkey % 7 END AS t FROM customer),
+st AS (SELECT scope, revision, sum(d) AS d FROM (SELECT scope, f AS revision, 1 AS d FROM al UNION ALL SELECT scope, t, -1 FROM al WHERE t IS NOT NULL) GROUP BY 1, 2),
+sx AS (SELECT scope, revision, sum(d) OVER (PARTITION BY scope ORDER BY revision)::BIGINT AS n FROM st)"""
 _PLAN = """
 docs AS (SELECT doc_id AS item_id, sha256(text) AS h, lang FROM documents),
 b AS (SELECT item_id, h FROM docs WHERE item_id % 29 <> 1),
@@ -198,6 +260,24 @@ ORACLES = {
     "paths_3hop_simple": f"WITH {EDGES} SELECT seed, hop, count(*)::BIGINT AS n, min(array_to_string(nodes, '>')) AS first_path, max(array_to_string(nodes, '>')) AS last_path FROM p123 GROUP BY 1, 2",
     "paths_budget": f"""WITH {EDGES}, r AS (SELECT seed, a, row_number() OVER (PARTITION BY seed ORDER BY hop, a, nodes)::INTEGER AS rank, count(*) OVER (PARTITION BY seed) AS k FROM p12)
 SELECT seed, rank, k > 25 AS truncated, array_to_string(a, '>') AS assertions FROM r WHERE rank <= 25""",
+    "path_search": f"""WITH {EDGES}, {_SEARCH}, e AS (SELECT seed, rank, unnest(a) AS assertion_id, generate_subscripts(a, 1) AS i FROM kept),
+es AS (SELECT seed, rank, string_agg(coalesce(sup, '-'), '>' ORDER BY i) AS supports FROM e LEFT JOIN sup USING (assertion_id) GROUP BY 1, 2)
+SELECT seed, rank::INTEGER AS rank, hop, array_to_string(nodes, '>') AS nodes, array_to_string(a, '>') AS assertions, supports FROM kept JOIN es USING (seed, rank)""",
+    "path_stops": f"""WITH {EDGES}, {_SEARCH}, why AS (
+SELECT seed, 'path_budget' AS reason FROM ranked WHERE rank > 60 UNION SELECT seed, 'assertion_budget' FROM walked JOIN deg ON node = nodes[-1] WHERE k > 12
+UNION SELECT seed, 'hop_budget' FROM kept WHERE hop = 3 AND seed NOT IN (SELECT seed FROM ranked WHERE rank > 60)),
+w AS (SELECT seed, string_agg(reason, ',' ORDER BY reason) AS r FROM why GROUP BY 1), k AS (SELECT seed, count(*) AS n FROM kept GROUP BY 1)
+SELECT seed, coalesce(n, 0)::BIGINT AS n_paths, coalesce(r, '') AS stop_reasons, r IS NULL AS exhausted FROM sd LEFT JOIN w USING (seed) LEFT JOIN k USING (seed)""",
+    "scope_index": f"WITH {_SCOPES} SELECT * FROM sx",
+    "update_plan_lookups": f"""WITH RECURSIVE {_PLAN}, {_SCOPES},
+q AS (SELECT item_id, (item_id % 25) || ':' || ['BUILDING', 'MACHINERY', 'NOTHING', 'FURNITURE'][item_id % 4 + 1] AS scope FROM dr),
+at20 AS (SELECT scope, max(revision) AS r, arg_max(n, revision) = 0 AS e FROM sx WHERE revision <= 20 GROUP BY 1), at23 AS (SELECT scope, max(revision) AS r, arg_max(n, revision) = 0 AS e FROM sx WHERE revision <= 23 GROUP BY 1),
+d2 AS (SELECT dr.item_id, coalesce(direct, CASE WHEN dr.item_id > 0 AND dr.item_id % 4 = 0 AND dr.item_id % 10 = 8 THEN 'DEPENDENCY'
+  WHEN coalesce(a.r, 0) <> coalesce(b.r, 0) OR coalesce(a.e, true) <> coalesce(b.e, true) THEN 'LOOKUP' END) AS direct FROM dr JOIN q ON q.item_id = dr.item_id LEFT JOIN at20 a ON a.scope = q.scope LEFT JOIN at23 b ON b.scope = q.scope),
+c AS (SELECT item_id FROM d2 WHERE direct IS NOT NULL UNION SELECT dep.item_id FROM c JOIN dep ON dependency_id = c.item_id),
+orph AS (SELECT DISTINCT dep.item_id FROM dep JOIN d2 ON d2.item_id = dependency_id AND direct = 'REMOVED')
+SELECT item_id, CASE WHEN direct = 'REMOVED' OR item_id IN (FROM orph) THEN 'REVIEW' WHEN item_id IN (FROM c) THEN 'RECOMPUTE' ELSE 'REUSE' END AS bucket,
+coalesce(direct, CASE WHEN item_id IN (FROM c) THEN 'DEPENDENCY' ELSE 'UNCHANGED' END) AS reason FROM d2""",
     "path_sources": f"WITH {EDGES}, u AS (SELECT DISTINCT seed, unnest(a) AS assertion_id FROM p12) SELECT DISTINCT seed, l_suppkey AS source FROM u JOIN lineitem ON assertion_id = {_LI}",
     "path_usable": f"""WITH {EDGES}, x AS (SELECT seed, len(list_filter(nodes, lambda n: n[1] = 'p' AND substr(n, 2)::BIGINT % 2 = 1)) = 0 AS usable FROM p2)
 SELECT seed, usable, count(*)::BIGINT AS n FROM x GROUP BY 1, 2""",
