@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_lower, rounded
 from ..operators import metrics as m
 from ..session import table
+from ..sources import telemetry
+from ..sources.shared import scratch
 
 
 def _latency(s: SparkSession, d: str) -> DataFrame:
@@ -23,6 +25,27 @@ def latency_overall(s, d):
     return m.nearest_rank(_latency(s, d).where("event_type <> 'error'"), "latency", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "worst": 1.0})
 
 
+def _observations(s: SparkSession, d: str) -> DataFrame:
+    """Events as observations of one run; odd ones have a second stage, one in five a first token."""
+    e, k = table(s, d, "events"), F.col("event_id")
+    took = F.floor(F.abs(F.col("value")) * 1000).cast("long")
+    stage = F.struct(F.lit("search").alias("stage"), took.alias("duration_ns"), (k % 100).alias("queue_ns"))
+    second = F.struct(F.col("event_type").alias("stage"), (k % 7).alias("duration_ns"), F.lit(0).cast("long").alias("queue_ns"))
+    return e.select(
+        F.lit("run-1").alias("run_id"), F.concat(F.lit("q"), k).alias("request_id"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("scheduled_ns"), took.alias("completion_ns"),
+        F.when(F.col("event_type") == "error", 2).otherwise(1).alias("outcome"), F.when(k % 5 == 0, k).alias("first_token_ns"), F.when(k % 2 == 1, F.array(stage, second)).otherwise(F.array(stage)).alias("stages"),
+    )
+
+
+def telemetry_roundtrip(s, d):
+    """Observations written as length-delimited messages and read back."""
+    path = scratch(s, "telemetry")
+    telemetry.write(_observations(s, d), path)
+    back = telemetry.read(s, path)
+    spent = F.aggregate("stages", F.lit(0).cast("long"), lambda t, x: t + x.duration_ns + x.queue_ns)
+    return back.select("request_id", "scheduled_ns", "completion_ns", "outcome", "first_token_ns", F.array_join(F.transform("stages", lambda x: x.stage), ",").alias("stages"), spent.alias("stages_ns"))
+
+
 def success_ratio(s, d):
     e = _latency(s, d).groupBy("slice").agg(F.count("latency").alias("ok"), F.count("*").alias("n"))
     return e.select("slice", rounded(m.ratio(F.col("ok"), F.col("n"))).alias("success"))
@@ -165,7 +188,7 @@ def constant_rate(s, d):
     return e.groupBy("user_id").agg(F.min("gap").alias("shortest_us"), F.count_if(F.col("gap") < 60_000_000).alias("n_short"))
 
 
-QUERIES = {f.__name__: f for f in (latency_quantiles, latency_overall, success_ratio, min_slice, throughput, macro_mean, micro_f1, precision_recall, pairwise_precision_recall, cer, abstention, citation_ratios, gate_status, release_status, rebuild_ratio, isolation_ratio, gate_sets, invariant_gates, run_admission, corpus_eligibility, stage_durations, answer_tokens, constant_rate)}
+QUERIES = {f.__name__: f for f in (latency_quantiles, latency_overall, success_ratio, min_slice, throughput, macro_mean, micro_f1, precision_recall, pairwise_precision_recall, cer, abstention, citation_ratios, gate_status, release_status, rebuild_ratio, isolation_ratio, gate_sets, invariant_gates, run_admission, corpus_eligibility, stage_durations, answer_tokens, constant_rate, telemetry_roundtrip)}
 
 
 def r6(x: str) -> str:
@@ -186,6 +209,9 @@ _SUCC = f"{_LAT}, su AS (SELECT slice, {r6('count(latency) / count(*)::DOUBLE')}
 ORACLES = {
     "latency_quantiles": f"WITH {_LAT} SELECT slice, {_q('0.5', 'p50')}, {_q('0.95', 'p95')}, {_q('0.99', 'p99')} FROM lat GROUP BY 1",
     "latency_overall": f"WITH {_LAT} SELECT {_q('0.5', 'p50')}, {_q('0.95', 'p95')}, {_q('0.99', 'p99')}, max(v) AS worst FROM lat WHERE event_type <> 'error'",
+    "telemetry_roundtrip": """WITH e AS (SELECT *, floor(abs(value) * 1000)::BIGINT AS took FROM events)
+SELECT 'q' || event_id AS request_id, epoch_us(ts) * 1000 AS scheduled_ns, took AS completion_ns, CASE event_type WHEN 'error' THEN 2 ELSE 1 END AS outcome, CASE WHEN event_id % 5 = 0 THEN event_id END AS first_token_ns,
+'search' || CASE WHEN event_id % 2 = 1 THEN ',' || event_type ELSE '' END AS stages, took + event_id % 100 + CASE WHEN event_id % 2 = 1 THEN event_id % 7 ELSE 0 END AS stages_ns FROM e""",
     "success_ratio": f"WITH {_SUCC} SELECT * FROM su",
     "min_slice": f"WITH {_SUCC} SELECT min(success) AS worst, (SELECT slice FROM su ORDER BY success, slice LIMIT 1) AS worst_slice, count(*)::BIGINT AS n_slices FROM su",
     "throughput": f"WITH {_LAT} SELECT event_type, {r6('count(latency) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6)')} AS per_second FROM lat GROUP BY 1",

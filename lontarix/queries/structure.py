@@ -9,6 +9,7 @@ from ..functions import html
 from ..functions.text import heading_kind, heading_level, is_roman, normalize_text
 from ..operators import quality, structure
 from ..session import table
+from ..sources import store
 
 
 def _raw(s: SparkSession, d: str) -> DataFrame:
@@ -187,6 +188,13 @@ def exact_dup_groups(s, d):
     return g.where("n > 1")
 
 
+def blob_references(s, d):
+    """Documents are blobs of snapshots 0 to 6, a tenth of them of the next one too; snapshot 6 is active, snapshot 2 is leased."""
+    docs = table(s, d, "documents").select((F.col("doc_id") % 7).alias("snapshot"), F.sha2("text", 256).alias("sha256"), "doc_id")
+    held = docs.where("doc_id % 9 <> 4").select("snapshot", "sha256").unionByName(docs.where("doc_id % 10 = 0").select((F.col("snapshot") + 1).alias("snapshot"), "sha256"))
+    return store.references(held, docs, [2, 6])
+
+
 def readback_diff(s, d):
     e = table(s, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     a = e.where("s_suppkey % 10 <> 1").withColumn("s_acctbal", F.when(F.col("s_suppkey") % 10 == 2, 0.0).otherwise(F.col("s_acctbal")))
@@ -194,7 +202,7 @@ def readback_diff(s, d):
     return quality.state_diff(e, a.unionByName(extra), ["s_suppkey"])
 
 
-QUERIES = {f.__name__: f for f in (preview_windows, unit_projection, duplicate_ordinal, phrase_priority_sample, index_reuse, text_normalize, byte_map, headings, structure_tree, chunk_split, embedding_input, roman_check, html_title, html_text, html_links, html_parse, link_discovery, field_rule_issues, nested_any_match, paired_triple_match, filter_admission, stratified_sample, exact_field, page_classes, inventory_audit, identity_collisions, orphan_blobs, exact_dup_groups, readback_diff)}
+QUERIES = {f.__name__: f for f in (preview_windows, unit_projection, duplicate_ordinal, phrase_priority_sample, index_reuse, text_normalize, byte_map, headings, structure_tree, chunk_split, embedding_input, roman_check, html_title, html_text, html_links, html_parse, link_discovery, field_rule_issues, nested_any_match, paired_triple_match, filter_admission, stratified_sample, exact_field, page_classes, inventory_audit, identity_collisions, orphan_blobs, exact_dup_groups, readback_diff, blob_references)}
 
 _RAW = "raw AS (SELECT doc_id, replace(replace(replace(text, '. ', '.' || chr(13) || chr(10)), 'tion', 'ti' || chr(173) || 'on'), ', ', ',' || chr(9) || '  ') || chr(13) || 'ﬁn ﬄ' AS text FROM documents)"
 _NORM = r"replace(replace(replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), chr(173), ''), 'ﬁ', 'fi'), 'ﬄ', 'ffl')"
@@ -259,5 +267,8 @@ SELECT *, CASE WHEN n_text > 0 AND n_scan > 0 THEN 'mixed_candidate' WHEN n_scan
     "identity_collisions": "SELECT c_nationkey, c_mktsegment, count(*)::BIGINT AS n, min(c_custkey) AS first FROM customer GROUP BY 1, 2 HAVING count(*) > 1",
     "orphan_blobs": "SELECT DISTINCT sha256(text) AS blob FROM documents EXCEPT SELECT sha256(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "exact_dup_groups": "SELECT sha256(text) AS sha, count(*)::BIGINT AS n, min(doc_id) AS keep FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "blob_references": """WITH d AS (SELECT doc_id, doc_id % 7 AS s, sha256(text) AS sha256 FROM documents),
+h AS (SELECT s, sha256 FROM d WHERE doc_id % 9 <> 4 UNION SELECT s + 1, sha256 FROM d WHERE doc_id % 10 = 0), c AS (SELECT sha256, count(*) AS n, count(*) FILTER (s IN (2, 6)) AS l FROM h GROUP BY 1)
+SELECT DISTINCT sha256, coalesce(n, 0)::BIGINT AS n_refs, coalesce(l, 0)::BIGINT AS n_live FROM d LEFT JOIN c USING (sha256)""",
     "readback_diff": "SELECT s_suppkey, CASE s_suppkey % 10 WHEN 1 THEN 'MISSING' ELSE 'CHANGED' END AS state FROM supplier WHERE s_suppkey % 10 = 1 OR (s_suppkey % 10 = 2 AND s_acctbal <> 0) UNION ALL SELECT s_suppkey + 1000000, 'EXTRA' FROM supplier WHERE s_suppkey % 10 = 3",
 }

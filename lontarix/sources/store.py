@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
+import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,58 +56,184 @@ def get(spark: SparkSession, path: str) -> DataFrame:
     return stored.select("sha256", checked.alias("bytes"), "size")
 
 
-def _reserve(spark: SparkSession, root: str) -> int:
-    """A snapshot number that no other writer has: the first whose claim file this one could create."""
-    fs, base = _fs(spark, root)
-    fs.mkdirs(base)
-    taken = [int(m.group(1)) for m in (re.fullmatch(r"(?:snapshot=|claim-)(\d+)", s.getPath().getName()) for s in fs.listStatus(base)) if m]
-    number = max(taken, default=0) + 1
-    while not fs.createNewFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/claim-{number}")):
-        number += 1
-    return number
+def references(held: DataFrame, blobs: DataFrame, live: list[int]) -> DataFrame:
+    """(sha256, n_refs, n_live) of every blob: by how many snapshots it is referred to, and by how many of the ``live`` ones.
+
+    ``held``: (snapshot, sha256), a row or more a reference. A blob that no live snapshot refers to may go. ``live`` are snapshots
+    that are kept or leased, a handful of numbers.
+    """
+    once = held.select("snapshot", "sha256").distinct()
+    counted = once.groupBy("sha256").agg(F.count("*").alias("n_refs"), F.count_if(F.col("snapshot").isin(live)).alias("n_live"))
+    return blobs.select("sha256").distinct().join(counted, "sha256", "left").select("sha256", F.coalesce("n_refs", F.lit(0)).alias("n_refs"), F.coalesce("n_live", F.lit(0)).alias("n_live"))
+
+
+def collect_blobs(spark: SparkSession, path: str, wanted: DataFrame) -> int:
+    """Take all blobs away that ``wanted`` (sha256) doesn't name; returns how many. No ``put`` may run meanwhile.
+
+    A batch of which all is wanted stays as it is. What others keep is written to a new batch first and then they go, so at every
+    moment each wanted blob is stored, perhaps twice, and ``get`` returns it once.
+    """
+    stored = spark.read.parquet(path).withColumn("batch", F.col("batch").cast("string"))
+    marked = stored.select("sha256", "batch").join(wanted.select("sha256", F.lit(True).alias("live")).distinct(), "sha256", "left")
+    counts = marked.groupBy("batch").agg(F.count_if(F.col("live").isNull()).alias("dead")).where("dead > 0").collect()
+    if not counts:
+        return 0
+    old = [r.batch for r in counts]  # folders, not blobs
+    stay = stored.where(F.col("batch").isin(old)).join(wanted.select("sha256").distinct(), "sha256", "left_semi").drop("batch")
+    stay.write.option("compression", "zstd").parquet(f"{path}/batch={uuid.uuid4().hex}")
+    fs, _ = _fs(spark, path)
+    for batch in old:
+        fs.delete(_path(spark, f"{path}/batch={batch}"), True)
+    return sum(r.dead for r in counts)
+
+
+def _path(spark: SparkSession, name: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def _write(spark: SparkSession, name: str, text: str) -> None:
+    fs, p = _fs(spark, name)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _read(spark: SparkSession, name: str) -> dict | None:
+    """A small JSON file; None where there is none."""
+    fs, p = _fs(spark, name)
+    if not fs.exists(p):
+        return None
+    source = fs.open(p)
+    try:
+        size = fs.getFileStatus(p).getLen()
+        return json.loads(bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(source, int(size))).decode())
+    finally:
+        source.close()
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    fs, p = _fs(spark, folder)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    return sorted(int(m[1]) for m in (re.fullmatch(r"version-(\d{12})", n) for n in _names(spark, root)) if m)
+
+
+def _version(root: str, number: int) -> str:
+    return f"{root}/version-{number:012d}"
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], expected: int | None = None) -> int:
-    """Write a new snapshot of several tables and make it the active one; returns its sequence.
+    """Write a snapshot of several tables and make it the one after ``expected``, or after whatever is active then; returns its number.
 
-    A number is claimed first, so two writers never share a folder. Tables go to ``snapshot=<n>/<name>`` and are read back: the
-    manifest holds a receipt (rows) of each. Then one small manifest is written aside and renamed into place. A reader sees
-    the old snapshot or the new one, never parts of both; a failed write leaves the old one active. With ``expected``, the snapshot that
-    the new one builds on, publication fails if another has become active since; snapshots become active in the order of their numbers.
+    Tables go to a folder of their own name and are read back: the manifest has a receipt (rows) of each. The manifest is laid in a
+    folder aside, which is then renamed to ``version-<n>``, n being the predecessor's number and one. Of several writers that follow
+    one predecessor exactly one finds no such folder: that rename, in one step, publishes; the others' manifests are not the one they
+    find there, and they fail (with ``expected``) or go on to the next number. A writer that is stopped has published all or nothing;
+    what it leaves is taken away by ``sweep``. The root needs a file system that renames folders in one step, as HDFS and local ones do.
     """
-    number = _reserve(spark, root)
-    fs, _ = _fs(spark, root)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    me = uuid.uuid4().hex
+    fs, base = _fs(spark, root)
+    fs.mkdirs(base)
+    if expected is not None and (active(spark, root) or 0) != expected:
+        raise RuntimeError(f"snapshot {active(spark, root)} has become active")
     receipts = {}
     for name, df in tables.items():
-        df.write.option("compression", "zstd").parquet(f"{root}/snapshot={number}/{name}")
-        receipts[name] = spark.read.parquet(f"{root}/snapshot={number}/{name}").count()
-    now = active(spark, root)
-    if (expected is not None and now != expected) or (now or 0) > number:
-        raise RuntimeError(f"snapshot {now} has become active")
-    done = path(f"{root}/manifest-{number:012d}.json")
-    aside = path(f"{root}/.manifest-{number:012d}.tmp")
-    out = fs.create(aside, True)
-    out.write(bytearray(json.dumps({"snapshot": number, "tables": sorted(tables), "receipts": receipts}).encode()))
-    out.close()
-    if not fs.rename(aside, done):
-        raise RuntimeError("the snapshot could not be published")
-    return number
+        df.write.option("compression", "zstd").parquet(f"{root}/data-{me}/{name}")
+        receipts[name] = spark.read.parquet(f"{root}/data-{me}/{name}").count()
+    manifest = {"data": f"data-{me}", "tables": sorted(tables), "receipts": receipts}
+    while True:
+        number = (active(spark, root) or 0 if expected is None else expected) + 1
+        aside = f"{root}/aside-{me}"
+        _write(spark, f"{aside}/manifest.json", json.dumps(manifest | {"snapshot": number}))
+        fs.rename(_path(spark, aside), _path(spark, _version(root, number)))
+        found = _read(spark, f"{_version(root, number)}/manifest.json")
+        if found and found["data"] == manifest["data"]:
+            return number
+        # Another was first; a file system may have moved the folder into that one's.
+        for left in (aside, f"{_version(root, number)}/aside-{me}"):
+            fs.delete(_path(spark, left), True)
+        if expected is not None:
+            fs.delete(_path(spark, f"{root}/data-{me}"), True)
+            raise RuntimeError(f"snapshot {active(spark, root)} has become active")
 
 
 def active(spark: SparkSession, root: str) -> int | None:
-    """The newest published snapshot; unpublished folders don't count."""
-    fs, base = _fs(spark, root)
-    if not fs.exists(base):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(base)]
-    return max((int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")), default=None)
+    """The newest published snapshot."""
+    return max(_versions(spark, root), default=None)
 
 
 def pinned(spark: SparkSession, root: str, snapshot: int | None = None) -> dict[str, DataFrame]:
-    """All tables of one snapshot, resolved once; later publications don't change them."""
+    """All tables of one snapshot, resolved once; later publications don't change them, a sweep may unless there is a lease (``leased``)."""
     number = active(spark, root) if snapshot is None else snapshot
-    if number is None or active(spark, root) is None or number > active(spark, root):
+    found = None if number is None else _read(spark, f"{_version(root, number)}/manifest.json")
+    if found is None:
+        raise LookupError("no such published snapshot")
+    return {name: spark.read.parquet(f"{root}/{found['data']}/{name}") for name in found["tables"]}
+
+
+def _leases(spark: SparkSession, root: str, now: float) -> set[int]:
+    """Snapshots with a lease that hasn't run out."""
+    found = (re.fullmatch(r"(\d+)-(\d+)-[0-9a-f]+", n) for n in _names(spark, f"{root}/leases"))
+    return {int(m[1]) for m in found if m and int(m[2]) >= 1000 * now}
+
+
+def renew(spark: SparkSession, root: str, snapshot: int, seconds: float, old: str | None = None) -> str:
+    """A lease on a snapshot for so long from now on, instead of the ``old`` one; returns its name."""
+    name = f"{root}/leases/{snapshot}-{int(1000 * (time.time() + seconds))}-{uuid.uuid4().hex}"
+    _write(spark, name, "")
+    if old:
+        _fs(spark, old)[0].delete(_path(spark, old), False)
+    # Only now is it sure that no sweep has begun to take the snapshot away: one that begins later sees the lease.
+    if not _exists(spark, f"{_version(root, snapshot)}/manifest.json"):
+        _fs(spark, name)[0].delete(_path(spark, name), False)
         raise LookupError("no such published snapshot")
-    fs, p = _fs(spark, f"{root}/snapshot={number}")
-    return {s.getPath().getName(): spark.read.parquet(s.getPath().toString()) for s in fs.listStatus(p)}
+    return name
+
+
+@contextlib.contextmanager
+def leased(spark: SparkSession, root: str, seconds: float, snapshot: int | None = None) -> Iterator[dict[str, DataFrame]]:
+    """``pinned`` under a lease: no sweep takes the snapshot away inside, for ``seconds`` at most unless it is renewed."""
+    number = active(spark, root) if snapshot is None else snapshot
+    if number is None:
+        raise LookupError("no such published snapshot")
+    name = renew(spark, root, number, seconds)
+    try:
+        yield pinned(spark, root, number)
+    finally:
+        _fs(spark, name)[0].delete(_path(spark, name), False)
+
+
+def sweep(spark: SparkSession, root: str, keep: int = 1, grace: float = 86_400) -> list[int]:
+    """Take away all snapshots but the ``keep`` newest and those under a lease; returns their numbers.
+
+    A snapshot is renamed first, so no new lease can be had; one that was had just before is looked for again after that, and the
+    snapshot comes back. Leases that have run out, tables without a manifest and manifests never published go once older than ``grace``
+    seconds: their writer may be at work till then.
+    """
+    fs, _ = _fs(spark, root)
+    gone = []
+    for number in _versions(spark, root)[: -max(1, keep)]:
+        if number in _leases(spark, root, time.time()):
+            continue
+        there, away = _version(root, number), f"{root}/condemned-{number:012d}"
+        if not fs.rename(_path(spark, there), _path(spark, away)):
+            continue
+        if number in _leases(spark, root, time.time()):
+            fs.rename(_path(spark, away), _path(spark, there))
+            continue
+        found = _read(spark, f"{away}/manifest.json")
+        if found:
+            fs.delete(_path(spark, f"{root}/{found['data']}"), True)
+        fs.delete(_path(spark, away), True)
+        gone.append(number)
+    used = {m["data"] for m in (_read(spark, f"{root}/{n}/manifest.json") for n in _names(spark, root) if n.startswith(("version-", "condemned-"))) if m}
+    for folder in (root, f"{root}/leases"):
+        for name in _names(spark, folder):
+            status = fs.getFileStatus(_path(spark, f"{folder}/{name}"))
+            left = name.startswith(("aside-", "data-")) and name not in used if folder == root else True
+            expiry = int(name.split("-")[1]) if folder != root else status.getModificationTime()
+            if left and expiry < 1000 * (time.time() - grace):
+                fs.delete(_path(spark, f"{folder}/{name}"), True)
+    return gone

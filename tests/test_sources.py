@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import threading
 
 import pytest
 from conftest import SF
@@ -34,7 +36,7 @@ def test_snapshots(spark, tmp_path):
     two = store.publish(spark, root, {"t": spark.range(5)})
     assert (one, two) == (1, 2) and store.active(spark, root) == 2
     assert held["t"].count() == 3 and set(held) == {"t", "u"} and store.pinned(spark, root)["t"].count() == 5
-    spark.range(9).write.parquet(root + "/snapshot=3/t")  # written, never published
+    spark.range(9).write.parquet(root + "/data-other/t")  # written, never published
     assert store.active(spark, root) == 2
     with pytest.raises(LookupError):
         store.pinned(spark, root, 3)
@@ -90,11 +92,103 @@ def test_merged_stream_goes_on(spark, tmp_path):
 def test_publication_needs_its_predecessor(spark, tmp_path):
     root = str(tmp_path / "cas")
     assert store.publish(spark, root, {"t": spark.range(1)}) == 1
-    (tmp_path / "cas" / "claim-2").touch()  # another writer's number
-    assert store.publish(spark, root, {"t": spark.range(2)}, expected=1) == 3
+    assert store.publish(spark, root, {"t": spark.range(2)}, expected=1) == 2
     with pytest.raises(RuntimeError, match="has become active"):
         store.publish(spark, root, {"t": spark.range(3)}, expected=1)
-    assert store.active(spark, root) == 3 and store.pinned(spark, root)["t"].count() == 2
+    assert store.active(spark, root) == 2 and store.pinned(spark, root)["t"].count() == 2
+
+
+def at_once(n, work):
+    """What ``work`` returns or raises in each of n threads that begin together."""
+    gate, out = threading.Barrier(n), [None] * n
+
+    def one(i):
+        gate.wait()
+        try:
+            out[i] = work(i)
+        except Exception as e:  # noqa: BLE001
+            out[i] = e
+
+    threads = [threading.Thread(target=one, args=(i,)) for i in range(n)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    return out
+
+
+def test_exactly_one_of_several_writers_follows_a_snapshot(spark, tmp_path):
+    root = str(tmp_path / "race")
+    store.publish(spark, root, {"t": spark.range(1)})
+    for turn in range(1, 4):
+        out = at_once(4, lambda i, turn=turn: store.publish(spark, root, {"t": spark.range(10 * turn + i)}, expected=turn))
+        won = [i for i, x in enumerate(out) if x == turn + 1]
+        assert len(won) == 1 and all(isinstance(x, RuntimeError) for i, x in enumerate(out) if i not in won)
+        assert store.active(spark, root) == turn + 1 and store.pinned(spark, root)["t"].count() == 10 * turn + won[0]
+    assert not [n for n in os.listdir(root) if n.startswith("aside-")] and len([n for n in os.listdir(root) if n.startswith("data-")]) == 4
+
+
+def test_writers_without_a_predecessor_all_get_a_number(spark, tmp_path):
+    root = str(tmp_path / "line")
+    out = at_once(4, lambda i: store.publish(spark, root, {"t": spark.range(i + 1)}))
+    assert sorted(out) == [1, 2, 3, 4]
+    assert [store.pinned(spark, root, n)["t"].count() for n in out] == [1, 2, 3, 4]
+
+
+def test_a_late_writer_finds_the_version_taken(spark, tmp_path, monkeypatch):
+    """Both saw the same predecessor; the other's rename came first."""
+    root = str(tmp_path / "late")
+    store.publish(spark, root, {"t": spark.range(1)})
+    seen = store.active
+    monkeypatch.setattr(store, "active", lambda s, r: 1)
+    assert store.publish(spark, root, {"t": spark.range(2)}, expected=1) == 2
+    with pytest.raises(RuntimeError):
+        store.publish(spark, root, {"t": spark.range(3)}, expected=1)
+    monkeypatch.setattr(store, "active", seen)
+    assert store.active(spark, root) == 2 and store.pinned(spark, root)["t"].count() == 2
+    assert os.listdir(f"{root}/version-{2:012d}") == ["manifest.json"] or sorted(os.listdir(f"{root}/version-{2:012d}"))[-1] == "manifest.json"
+
+
+def test_a_sweep_keeps_what_is_leased(spark, tmp_path):
+    root = str(tmp_path / "sweep")
+    for n in range(1, 5):
+        store.publish(spark, root, {"t": spark.range(n)})
+    with store.leased(spark, root, 600, snapshot=2) as held:
+        assert store.sweep(spark, root) == [1, 3]
+        assert held["t"].count() == 2 and store.pinned(spark, root)["t"].count() == 4
+        with pytest.raises(LookupError):
+            store.pinned(spark, root, 3)
+        with pytest.raises(LookupError):
+            store.renew(spark, root, 3, 600)
+    assert store.sweep(spark, root, keep=2) == [] and store.sweep(spark, root) == [2]
+    store.publish(spark, root, {"t": spark.range(5)})
+    store.renew(spark, root, 4, -1)  # ran out
+    spark.range(1).write.parquet(f"{root}/data-abandoned/t")
+    assert store.sweep(spark, root) == [4] and os.path.exists(f"{root}/data-abandoned")
+    store.sweep(spark, root, grace=-60)
+    assert not os.path.exists(f"{root}/data-abandoned") and os.listdir(f"{root}/leases") == [] and store.pinned(spark, root)["t"].count() == 5
+
+
+def test_a_lease_got_just_before_brings_a_snapshot_back(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "close")
+    for n in (1, 2):
+        store.publish(spark, root, {"t": spark.range(n)})
+    answers = iter([set(), {1}])
+    monkeypatch.setattr(store, "_leases", lambda *a: next(answers))
+    assert store.sweep(spark, root) == [] and store.pinned(spark, root, 1)["t"].count() == 1
+
+
+def test_blobs_that_no_live_snapshot_refers_to_go(spark, tmp_path):
+    path = str(tmp_path / "blobs")
+    for bodies in (["a", "b", "c"], ["d", "e"], ["f"]):
+        store.put(spark.createDataFrame([(x,) for x in bodies], "body string"), path, "body")
+    sha = {x: hashlib.sha256(x.encode()).hexdigest() for x in "abcdef"}
+    held = spark.createDataFrame([(1, sha["a"]), (1, sha["b"]), (2, sha["b"]), (2, sha["b"]), (3, sha["d"]), (3, sha["e"])], "snapshot long, sha256 string")
+    refs = store.references(held, store.get(spark, path), [2, 3])
+    assert {r.sha256: (r.n_refs, r.n_live) for r in refs.collect()} == {sha["a"]: (1, 0), sha["b"]: (2, 1), sha["c"]: (0, 0), sha["d"]: (1, 1), sha["e"]: (1, 1), sha["f"]: (0, 0)}
+    wanted = spark.createDataFrame([(r.sha256,) for r in refs.where("n_live > 0").collect()], "sha256 string")
+    assert store.collect_blobs(spark, path, wanted) == 3 and store.collect_blobs(spark, path, wanted) == 0
+    assert {bytes(r.bytes).decode() for r in store.get(spark, path).collect()} == {"b", "d", "e"}
 
 
 def test_payload_of_two_writers(spark, tmp_path):
