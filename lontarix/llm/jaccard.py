@@ -5,9 +5,11 @@ about equal weight, and every set into its segments in these. A pair's overlap i
 buckets' pairs meet a row a fragment, are counted there, and a sum per pair follows; large buckets' members are compared in bounded
 blocks, which add up their fragments' counts and stop once no pair can still reach its threshold.
 
+A set of which more than the threshold leaves over are shingles of its own is linked with nothing. These are counted first, on every
+``SAMPLE``-th shingle by its hash, which can only count too few: most sets are done with then, and their shingles never move again.
+
 Which pairs meet: sets of a and b shingles at the threshold have i >= pct * (a + b) / (100 + pct) in common, so they share one of the
-first ``a - ceil(pct * a / 100) + 1`` shingles of either. Shingles of one set alone come first and join nothing, so most sets have no
-such shingle at all. At the first one that a pair shares, what either has from there on bounds the overlap; pairs below it are left out.
+first ``a - ceil(pct * a / 100) + 1`` shingles of either. Shingles of one set alone come first and join nothing. At the first one that a pair shares, what either has from there on bounds the overlap; pairs below it are left out.
 
 Sets that are equal are one class from the start. Every class is compared with one other of its buckets first, then with the smallest of
 each of its buckets that is still in another component; after that a bucket's classes outside its largest component are compared
@@ -15,7 +17,7 @@ with all others of the bucket, so every pair of different components that share
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing. A text of fewer words than a shingle is one
 shingle, its whole sequence. Rows that repeat an id are judged each by its own text. A row with a null id is linked like any other but
-names no component. An empty table gives no rows. Extra columns are left out. Shingles are 64-bit hashes.
+names no component. An empty table gives no rows. Extra columns are left out. Shingles are 64-bit hashes, sets are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -30,37 +32,64 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, slices, utf8, working
 from .graph import components
-from .minhash import _bytes, _digests, shingle_sets
+from .minhash import NUMBERS, SENT_IDS, _bytes, _digests, shingle_sets
 
-FRAGMENTS = 16
+FRAGMENTS, SAMPLE = 16, 4
 #: Members of a bucket whose pairs are listed; members in a chunk of a larger one; parts that a bucket is dealt over.
 SMALL, CHUNK, SALTS = 32, 256, 64
 
 
-def _shingled(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, n, sha): number, set size and a 128-bit hash of the set."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _texts(docs: DataFrame, k: int, made, schema: str) -> DataFrame:
+    """What ``made`` makes of the sorted distinct shingles of a run of rows; the text is the last column."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        buf, off = utf8(batch.column(2))
+        buf, off = utf8(batch.column(batch.num_columns - 1))
         for i, j in slices(off):
-            sets, begin = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(np.diff(begin)), _digests(sets, begin)], ["row", "id", "n", "sha"])
+            yield made(batch.slice(i, j - i), *shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k))
+
+    return map_arrow(docs, run, schema)
+
+
+def _names(sets: np.ndarray, begin: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """128-bit hashes of whole sets, and 64 bits of each as a number."""
+    sha = _digests(sets, begin)
+    return sha, np.frombuffer(b"".join(sha.to_pylist()), np.int64)[::2]
+
+
+def _shingled(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, n, sha, name): number, set size and hashes of the set."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def made(rows: pa.RecordBatch, sets: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
+        sha, name = _names(sets, begin)
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(begin)), sha, pa.array(name)], ["row", "id", "n", "sha", "name"])
 
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(texts, run, f"row long, id {kind}, n long, sha binary")
+    return _texts(texts, k, made, f"row long, id {kind}, n long, sha binary, name long")
+
+
+def _alone(docs: DataFrame, k: int, text_col: str) -> DataFrame:
+    """(name, alone): how many of a set's sampled shingles no other set has."""
+
+    def made(rows: pa.RecordBatch, sets: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
+        _, name = _names(sets, begin)
+        first = np.zeros(len(name), bool)
+        first[np.unique(name, return_index=True)[1]] = True
+        owner = np.repeat(np.arange(len(name)), np.diff(begin))
+        chosen = first[owner] & ((sets >> np.uint64(7)) % np.uint64(SAMPLE) == 0)
+        return pa.RecordBatch.from_arrays([pa.array(name[owner[chosen]]), pa.array(sets[chosen].view(np.int64))], ["name", "token"])
+
+    held = _texts(docs.select(text_col), k, made, "name long, token long").groupBy("token").agg(F.min("name").alias("name"), F.max("name").alias("last"))
+    return held.where("name = last").groupBy("name").agg(F.count("*").alias("alone"))
 
 
 def _sets(docs: DataFrame, k: int, text_col: str) -> DataFrame:
     """(sha, members) of the texts."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        buf, off = utf8(batch.column(0))
-        for i, j in slices(off):
-            sets, begin = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
-            yield pa.RecordBatch.from_arrays([_digests(sets, begin), _bytes(sets, begin)], ["sha", "members"])
+    def made(rows: pa.RecordBatch, sets: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_digests(sets, begin), _bytes(sets, begin)], ["sha", "members"])
 
-    return map_arrow(docs.select(text_col), run, "sha binary, members binary")
+    return _texts(docs.select(text_col), k, made, "sha binary, members binary")
 
 
 def _exploded(sets: DataFrame) -> DataFrame:
@@ -217,8 +246,16 @@ def linked_groups(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "doc
     """Per row: id, ``n_shingles`` (set size), ``component_id`` (smallest id reachable over links, itself included)."""
     with working(docs.sparkSession):
         rows = cut(_shingled(docs, k, id_col, text_col), "shingle-rows", keep=True)
-        classes = cut(rows.where("n > 0").groupBy("sha").agg(F.min("row").alias("v"), F.min("id").alias("least")), "classes")
-        sets = cut(_sets(docs, k, text_col).dropDuplicates(["sha"]).join(classes.select("sha", "v"), "sha").select("v", "members"), "class-sets")
+        classes = rows.where("n > 0").groupBy("sha", "name", "n").agg(F.min(F.struct("row", "id")).alias("m"), F.min("id").alias("least"))
+        classes = cut(classes.select("sha", "name", "n", F.col("m.row").alias("v"), F.col("m.id").alias("id"), "least"), "classes")
+        left_over = F.col("n") - F.ceil(pct * F.col("n") / 100 - 1e-9)
+        able = classes.join(_alone(docs, k, text_col), "name", "left").where(F.coalesce("alone", F.lit(0)) <= left_over)
+        able = cut(able.select("sha", "v", "id"), "able")
+        wanted = able.select(F.col("id").alias("want")).distinct()
+        if isinstance(docs.schema[id_col].dataType, NUMBERS) and wanted.count() <= SENT_IDS:
+            wanted = F.broadcast(wanted)
+        texts = docs.join(wanted, F.col(id_col).eqNullSafe(F.col("want")), "left_semi")
+        sets = cut(_sets(texts, k, text_col).join(able.select("sha", "v"), "sha").dropDuplicates(["v"]).select("v", "members"), "class-sets")
         nodes = cut(_nodes(sets, pct), "class-keys")
         keys = nodes.select(F.explode("keys").alias("key"))
         # The places where the order is cut: a handful of numbers.
