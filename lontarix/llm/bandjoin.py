@@ -61,6 +61,11 @@ def band(p: Column, within: int, per_mille: int) -> tuple[Column, Column]:
     return F.least(p - within, low), F.greatest(p + within, high)
 
 
+def _merged(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join sorted and merged at every size: all tables here grow with the input, so none is broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _first(rows: DataFrame, keys: list[str], order: list[Column], most: int, name: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn(name, F.row_number().over(w)).where(F.col(name) <= most)
@@ -74,11 +79,11 @@ def _paired(units: DataFrame, prices: DataFrame) -> DataFrame:
     grid = F.explode(F.array(*map(F.lit, levels))).alias("level") if levels else F.lit(0).alias("level")
     own = units.select("u", "n", "crc", "others", grid).withColumn("bucket", of(F.col("u"), F.col("level")))
     parts = own.groupBy("level", "bucket").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
-    dealt = own.join(parts, ["level", "bucket"]).withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")).drop("parts")
+    dealt = _merged(own, parts, ["level", "bucket"]).withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")).drop("parts")
     touched = F.sequence(of(F.col("low"), F.col("level")), of(F.col("high"), F.col("level")))
-    asked = prices.select("p", "low", "high", "level", F.explode(touched).alias("bucket")).join(parts, ["level", "bucket"])
+    asked = _merged(prices.select("p", "low", "high", "level", F.explode(touched).alias("bucket")), parts, ["level", "bucket"])
     asked = asked.select("p", "low", "high", "level", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    both = asked.join(dealt, ["level", "bucket", "part"]).where("u BETWEEN low AND high")
+    both = _merged(asked, dealt, ["level", "bucket", "part"]).where("u BETWEEN low AND high")
     return both.select("p", "u", F.abs(F.col("u") - F.col("p")).alias("gap"), "n", "crc", "others")
 
 
@@ -100,7 +105,7 @@ def near_prices(lines: DataFrame, items: DataFrame, top: int = 10, within: int =
         item = F.transform("lines", lambda x: x.item_id)
         most = F.array_max(F.transform(F.array_distinct("held"), lambda x: F.size(F.filter("held", lambda y: y == x))))
         few = cut(few.withColumn("held", item).select("u", "lines", (F.size("lines") - most).alias("others")), "unit-lines")
-        units = by_item.groupBy("u").agg(F.sum("n").alias("n"), F.sum("crc").alias("crc")).join(few.select("u", "others"), "u")
+        units = _merged(by_item.groupBy("u").agg(F.sum("n").alias("n"), F.sum("crc").alias("crc")), few.select("u", "others"), ["u"])
 
         low, high = band(F.col("p"), within, per_mille)
         prices = asked.where("p IS NOT NULL").groupBy("p").agg(F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
@@ -111,21 +116,21 @@ def near_prices(lines: DataFrame, items: DataFrame, top: int = 10, within: int =
         before = F.sum("others").over(Window.partitionBy("p").orderBy("gap", "u").rowsBetween(Window.unboundedPreceding, -1))
         pairs = cut(pairs.withColumn("opened", F.coalesce(before, F.lit(0)) < top).drop("others"), "price-pairs")
         sums = pairs.groupBy("p").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("gap")).alias("gaps"), F.sum("crc").alias("crc"))
-        near = pairs.where("opened").select("p", "u", "gap").join(few.select("u", F.explode("lines").alias("x")), "u").select("p", "gap", "u", "x.*")
+        near = _merged(pairs.where("opened").select("p", "u", "gap"), few.select("u", F.explode("lines").alias("x")), ["u"]).select("p", "gap", "u", "x.*")
         order = [F.col("gap"), F.col("u"), *order]
         near = _first(_first(near, ["p", "item_id"], order[:-1], top, "k"), ["p"], order, 2 * top, "k")
         near = near.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("gap", "u", "sale_id", "none", "line_no", "item_id"))).alias("near"))
         # One row for each part that items of the price are in.
         used = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.bit_get("salts", i) == 1)
-        known = cut(prices.join(sums, "p").join(near, "p").select("p", F.explode(used).alias("salt"), "n", "gaps", "crc", "near"), "price-sums", keep=True)
+        known = cut(_merged(_merged(prices, sums, ["p"]), near, ["p"]).select("p", F.explode(used).alias("salt"), "n", "gaps", "crc", "near"), "price-sums", keep=True)
         alone = asked.where("p IS NOT NULL").select("item_id", "p").distinct().withColumns({"low": low, "high": high})
-        inside = by_item.join(alone, "item_id").where("u BETWEEN low AND high")
+        inside = _merged(by_item, alone, ["item_id"]).where("u BETWEEN low AND high")
         gap = F.abs(F.col("u") - F.col("p"))
         taken = inside.groupBy("item_id", "p").agg(F.sum("n").alias("own_n"), F.sum(F.col("n") * gap).alias("own_gaps"), F.sum("crc").alias("own_crc"))
         taken = cut(taken, "own-sums", keep=True)
 
     rest = lambda x, own: F.coalesce(F.col(x), F.lit(0)) - F.coalesce(F.col(own), F.lit(0))
-    out = asked.join(known, ["p", "salt"], "left").join(taken, ["item_id", "p"], "left")
+    out = _merged(_merged(asked, known, ["p", "salt"], "left"), taken, ["item_id", "p"], "left")
     out = out.select(
         "item_id", rest("n", "own_n").alias("n_pairs"), rest("gaps", "own_gaps").alias("gap_sum"), rest("crc", "own_crc").alias("lines_crc"),
         F.slice(F.filter("near", lambda x: x.item_id != F.col("item_id")), 1, top).alias("near"),
