@@ -9,6 +9,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,26 +21,29 @@ from .evidence import overlaps
 
 #: Chunk limits in bytes and tokens.
 MAX_CHUNK_BYTES, MAX_CHUNK_TOKENS, MIN_SPLIT_BYTES, OVERLAP_BYTES = 4096, 512, 1024, 256
+#: What is held of a batch's results before they are given on.
+HELD_BYTES = 8 << 20
 _UNIT = re.compile(UNIT.replace(r"[\p{L}\p{M}\p{N}]+", r"(?:[^\W_]|[̀-ͯ])+").replace(r"[^\s\p{L}\p{M}\p{N}]", r"[^\s]"))
 _LINE = re.compile(r"[^\n\f]*(?:[\n\f]|$)")
 _STOP, _BLANK = re.compile(r"[\n\f.;?!]"), re.compile(r"\s")
-_SPACES = re.compile(r"[ \t          　]")
+#: All that normalization changes: line ends, runs of spaces other than a single plain one, soft hyphens, ligatures.
+_CHANGED = re.compile(rf"\r\n?|[ \t          　]{{2,}}|[\t          　]|\xad|[{''.join(LIGATURES)}]")
 
 
-def _repeats(line: str, rest: str) -> bool:
-    """Whether a marker at a page's end is repeated by the next page's first line that isn't blank or a page number."""
+def _repeats(line: str, text: str, at: int) -> bool:
+    """Whether a marker at a page's end is repeated, ``at`` and behind it, by the next page's first line that isn't blank or a page number."""
     own = heading_of(line)
     if own is None or own[0] not in ("ITEM", "PARAGRAPH"):
         return False
     seen = 0
-    for m in list(_LINE.finditer(rest))[:8]:
+    for m in islice(_LINE.finditer(text, at), 8):
         seen += len(m.group().encode())
         if seen > 2048 or m.group().endswith("\f"):
             return False
-        text = m.group().strip()
-        if not text or re.fullmatch(r"[0-9]{1,6}", text.strip("-").strip()):
+        line = m.group().strip()
+        if not line or re.fullmatch(r"[0-9]{1,6}", line.strip("-").strip()):
             continue
-        other = heading_of(text)
+        other = heading_of(line)
         return other is not None and (other[0], other[2]) == (own[0], own[2])
     return False
 
@@ -59,7 +63,7 @@ def parse_tree(text: str, artifact: str = "") -> list[dict]:
         begin, at = at, at + len(raw.encode())
         line = raw.rstrip("\n\f").strip()
         found = heading_of(line) if line else None
-        if found and raw.endswith("\f") and line.endswith((". . .", "...", "…")) and _repeats(line, text[m.end() :]):
+        if found and raw.endswith("\f") and line.endswith((". . .", "...", "…")) and _repeats(line, text, m.end()):
             found = None
         if not found:
             continue
@@ -217,32 +221,31 @@ def split_windows(text: str, size: int = 1600, overlap: int = 160, least: int =
 def normalize_with_map(text: str) -> tuple[str, list[tuple[int, int, int, int, str]]]:
     """Normalized text and its byte map: (raw_start, raw_stop, norm_start, norm_stop, kind); neighbouring identities are one span."""
     out: list[str] = []
-    spans: list[list] = []
-    r = n = i = 0
-    while i < len(text):
-        ch = text[i]
-        if ch == "\r":
-            j, new, kind = i + (2 if text[i + 1 : i + 2] == "\n" else 1), "\n", "LINE_END"
-        elif _SPACES.match(ch):
-            j = i + 1
-            while j < len(text) and _SPACES.match(text[j]):
-                j += 1
-            new, kind = " ", "SPACE" if text[i:j] != " " else "IDENTITY"
-        elif ch == "­":
-            j, new, kind = i + 1, "", "SOFT_HYPHEN"
-        elif ch in LIGATURES:
-            j, new, kind = i + 1, LIGATURES[ch], "LIGATURE"
-        else:
-            j, new, kind = i + 1, ch, "IDENTITY"
-        a, b = len(text[i:j].encode()), len(new.encode())
-        if kind == "IDENTITY" and spans and spans[-1][4] == "IDENTITY":
-            spans[-1][1] += a
-            spans[-1][3] += b
-        else:
-            spans.append([r, r + a, n, n + b, kind])
+    spans: list[tuple[int, int, int, int, str]] = []
+    r = n = at = 0
+
+    def add(raw: str, new: str, kind: str) -> None:
+        nonlocal r, n
+        a, b = len(raw.encode()), len(new.encode())
+        spans.append((r, r + a, n, n + b, kind))
         out.append(new)
-        r, n, i = r + a, n + b, j
-    return "".join(out), [tuple(s) for s in spans]
+        r, n = r + a, n + b
+
+    for m in _CHANGED.finditer(text):
+        if m.start() > at:
+            add(text[at : m.start()], text[at : m.start()], "IDENTITY")
+        raw, at = m.group(), m.end()
+        if raw[0] == "\r":
+            add(raw, "\n", "LINE_END")
+        elif raw == "\xad":
+            add(raw, "", "SOFT_HYPHEN")
+        elif raw in LIGATURES:
+            add(raw, LIGATURES[raw], "LIGATURE")
+        else:
+            add(raw, " ", "SPACE")
+    if at < len(text):
+        add(text[at:], text[at:], "IDENTITY")
+    return "".join(out), spans
 
 
 def _per_text(docs: DataFrame, id_col: str, text_col: str, schema: str, names: list[str], fn) -> DataFrame:
@@ -250,14 +253,25 @@ def _per_text(docs: DataFrame, id_col: str, text_col: str, schema: str, names: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, values = [], {n: [] for n in names}
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for row in fn(text or ""):
+            ids, texts = batch.columns
+            rows: list[int] = []
+            values: dict[str, list] = {n: [] for n in names}
+            held = 0
+
+            def made(ids: pa.Array = ids) -> pa.RecordBatch:
+                own = ids.take(pa.array(rows, pa.int64()))
+                return pa.RecordBatch.from_arrays([own, *(pa.array(values[n], _ARROW[t]) for n, t in zip(names, schema.split(), strict=True))], [id_col, *names])
+
+            for i, text in enumerate(texts):
+                for row in fn(text.as_py() or ""):
                     rows.append(i)
                     for n, v in zip(names, row, strict=True):
                         values[n].append(v)
-            own = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([own, *(pa.array(values[n], _ARROW[t]) for n, t in zip(names, schema.split(), strict=True))], [id_col, *names])
+                    held += 64 + sum(len(v) for v in row if isinstance(v, str))
+                    if held > HELD_BYTES:
+                        yield made()
+                        rows, values, held = [], {n: [] for n in names}, 0
+            yield made()
 
     fields = ", ".join(f"{n} {t}" for n, t in zip(names, schema.split(), strict=True))
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {fields}")

@@ -54,3 +54,16 @@ def test_links_search_all_names(spark, tmp_path):
     spark.createDataFrame([(1, "Baut", "b1"), (2, " baut", "b2"), (3, "mur", "b2"), (9, "Mur ", "b2")], "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
     got = {r["mention_id"]: (r["proposal"], r["canonical_id"]) for r in queries.queries()["link_proposals"](spark, str(tmp_path)).collect()}
     assert got == {1: ("LINK", 1), 2: ("LINK", 2), 3: ("DEFER", None), 9: ("DEFER", None)}
+
+
+def test_page_end_markers_and_normalization_take_one_pass():
+    """8,000 pages that end in a marker: each looks at the next page's first lines alone."""
+    import time
+
+    from lontarix.operators import structure
+
+    text = "Pasal 1\n" + "a. isi ...\f\n- 3 -\nb. lain\n" * 8000 + "c. akhir ...\f\n7\nc. akhir\n"
+    start = time.perf_counter()
+    nodes = structure.parse_tree(text)
+    assert time.perf_counter() - start < 10
+    assert [n["label"] for n in nodes[-2:]] == ["b.", "c."] and len(nodes) == 2 + 16_000 + 1
