@@ -14,7 +14,8 @@ Only models with the identity normaliser are taken (a leading space is added if
 space symbol itself and decodes as a space.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text. Repeated rows are encoded each. Extra columns are
-left out. An empty table gives no rows. Texts of any length are encoded whole.
+left out. An empty table gives no rows. Texts of any length are encoded whole, long ones part by part, in memory of some ten
+times their size: a long segment without spaces goes in windows that meet at symbols which are the same seen from either side.
 """
 
 from __future__ import annotations
@@ -29,14 +30,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import slices, utf8
+from .common import batches_of, slices, utf8
 from .tokens import vocab_path
 
 SPACE = "▁"
 #: Segments of more symbols are merged one by one with a heap.
 SHORT = 64
-#: Edges put in their places at a time.
-EDGES = 1 << 19
+#: Edges put in their places at a time; characters of a text, or of a segment without spaces, that are worked on at a time.
+EDGES, WINDOW = 1 << 19, 1 << 18
 UNKNOWN_TEXT = " ⁇ ".encode()
 _NONE = np.int64(1) << np.int64(40)
 
@@ -76,6 +77,7 @@ class Pieces:
         # Rank 0 is merged first; equal scores have equal ranks.
         self.rank = np.unique(-self.score, return_inverse=True)[1].astype(np.int64)
         plain = [b"" if sp.is_control(i) else UNKNOWN_TEXT if sp.is_unknown(i) else bytes([self.byte_of[i]]) if i in self.byte_of else texts[i].replace(SPACE, " ").encode() for i in range(self.size)]
+        self.unknown = float(self.score.min()) - 10.0
         self.raw = np.frombuffer(b"".join(plain), np.uint8)
         self.raw_at = np.concatenate([[0], np.cumsum([len(x) for x in plain])]).astype(np.int64)
 
@@ -302,15 +304,16 @@ def segments(text: str, prefix: bool) -> list[str]:
     return out
 
 
-def _solve(found: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all distinct segments and their offsets."""
+def _lattice(found: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray, Lattice]:
+    """Characters of the segments, each with a 0 behind it, where each begins, and their edges."""
     joined = np.frombuffer(("\x00".join(found) + "\x00").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) + 1
     first = np.concatenate([[0], np.cumsum(np.array([len(s) + 1 for s in found], np.int64))])
     joined[first[1:] - 1] = 0
-    lattice = Lattice(joined, pieces)
-    begin, end = lattice.merge(first) if pieces.bpe else lattice.path(first, float(pieces.score.min()) - 10.0)
-    which = lattice.piece(begin, end)
-    # Symbols to ids; what has no piece becomes its UTF-8 bytes.
+    return joined, first, Lattice(joined, pieces)
+
+
+def _named(joined: np.ndarray, begin: np.ndarray, which: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of symbols, and where each symbol's begin; what has no piece becomes its UTF-8 bytes."""
     ids = np.where(which >= 0, pieces.ids[which], -1)
     width = np.ones(len(ids), np.int64)
     lost = np.flatnonzero(ids < 0)
@@ -321,13 +324,110 @@ def _solve(found: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     flat[at[ids >= 0]] = ids[ids >= 0]
     for i, x in zip(lost.tolist(), raw, strict=True):
         flat[at[i] : at[i] + len(x)] = pieces.byte_id[list(x)]
-    return flat, np.append(at, len(flat))[np.searchsorted(begin, first)]
+    return flat, np.append(at, len(flat))
+
+
+def _short(found: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    joined, first, lattice = _lattice(found, pieces)
+    begin, end = lattice.merge(first) if pieces.bpe else lattice.path(first, pieces.unknown)
+    flat, at = _named(joined, begin, lattice.piece(begin, end), pieces)
+    return flat, at[np.searchsorted(begin, first)]
+
+
+def _merged(text: str, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    joined, first, lattice = _lattice([text], pieces)
+    begin, end = lattice.merge(first)
+    return joined, begin, end, lattice.piece(begin, end)
+
+
+def _fits(left: str, right: str, pieces: Pieces) -> bool:
+    """Whether two symbols stay two when they stand side by side."""
+    _, begin, _, _ = _merged(left + right, pieces)
+    return begin.tolist() == [0, len(left)]
+
+
+def _long_merge(text: str, pieces: Pieces, window: int) -> np.ndarray:
+    """Ids of a long BPE segment, a window at a time.
+
+    Merges never cross a boundary of the result, so a run of symbols is the result exactly if each two neighbours, merged alone,
+    stay those two. Inside a window they do. Where a window ends in the middle, its last symbols are dropped and the next one begins
+    at one that fits the symbol before it; where none of the last half fits, the window is doubled.
+    """
+    out, at, size = [], 0, window
+    joined, begin, end, which = _merged(text[:size], pieces)
+    while at + size < len(text):
+        # Symbols near the window's end still depend on what comes behind it.
+        far = int(np.searchsorted(begin, len(joined) - 1 - 4 * pieces.width))
+        for cut in range(max(1, far), max(1, far // 2), -max(1, far // 64)):
+            c = int(begin[cut])
+            after = _merged(text[at + c : at + c + size], pieces)
+            if _fits(text[at + int(begin[cut - 1]) : at + c], text[at + c : at + c + int(after[2][0])], pieces):
+                out.append(_named(joined, begin[:cut], which[:cut], pieces)[0])
+                at, (joined, begin, end, which) = at + c, after
+                break
+        else:
+            size *= 2
+            joined, begin, end, which = _merged(text[at : at + size], pieces)
+    out.append(_named(joined, begin, which, pieces)[0])
+    return np.concatenate(out)
+
+
+def _long_path(text: str, pieces: Pieces, window: int) -> np.ndarray:
+    """Ids of a long unigram segment: the best path's steps are kept, a byte a character, its scores only as far as a piece reaches."""
+    n, width = len(text), pieces.width
+    back = np.zeros(n + 1, np.uint8)
+    best = np.full(width + 1, -np.inf)
+    best[0] = 0.0
+    for at in range(0, n, window):
+        own = min(window, n - at)
+        _, _, lattice = _lattice([text[at : at + own + width]], pieces)
+        edge = lattice.edge.reshape(-1, lattice.wide)
+        scores = np.concatenate([best, np.full(own, -np.inf)])
+        for i in range(own):
+            options = [(int(k), float(pieces.score[edge[i, k]])) for k in np.flatnonzero(edge[i] >= 0)]
+            if all(length != 1 for length, _ in options):
+                options.append((1, pieces.unknown))
+            for length, s in options:
+                if scores[i] + s > scores[i + length]:
+                    scores[i + length], back[at + i + length] = scores[i] + s, length
+        best = scores[own:]
+    ends = [n]
+    while ends[-1] > 0:
+        ends.append(ends[-1] - int(back[ends[-1]]))
+    ends = np.array(ends[::-1], np.int64)
+    out = []
+    for a in range(0, len(ends) - 1, window):
+        part = ends[a : a + window + 1]
+        joined, _, lattice = _lattice([text[part[0] : part[-1]]], pieces)
+        begin = part[:-1] - part[0]
+        out.append(_named(joined, begin, lattice.piece(begin, part[1:] - part[0]), pieces)[0])
+    return np.concatenate(out)
+
+
+def _solve(found: list[str], pieces: Pieces, window: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all distinct segments and their offsets; a segment longer than a window is solved by itself, in windows."""
+    window = WINDOW if window is None else window
+    flat, ends, i = [np.zeros(0, np.int32)], [0], 0
+    while i < len(found):
+        j = i
+        while j < len(found) and len(found[j]) <= window:
+            j += 1
+        if j > i:
+            ids, bounds = _short(found[i:j], pieces)
+            ends += (bounds[1:] + ends[-1]).tolist()
+            i = j
+        else:
+            ids = (_long_merge if pieces.bpe else _long_path)(found[i], pieces, window)
+            ends.append(ends[-1] + len(ids))
+            i += 1
+        flat.append(ids)
+    return np.concatenate(flat), np.array(ends, np.int64)
 
 
 class Encoder:
-    """Encodes batches of texts; segments solved for one batch are remembered for the next, up to ``KNOWN`` of them."""
+    """Encodes batches of texts; segments solved for one batch are remembered for the next, up to ``KNOWN`` of them or ``HELD`` characters."""
 
-    KNOWN = 200_000
+    KNOWN, HELD = 200_000, 8_000_000
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
@@ -335,41 +435,83 @@ class Encoder:
 
     def _forget(self) -> None:
         self.code: dict[str, int] = {}
+        self.held = 0
         self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and n + 1 offsets."""
-        if len(self.code) > self.KNOWN:
+        ids, count = [np.zeros(0, np.int32)], []
+        short: list[tuple[str, bool]] = []
+        for t in texts:
+            if len(t or "") <= WINDOW:
+                short.append((t or "", self.pieces.prefix))
+                continue
+            for part in (short, None):
+                if part is None:
+                    own = [self._solved([c])[0] for c in _cut(t, self.pieces.prefix)]
+                    ids += own
+                    count.append(sum(map(len, own)))
+                elif part:
+                    flat, n = self._solved(part)
+                    ids.append(flat)
+                    count += n.tolist()
+            short = []
+        if short:
+            flat, n = self._solved(short)
+            ids.append(flat)
+            count += n.tolist()
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+
+    def _solved(self, texts: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after another, and how many each has."""
+        if len(self.code) > self.KNOWN or self.held > self.HELD:
             self._forget()
         code, before = self.code, len(self.code)
         number, count = [], []
-        for t in texts:
-            own = segments(t or "", self.pieces.prefix)
+        for t, prefix in texts:
+            own = segments(t, prefix)
             count.append(len(own))
             number += [code.setdefault(s, len(code)) for s in own]
         if len(code) > before:
-            flat, bounds = _solve(list(islice(code, before, None)), self.pieces)
+            new = list(islice(code, before, None))
+            self.held += sum(map(len, new))
+            flat, bounds = _solve(new, self.pieces)
             self.bounds = np.concatenate([self.bounds, bounds[1:] + len(self.flat)])
             self.flat = np.concatenate([self.flat, flat])
         number = np.array(number, np.int64)
         begin, n = self.bounds[number], self.bounds[number + 1] - self.bounds[number]
         total = np.concatenate([[0], np.cumsum(n)])
         out = self.flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], n)]
-        return out, total[np.concatenate([[0], np.cumsum(count)]).astype(np.int64)]
+        return out, np.diff(total[np.concatenate([[0], np.cumsum(count)]).astype(np.int64)])
+
+
+def _cut(text: str, prefix: bool) -> Iterator[tuple[str, bool]]:
+    """A long text in parts of some ``WINDOW`` characters that begin where a run of spaces does, so segments stay whole."""
+    text, at = text.replace(SPACE, " "), 0
+    while at < len(text):
+        end = text.find(" ", at + WINDOW)
+        while 0 <= end and text[end - 1] == " ":
+            end = text.find(" ", end + 1)
+        end = len(text) if end < 0 else end
+        yield text[at:end], prefix and not at
+        at = end
 
 
 def decode_batch(ids: np.ndarray, off: np.ndarray, pieces: Pieces) -> list[str]:
     """Texts of id lists; bytes that aren't UTF-8 become U+FFFD."""
-    n = np.diff(pieces.raw_at)[ids]
-    total = np.concatenate([[0], np.cumsum(n)])
-    raw = pieces.raw[np.arange(total[-1]) + np.repeat(pieces.raw_at[:-1][ids] - total[:-1], n)].tobytes()
     out = []
-    for a, b in zip(total[off[:-1]].tolist(), total[off[1:]].tolist(), strict=True):
-        own = raw[a:b]
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        own = b"".join(_raw(ids[i : min(b, i + WINDOW)], pieces) for i in range(a, b, WINDOW))
         out.append((own[1:] if pieces.prefix and own[:1] == b" " else own).decode("utf-8", "replace"))
     return out
 
 
+def _raw(ids: np.ndarray, pieces: Pieces) -> bytes:
+    n = np.diff(pieces.raw_at)[ids]
+    total = np.concatenate([[0], np.cumsum(n)])
+    return pieces.raw[np.arange(total[-1]) + np.repeat(pieces.raw_at[:-1][ids] - total[:-1], n)].tobytes()
+
+
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 3 << 19) -> DataFrame:
     """(id, ``ids``): each text's ids as little-endian unsigned 32-bit numbers."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -384,7 +526,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "d
                 rows = pa.array([raw[4 * a : 4 * b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), rows], [id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(batches_of(run), f"`{id_col}` {kind}, ids binary")
 
 
 def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id") -> DataFrame:
@@ -401,4 +543,4 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", id_col: str =
                 texts = decode_batch(ids, off[i : j + 1] - off[i], pieces)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), column.slice(i, j - i), pa.array(texts, pa.string())], [id_col, "ids", "text"])
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids binary, text string")
+    return encoded.select(id_col, "ids").mapInArrow(batches_of(run), f"`{id_col}` {kind}, ids binary, text string")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -305,3 +306,33 @@ def test_words_split_at_ascii_space_alone():
         a, z, first = cut(raw, np.array([0, len(raw)]))
         assert [raw[i:j].tobytes().decode() for i, j in zip(a, z, strict=True)] == re.findall(r"[^\x20\x09-\x0D]+", text)
         assert len(np.unique(hashes(raw, a, z))) == len(set(re.findall(r"[^\x20\x09-\x0D]+", text)))
+
+
+@pytest.mark.parametrize("window", [300, 1000])
+def test_long_segments_in_windows_are_those_of_the_library(monkeypatch, window):
+    monkeypatch.setattr(spm, "WINDOW", window)
+    pieces, sp = spm.load("piece_bpe_32k.model"), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(window)
+    solid = "".join(rng.choice("abcdehinorst") for _ in range(4000))
+    texts = ["ab" * 2000, "a" * 3001, "abc" * 700 + "é日本" * 300, solid, " ".join(solid[i : i + 7] for i in range(0, 4000, 7)), "  " * 900 + "x", "halo dunia", "=" * 2001 + " y", None]
+    ids, off = spm.Encoder(pieces)(texts)
+    want = [sp.encode(t or "") for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == want
+    assert spm.decode_batch(ids, off, pieces) == [sp.decode(x) for x in want]
+
+
+def test_long_unigram_segments_in_windows(monkeypatch):
+    """A model of a few pieces with scores: the windowed path is the whole one."""
+
+    class Model:
+        bpe, byte_of, unk, width, unknown = False, {}, 9, 3, -20.0
+        chars = np.array([[ord(c) + 1 for c in p] + [0] * (3 - len(p)) for p in ("a", "b", "ab", "bab", "ba")])
+        length = np.array([1, 1, 2, 3, 2])
+        score = np.array([-3.0, -3.5, -4.0, -5.0, -4.5])
+        ids = np.arange(5)
+
+    rng = random.Random(1)
+    for n in (1, 50, 333):
+        text = "".join(rng.choice("aab b?"[:5]) for _ in range(n)).replace(" ", "?")
+        whole = spm._short([text], Model)[0].tolist()
+        assert all(spm._long_path(text, Model, w).tolist() == whole for w in (3, 10, 64))
