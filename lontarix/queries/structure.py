@@ -12,6 +12,17 @@ from ..session import table
 from ..sources import store
 
 
+#: Markup that is put behind each page, in turn.
+EXTRAS = (
+    "<p>caf&eacute; &#233;&#xE9; &hellip;&nbsp;x &amp;amp; &lt;b&gt;</p>",
+    "<table><tr><td> Status :</td><td><b>Masih</b> berlaku</td></tr><tr><td>STATUS<td>Masih berlaku<tr><td>Status</td><td>dicabut</td></table>",
+    "<div>Tahun<br><span>20<i>24</i></span></div><dl><dt>Nomor :<dd>12<dt>Lainnya<dd>13</dl><div>Judul <!-- x --> lain<b>y</b></div>",
+    "<a href='../z'>a</a><A HREF=./w>b</a><a href=\"?q=1&amp;r=2\">c</a><iframe src=\"//cdn.example/x#f\"></iframe><object data='sub/../y'></object><a href=\"mailto:x@y\">m</a><a href=\"#top\">t</a><a href=\"/%zz\">bad</a><a href=\"../z\">again</a>",
+    "<a href=\"/unduh/1\">u</a><a href=\"v?file=/f/Uji.PDF\">v</a><a href=\"/DownloadUjiMateri/2/download/3\">w</a><a href=\"/id/details/9\">d</a><a rel=next href=\"?p=2\">&rsaquo;</a><a href=\"?p=3\"> Selanjutnya </a><a href=\"https://other.example/?p=4\">Next</a>",
+    "",
+)
+
+
 def _raw(s: SparkSession, d: str) -> DataFrame:
     """Documents as a converter leaves them: CRLF ends, wide spaces, soft hyphens, ligatures."""
     t = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n")), F.lit("tion"), F.lit("ti­on"))
@@ -100,23 +111,30 @@ def index_reuse(s, d):
     return quality.reusable(a, a.withColumn("h", F.when((F.col("lang") == "de") & (F.col("doc_id") % 100 < 30), "new").otherwise(F.col("h"))), "lang")
 
 
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    """Pages with what portals have besides: references to characters, cells and lists of labels, links of all kinds."""
+    more = F.element_at(F.array(*map(F.lit, EXTRAS)), (F.col("page_id") % len(EXTRAS) + 1).cast("int"))
+    return html.parse_pages(table(s, d, "pages").select("page_id", "url", F.concat("html", more).alias("html")))
+
+
 def html_title(s, d):
-    return table(s, d, "pages").select("page_id", html.title_of("html").alias("title"))
+    return _pages(s, d).select("page_id", "title")
 
 
 def html_text(s, d):
-    return table(s, d, "pages").select("page_id", F.sha2(html.text_of("html"), 256).alias("text_sha256"))
+    return _pages(s, d).select("page_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 def html_links(s, d):
-    p = table(s, d, "pages").select("page_id", "url", F.posexplode(html.hrefs("html")).alias("pos", "href"))
-    p = p.withColumn("target", html.resolve(F.col("url"), F.col("href"))).where("target IS NOT NULL")
-    return p.groupBy("page_id", "target").agg(F.min("pos").cast("long").alias("first_pos"))
+    p = _pages(s, d).select("page_id", F.posexplode("links").alias("pos", "target"))
+    return p.select("page_id", "target", F.col("pos").cast("long").alias("first_pos"))
 
 
 def html_parse(s, d):
-    p = html.parse_pages(table(s, d, "pages"))
-    return p.select("page_id", F.length("title").cast("long").alias("title_chars"), F.size("links").cast("long").alias("n_links"))
+    p = _pages(s, d)
+    fields = F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e.key, F.lit("="), F.array_join(e.value, "|"))), ";")
+    lists = {c: F.array_join(c, " ") for c in ("documents", "related", "details", "next")}
+    return p.select("page_id", "title", F.sha2(F.array_join("links", "\n"), 256).alias("links_sha256"), fields.alias("fields"), F.sha2("text", 256).alias("text_sha256"), *(v.alias(c) for c, v in lists.items()))
 
 
 def link_discovery(s, d):
@@ -209,15 +227,22 @@ _NORM = r"replace(replace(replace(regexp_replace(regexp_replace(text, '\r\n?', c
 _LINE = "CASE k % 7 WHEN 0 THEN 'BAB ' || k WHEN 1 THEN 'Pasal ' || k WHEN 2 THEN 'a. huruf' WHEN 3 THEN 'Bagian Kesatu' WHEN 4 THEN 'menurut Pasal ' || k WHEN 5 THEN '(2) ayat' ELSE 'PENJELASAN' END"
 _LEVEL = "CASE k % 7 WHEN 0 THEN 10 WHEN 1 THEN 40 WHEN 2 THEN 60 WHEN 3 THEN 20 WHEN 5 THEN 50 WHEN 6 THEN 5 END"
 _KIND = "CASE k % 7 WHEN 0 THEN 'CHAPTER' WHEN 1 THEN 'ARTICLE' WHEN 2 THEN 'ITEM' WHEN 3 THEN 'PART' WHEN 5 THEN 'PARAGRAPH' WHEN 6 THEN 'EXPLANATION' END"
-_TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({}, '<(script|style)\b.*?</(?:script|style)>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs'),
-'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
+_EXTRA = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in EXTRAS) + "][page_id % 6 + 1]"
+_DECODE = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&eacute;", "é"), ("&#233;", "é"), ("&#xE9;", "é"), ("&hellip;", "…"), ("&copy;", "©"), ("&middot;", "·"), ("&rsaquo;", "›"), ("&amp;", "&"))
+_TEXT = r"regexp_replace(regexp_replace(regexp_replace({}, '<(script|style)\b.*?</(?:script|style)>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs')"
+for _a, _b in _DECODE:
+    _TEXT = f"replace({_TEXT}, '{_a}', '{_b}')"
+_TEXT = rf"trim(regexp_replace({_TEXT}, '\s+', ' ', 'g'))"
 _TITLE = _TEXT.format(r"regexp_extract(html, '<h1\b[^>]*>(.*?)</h1>', 1, 'is')")
-_LINKS = r"""h AS (SELECT page_id, url, unnest(x) AS href, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT *, regexp_extract_all(html, '<a\b[^>]*?\bhref="([^"]*)"', 1, 'i') AS x FROM pages)),
-t AS (SELECT *, regexp_replace(trim(href), '#.*$', '') AS t, regexp_extract(url, '^(https?://[^/?#]+)', 1, 'i') AS o,
-regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(https?://[^/]+(?:/.*)?)/[^/]*$', 1, 'i') AS f FROM h),
-r AS (SELECT page_id, pos, CASE WHEN t = '' OR o = '' THEN NULL WHEN regexp_matches(t, '^https?://[^/?#]+', 'i') THEN t WHEN regexp_matches(t, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN NULL
-WHEN t LIKE '//%' THEN regexp_extract(url, '^([a-zA-Z]+:)', 1) || t WHEN t LIKE '/%' THEN o || t ELSE CASE WHEN regexp_matches(f, '^https?://.+', 'i') THEN f ELSE o END || '/' || t END AS target FROM t),
-lk AS (SELECT page_id, target, min(pos)::BIGINT AS first_pos FROM r WHERE target IS NOT NULL GROUP BY 1, 2)"""
+_ESCAPED = r"CASE WHEN regexp_matches({0}, '[^A-Za-z0-9\-_.~!$&''()*+,;=:@\[\]/%]') THEN list_aggregate(list_transform(string_split({0}, ''), lambda c: CASE WHEN regexp_matches(c, '[A-Za-z0-9\-_.~$&+,/:;=@]') THEN c ELSE url_encode(c) END), 'string_agg', '') ELSE {0} END"
+#: Links by the rules for relative references: the page's own are all absolute paths, those put behind are worked out by hand.
+_LINKS = r'''b AS (SELECT page_id, html, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, regexp_extract(url, '^https?:') AS scheme, regexp_replace(url, '[?#].*$', '') AS whole, regexp_replace(url, '#.*$', '') AS page FROM pages),
+dir AS (SELECT *, regexp_replace(whole, '[^/]*$', '') AS f, regexp_replace(regexp_replace(whole, '[^/]*$', ''), '[^/]+/$', '') AS up FROM b),
+h AS (SELECT page_id, o || ''' + _ESCAPED.format("href") + r''' AS target, pos FROM (SELECT page_id, o, unnest(x) AS href, generate_subscripts(x, 1) AS pos FROM (SELECT *, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS x FROM dir))
+UNION ALL SELECT page_id, unnest(CASE page_id % 6
+  WHEN 3 THEN [CASE WHEN f = o || '/' THEN f ELSE up END || 'z', f || 'w', whole || '?q=1&r=2', scheme || '//cdn.example/x', f || 'y', page]
+  WHEN 4 THEN [o || '/unduh/1', f || 'v?file=/f/Uji.PDF', o || '/DownloadUjiMateri/2/download/3', o || '/id/details/9', whole || '?p=2', whole || '?p=3', 'https://other.example/?p=4'] ELSE [] END), unnest(range(1001, 1008)) FROM dir),
+lk AS (SELECT page_id, target, row_number() OVER (PARTITION BY page_id ORDER BY min(pos)) - 1 AS first_pos FROM h WHERE target IS NOT NULL GROUP BY 1, 2)'''
 
 ORACLES = {
     "text_normalize": f"WITH {_RAW}, n AS (SELECT doc_id, {_NORM} AS t FROM raw) SELECT doc_id, sha256(t) AS normalized_sha256, strlen(t)::BIGINT AS n_bytes FROM n",
@@ -247,9 +272,13 @@ SELECT doc_id, strlen(substr(text, 1, a))::BIGINT AS start, strlen(substr(text,
 o AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY doc_id) AS n FROM d WHERE priority IS NOT NULL) SELECT doc_id, priority::INTEGER AS priority FROM o WHERE n = 1 ORDER BY priority, sha LIMIT 60""",
     "index_reuse": "SELECT lang, lang <> 'de' OR count(*) FILTER (doc_id % 100 < 30) = 0 AS reusable FROM documents GROUP BY 1",
     "html_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
-    "html_text": f"SELECT page_id, sha256({_TEXT.format('html')}) AS text_sha256 FROM pages",
+    "html_text": f"SELECT page_id, sha256({_TEXT.format('html || ' + _EXTRA)}) AS text_sha256 FROM pages",
     "html_links": f"WITH {_LINKS} SELECT * FROM lk",
-    "html_parse": f"WITH {_LINKS} SELECT p.page_id, length({_TITLE})::BIGINT AS title_chars, (SELECT count(*) FROM lk WHERE lk.page_id = p.page_id)::BIGINT AS n_links FROM pages p",
+    "html_parse": f"""WITH {_LINKS}, l AS (SELECT page_id, string_agg(target, chr(10) ORDER BY first_pos) AS l FROM lk GROUP BY 1)
+SELECT page_id, {_TITLE} AS title, sha256(l) AS links_sha256, sha256({_TEXT.format('html || ' + _EXTRA)}) AS text_sha256,
+CASE page_id % 6 WHEN 1 THEN 'portal_status=Masih berlaku|dicabut' WHEN 2 THEN 'number=12;title=y;year=20 24' ELSE '' END AS fields,
+CASE page_id % 6 WHEN 4 THEN o || '/unduh/1 ' || o || '/f/Uji.PDF' ELSE '' END AS documents, CASE page_id % 6 WHEN 4 THEN o || '/DownloadUjiMateri/2/download/3' ELSE '' END AS related,
+CASE page_id % 6 WHEN 4 THEN o || '/id/details/9' ELSE '' END AS details, CASE page_id % 6 WHEN 4 THEN whole || '?p=2 ' || whole || '?p=3' ELSE '' END AS next FROM dir JOIN l USING (page_id)""",
     "link_discovery": f"WITH {_LINKS} SELECT target, count(*)::BIGINT AS n_pages FROM lk WHERE target NOT IN (SELECT url FROM pages) GROUP BY 1",
     "field_rule_issues": """SELECT event_id, 'name' AS field, 'ascii_id' AS rule FROM events WHERE event_id % 50 = 0 UNION ALL SELECT event_id, 'p', 'probability' FROM events WHERE value / 100 > 1 OR value < 0
 UNION ALL SELECT event_id, 'value', 'positive' FROM events WHERE NOT value > 0 UNION ALL SELECT event_id, 'props', 'required' FROM events WHERE props IS NULL OR props = '' UNION ALL SELECT event_id, 'name', 'sha256' FROM events""",
