@@ -325,7 +325,7 @@ def test_long_unigram_segments_in_windows(monkeypatch):
     """A model of a few pieces with scores: the windowed path is the whole one."""
 
     class Model:
-        bpe, byte_of, unk, width, unknown = False, {}, 9, 3, -20.0
+        bpe, byte_of, byte_id, unk, width, unknown = False, {}, np.zeros(256, np.int64), 9, 3, -20.0
         chars = np.array([[ord(c) + 1 for c in p] + [0] * (3 - len(p)) for p in ("a", "b", "ab", "bab", "ba")])
         length = np.array([1, 1, 2, 3, 2])
         score = np.array([-3.0, -3.5, -4.0, -5.0, -4.5])
