@@ -7,8 +7,8 @@ unit before that: the ``OWN`` most frequent units alone, the others in ``SHARED`
 
 Training sees every training token, twice. First the counts of all pairs of neighbouring units are summed up on the cluster and
 gathered in blocks as a sparse table, and each step follows the expected gradient of the contrastive objective over them, block by
-block in numpy: that gives R, M, Q and b. Then every task fits both matrices to the tokens of its rows by steps over batches, with
-noise units drawn for each, and the tasks' matrices are averaged by their tokens.
+block in numpy: that gives R, M, Q and b. Then both matrices are fitted to all tokens by steps over batches, with noise units drawn
+for each: the rows are dealt by their hash over fits of some ``FIT_TOKENS`` each, whose matrices are averaged by their tokens.
 
 Scores are normalised over all units by batched matrix products, once a context. A word of a class has the class's probability
 times its share there, ``(c + 1) / (n + v + 1)`` with the class's tokens n and words v; the one left over is for words never seen,
@@ -28,7 +28,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +41,8 @@ BLOCK = 1 << 21
 END = np.uint64(0x656E64206F662061)
 #: Words whose counts are sent to the tasks at most, at 16 bytes each.
 HEAD = 1 << 20
+#: Tokens of a fit of the matrices.
+FIT_TOKENS = 1 << 21
 #: Groups of the second unit of context: units with one of their own, groups of others, and one for the start of a text.
 OWN, SHARED = 24, 7
 GROUPS = OWN + SHARED + 1
@@ -343,14 +344,22 @@ class _Positions:
 
 
 def position_matrices(docs: DataFrame, model: Model, batch_tokens: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """M and M2 after one pass over all training tokens: every task's own steps, averaged by its tokens. ``docs``: (text)."""
+    """M and M2 after one pass over all training tokens: the steps of fits of about ``FIT_TOKENS`` each, averaged by their tokens. ``docs``: (text).
+
+    A row's hash says which fit it is in and where, so the matrices depend on the rows alone, not on how files split them, and copies
+    of a text under ids of their own are spread over the fits.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     shape = model.M.shape
+    fits = max(1, round(model.n / FIT_TOKENS))
+    dealt = docs.select("text", F.xxhash64(*docs.columns).alias("h")).withColumn("fit", F.pmod("h", F.lit(fits)).cast("int"))
+    dealt = dealt.repartition(fits, "fit").sortWithinPartitions("fit", "h").select("text", "fit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shipped.value
         q = np.exp(own.b.astype(np.float64) - own.b.max())
-        fitted = _Positions(own, q / q.sum(), TaskContext.get().partitionId())
+        q /= q.sum()
+        fitted: _Positions | None = None
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush(least: int) -> None:
@@ -362,19 +371,30 @@ def position_matrices(docs: DataFrame, model: Model, batch_tokens: int = 1 << 14
                 else:
                     fitted.step(*(x[a : a + batch_tokens] for x in (c, k, u)))
 
-        for batch in batches:
-            buf, off = utf8(batch.column(0))
-            for i, j in slices(off):
-                h, b, begin = tokens(buf[off[i] : off[j]], off[i : j + 1] - off[i], own.n_buckets)
-                unit = own.unit(h, b)
-                held.append((*contexts(own, unit, begin), unit))
-                flush(batch_tokens)
-        if held:
-            flush(1)
-        if fitted.tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([fitted.tokens]), pa.array([fitted.mean.astype(np.float64).ravel().tolist()])], ["tokens", "p"])
+        def ended() -> Iterator[pa.RecordBatch]:
+            if held:
+                flush(1)
+            if fitted and fitted.tokens:
+                yield pa.RecordBatch.from_arrays([pa.array([fitted.tokens]), pa.array([fitted.mean.astype(np.float64).ravel().tolist()])], ["tokens", "p"])
 
-    made = docs.select("text").mapInArrow(batches_of(run), "tokens long, p array<double>")
+        now = -1
+        for batch in batches:
+            number = batch.column(1).to_numpy()
+            starts = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else []
+            for a, z in zip(starts, [*starts[1:], len(number)], strict=True):
+                if number[a] != now:
+                    yield from ended()
+                    now = int(number[a])
+                    fitted = _Positions(own, q, now)
+                buf, off = utf8(batch.column(0).slice(a, z - a))
+                for i, j in slices(off):
+                    h, b, begin = tokens(buf[off[i] : off[j]], off[i : j + 1] - off[i], own.n_buckets)
+                    unit = own.unit(h, b)
+                    held.append((*contexts(own, unit, begin), unit))
+                    flush(batch_tokens)
+        yield from ended()
+
+    made = dealt.mapInArrow(batches_of(run), "tokens long, p array<double>")
     # One sum for each number of the matrices, added up within tasks: nothing grows with the number of tasks at the driver.
     sums = made.select("tokens", F.posexplode("p").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x") * F.col("tokens")).alias("x"), F.sum("tokens").alias("n")).collect()
     if not sums:
@@ -386,7 +406,7 @@ def position_matrices(docs: DataFrame, model: Model, batch_tokens: int = 1 << 14
 
 
 def fit(docs: DataFrame, n_top: int | None = None, n_buckets: int | None = None, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """The model and the (h, bucket, c) table of all training tokens. ``docs``: (text) of the training rows; ``n_buckets``: a power of two."""
+    """The model and the (h, bucket, c) table of all training tokens. ``docs``: (text), perhaps with an id, of the training rows; ``n_buckets``: a power of two."""
     counts = cut(word_counts(docs, CLASSES), "word-counts", keep=True)
     totals = counts.agg(F.sum("c"), F.count("*")).first()
     grown = sizes(totals[0] or 0)
@@ -406,7 +426,8 @@ def fit(docs: DataFrame, n_top: int | None = None, n_buckets: int | None = None,
     often = counts.where(step >= least).select("h", "c").toArrow()
     h, c = often["h"].to_numpy().view(np.uint64), often["c"].to_numpy()
     order = np.argsort(h)
-    rest = counts.where(~F.col("h").isin(top_h.view(np.int64).tolist())).groupBy((F.col("bucket") % n_buckets).alias("bucket")).agg((F.sum("c") + F.count("*")).alias("size")).collect()
+    own_units = docs.sparkSession.createDataFrame(pa.table({"h": top_h.view(np.int64)}))
+    rest = counts.join(own_units, "h", "left_anti").groupBy((F.col("bucket") % n_buckets).alias("bucket")).agg((F.sum("c") + F.count("*")).alias("size")).collect()
     size = np.ones(n_buckets)
     for r in rest:
         size[r["bucket"]] += r["size"]
@@ -425,7 +446,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col, folds, fold).alias("held_out"), F.col(text_col).alias("text"))
     with working(docs.sparkSession):
-        model, counts = fit(rows.where("NOT held_out").select("text"), **sizes)
+        model, counts = fit(rows.where("NOT held_out").select("id", "text"), **sizes)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<long>, times array<int>, shared array<boolean>"
 

@@ -4,6 +4,8 @@ from collections import Counter
 
 import numpy as np
 from cases import ROWS, docs
+from conftest import SF
+from pyspark.sql import functions as F
 
 from lontarix.llm import lm
 
@@ -81,3 +83,13 @@ def test_head_is_a_bound(spark):
     assert len(model.head) <= 10
     few, many = (lm.score(texts, head=n).orderBy("doc_id").collect() for n in (10, 1000))
     assert [r["n_known"] for r in few] == [r["n_known"] for r in many] and np.allclose([r["score"] for r in few], [r["score"] for r in many])
+
+
+def test_scores_do_not_depend_on_the_splits(spark, monkeypatch):
+    """One split or eight, in another order: the same fits of the same rows."""
+    monkeypatch.setattr(lm, "FIT_TOKENS", 20_000)
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    one, eight = ({r.doc_id: (r.n_tokens, r.base_score, r.score) for r in lm.score(x).collect()} for x in (df.coalesce(1), df.orderBy(F.desc("doc_id")).repartition(8)))
+    assert set(one) == set(eight)
+    for k, (n, base, score) in one.items():
+        assert n == eight[k][0] and abs(base - eight[k][1]) < 1e-6 * max(1, n) and abs(score - eight[k][2]) < 1e-5 * max(1, n)
