@@ -168,18 +168,27 @@ def update_plan(
     return out.select("item_id", bucket.alias("bucket"), F.coalesce("direct", F.when(F.col("hit"), "DEPENDENCY"), F.lit("UNCHANGED")).alias("reason"))
 
 
-def admit(assertions: DataFrame, rules: DataFrame) -> DataFrame:
-    """(assertion_id, issue): what an ontology's predicate rules forbid. ``rules`` has one row a predicate; the planner broadcasts it if it is small.
+def admit(assertions: DataFrame, rules: DataFrame, version: str) -> DataFrame:
+    """(assertion_id, issue): what an ontology forbids. ``rules`` has one row a predicate; the planner broadcasts it if it is small.
 
-    Columns of rules: predicate, subject_type, object_type, self_loop.
+    ``assertions``: assertion_id, predicate, subject, object, subject_type, object_type, origin, ontology_version, qualifiers (array of id, kind).
+    Issues: another version, a predicate that isn't known, an end of another type or of none, an edge to itself where that isn't allowed, an
+    origin that the predicate doesn't take, a qualifier that it doesn't have, a value of another kind than the qualifier's.
     """
-    r = rules.select("predicate", F.col("subject_type").alias("want_s"), F.col("object_type").alias("want_o"), F.col("self_loop").alias("loop_ok"))
-    j = assertions.join(r, "predicate", "left")
+    j = assertions.join(rules.withColumnRenamed("qualifiers", "allowed").withColumn("known", F.lit(True)), "predicate", "left")
+    known, own = F.col("known").isNotNull(), F.coalesce("qualifiers", F.array().cast(assertions.schema["qualifiers"].dataType))
+    has = lambda q: F.exists("allowed", lambda a: a.id == q.id)
+    fits = lambda q: F.exists("allowed", lambda a: (a.id == q.id) & F.array_contains(a.kinds, q.kind))
+    within = lambda of, c: F.coalesce(F.array_contains(of, F.col(c)), F.lit(False))
     issues = F.array(
-        F.when(F.col("want_s").isNull(), "unknown_predicate"),
-        F.when(F.col("want_s") != F.col("subject_type"), "subject_type"),
-        F.when(F.col("want_o") != F.col("object_type"), "object_type"),
-        F.when((F.col("subject") == F.col("object")) & ~F.col("loop_ok"), "self_loop"),
+        F.when(F.coalesce(F.col("ontology_version") != version, F.lit(True)), "ontology_version"),
+        F.when(~known, "unknown_predicate"),
+        F.when(known & ~within("subjects", "subject_type"), "subject_type"),
+        F.when(known & ~within("objects", "object_type"), "object_type"),
+        F.when(known & ~F.col("allow_self") & (F.col("subject") == F.col("object")), "self_edge"),
+        F.when(known & ~within("origins", "origin"), "origin"),
+        F.when(known & F.exists(own, lambda q: F.coalesce(~has(q), F.lit(True))), "qualifier"),
+        F.when(known & F.exists(own, lambda q: has(q) & F.coalesce(~fits(q), F.lit(True))), "qualifier_kind"),
     )
     return j.select("assertion_id", F.explode(F.array_compact(issues)).alias("issue"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import surface, terms
+from .jobs import guard_total
 from .temporal import visible
 
 
@@ -71,6 +72,29 @@ def block(mentions: DataFrame, aliases: DataFrame, text_col: str, keys: list[str
     return left.join(aliases.select(*keys, "surface", "canonical_id"), [*keys, "surface"])
 
 
+def candidate_plan(mentions: DataFrame, policy: DataFrame, with_sources: list[str], per_mention: int, total: int) -> DataFrame:
+    """(mention_id, place, entity_type, scope, lookup): the scopes in which each mention is to be looked up, sorted, before any lookup.
+
+    ``mentions``: mention_id, entity_type, text, sources (ids of the regulations it was found in). ``policy``: entity_type, scope, a small
+    table; mentions of a type in ``with_sources`` are looked up in their sources too. A plan is whole or an error: a repeated or missing
+    mention id, a type without scopes, an empty text, no sources, scopes of a type that repeat, more scopes than ``per_mention`` or ``total``.
+    """
+    scopes = policy.groupBy("entity_type").agg(F.collect_list("scope").alias("configured"))
+    n = F.expr("count(*) OVER (PARTITION BY mention_id)")
+    j = mentions.select("mention_id", "entity_type", surface("text").alias("lookup"), "sources", n.alias("n")).join(scopes, "entity_type", "left")
+    also = F.when(F.col("entity_type").isin(with_sources), F.col("sources")).otherwise(F.array().cast("array<string>"))
+    plan = j.withColumn("scopes", F.array_sort(F.array_union("configured", also)))
+    faults = [
+        (F.col("mention_id").isNull() | (F.col("n") > 1), "a mention id is missing or repeated"), (F.col("configured").isNull(), "no scopes for a mention's type"),
+        (F.size("configured") != F.size(F.array_distinct("configured")), "a type's scopes repeat"), (F.coalesce(F.col("lookup") == "", F.lit(True)), "a mention without text"),
+        (F.coalesce(F.size("sources") < 1, F.lit(True)) | F.exists("sources", lambda x: F.coalesce(x == "", F.lit(True))), "a mention without whole sources"), (F.size("scopes") > per_mention, "scope budget of a mention exceeded"),
+    ]
+    said = F.coalesce(*(F.when(bad, text) for bad, text in faults))
+    sound = F.when(said.isNotNull(), F.raise_error(said).cast("boolean")).otherwise(F.lit(True))
+    plan = guard_total(plan.where(sound), F.size("scopes"), total)
+    return plan.select("mention_id", "entity_type", "lookup", F.posexplode("scopes").alias("place", "scope")).select("mention_id", "place", "entity_type", "scope", "lookup")
+
+
 def propose(mentions: DataFrame, candidates: DataFrame, mention: str = "mention_id") -> DataFrame:
     """(mention, proposal, canonical_id): LINK where exactly one candidate exists, else DEFER."""
     found = candidates.groupBy(mention).agg(F.count_distinct("canonical_id").alias("n"), F.min("canonical_id").alias("one"))

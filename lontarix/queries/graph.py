@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse_space, surface
 from ..operators import graph, registry, traversal
 from ..session import table
+from ..sources import ontology
 from ..sources.shared import cut
 
 
@@ -153,10 +154,36 @@ def reverse_closure(s, d):
     return graph.reverse_closure(changed, deps).select("item_id", F.col("hops").cast("long").alias("hops"))
 
 
+#: An ontology of line items: what was returned and what was shipped, with quantities, flags and dates.
+ONTOLOGY = b"""// Line items.
+{"schema_version": 1, "ontology_version": "items-v2", "entity_types": ["order", "part", "supplier"],
+ "qualifiers": [{"id": "quantity", "value_kinds": ["number"]}, {"id": "flag", "value_kinds": ["literal", "entity"]}, {"id": "day", "value_kinds": ["date"]}],
+ "predicates": [
+  {"id": "RETURNED", "subject_types": ["order"], "object_types": ["part"], "qualifier_ids": ["quantity", "flag"], "origins": ["explicit"], "allow_self": false},
+  {"id": "SHIPPED", "subject_types": ["order", "supplier"], "object_types": ["part", "order"], "qualifier_ids": ["day"], "origins": ["explicit", "inferred"], "allow_self": true}]}"""
+
+
 def ontology_admission(s, d):
-    rules = s.createDataFrame([("PLACED", "customer", "order", False), ("RETURNED", "order", "part", False)], "predicate string, subject_type string, object_type string, self_loop boolean")
-    li = table(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("assertion_id"), F.col("l_orderkey").cast("string").alias("subject"), F.col("l_partkey").cast("string").alias("object"), F.when(F.col("l_returnflag") == "R", "RETURNED").when(F.col("l_returnflag") == "A", "PLACED").otherwise("SHIPPED").alias("predicate"), F.lit("order").alias("subject_type"), F.lit("part").alias("object_type"))
-    return graph.admit(li, rules).groupBy("assertion_id", "issue").agg(F.count("*").alias("n"))
+    """Line items as assertions of two predicates and one that isn't known, with ends, origins and qualifiers of all kinds."""
+    o, n, k = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")
+    pick = lambda by, *names: F.element_at(F.array(*map(F.lit, names)), (by % len(names) + 1).cast("int"))
+    one = F.struct(pick(o, "quantity", "flag", "day", "other").alias("id"), pick(n, "number", "literal", "date", "entity").alias("kind"))
+    rows = table(s, d, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("assertion_id"), F.when(F.col("l_returnflag") == "R", "RETURNED").when(F.col("l_returnflag") == "A", "SHIPPED").otherwise("LOST").alias("predicate"),
+        o.cast("string").alias("subject"), F.col("l_partkey").cast("string").alias("object"), pick(k, "order", "supplier", "nobody").alias("subject_type"), pick(n, "part", "order").alias("object_type"),
+        pick(o, "explicit", "inferred").alias("origin"), F.when(o % 50 == 7, "items-v1").otherwise("items-v2").alias("ontology_version"), F.when(n % 3 == 0, F.array(one)).when(n % 3 == 1, F.array()).alias("qualifiers"),
+    )
+    known = ontology.parse(ONTOLOGY)
+    return graph.admit(rows, known.rules(s), known.version).groupBy("assertion_id", "issue").agg(F.count("*").alias("n"))
+
+
+def candidate_plan(s, d):
+    """Parts are mentions of three types, two of which are looked up in the regulations that they were found in too."""
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, ("law", "agency", "article"))), (k % 3 + 1).cast("int"))
+    mentions = table(s, d, "part").select(k.alias("mention_id"), kind.alias("entity_type"), F.concat(F.lit("  "), F.initcap("p_name"), F.lit(" \t")).alias("text"), F.array(F.concat(F.lit("r"), k % 11), F.concat(F.lit("r"), k % 7)).alias("sources"))
+    policy = s.createDataFrame([("law", "national"), ("law", "r3"), ("agency", "national"), ("article", "provision")], "entity_type string, scope string")
+    return registry.candidate_plan(mentions, policy, ["law", "article"], 4, 1 << 40)
 
 
 def endpoint_substitution(s, d):
@@ -221,7 +248,7 @@ def upsert_merge(s, d):
     return registry.upsert(c, new, ["c_custkey"])
 
 
-QUERIES = {f.__name__: f for f in (neighbors, paths_2hop, paths_3hop_simple, paths_budget, path_search, path_stops, scope_index, update_plan_lookups, path_sources, path_usable, ancestors, assertion_canonical_dedup, support_fanin, orphan_edges, edge_audit, exception_ids, update_plan, reverse_closure, ontology_admission, endpoint_substitution, graph_merge, graph_delta_merge, blocking_lookup, link_proposals, ngram_alias_link, identity_claims, natural_keys, upsert_merge)}
+QUERIES = {f.__name__: f for f in (neighbors, paths_2hop, paths_3hop_simple, paths_budget, path_search, path_stops, scope_index, update_plan_lookups, path_sources, path_usable, ancestors, assertion_canonical_dedup, support_fanin, orphan_edges, edge_audit, exception_ids, update_plan, reverse_closure, ontology_admission, candidate_plan, endpoint_substitution, graph_merge, graph_delta_merge, blocking_lookup, link_proposals, ngram_alias_link, identity_claims, natural_keys, upsert_merge)}
 
 EDGES = """
 ed AS (SELECT 'o' || o_orderkey AS assertion_id, 'c' || o_custkey AS subject, 'PLACED' AS predicate, 'o' || o_orderkey AS object FROM orders UNION ALL
@@ -299,10 +326,18 @@ SELECT item_id, CASE WHEN direct = 'REMOVED' OR item_id IN (FROM orph) THEN 'REV
 coalesce(direct, CASE WHEN item_id IN (FROM c) THEN 'DEPENDENCY' ELSE 'UNCHANGED' END) AS reason FROM dr""",
     "reverse_closure": f"""WITH RECURSIVE {_PLAN}, c AS (SELECT item_id, 0 AS hops FROM docs WHERE item_id % 37 = 3 UNION ALL SELECT dep.item_id, hops + 1 FROM c JOIN dep ON dependency_id = c.item_id)
 SELECT item_id, min(hops)::BIGINT AS hops FROM c GROUP BY 1""",
-    "ontology_admission": """WITH a AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS assertion_id, l_returnflag AS f, l_orderkey = l_partkey AS lp FROM lineitem),
-i AS (SELECT assertion_id, 'subject_type' AS issue FROM a WHERE f = 'A' UNION ALL SELECT assertion_id, 'object_type' FROM a WHERE f = 'A' UNION ALL
-SELECT assertion_id, 'self_loop' FROM a WHERE f IN ('A', 'R') AND lp UNION ALL SELECT assertion_id, 'unknown_predicate' FROM a WHERE f NOT IN ('A', 'R'))
+    "ontology_admission": f"""WITH a AS (SELECT {_LI[:-1].replace("'l', ", "")}) AS assertion_id, l_returnflag AS f, l_orderkey AS o, l_linenumber AS n, l_suppkey AS k, l_orderkey = l_partkey AS loop FROM lineitem),
+b AS (SELECT *, f IN ('R', 'A') AS known, ['quantity', 'flag', 'day', 'other'][o % 4 + 1] AS q, ['number', 'literal', 'date', 'entity'][n % 4 + 1] AS kind FROM a),
+c AS (SELECT *, (f = 'R' AND q IN ('quantity', 'flag')) OR (f = 'A' AND q = 'day') AS has FROM b),
+i AS (SELECT assertion_id, 'ontology_version' AS issue FROM c WHERE o % 50 = 7 UNION ALL SELECT assertion_id, 'unknown_predicate' FROM c WHERE NOT known
+UNION ALL SELECT assertion_id, 'subject_type' FROM c WHERE (f = 'R' AND k % 3 <> 0) OR (f = 'A' AND k % 3 = 2) UNION ALL SELECT assertion_id, 'object_type' FROM c WHERE f = 'R' AND n % 2 = 1
+UNION ALL SELECT assertion_id, 'self_edge' FROM c WHERE f = 'R' AND loop UNION ALL SELECT assertion_id, 'origin' FROM c WHERE f = 'R' AND o % 2 = 1
+UNION ALL SELECT assertion_id, 'qualifier' FROM c WHERE known AND n % 3 = 0 AND NOT has
+UNION ALL SELECT assertion_id, 'qualifier_kind' FROM c WHERE n % 3 = 0 AND has AND NOT ((q = 'quantity' AND kind = 'number') OR (q = 'flag' AND kind IN ('literal', 'entity')) OR (q = 'day' AND kind = 'date')))
 SELECT assertion_id, issue, count(*)::BIGINT AS n FROM i GROUP BY 1, 2""",
+    "candidate_plan": r"""WITH m AS (SELECT p_partkey AS mention_id, ['law', 'agency', 'article'][p_partkey % 3 + 1] AS entity_type, lower(trim(regexp_replace(p_name, '\s+', ' ', 'g'))) AS lookup,
+list_sort(list_distinct(CASE p_partkey % 3 WHEN 0 THEN ['national', 'r3'] WHEN 1 THEN ['national'] ELSE ['provision'] END || CASE WHEN p_partkey % 3 <> 1 THEN ['r' || p_partkey % 11, 'r' || p_partkey % 7] ELSE [] END)) AS s FROM part)
+SELECT mention_id, (generate_subscripts(s, 1) - 1)::INTEGER AS place, entity_type, unnest(s) AS scope, lookup FROM m""",
     "endpoint_substitution": "SELECT o_orderkey AS assertion_id, a.c_nationkey::BIGINT AS subject, 'NEXT' AS predicate, b.c_nationkey::BIGINT AS object FROM orders JOIN customer a ON a.c_custkey = o_custkey JOIN customer b ON b.c_custkey = o_custkey // 2",
     "graph_merge": """WITH x AS (SELECT doc_id AS key, doc_id % 2 = 0 AS h, doc_id % 3 = 0 AS g, doc_id IN (SELECT doc_id FROM labels) AS c FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)
 SELECT key, CASE WHEN h AND g THEN 'BOTH' WHEN h THEN 'HYBRID' ELSE 'GRAPH' END AS origin, h OR c AS accepted, CASE WHEN NOT (h OR c) THEN 'outside_graph_support_spans' END AS reason FROM x""",

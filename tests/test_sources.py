@@ -11,7 +11,7 @@ import pytest
 from conftest import SF
 
 from lontarix.__main__ import main
-from lontarix.operators import graph
+from lontarix.operators import graph, registry
 from lontarix.sources import inventory, ontology, store
 from lontarix.streaming import windows
 
@@ -62,17 +62,60 @@ def test_inventory(spark, tmp_path):
         inventory.candidates(inventory.read(spark, str(f))).collect()
 
 
-ONTOLOGY = """{ // predicates
-  "predicates": [ {"name": "AMENDS", "subject_type": "law", "object_type": "law"}, /* "x" */
-    {"name": "CITES//", "subject_type": "law", "object_type": "law", "self_loop": true} ] }"""
+ONTOLOGY = """// An ontology.
+
+  // of laws
+{"schema_version": 1, "ontology_version": "v1", "entity_types": ["law", "body"],
+ "qualifiers": [{"id": "since", "value_kinds": ["date"]}, {"id": "by", "value_kinds": ["entity", "literal"]}],
+ "predicates": [{"id": "AMENDS", "subject_types": ["law"], "object_types": ["law"], "qualifier_ids": ["since"], "origins": ["explicit"], "allow_self": false},
+  {"id": "NAMES", "subject_types": ["law", "body"], "object_types": ["body"], "qualifier_ids": [], "origins": ["explicit", "inferred"], "allow_self": true}]}"""
 
 
 def test_ontology(spark):
-    rules = ontology.load(spark, ONTOLOGY)
-    a = spark.createDataFrame([("1", "AMENDS", "law", "law", "x", "x"), ("2", "CITES//", "law", "law", "x", "x"), ("3", "AMENDS", "law", "part", "x", "y"), ("4", "NONE", "law", "law", "x", "y")], "assertion_id string, predicate string, subject_type string, object_type string, subject string, object string")
-    assert {tuple(r) for r in graph.admit(a, rules).collect()} == {("1", "self_loop"), ("3", "object_type"), ("4", "unknown_predicate")}
-    with pytest.raises(ValueError, match="fields"):
-        ontology.load(spark, ONTOLOGY.replace('"self_loop"', '"loop"'))
+    known = ontology.parse(ONTOLOGY.encode())
+    assert known.version == "v1" and known.sha256 == hashlib.sha256(ONTOLOGY.encode()).hexdigest()
+    rows = [
+        ("ok", "AMENDS", "a", "b", "law", "law", "explicit", "v1", [("since", "date")]), ("self ok", "NAMES", "a", "a", "body", "body", "inferred", "v1", []), ("none", "NAMES", "a", "b", "law", "body", "explicit", "v1", None),
+        ("self", "AMENDS", "a", "a", "law", "law", "explicit", "v1", []), ("ends", "AMENDS", "a", "b", "body", None, "explicit", "v1", []), ("origin", "AMENDS", "a", "b", "law", "law", "inferred", "v1", []),
+        ("version", "AMENDS", "a", "b", "law", "law", "explicit", "v2", []), ("unknown", "NONE", "a", "b", "law", "law", "explicit", "v1", [("x", "date")]), ("qualifier", "AMENDS", "a", "b", "law", "law", "explicit", "v1", [("by", "entity"), ("since", "number")]),
+        ("odd", "AMENDS", "a", "b", "law", "law", None, None, [(None, "date"), ("since", None)]),
+    ]
+    a = spark.createDataFrame(rows, "assertion_id string, predicate string, subject string, object string, subject_type string, object_type string, origin string, ontology_version string, qualifiers array<struct<id:string,kind:string>>")
+    got = {tuple(r) for r in graph.admit(a, known.rules(spark), known.version).collect()}
+    assert got == {
+        ("self", "self_edge"), ("ends", "subject_type"), ("ends", "object_type"), ("origin", "origin"), ("version", "ontology_version"), ("unknown", "unknown_predicate"), ("qualifier", "qualifier"), ("qualifier", "qualifier_kind"),
+        ("odd", "ontology_version"), ("odd", "origin"), ("odd", "qualifier"), ("odd", "qualifier_kind"),
+    }
+
+
+@pytest.mark.parametrize(
+    ("old", "new"),
+    [
+        ('"allow_self": true', '"allow": true'), ('"allow_self": true', '"allow_self": 1'), ('"allow_self": true', '"allow_self": true, "allow_self": true'), ('"schema_version": 1', '"schema_version": 2'), ('"v1"', '"v 1"'),
+        ('"NAMES"', '"AMENDS"'), ('["body"]', '["nobody"]'), ('["law", "body"],\n', '["law", "law"],\n'), ('["since"]', '["until"]'), ('["date"]', '["time"]'), ('["explicit"]', "[]"), ('"explicit", "inferred"', '"guessed"'), ("// An", "\ufeff// An"), ('"id": "by"', '"id": "since"'),
+    ],
+)
+def test_an_ontology_is_read_strictly(old, new):
+    assert old in ONTOLOGY
+    with pytest.raises(ValueError):
+        ontology.parse(ONTOLOGY.replace(old, new, 1).encode())
+    with pytest.raises(ValueError):
+        ontology.parse(b"")
+
+
+def test_candidate_plans_are_whole_or_errors(spark):
+    schema = "mention_id long, entity_type string, text string, sources array<string>"
+    rows = [(2, "law", " Undang  DASAR ", ["r2", "r1"]), (1, "agency", "Badan", ["r9"])]
+    policy = spark.createDataFrame([("law", "national"), ("law", "r1"), ("agency", "national")], "entity_type string, scope string")
+    plan = lambda rows, per=3, total=9: sorted(map(tuple, registry.candidate_plan(spark.createDataFrame(rows, schema), policy, ["law"], per, total).collect()))
+    assert plan(rows) == [(1, 0, "agency", "national", "badan"), (2, 0, "law", "national", "undang dasar"), (2, 1, "law", "r1", "undang dasar"), (2, 2, "law", "r2", "undang dasar")]
+    assert plan([]) == [] and len(plan(rows, total=4)) == 4
+    for bad, said, limits in (
+        (rows + rows[:1], "repeated", {}), ([(None, *rows[0][1:])], "missing", {}), ([(1, "body", "x", ["r"])], "no scopes", {}), ([(1, "law", " \t", ["r"])], "without text", {}), ([(1, "law", "x", [])], "sources", {}), ([(1, "law", "x", None)], "sources", {}),
+        (rows, "of a mention exceeded", {"per": 2}), (rows, "budget exceeded", {"total": 3}),
+    ):
+        with pytest.raises(Exception, match=said):
+            plan(bad, **limits)
 
 
 def test_stream_in_append_mode(spark):
