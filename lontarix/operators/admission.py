@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import surface, terms
-from ..sources.shared import cut
+from ..sources.shared import cut, scratch
+from ..sources.store import exists
 from .temporal import visible
 
 
@@ -104,20 +105,56 @@ def frontier(found: DataFrame, visited: DataFrame, most: int, url: str = "target
     return fresh.orderBy(url).limit(most)
 
 
-def walk_listing(seeds: DataFrame, following: DataFrame, most: int) -> DataFrame:
-    """(seed, page, step): listing pages by their next links, each once a seed, ``most`` pages a seed at most. ``following``: (page, next).
+def walk_listings(seeds: DataFrame, pages: DataFrame, max_pages: int, max_documents: int, state: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The listing pages that each seed's walk reads, and the documents that they lead to.
 
-    One join a step; a page that a seed has seen ends its walk.
+    ``seeds``: url, distinct. ``pages``: url, next and details (arrays of urls), as ``parse_pages`` makes them. A seed's walk goes breadth first,
+    in the order of the links; it reads a page once, ``max_pages`` pages at most, and none any more once ``max_documents`` documents are
+    found; a page's documents beyond these are left. A page that isn't there is read in vain.
+
+    Pages: (seed, place, url, there, n_new), n_new the documents that the page added. Documents: (seed, url, place), the page that names
+    each first. A step of all walks is one join and one table; with ``state``, a folder of the caller's, steps that an earlier call
+    finished are read and the walk goes on from there (seeds, pages and limits must be the same).
     """
-    done = cut(seeds.select(F.col("page").alias("seed"), "page", F.lit(0).alias("step")), "listing")
-    front = done
-    for step in range(1, most):
-        after = front.join(following, "page").select("seed", F.col("next").alias("page"), F.lit(step).alias("step")).distinct()
-        front = cut(after.join(done.select("seed", "page"), ["seed", "page"], "left_anti").select("seed", "page", "step"), "listing")
+    if max_pages < 1 or max_documents < 1:
+        raise ValueError("limits must be positive")
+    spark = seeds.sparkSession
+    root = state or scratch(spark, "listing")
+    schema = "seed string, place long, url string, there boolean, next array<string>, new array<string>, documents long"
+    front = seeds.select(F.col("url").alias("seed"), F.lit(1).cast("long").alias("place"), "url", F.lit(0).cast("long").alias("before"))
+    levels: list[DataFrame] = []
+    while True:
+        path = f"{root}/step={len(levels)}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            read = front.join(pages.select("url", "next", "details", F.lit(True).alias("there")), "url", "left")
+            named = read.select("seed", "place", F.posexplode("details").alias("at", "document")).groupBy("seed", "document").agg(F.min(F.struct("place", "at")).alias("p"))
+            for level in levels:
+                named = named.join(level.select("seed", F.explode("new").alias("document")), ["seed", "document"], "left_anti")
+            found = named.groupBy("seed", F.col("p.place").alias("place")).agg(F.sort_array(F.collect_list(F.struct("p.at", "document"))).alias("d"))
+            read = read.join(found, ["seed", "place"], "left").withColumn("d", F.coalesce(F.col("d.document"), F.array().cast("array<string>")))
+            # Documents before a page: those of earlier steps and of this step's pages before it.
+            upto = F.expr("coalesce(sum(size(d)) OVER (PARTITION BY seed ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+            read = read.withColumn("had", F.col("before") + upto).where(F.col("had") < max_documents)
+            new = F.slice("d", F.lit(1), F.least(F.size("d"), (F.lit(max_documents) - F.col("had")).cast("int")))
+            read = read.withColumn("new", new).withColumn("documents", F.col("had") + F.size("new"))
+            read.select("seed", "place", "url", F.coalesce("there", F.lit(False)).alias("there"), "next", "new", "documents").write.mode("overwrite").parquet(path)
+        level = spark.read.schema(schema).parquet(path)
+        levels.append(level)
+        total = level.groupBy("seed").agg(F.max("documents").alias("before"), F.max("place").alias("last")).where(F.col("before") < max_documents)
+        after = level.select("seed", "place", F.posexplode("next").alias("at", "url")).groupBy("seed", "url").agg(F.min(F.struct("place", "at")).alias("p"))
+        for seen in levels:
+            after = after.join(seen.select("seed", "url"), ["seed", "url"], "left_anti")
+        place = F.expr("row_number() OVER (PARTITION BY seed ORDER BY p)")
+        front = after.withColumn("n", place).join(total, "seed").select("seed", (F.col("last") + F.col("n")).alias("place"), "url", "before").where(F.col("place") <= max_pages)
+        if exists(spark, f"{root}/step={len(levels)}/_SUCCESS"):
+            continue
+        front = cut(front, "front")
         if not front.limit(1).count():
             break
-        done = done.unionByName(front)
-    return done
+    walked = levels[0]
+    for level in levels[1:]:
+        walked = walked.unionByName(level)
+    return walked.select("seed", "place", "url", "there", F.size("new").alias("n_new")), walked.select("seed", F.explode("new").alias("url"), "place")
 
 
 def candidate_batches(mentions: DataFrame, lookups: DataFrame, batch: str = "batch_id") -> DataFrame:

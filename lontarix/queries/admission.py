@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import html
 from ..functions.text import rounded
 from ..operators import admission as ad
 from ..operators import dense
@@ -118,9 +119,14 @@ def frontier_pool(s, d):
 
 
 def listing_walk(s, d):
-    p = table(s, d, "pages")
-    following = p.select(F.col("page_id").alias("page"), F.when(F.col("page_id") % 23 == 0, F.col("page_id") - 2).otherwise(F.col("page_id") + 1).alias("next"))
-    return ad.walk_listing(p.where("page_id % 10 = 0").select(F.col("page_id").alias("page")), following, 8)
+    """Walks over pages as listings, from every tenth: each links to the next one, some back, and to two pages of documents."""
+    k = F.col("page_id")
+    following = F.when(k % 23 == 0, k - 2).otherwise(k + 1)
+    links = F.concat(F.lit('<a rel="next" href="../p/'), following, F.lit('">&raquo;</a><a href="/d/details/'), F.expr("page_id div 2"), F.lit("\">a</a><a href='details/"), k % 17, F.lit("'>b</a><a href=/d/details/"), F.expr("page_id div 2"), F.lit(">c</a>"))
+    parsed = html.parse_pages(table(s, d, "pages").select("page_id", F.concat(F.lit("https://list.example/p/"), k).alias("url"), F.concat("html", links).alias("html")))
+    pages = parsed.select(F.concat(F.lit("https://list.example/p/"), k).alias("url"), "next", "details", "page_id")
+    walked, _ = ad.walk_listings(pages.where("page_id % 10 = 0").select("url"), pages.drop("page_id"), 8, 9)
+    return walked
 
 
 def candidate_batches(s, d):
@@ -168,10 +174,12 @@ x AS (SELECT c_custkey AS k, c_nationkey AS scope, lower(trim(regexp_replace(c_n
 a AS (SELECT x.*, CASE WHEN id IS NULL AND held IS NULL THEN 'PROVISIONAL' WHEN held IS NULL THEN 'ALIAS' WHEN list_contains(held, id) THEN 'KNOWN' ELSE 'AMBIGUOUS' END AS action FROM x LEFT JOIN h USING (scope, alias))
 SELECT k AS mention_id, alias, CASE WHEN action = 'PROVISIONAL' THEN 'provisional-' || sha256(scope::VARCHAR || chr(31) || alias) ELSE id::VARCHAR END AS canonical_id, action, CASE WHEN action IN ('ALIAS', 'PROVISIONAL') THEN 8 ELSE 7 END::BIGINT AS revision FROM a""",
     "frontier_pool": f"WITH {_LINKS} SELECT DISTINCT target FROM lk WHERE target NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0) ORDER BY target LIMIT 50",
-    "listing_walk": """WITH RECURSIVE f AS (SELECT page_id AS page, CASE WHEN page_id % 23 = 0 THEN page_id - 2 ELSE page_id + 1 END AS next FROM pages),
-w AS (SELECT page_id AS seed, page_id AS page, 0 AS step, [page_id] AS seen FROM pages WHERE page_id % 10 = 0 UNION ALL
-SELECT seed, next, step + 1, list_append(seen, next) FROM w JOIN f USING (page) WHERE step < 7 AND NOT list_contains(seen, next))
-SELECT seed, page, step FROM w""",
+    "listing_walk": """WITH RECURSIVE f AS (SELECT page_id AS page, CASE WHEN page_id % 23 = 0 THEN page_id - 2 ELSE page_id + 1 END AS next, ['/d/details/' || page_id // 2, '/p/details/' || page_id % 17] AS docs FROM pages),
+w AS (SELECT page_id AS seed, page_id AS page, 1 AS place, [page_id] AS seen, []::VARCHAR[] AS had FROM pages WHERE page_id % 10 = 0 UNION ALL
+SELECT seed, next, place + 1, list_append(seen, next), had || list_filter(docs, lambda x: NOT list_contains(had, x))
+FROM w JOIN f USING (page) WHERE place < 8 AND NOT list_contains(seen, next) AND len(had) + len(list_filter(docs, lambda x: NOT list_contains(had, x))) < 9)
+SELECT 'https://list.example/p/' || seed AS seed, place::BIGINT AS place, 'https://list.example/p/' || page AS url, f.page IS NOT NULL AS there,
+coalesce(least(len(list_filter(docs, lambda x: NOT list_contains(had, x))), 9 - len(had)), 0)::INTEGER AS n_new FROM w LEFT JOIN f USING (page)""",
     "candidate_batches": """WITH li AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem),
 x AS (SELECT k, count(*) AS n_mentions, count(*) FILTER (k % 9 = 0 AND n = 2) AS mi, count(*) FILTER (k % 12 = 5 AND n = 1) AS ex, count(*) FILTER (k % 10 = 3 AND n = 1) AS re, count(*) FILTER (k % 8 = 1 AND n = 1) AS st FROM li GROUP BY 1)
 SELECT k AS batch_id, n_mentions::BIGINT AS n_mentions, mi::BIGINT AS n_missing, ex::BIGINT AS n_extra, re::BIGINT AS n_repeated, st::BIGINT AS n_stale, CASE WHEN mi + ex + re + st = 0 THEN 'VALID' ELSE 'INVALID' END AS status FROM x""",

@@ -19,7 +19,7 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p)
 
@@ -33,7 +33,7 @@ def put(rows: DataFrame, path: str, payload: str) -> int:
     spark = rows.sparkSession
     new = rows.select(F.sha2(F.col(payload), 256).alias("sha256"), F.col(payload).cast("binary").alias("bytes")).where("bytes IS NOT NULL").groupBy("sha256").agg(F.first("bytes").alias("bytes"))
     new = new.withColumn("size", F.octet_length("bytes").cast("long"))
-    if _exists(spark, path):
+    if exists(spark, path):
         new = new.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
     part = f"{path}/batch={uuid.uuid4().hex}"
     new.write.option("compression", "zstd").parquet(part)
@@ -186,7 +186,7 @@ def renew(spark: SparkSession, root: str, snapshot: int, seconds: float, old: st
     if old:
         _fs(spark, old)[0].delete(_path(spark, old), False)
     # Only now is it sure that no sweep has begun to take the snapshot away: one that begins later sees the lease.
-    if not _exists(spark, f"{_version(root, snapshot)}/manifest.json"):
+    if not exists(spark, f"{_version(root, snapshot)}/manifest.json"):
         _fs(spark, name)[0].delete(_path(spark, name), False)
         raise LookupError("no such published snapshot")
     return name

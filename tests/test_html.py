@@ -70,3 +70,51 @@ def test_deep_and_long_pages_take_linear_time():
     start = time.perf_counter()
     page = html.parse_page("<div>" * 20_000 + "x" + "<a href=/p>" * 20_000, BASE)
     assert page["links"] == ["https://h.id/p"] and time.perf_counter() - start < 20
+
+
+def walk(pages, seed, max_pages, max_documents):
+    queue, seen, docs, out = [seed], [], [], []
+    while queue and len(seen) < max_pages and len(docs) < max_documents:
+        url = queue.pop(0)
+        if url in seen:
+            continue
+        seen.append(url)
+        new = []
+        for d in pages.get(url, ([], []))[1]:
+            if d not in docs and len(docs) < max_documents:
+                docs.append(d)
+                new.append(d)
+        out.append((seed, len(seen), url, url in pages, len(new)))
+        queue += pages.get(url, ([], []))[0]
+    return out, docs
+
+
+@pytest.mark.parametrize(("max_pages", "max_documents"), [(1, 1), (5, 100), (100, 6), (9, 9), (100, 100)])
+def test_listings_are_walked_in_order_within_both_limits(spark, max_pages, max_documents):
+    import random
+
+    from lontarix.operators import admission
+
+    rng = random.Random(max_pages)
+    pages = {f"p{i}": ([f"p{rng.randrange(16)}" for _ in range(rng.randrange(4))], [f"d{rng.randrange(12)}" for _ in range(rng.randrange(4))]) for i in range(14)}
+    df = spark.createDataFrame([(u, n, d) for u, (n, d) in pages.items()], "url string, next array<string>, details array<string>")
+    seeds = spark.createDataFrame([(f"p{i}",) for i in (0, 3, 15)], "url string")
+    read, documents = admission.walk_listings(seeds, df, max_pages, max_documents)
+    want = [walk(pages, f"p{i}", max_pages, max_documents) for i in (0, 3, 15)]
+    assert sorted(map(tuple, read.collect())) == sorted(r for rows, _ in want for r in rows)
+    assert sorted((r.seed, r.url) for r in documents.collect()) == sorted((f"p{i}", d) for i, (_, ds) in zip((0, 3, 15), want, strict=True) for d in ds)
+
+
+def test_a_walk_goes_on_where_it_ended(spark, tmp_path):
+    from lontarix.operators import admission
+
+    pages = spark.createDataFrame([(f"p{i}", [f"p{i + 1}"], [f"d{i}"]) for i in range(6)], "url string, next array<string>, details array<string>")
+    seeds, state = spark.createDataFrame([("p0",)], "url string"), f"file://{tmp_path}/walk"
+    whole = sorted(map(tuple, admission.walk_listings(seeds, pages, 9, 9, state)[0].collect()))
+    import shutil
+
+    for step in (4, 5, 6):
+        shutil.rmtree(tmp_path / f"walk/step={step}")
+    assert sorted(map(tuple, admission.walk_listings(seeds, pages, 9, 9, state)[0].collect())) == whole and len(whole) == 7
+    with pytest.raises(ValueError):
+        admission.walk_listings(seeds, pages, 0, 9)
