@@ -179,7 +179,7 @@ w AS (SELECT page_id AS seed, page_id AS page, 1 AS place, [page_id] AS seen, []
 SELECT seed, next, place + 1, list_append(seen, next), had || list_filter(docs, lambda x: NOT list_contains(had, x))
 FROM w JOIN f USING (page) WHERE place < 8 AND NOT list_contains(seen, next) AND len(had) + len(list_filter(docs, lambda x: NOT list_contains(had, x))) < 9)
 SELECT 'https://list.example/p/' || seed AS seed, place::BIGINT AS place, 'https://list.example/p/' || page AS url, f.page IS NOT NULL AS there,
-coalesce(least(len(list_filter(docs, lambda x: NOT list_contains(had, x))), 9 - len(had)), 0)::INTEGER AS n_new FROM w LEFT JOIN f USING (page)""",
+CASE WHEN f.page IS NULL THEN 0 ELSE least(len(list_filter(docs, lambda x: NOT list_contains(had, x))), 9 - len(had)) END::INTEGER AS n_new FROM w LEFT JOIN f USING (page)""",
     "candidate_batches": """WITH li AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem),
 x AS (SELECT k, count(*) AS n_mentions, count(*) FILTER (k % 9 = 0 AND n = 2) AS mi, count(*) FILTER (k % 12 = 5 AND n = 1) AS ex, count(*) FILTER (k % 10 = 3 AND n = 1) AS re, count(*) FILTER (k % 8 = 1 AND n = 1) AS st FROM li GROUP BY 1)
 SELECT k AS batch_id, n_mentions::BIGINT AS n_mentions, mi::BIGINT AS n_missing, ex::BIGINT AS n_extra, re::BIGINT AS n_repeated, st::BIGINT AS n_stale, CASE WHEN mi + ex + re + st = 0 THEN 'VALID' ELSE 'INVALID' END AS status FROM x""",
