@@ -108,7 +108,7 @@ def frontier(found: DataFrame, visited: DataFrame, most: int, url: str = "target
 def walk_listings(seeds: DataFrame, pages: DataFrame, max_pages: int, max_documents: int, state: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The listing pages that each seed's walk reads, and the documents that they lead to.
 
-    ``seeds``: url, distinct. ``pages``: url, next and details (arrays of urls), as ``parse_pages`` makes them. A seed's walk goes breadth first,
+    ``seeds``: url, distinct. ``pages``: url, next and details (arrays of urls), as ``parse_pages`` makes them, a table, since each step reads it. A seed's walk goes breadth first,
     in the order of the links; it reads a page once, ``max_pages`` pages at most, and none any more once ``max_documents`` documents are
     found; a page's documents beyond these are left. A page that isn't there is read in vain.
 
@@ -122,14 +122,14 @@ def walk_listings(seeds: DataFrame, pages: DataFrame, max_pages: int, max_docume
     root = state or scratch(spark, "listing")
     schema = "seed string, place long, url string, there boolean, next array<string>, new array<string>, documents long"
     front = seeds.select(F.col("url").alias("seed"), F.lit(1).cast("long").alias("place"), "url", F.lit(0).cast("long").alias("before"))
-    levels: list[DataFrame] = []
+    levels: list[str] = []
     while True:
         path = f"{root}/step={len(levels)}"
         if not exists(spark, f"{path}/_SUCCESS"):
             read = front.join(pages.select("url", "next", "details", F.lit(True).alias("there")), "url", "left")
             named = read.select("seed", "place", F.posexplode("details").alias("at", "document")).groupBy("seed", "document").agg(F.min(F.struct("place", "at")).alias("p"))
-            for level in levels:
-                named = named.join(level.select("seed", F.explode("new").alias("document")), ["seed", "document"], "left_anti")
+            if levels:
+                named = named.join(walked.select("seed", F.explode("new").alias("document")), ["seed", "document"], "left_anti")
             found = named.groupBy("seed", F.col("p.place").alias("place")).agg(F.sort_array(F.collect_list(F.struct("p.at", "document"))).alias("d"))
             read = read.join(found, ["seed", "place"], "left").withColumn("d", F.coalesce(F.col("d.document"), F.array().cast("array<string>")))
             # Documents before a page: those of earlier steps and of this step's pages before it.
@@ -139,11 +139,11 @@ def walk_listings(seeds: DataFrame, pages: DataFrame, max_pages: int, max_docume
             read = read.withColumn("new", new).withColumn("documents", F.col("had") + F.size("new"))
             read.select("seed", "place", "url", F.coalesce("there", F.lit(False)).alias("there"), "next", "new", "documents").write.mode("overwrite").parquet(path)
         level = spark.read.schema(schema).parquet(path)
-        levels.append(level)
+        levels.append(path)
+        walked = spark.read.schema(schema).parquet(*levels)
         total = level.groupBy("seed").agg(F.max("documents").alias("before"), F.max("place").alias("last")).where(F.col("before") < max_documents)
         after = level.select("seed", "place", F.posexplode("next").alias("at", "url")).groupBy("seed", "url").agg(F.min(F.struct("place", "at")).alias("p"))
-        for seen in levels:
-            after = after.join(seen.select("seed", "url"), ["seed", "url"], "left_anti")
+        after = after.join(walked.select("seed", "url"), ["seed", "url"], "left_anti")
         place = F.expr("row_number() OVER (PARTITION BY seed ORDER BY p)")
         front = after.withColumn("n", place).join(total, "seed").select("seed", (F.col("last") + F.col("n")).alias("place"), "url", "before").where(F.col("place") <= max_pages)
         if exists(spark, f"{root}/step={len(levels)}/_SUCCESS"):
@@ -151,9 +151,6 @@ def walk_listings(seeds: DataFrame, pages: DataFrame, max_pages: int, max_docume
         front = cut(front, "front")
         if not front.limit(1).count():
             break
-    walked = levels[0]
-    for level in levels[1:]:
-        walked = walked.unionByName(level)
     return walked.select("seed", "place", "url", "there", F.size("new").alias("n_new")), walked.select("seed", F.explode("new").alias("url"), "place")
 
 

@@ -10,6 +10,7 @@ from ..operators import admission as ad
 from ..operators import dense
 from ..operators import metrics as m
 from ..session import table
+from ..sources.shared import cut
 from .lexical import _T, r6
 from .retrieval import _DENSE
 from .structure import _LINKS, html_links
@@ -124,7 +125,7 @@ def listing_walk(s, d):
     following = F.when(k % 23 == 0, k - 2).otherwise(k + 1)
     links = F.concat(F.lit('<a rel="next" href="../p/'), following, F.lit('">&raquo;</a><a href="/d/details/'), F.expr("page_id div 2"), F.lit("\">a</a><a href='details/"), k % 17, F.lit("'>b</a><a href=/d/details/"), F.expr("page_id div 2"), F.lit(">c</a>"))
     parsed = html.parse_pages(table(s, d, "pages").select("page_id", F.concat(F.lit("https://list.example/p/"), k).alias("url"), F.concat("html", links).alias("html")))
-    pages = parsed.select(F.concat(F.lit("https://list.example/p/"), k).alias("url"), "next", "details", "page_id")
+    pages = cut(parsed.select(F.concat(F.lit("https://list.example/p/"), k).alias("url"), "next", "details", "page_id"), "parsed")
     walked, _ = ad.walk_listings(pages.where("page_id % 10 = 0").select("url"), pages.drop("page_id"), 8, 9)
     return walked
 
