@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html
 from ..functions.text import heading_kind, heading_level, is_roman, normalize_text
-from ..operators import quality, structure
+from ..operators import quality, structure, tables
 from ..session import table
 from ..sources import store
 
@@ -72,6 +72,12 @@ def preview_windows(s, d):
     return structure.windows(table(s, d, "documents"))
 
 
+def windows_lateral(s, d):
+    """The same windows by a table function in SQL."""
+    tables.register(s)
+    return s.sql("SELECT d.doc_id, w.start, w.stop FROM {docs} d, LATERAL text_windows(d.text) w", docs=table(s, d, "documents").select("doc_id", "text"))
+
+
 def embedding_input(s, d):
     c = table(s, d, "conversations")
     labels = F.when(F.col("turn") > 0, F.array(F.upper("role"), F.col("conv_id").cast("string"))).otherwise(F.array().cast("array<string>"))
@@ -220,7 +226,7 @@ def readback_diff(s, d):
     return quality.state_diff(e, a.unionByName(extra), ["s_suppkey"])
 
 
-QUERIES = {f.__name__: f for f in (preview_windows, unit_projection, duplicate_ordinal, phrase_priority_sample, index_reuse, text_normalize, byte_map, headings, structure_tree, chunk_split, embedding_input, roman_check, html_title, html_text, html_links, html_parse, link_discovery, field_rule_issues, nested_any_match, paired_triple_match, filter_admission, stratified_sample, exact_field, page_classes, inventory_audit, identity_collisions, orphan_blobs, exact_dup_groups, readback_diff, blob_references)}
+QUERIES = {f.__name__: f for f in (preview_windows, windows_lateral, unit_projection, duplicate_ordinal, phrase_priority_sample, index_reuse, text_normalize, byte_map, headings, structure_tree, chunk_split, embedding_input, roman_check, html_title, html_text, html_links, html_parse, link_discovery, field_rule_issues, nested_any_match, paired_triple_match, filter_admission, stratified_sample, exact_field, page_classes, inventory_audit, identity_collisions, orphan_blobs, exact_dup_groups, readback_diff, blob_references)}
 
 _RAW = "raw AS (SELECT doc_id, replace(replace(replace(text, '. ', '.' || chr(13) || chr(10)), 'tion', 'ti' || chr(173) || 'on'), ', ', ',' || chr(9) || '  ') || chr(13) || 'ﬁn ﬄ' AS text FROM documents)"
 _NORM = r"replace(replace(replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), chr(173), ''), 'ﬁ', 'fi'), 'ﬄ', 'ffl')"
@@ -244,6 +250,12 @@ UNION ALL SELECT page_id, unnest(CASE page_id % 6
   WHEN 4 THEN [o || '/unduh/1', f || 'v?file=/f/Uji.PDF', o || '/DownloadUjiMateri/2/download/3', o || '/id/details/9', whole || '?p=2', whole || '?p=3', 'https://other.example/?p=4'] ELSE [] END), unnest(range(1001, 1008)) FROM dir),
 lk AS (SELECT page_id, target, row_number() OVER (PARTITION BY page_id ORDER BY min(pos)) - 1 AS first_pos FROM h WHERE target IS NOT NULL GROUP BY 1, 2)'''
 
+_WINDOWS = r"""WITH RECURSIVE w AS (SELECT doc_id, text, 0::BIGINT AS a, length(text) AS n, substr(text, 1, 1600) AS x FROM documents WHERE length(text) > 0 UNION ALL
+SELECT doc_id, text, b, n, substr(text, b + 1, 1600) FROM (SELECT doc_id, text, n, CASE WHEN z - 160 > a THEN z - 160 ELSE z END AS b FROM (
+SELECT *, CASE WHEN a + 1600 >= n THEN n WHEN strpos(reverse(x), chr(10)) > 0 AND strlen(substr(x, 1, 1600 - strpos(reverse(x), chr(10)))) > strlen(x) // 2 THEN a + 1601 - strpos(reverse(x), chr(10)) ELSE a + 1600 END AS z FROM w) WHERE z < n)),
+e AS (SELECT *, CASE WHEN a + 1600 >= n THEN n WHEN strpos(reverse(x), chr(10)) > 0 AND strlen(substr(x, 1, 1600 - strpos(reverse(x), chr(10)))) > strlen(x) // 2 THEN a + 1601 - strpos(reverse(x), chr(10)) ELSE a + 1600 END AS z FROM w)
+SELECT doc_id, strlen(substr(text, 1, a))::BIGINT AS start, strlen(substr(text, 1, z))::BIGINT AS stop FROM e WHERE strlen(regexp_replace(regexp_replace(substr(text, a + 1, z - a), '^\s+', ''), '\s+$', '')) >= 60"""
+
 ORACLES = {
     "text_normalize": f"WITH {_RAW}, n AS (SELECT doc_id, {_NORM} AS t FROM raw) SELECT doc_id, sha256(t) AS normalized_sha256, strlen(t)::BIGINT AS n_bytes FROM n",
     "byte_map": f"WITH {_RAW} SELECT doc_id, strlen(text)::BIGINT AS raw_bytes, strlen({_NORM})::BIGINT AS n_bytes, 0::BIGINT AS n_gaps FROM raw",
@@ -261,11 +273,8 @@ FROM m LEFT JOIN v q ON q.doc_id = m.doc_id AND q.k = m.pk""",
     "embedding_input": """WITH i AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN 'Konteks: ' || upper(role) || ' > ' || conv_id || chr(10) || 'Teks: ' || text ELSE text END AS t FROM conversations)
 SELECT conv_id, turn, sha256(t) AS input_sha256, sha256(length(t) || ':' || t || '|model-v1') AS reuse_key FROM i""",
     "roman_check": "SELECT p_partkey, p_partkey % 3 <> 0 AS ok FROM part",
-    "preview_windows": r"""WITH RECURSIVE w AS (SELECT doc_id, text, 0::BIGINT AS a, length(text) AS n, substr(text, 1, 1600) AS x FROM documents WHERE length(text) > 0 UNION ALL
-SELECT doc_id, text, b, n, substr(text, b + 1, 1600) FROM (SELECT doc_id, text, n, CASE WHEN z - 160 > a THEN z - 160 ELSE z END AS b FROM (
-SELECT *, CASE WHEN a + 1600 >= n THEN n WHEN strpos(reverse(x), chr(10)) > 0 AND strlen(substr(x, 1, 1600 - strpos(reverse(x), chr(10)))) > strlen(x) // 2 THEN a + 1601 - strpos(reverse(x), chr(10)) ELSE a + 1600 END AS z FROM w) WHERE z < n)),
-e AS (SELECT *, CASE WHEN a + 1600 >= n THEN n WHEN strpos(reverse(x), chr(10)) > 0 AND strlen(substr(x, 1, 1600 - strpos(reverse(x), chr(10)))) > strlen(x) // 2 THEN a + 1601 - strpos(reverse(x), chr(10)) ELSE a + 1600 END AS z FROM w)
-SELECT doc_id, strlen(substr(text, 1, a))::BIGINT AS start, strlen(substr(text, 1, z))::BIGINT AS stop FROM e WHERE strlen(regexp_replace(regexp_replace(substr(text, a + 1, z - a), '^\s+', ''), '\s+$', '')) >= 60""",
+    "preview_windows": _WINDOWS,
+    "windows_lateral": _WINDOWS,
     "unit_projection": r"SELECT conv_id || '-' || turn AS doc_id, (2 + strlen(regexp_extract(text, '^\s*')))::BIGINT AS start, (2 + strlen(regexp_replace(text, '\s+$', '')))::BIGINT AS stop FROM conversations WHERE regexp_matches(text, '\S')",
     "duplicate_ordinal": f"WITH x AS (SELECT o_custkey, o_orderkey, o_orderkey AS k FROM orders), y AS (SELECT o_custkey, o_orderkey, {_KIND} AS kind FROM x) SELECT *, (row_number() OVER (PARTITION BY o_custkey, kind ORDER BY o_orderkey) - 1)::INTEGER AS ordinal FROM y WHERE kind IS NOT NULL",
     "phrase_priority_sample": """WITH d AS (SELECT doc_id, CASE WHEN contains(lower(text), 'the and') THEN 0 WHEN contains(lower(text), 'ing') THEN 1 WHEN contains(lower(text), 'en la') THEN 2 END AS priority, sha256(text) AS sha FROM documents WHERE length(trim(text)) >= 80),
