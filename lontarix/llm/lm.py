@@ -353,7 +353,7 @@ def position_matrices(docs: DataFrame, model: Model, batch_tokens: int = 1 << 14
     shape = model.M.shape
     fits = max(1, round(model.n / FIT_TOKENS))
     dealt = docs.select("text", F.xxhash64(*docs.columns).alias("h")).withColumn("fit", F.pmod("h", F.lit(fits)).cast("int"))
-    dealt = dealt.repartition(fits, "fit").sortWithinPartitions("fit", "h").select("text", "fit")
+    dealt = dealt.repartitionById(fits, F.col("fit")).sortWithinPartitions("fit", "h").select("text", "fit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shipped.value
