@@ -286,18 +286,21 @@ def test_estimate_checks_its_evidence(spark):
         metrics.estimate("p42", samples="value")
     with pytest.raises(ValueError, match="computed from"):
         metrics.estimate("ratio", numerator=F.lit(1))
-    rows = spark.createDataFrame([(x, g) for g in "ab" for x in (3.0, 1.0, 2.0, 10.0)], "value double, g string")
-    got = rows.groupBy("g").agg(metrics.estimate("p50", samples="value").alias("p50"), metrics.estimate("p95", samples="value").alias("p95"), metrics.estimate("macro_mean", group_scores="value").alias("mean")).collect()
-    assert {tuple(r) for r in got} == {("a", 2.0, 10.0, 4.0), ("b", 2.0, 10.0, 4.0)}
+    rows = spark.createDataFrame([(x, x / 10, g) for g in "ab" for x in (3.0, 1.0, 2.0, 10.0)], "value double, score double, g string")
+    got = rows.groupBy("g").agg(metrics.estimate("p50", samples="value").alias("p50"), metrics.estimate("p95", samples="value").alias("p95"), metrics.estimate("macro_mean", group_scores="score").alias("mean")).collect()
+    assert {tuple(r) for r in got} == {("a", 2.0, 10.0, 0.4), ("b", 2.0, 10.0, 0.4)}
+    with pytest.raises(Exception, match="outside"):  # scores beyond 1 are no scores
+        rows.agg(metrics.estimate("macro_mean", group_scores="value")).collect()
 
 
 def test_listing_walk_ends(spark):
     from lontarix.operators import admission
 
-    following = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 8)], "page long, next long")
-    seeds = spark.createDataFrame([(1,), (7,)], "page long")
-    assert {tuple(r) for r in admission.walk_listing(seeds, following, 10).collect()} == {(1, 1, 0), (1, 2, 1), (1, 3, 2), (7, 7, 0), (7, 8, 1)}
-    assert admission.walk_listing(seeds, following, 2).count() == 4
+    pages = spark.createDataFrame([("1", ["2"], []), ("2", ["3"], ["d"]), ("3", ["1"], ["d"]), ("7", ["8"], None)], "url string, next array<string>, details array<string>")
+    seeds = spark.createDataFrame([("1",), ("7",)], "url string")
+    walked = {tuple(r) for r in admission.walk_listings(seeds, pages, 10, 9)[0].collect()}
+    assert walked == {("1", 1, "1", True, 0), ("1", 2, "2", True, 1), ("1", 3, "3", True, 0), ("7", 1, "7", True, 0), ("7", 2, "8", False, 0)}
+    assert admission.walk_listings(seeds, pages, 2, 9)[0].count() == 4
 
 
 def test_analyzer_fixture(spark):
