@@ -130,3 +130,19 @@ def test_late_and_unfinished_requests(spark, tmp_path):
     assert {r.request_id: r.latency_ms for r in telemetry.outcomes(*static, 600, "2 days").collect()} == want
     rows = windows.all_available(telemetry.outcomes(*streamed, 600, "2 days"), "requests", "append").collect()
     assert sorted((r.request_id, r.latency_ms) for r in rows) == sorted(want.items())
+
+
+def test_a_table_in_a_folder_streams_as_one_in_a_file_does(spark, tmp_path):
+    from conftest import SF
+    from oracle import assert_same, connect
+
+    from lontarix import queries
+
+    clicks = spark.read.parquet(f"{SF}/clicks.parquet")
+    clicks.sort("ts").coalesce(1).write.option("maxRecordsPerFile", clicks.count() // 3).parquet(str(tmp_path / "clicks.parquet"))
+    assert len(list((tmp_path / "clicks.parquet").glob("*.parquet"))) > 2
+    got = queries.queries()["late_requests"](spark, str(tmp_path))
+    assert_same(got, connect(SF), queries.oracles()["late_requests"])
+    clicks.limit(0).write.parquet(str(tmp_path / "none" / "clicks.parquet"))
+    none = queries.queries()["late_requests"](spark, str(tmp_path / "none"))
+    assert none.columns == got.columns and none.count() == 0
