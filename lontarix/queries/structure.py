@@ -236,6 +236,8 @@ _KIND = "CASE k % 7 WHEN 0 THEN 'CHAPTER' WHEN 1 THEN 'ARTICLE' WHEN 2 THEN 'ITE
 _EXTRA = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in EXTRAS) + "][page_id % 6 + 1]"
 _DECODE = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&eacute;", "é"), ("&#233;", "é"), ("&#xE9;", "é"), ("&hellip;", "…"), ("&copy;", "©"), ("&middot;", "·"), ("&rsaquo;", "›"), ("&amp;", "&"))
 _TEXT = r"regexp_replace(regexp_replace(regexp_replace({}, '<(script|style)\b.*?</(?:script|style)>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs')"
+#: A reference may lack its semicolon, as one does that an element's end cuts off, where its name is one of those that HTML knows without.
+_TEXT = rf"regexp_replace(regexp_replace({_TEXT}, '&(amp|quot|nbsp|eacute|middot);?', '&\1;', 'g'), '&(lt|gt|copy|#39|#233)\b;?', '&\1;', 'g')"
 for _a, _b in _DECODE:
     _TEXT = f"replace({_TEXT}, '{_a}', '{_b}')"
 _TEXT = rf"trim(regexp_replace({_TEXT}, '\s+', ' ', 'g'))"

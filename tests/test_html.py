@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import time
 
+import duckdb
 import pytest
+from oracle import assert_same
 
+from lontarix import queries
 from lontarix.functions import html
 
 BASE = "https://h.id/a/b/c.html"
@@ -118,3 +121,17 @@ def test_a_walk_goes_on_where_it_ended(spark, tmp_path):
     assert sorted(map(tuple, admission.walk_listings(seeds, pages, 9, 9, state)[0].collect())) == whole and len(whole) == 7
     with pytest.raises(ValueError):
         admission.walk_listings(seeds, pages, 0, 9)
+
+
+@pytest.mark.parametrize("name", ["html_parse", "html_text", "html_title"])
+def test_references_without_semicolon_in_both_engines(spark, tmp_path, name):
+    rows = [(1, "a &amp;&amp"), (2, "b&quot</b> &ampc&am"), (3, "&lt&gt; &copy, &copyx &quo"), (4, "&amp;lt &amp;amp"), (5, "&#39 &middot&eacute"), (6, "&a")]
+    link = '<a href="/x">x</a>'
+    spark.createDataFrame([(i, "http://h.example/d/p", f"<h1>{h}</h1><p>{h}</p>{link}") for i, h in rows if i != 3] + [(3, "http://h.example/d/p", f"<h1>&lt&gt; &copy, &quo</h1>{link}")], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "all"))
+    next((tmp_path / "all").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    got = queries.queries()[name](spark, str(tmp_path))
+    assert_same(got, con, queries.oracles()[name])
+    if name == "html_title":
+        assert {r["page_id"]: r["title"] for r in got.collect()} == {1: "a &&", 2: 'b" &c&am', 3: "<> \u00a9, &quo", 4: "&lt &amp", 5: "' \u00b7\u00e9", 6: "&a"}
