@@ -77,7 +77,12 @@ def analyzed(c: Column | str) -> Column:
 
     A term and what ends it take two bytes, so shorter texts need no count.
     """
-    text = composed(c)
+    return analyzed_composed(composed(c))
+
+
+def analyzed_composed(c: Column | str) -> Column:
+    """``analyzed`` of a text in NFC."""
+    text = col(c)
     found, size = terms(text), F.octet_length(text)
     bad = (size > MAX_TEXT_BYTES) | ((size >= 2 * MAX_TERMS - 1) & (F.size(found) > MAX_TERMS))
     return F.when(bad, F.raise_error(F.lit("analyzer limit exceeded")).cast("array<string>")).otherwise(found)

@@ -44,9 +44,8 @@ def branches(corpus: Corpus, request: Request) -> dict[str, DataFrame]:
         found = dense.cosine_top_k(vectors, request.questions, request.per_branch, "key", "embedding", "question_id")
         out["dense"] = found.select("question_id", "key", "rank")
     if "bm25" in wanted:
-        scores = lx.bm25(lx.index(seen, "key"), request.questions, "question_id", distinct=True)
-        scores = scores.select("question_id", "key", rounded(F.col("score")).alias("score"))
-        out["bm25"] = lx.top_k(scores, request.per_branch, "question_id", [F.desc("score"), F.asc("key")]).select("question_id", "key", "rank")
+        found = lx.search(lx.index(seen, "key"), request.questions, request.per_branch, "question_id", distinct=True)
+        out["bm25"] = found.select("question_id", "key", "rank")
     if "graph" in wanted and corpus.graph is not None:
         out["graph"] = corpus.graph
     return fusion.branches_of(request.profile, out)

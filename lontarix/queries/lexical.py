@@ -52,21 +52,15 @@ def lex_oov(s, d):
     return lx.out_of_vocabulary(table(s, d, "conversations").select("conv_id", "text"), _index(s, d)[2], "conv_id")
 
 
-def bm25_scores(s: SparkSession, d: str, distinct: bool = False, without: tuple[str, ...] = ()) -> DataFrame:
-    scores = lx.bm25(lx.index(table(s, d, "documents").select("doc_id", "text")), table(s, d, "benchmark"), distinct=distinct, without=without)
-    return scores.select("item_id", "doc_id", rounded(F.col("score")).alias("score"))
-
-
 def bm25_topk(s, d):
-    return lx.top_k(bm25_scores(s, d), 10, "item_id", [F.desc("score"), F.asc("doc_id")])
+    return lx.search(lx.index(table(s, d, "documents").select("doc_id", "text")), table(s, d, "benchmark"), 10)
 
 
 def preview_search_topk(s, d):
-    """Distinct query terms without stop words; one hit a distinct text; 12 at most."""
-    scores = bm25_scores(s, d, True, tuple(lx.PREVIEW_STOPWORDS))
-    pages = table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("page"))
-    best = scores.join(pages, "doc_id").withColumn("nth", F.expr("row_number() OVER (PARTITION BY item_id, page ORDER BY score DESC, doc_id)")).where("nth = 1")
-    return lx.top_k(best.drop("nth", "page"), 12, "item_id", [F.desc("score"), F.asc("doc_id")])
+    """Distinct query terms without stop words; one hit a distinct text, whose documents all score alike: that of the smallest id; 12 at most."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    first = docs.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id"))
+    return lx.search(lx.index(docs), table(s, d, "benchmark"), 12, distinct=True, without=tuple(lx.PREVIEW_STOPWORDS), among=first)
 
 
 def _dictionary(s: SparkSession, d: str) -> DataFrame:

@@ -51,9 +51,7 @@ def _branches(s: SparkSession, d: str) -> dict[str, DataFrame]:
     vec = dense_topk(s, d).select(F.col("query_id").alias("question_id"), F.col("vec_id").alias("key"), "rank")
     docs = table(s, d, "documents").select("doc_id", "text")
     asked = _questions(s, d).select("query_id").join(docs.withColumnRenamed("doc_id", "query_id"), "query_id")
-    scores = lx.bm25(lx.index(docs), asked, "query_id", distinct=True)
-    scores = scores.select("query_id", "doc_id", rounded(F.col("score")).alias("score"))
-    top = lx.top_k(scores, 20, "query_id", [F.desc("score"), F.asc("doc_id")])
+    top = lx.search(lx.index(docs), asked, 20, "query_id", distinct=True)
     return {"dense": vec, "bm25": top.select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("key"), "rank")}
 
 

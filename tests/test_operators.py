@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -395,3 +396,28 @@ def test_null_groups_and_empty_lines(spark):
     docs = spark.createDataFrame([(1, "é\n\nab"), (2, None), (3, ""), (4, "x\n")], "doc_id long, text string")
     lines = sorted((r.doc_id, r.line_no, r.start, r.stop, r.line) for r in evidence.lines_of(docs).collect())
     assert lines == [(1, 0, 0, 2, "é"), (1, 1, 3, 3, ""), (1, 2, 4, 6, "ab"), (2, 0, 0, 0, ""), (3, 0, 0, 0, ""), (4, 0, 0, 1, "x"), (4, 1, 2, 2, "")]
+
+
+def test_search_in_blocks_shuffles_no_scores_and_finds_the_best(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)] + ["die"] * 60
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(400)] + [(400, None), (401, "w1 w1"), (402, "w1 w1")], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))) for i in range(30)] + [(None, "w1 w2 w2"), (98, "unseen"), (99, "")], "item_id long, text string")
+    post, stats = lexical.postings(docs), lexical.corpus_stats(lexical.document_lengths(docs))
+    weights = lexical.document_weights(post, lexical.document_lengths(docs), stats)
+    wants = lexical.sparse_scores(lexical.query_weights(asked, lexical.document_frequency(post), stats), weights)
+    wants = lexical.top_k(wants.withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6), 7, "item_id", [F.desc("score"), F.asc("doc_id")])
+    want = sorted(map(str, wants.select("item_id", "doc_id", "score", "rank").collect()))
+    sizes = lexical.DOC_BLOCK, lexical.QUERY_BLOCK, lexical.DENSE_TERMS
+    try:
+        for lexical.DOC_BLOCK, lexical.QUERY_BLOCK, lexical.DENSE_TERMS in (sizes, (100, 8, 20), (50, 3, 1)):
+            found = lexical.search(lexical.index(docs), asked, 7)
+            assert sorted(map(str, found.select("item_id", "doc_id", "score", "rank").collect())) == want
+    finally:
+        lexical.DOC_BLOCK, lexical.QUERY_BLOCK, lexical.DENSE_TERMS = sizes
+
+
+def test_postings_are_found_without_a_shuffle_of_their_own(spark):
+    docs = spark.createDataFrame([(i, "a b a " + "c" * i) for i in range(9)], "doc_id long, text string")
+    plan = lexical.measured_postings(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("regexp_extract_all") <= 2
