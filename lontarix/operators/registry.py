@@ -103,6 +103,17 @@ def propose(mentions: DataFrame, candidates: DataFrame, mention: str = "mention_
     return out.select(mention, F.when(link, "LINK").otherwise("DEFER").alias("proposal"), F.when(link, F.col("one")).alias("canonical_id"))
 
 
+def propose_blocked(mentions: DataFrame, aliases: DataFrame, text_col: str, keys: list[str], mention: str = "mention_id") -> DataFrame:
+    """``propose`` over the candidates of ``block``, without its pairs: a block's smallest and largest id tell whether it has one, and are
+    looked up by its mentions."""
+    found = aliases.groupBy(*keys, "surface").agg(F.min("canonical_id").alias("one"), F.max("canonical_id").alias("last"))
+    left = mentions.withColumn("surface", surface(text_col))
+    hits = left.join(found, [*keys, "surface"]).groupBy(mention).agg(F.min("one").alias("one"), F.max("last").alias("last"))
+    out = mentions.select(mention).join(hits, mention, "left")
+    link = F.col("one") == F.col("last")
+    return out.select(mention, F.when(link, "LINK").otherwise("DEFER").alias("proposal"), F.when(link, F.col("one")).alias("canonical_id"))
+
+
 def ngrams(tokens: Column, most: int) -> Column:
     """All runs of 1 .. ``most`` neighbouring tokens as strings, distinct."""
     runs = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>")))

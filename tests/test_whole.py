@@ -67,3 +67,15 @@ def test_page_end_markers_and_normalization_take_one_pass():
     nodes = structure.parse_tree(text)
     assert time.perf_counter() - start < 10
     assert [n["label"] for n in nodes[-2:]] == ["b.", "c."] and len(nodes) == 2 + 16_000 + 1
+
+
+def test_proposals_hold_no_pairs_of_a_block(spark, tmp_path):
+    """20,000 parts of one name and one that stands alone: the pairs of the block would be 4 * 10^8."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_001).select(F.col("id").alias("p_partkey"), F.when(F.col("id") < 20_000, "nut").otherwise("bolt").alias("p_name"), F.lit("b").alias("p_brand"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    start = spark.sparkContext._jvm.System.nanoTime()
+    got = queries.queries()["link_proposals"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.where("proposal = 'LINK'").collect()} == {(20_000, "LINK", 20_000)} and got.count() == 20_001
+    assert spark.sparkContext._jvm.System.nanoTime() - start < 20e9
