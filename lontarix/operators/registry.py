@@ -67,8 +67,12 @@ def claim_identities(known: DataFrame, wanted: DataFrame, natural: list[str]) ->
 
 
 def block(mentions: DataFrame, aliases: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
-    """Mentions joined with ids of equal surface key within the same type and scope."""
-    left = mentions.withColumn("surface", surface(text_col))
+    """Mentions joined with ids of equal surface key within the same type and scope.
+
+    Mentions are dealt out first: the pairs of a block grow with the square of its names, so few splits of mentions would make them all.
+    """
+    parts = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = mentions.repartition(parts).withColumn("surface", surface(text_col))
     return left.join(aliases.select(*keys, "surface", "canonical_id"), [*keys, "surface"])
 
 

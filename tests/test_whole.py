@@ -79,3 +79,13 @@ def test_proposals_hold_no_pairs_of_a_block(spark, tmp_path):
     got = queries.queries()["link_proposals"](spark, str(tmp_path))
     assert {tuple(r) for r in got.where("proposal = 'LINK'").collect()} == {(20_000, "LINK", 20_000)} and got.count() == 20_001
     assert spark.sparkContext._jvm.System.nanoTime() - start < 20e9
+
+
+def test_pairs_of_a_block_are_dealt_over_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(400).select(F.col("id").alias("p_partkey"), F.lit("nut").alias("p_name"), F.lit("b").alias("p_brand"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = queries.queries()["blocking_lookup"](spark, str(tmp_path))
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 160_000 and max(sizes) < 80_000
