@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import analyzed, analyzed_composed, checked_term, checked_terms, composed
+from ..functions.text import analyzed_composed, checked_term, checked_terms, composed
 from ..sources.shared import cut
 
 #: BM25 defaults, and the words the preview search leaves out of a question.
@@ -21,9 +21,10 @@ PREVIEW_STOPWORDS = (
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf). One shuffle by (id, term), summed up within tasks first."""
-    found = docs.select(F.col(id_col), F.explode(analyzed(text_col)).alias("term"))
-    return found.select(id_col, checked_term("term").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf). Texts are shuffled by id, no posting is; see ``measured_postings``."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = docs.select(id_col, composed(text_col).alias("text")).repartition(parts, id_col).select(id_col, F.explode_outer(analyzed_composed("text")).alias("term"))
+    return found.where("term IS NOT NULL").select(id_col, checked_term("term").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def document_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,7 +49,7 @@ def document_weights(post: DataFrame, lengths: DataFrame, stats: DataFrame, id_c
     """(id, term, weight); ``stats`` is one row."""
     avg = F.col("total_tokens") / F.col("n")
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / avg)
-    joined = post.join(lengths, id_col).crossJoin(F.broadcast(stats))
+    joined = post.join(lengths.hint("shuffle_hash"), id_col).crossJoin(F.broadcast(stats))
     return joined.select(id_col, "term", (F.col("tf") * (k1 + 1) / norm).alias("weight"))
 
 

@@ -421,3 +421,10 @@ def test_postings_are_found_without_a_shuffle_of_their_own(spark):
     docs = spark.createDataFrame([(i, "a b a " + "c" * i) for i in range(9)], "doc_id long, text string")
     plan = lexical.measured_postings(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("regexp_extract_all") <= 2
+
+
+def test_document_weights_shuffle_and_sort_no_postings(spark):
+    docs = spark.createDataFrame([(i, "a b a " + "c" * i) for i in range(9)], "doc_id long, text string")
+    lengths = lexical.document_lengths(docs)
+    plan = lexical.document_weights(lexical.postings(docs), lexical.cut(lengths, "lengths"), lexical.cut(lexical.corpus_stats(lengths), "stats"))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 2
