@@ -89,3 +89,17 @@ def test_pairs_of_a_block_are_dealt_over_tasks(spark, tmp_path):
     got = queries.queries()["blocking_lookup"](spark, str(tmp_path))
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 160_000 and max(sizes) < 80_000
+
+
+def test_assertions_of_one_predicate_stay_dealt_over_tasks(spark):
+    """Every row has an issue, so each task that held assertions gives rows."""
+    from pyspark.sql import functions as F
+
+    from lontarix.operators import graph
+    from lontarix.queries.graph import ONTOLOGY
+    from lontarix.sources import ontology
+
+    known = ontology.parse(ONTOLOGY)
+    rows = spark.range(0, 4000, 1, 4).selectExpr("id AS assertion_id", "'SHIPPED' AS predicate", "id AS subject", "-id AS object", "'nobody' AS subject_type", "'part' AS object_type", "'explicit' AS origin", "'items-v2' AS ontology_version", "CAST(array() AS array<struct<id:string,kind:string>>) AS qualifiers")
+    got = graph.admit(rows, known.rules(spark), known.version).groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(r["count"] for r in got) == [1000] * 4
