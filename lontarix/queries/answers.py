@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.questions import trace
-from ..functions.text import analyzed, byte_length, normalize_text
+from ..functions.text import analyzed, byte_length
 from ..operators import answers, structure, temporal
-from ..operators.evidence import lines_of
 from ..session import table
 from .structure import _KIND, _LEVEL, _LINE, _NORM, _RAW, _documents, _raw
 
@@ -51,17 +51,12 @@ def reference_closure(s, d):
 
 def raw_line_cover(s, d):
     """Each line of the normalized texts and the raw bytes that it comes from."""
-    raw = _raw(s, d)
-    lines = raw.select("doc_id", normalize_text("text").alias("text"))
-    ranges = lines_of(lines).where("start < stop").select("doc_id", "start", "stop")
-    return structure.raw_cover(structure.byte_maps(raw), ranges)
+    return structure.raw_cover_of(_raw(s, d), structure.line_ranges)
 
 
 def normalized_text_cover(s, d):
     """All bytes of each raw text but its first: what they became, whole transformations included."""
-    raw = _raw(s, d)
-    ranges = raw.select("doc_id", F.lit(1).cast("long").alias("start"), byte_length("text").alias("stop"))
-    return structure.normalized_cover(structure.byte_maps(raw), ranges).select("doc_id", "norm_start", "norm_stop")
+    return structure.normalized_cover_of(_raw(s, d), lambda t: (np.array([1]), np.array([len(t.encode())]))).select("doc_id", "norm_start", "norm_stop")
 
 
 def owned_text(s, d):

@@ -36,9 +36,9 @@ def text_normalize(s, d):
 
 def byte_map(s, d):
     """The map tiles both texts: its spans' bytes add up to theirs and neighbours touch."""
-    m = structure.byte_maps(_raw(s, d))
-    gap = F.expr("raw_start <> coalesce(lag(raw_stop) OVER (PARTITION BY doc_id ORDER BY raw_start, raw_stop), 0)")
-    return m.withColumn("gap", gap.cast("int")).groupBy("doc_id").agg(F.max("raw_stop").alias("raw_bytes"), F.max("norm_stop").alias("n_bytes"), F.sum("gap").alias("n_gaps"))
+    m = structure.whole_maps(_raw(s, d))
+    gaps = F.filter("raw_start", lambda x, i: x != F.coalesce(F.get("raw_stop", i - 1), F.lit(0)))
+    return m.select("doc_id", F.array_max("raw_stop").alias("raw_bytes"), F.array_max("norm_stop").alias("n_bytes"), F.size(gaps).cast("long").alias("n_gaps"))
 
 
 def _line(n: F.Column) -> F.Column:

@@ -103,3 +103,26 @@ def test_assertions_of_one_predicate_stay_dealt_over_tasks(spark):
     rows = spark.range(0, 4000, 1, 4).selectExpr("id AS assertion_id", "'SHIPPED' AS predicate", "id AS subject", "-id AS object", "'nobody' AS subject_type", "'part' AS object_type", "'explicit' AS origin", "'items-v2' AS ontology_version", "CAST(array() AS array<struct<id:string,kind:string>>) AS qualifiers")
     got = graph.admit(rows, known.rules(spark), known.version).groupBy(F.spark_partition_id()).count().collect()
     assert sorted(r["count"] for r in got) == [1000] * 4
+
+
+def test_covers_of_a_text_are_those_of_its_tables(spark):
+    """Ranges answered in the pass that makes the map: the same as by the join of tables, without a shuffle."""
+    import random
+
+    import numpy as np
+
+    from lontarix.operators import structure
+
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choice(["a", "é", "\r\n", "\n", "  ", "\t", "\xad", "ﬃ", "ﬁ", " ", "字"]) for _ in range(rng.randrange(60)))) for i in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+
+    def some(text):
+        return np.array([0, 1, 2, 5, 9]), np.array([1, 3, 2, 90, 12])
+
+    maps, ranges = structure.byte_maps(docs), spark.createDataFrame([(i, a, z) for i, t in texts for a, z in zip(*(x.tolist() for x in some(t)), strict=True)], "doc_id long, start long, stop long")
+    for one, join in ((structure.raw_cover_of(docs, some), structure.raw_cover(maps, ranges)), (structure.normalized_cover_of(docs, some), structure.normalized_cover(maps, ranges))):
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, join.select(one.columns).collect()))
+    for name in ("raw_line_cover", "normalized_text_cover", "byte_map"):
+        plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan
