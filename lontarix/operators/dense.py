@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from ..sources.shared import cut
 
 #: Vectors count as normalised within this distance of length 1.
 NORM_TOLERANCE = 0.01
+#: Scores that a task holds at once.
+TILE = 1 << 21
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,6 +36,23 @@ def max_difference(a: Column, b: Column) -> Column:
     return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
 
 
+def _best(ids: np.ndarray, y: np.ndarray, q: np.ndarray, x: np.ndarray, k: int, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, id, score) of each query's k best rows, some queries at a time. ``y`` and ``x`` are the rows' and queries' vectors of length 1."""
+    step = max(1, TILE // len(y))
+    for a in range(0, len(x), step):
+        s = x[a : a + step] @ y.T
+        s *= 10**digits
+        s += 0.5
+        np.floor(s, out=s)
+        s /= 10**digits
+        kth = np.partition(s, -k, axis=1)[:, -k, None] if s.shape[1] > k else np.full((len(s), 1), -np.inf)
+        row, at = np.nonzero(s >= kth)
+        order = np.lexsort((ids[at], -s[row, at], row))
+        row, at = row[order], at[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        yield q[a + row[first]], ids[at[first]], s[row[first], at[first]]
+
+
 def cosine_top_k(
     rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", digits: int = 6, row_block: int = 65536, query_block: int = 4096
 ) -> DataFrame:
@@ -55,30 +77,27 @@ def cosine_top_k(
         group = F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int")
         return df.select("*", group.alias(mine), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"q": [], "id": [], "score": []}).astype({"q": "int64", "id": "int64", "score": "float64"})
-        if not len(left) or not len(right):
-            return none
-        sizes, wanted = (p["v"].map(len).to_numpy() for p in (left, right))
-        return pd.concat([none, *(best(left[sizes == n], right[wanted == n]) for n in np.intersect1d(sizes, wanted))])
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, y = (np.stack(p["v"].to_numpy()).astype(np.float64) for p in (right, left))
-        # By the largest component first: squares of very large or very small ones leave the doubles.
-        x, y = (m / np.abs(m).max(1, keepdims=True) for m in (x, y))
-        x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
-        ids, q, out = left["id"].to_numpy(), right["q"].to_numpy(), []
-        for a in range(0, len(x), 256):
-            s = np.floor(x[a : a + 256] @ y.T * 10**digits + 0.5) / 10**digits
-            for i in range(len(s)):
-                kth = np.partition(s[i], -k)[-k] if s.shape[1] > k else -np.inf
-                at = np.flatnonzero(s[i] >= kth)
-                at = at[np.lexsort((ids[at], -s[i, at]))[:k]]
-                out.append(pd.DataFrame({"q": q[a + i], "id": ids[at], "score": s[i, at]}))
-        return pd.concat(out)
+    def vectors(part: pa.Table, key: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of components, ids, vectors of length 1), apart by that number."""
+        v, ids = part["v"].combine_chunks(), part[key].to_numpy()
+        sizes = pc.list_value_length(v).to_numpy()
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            m = pc.list_flatten(v.take(pa.array(own))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+            # By the largest component first: squares of very large or very small ones leave the doubles.
+            m /= np.abs(m).max(1, keepdims=True)
+            m /= np.linalg.norm(m, axis=1, keepdims=True)
+            yield n, ids[own], m
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if left.num_rows and right.num_rows:
+            asked = {n: (q, x) for n, q, x in vectors(right, "q")}
+            out += [found for n, ids, y in vectors(left, "id") if n in asked for found in _best(ids, y, *asked[n], k, digits)]
+        return pa.table(dict(zip(("q", "id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     left, right = spread(own, "rg", row_groups, "qg", query_groups), spread(asked, "qg", query_groups, "rg", row_groups)
-    near = left.groupBy("rg", "qg").cogroup(right.groupBy("rg", "qg")).applyInPandas(search, "q long, id long, score double")
+    near = left.groupBy("rg", "qg").cogroup(right.groupBy("rg", "qg")).applyInArrow(search, "q long, id long, score double")
     ranked = near.withColumn("rank", F.expr("row_number() OVER (PARTITION BY q ORDER BY score DESC, id)")).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_id), F.col("id").alias(id_col), "score", "rank")
 
