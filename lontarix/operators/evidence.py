@@ -13,16 +13,28 @@ from pyspark.sql import functions as F
 from ..functions.text import trusted_url
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Bytes of text whose lines are made at once.
+LINE_BYTES = 4 << 20
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of ids and texts in slices of some ``LINE_BYTES`` of text, or of one text that is longer."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    group = np.cumsum(size) // LINE_BYTES
+    bounds = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(size)]
+    for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield batch.slice(a, z - a)
+
+
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """(id, line_no, start, stop, line): lines with their UTF-8 byte ranges, line ends left out; a null text is one empty line.
 
-    No shuffle, and work in proportion to the text: an Arrow batch is split at once and sizes are summed over all its lines.
+    No shuffle, and work in proportion to the text: some megabytes of an Arrow batch are split at once and sizes are summed over all
+    their lines. Without ``texts`` the lines themselves are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (piece for whole in batches if whole.num_rows for piece in _pieces(whole)):
             parts = pc.split_pattern(pc.fill_null(batch.column(1).cast(pa.large_string()), ""), "\n")
             rows, line = pc.list_parent_indices(parts).to_numpy(), pc.list_flatten(parts)
             size = pc.binary_length(line).to_numpy().astype(np.int64)
@@ -30,11 +42,11 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             begin = np.cumsum(size + 1) - size - 1
             start = begin - begin[first][rows]
             number = np.arange(len(rows)) - first[rows]
-            columns = [batch.column(0).take(pa.array(rows)), pa.array(number, pa.int32()), pa.array(start), pa.array(start + size), line.cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "line_no", "start", "stop", "line"])
+            columns = [batch.column(0).take(pa.array(rows)), pa.array(number, pa.int32()), pa.array(start), pa.array(start + size)] + ([line.cast(pa.string())] if texts else [])
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "line_no", "start", "stop", *(["line"] if texts else [])])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, line_no int, start long, stop long, line string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, line_no int, start long, stop long" + (", line string" if texts else ""))
 
 
 def _cells(df: DataFrame, start: str, stop: str, width: int) -> DataFrame:

@@ -11,7 +11,7 @@ from ..session import table
 
 
 def line_spans(s, d):
-    return ev.lines_of(table(s, d, "documents")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "start", "stop")
+    return ev.lines_of(table(s, d, "documents"), texts=False).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "start", "stop")
 
 
 def _windows(s: SparkSession, d: str) -> DataFrame:
@@ -20,7 +20,7 @@ def _windows(s: SparkSession, d: str) -> DataFrame:
 
 
 def _spans(s: SparkSession, d: str) -> DataFrame:
-    return ev.lines_of(table(s, d, "documents")).where("stop > start").select("doc_id", F.col("start").alias("b_start"), F.col("stop").alias("b_stop"))
+    return ev.lines_of(table(s, d, "documents"), texts=False).where("stop > start").select("doc_id", F.col("start").alias("b_start"), F.col("stop").alias("b_stop"))
 
 
 def evidence_overlap(s, d):
@@ -36,7 +36,7 @@ def evidence_contained(s, d):
 def span_coverage(s, d):
     """How far the lines of at least 40 bytes cover each document from its start."""
     docs = table(s, d, "documents").select("doc_id", F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("stop"))
-    parts = ev.lines_of(table(s, d, "documents")).where("stop - start >= 40").select("doc_id", F.col("start").alias("p_start"), (F.col("stop") + 1).alias("p_stop"))
+    parts = ev.lines_of(table(s, d, "documents"), texts=False).where("stop - start >= 40").select("doc_id", F.col("start").alias("p_start"), (F.col("stop") + 1).alias("p_stop"))
     return ev.coverage(docs, parts, "doc_id")
 
 

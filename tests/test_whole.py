@@ -138,3 +138,32 @@ def test_fitted_chunks_look_at_each_character_a_few_times():
     got = structure.fitted_chunks(text, 16, lambda t: -(-len("".join(t.split())) // 4), overlap=0)
     assert time.perf_counter() - start < 4
     assert got[-1][1] == len(text) and all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_scores_of_a_block_are_held_a_tile_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+
+    from lontarix.operators import dense
+
+    rng = np.random.default_rng(1)
+    y, x, ids, q = rng.random((65_536, 4)), rng.random((300, 4)), rng.permutation(65_536), np.arange(300)
+    tracemalloc.start()
+    parts = list(dense._best(ids, y, q, x, 7, 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+    s = np.floor(x[299] @ y.T * 1000 + 0.5) / 1000
+    want = np.lexsort((ids, -s))[:7]
+    assert parts[-1][1][-7:].tolist() == ids[want].tolist() and sum(len(p[0]) for p in parts) == 300 * 7
+
+
+def test_lines_are_made_a_few_megabytes_at_a_time():
+    import pyarrow as pa
+
+    from lontarix.operators import evidence
+
+    texts = ["a\n" * 1_500_000] * 5 + [None, ""]
+    pieces = list(evidence._pieces(pa.record_batch([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])))
+    assert [i for p in pieces for i in p.column(0).to_pylist()] == list(range(7)) and max(p.num_rows for p in pieces) < 5
