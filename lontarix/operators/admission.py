@@ -157,14 +157,16 @@ def walk_listings(seeds: DataFrame, pages: DataFrame, max_pages: int, max_docume
 def candidate_batches(mentions: DataFrame, lookups: DataFrame, batch: str = "batch_id") -> DataFrame:
     """(batch, n_mentions, n_missing, n_extra, n_repeated, n_stale, status): a batch is VALID if it has one lookup for each mention, none other, and
     all of them at its revision. ``mentions``: batch, mention_id, revision. ``lookups``: batch, mention_id, revision."""
-    a = mentions.groupBy(batch, "mention_id").agg(F.count("*").alias("n_a"), F.max("revision").alias("at"))
-    b = lookups.groupBy(batch, "mention_id").agg(F.count("*").alias("n_b"), F.count("revision").alias("dated"), F.min("revision").alias("low"), F.max("revision").alias("high"))
-    both = a.join(b, [batch, "mention_id"], "full")
-    stale = F.col("n_a").isNotNull() & F.col("n_b").isNotNull() & ((F.col("low") != F.col("at")) | (F.col("high") != F.col("at")))
+    rows = mentions.select(batch, "mention_id", "revision", F.lit(True).alias("asked")).unionByName(lookups.select(batch, "mention_id", "revision", F.lit(False).alias("asked")))
+    # Rows without a batch or an id match none of the other side.
+    lone = F.when(F.col(batch).isNull() | F.col("mention_id").isNull(), F.col("asked"))
+    asked, found = F.col("asked"), F.when(~F.col("asked"), F.col("revision"))
+    both = rows.groupBy(batch, "mention_id", lone.alias("lone")).agg(F.count_if(asked).alias("n_a"), F.count_if(~asked).alias("n_b"), F.max(F.when(asked, F.col("revision"))).alias("at"), F.min(found).alias("low"), F.max(found).alias("high"))
+    stale = (F.col("n_a") > 0) & (F.col("n_b") > 0) & ((F.col("low") != F.col("at")) | (F.col("high") != F.col("at")))
     out = both.groupBy(batch).agg(
-        F.count("n_a").alias("n_mentions"),
-        F.count_if(F.col("n_b").isNull()).alias("n_missing"),
-        F.count_if(F.col("n_a").isNull()).alias("n_extra"),
+        F.count_if(F.col("n_a") > 0).alias("n_mentions"),
+        F.count_if(F.col("n_b") == 0).alias("n_missing"),
+        F.count_if(F.col("n_a") == 0).alias("n_extra"),
         F.count_if((F.col("n_b") > 1) | (F.col("n_a") > 1)).alias("n_repeated"),
         F.count_if(stale).alias("n_stale"),
     )

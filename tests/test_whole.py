@@ -167,3 +167,14 @@ def test_lines_are_made_a_few_megabytes_at_a_time():
     texts = ["a\n" * 1_500_000] * 5 + [None, ""]
     pieces = list(evidence._pieces(pa.record_batch([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])))
     assert [i for p in pieces for i in p.column(0).to_pylist()] == list(range(7)) and max(p.num_rows for p in pieces) < 5
+
+
+def test_batches_meet_in_one_aggregation(spark):
+    """One table of both sides and no join; ids that are null match nothing, as in a join."""
+    from lontarix.operators import admission
+
+    mentions = spark.createDataFrame([(1, 1, 4), (1, 2, 4), (2, None, 4), (3, 1, 4), (4, 1, 4), (4, 1, 4)], "batch_id long, mention_id long, revision int")
+    lookups = spark.createDataFrame([(1, 1, 4), (1, 2, 4), (2, None, 4), (3, 1, 3), (3, 9, 4), (4, 1, 4), (5, 1, None)], "batch_id long, mention_id long, revision int")
+    got = admission.candidate_batches(mentions, lookups)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 0, 0, 0, 0, "VALID"), (2, 1, 1, 1, 0, 0, "INVALID"), (3, 1, 0, 1, 0, 1, "INVALID"), (4, 1, 0, 0, 1, 0, "INVALID"), (5, 0, 0, 1, 0, 0, "INVALID")]
