@@ -161,7 +161,8 @@ def candidate_batches(mentions: DataFrame, lookups: DataFrame, batch: str = "bat
     # Rows without a batch or an id match none of the other side.
     lone = F.when(F.col(batch).isNull() | F.col("mention_id").isNull(), F.col("asked"))
     asked, found = F.col("asked"), F.when(~F.col("asked"), F.col("revision"))
-    both = rows.groupBy(batch, "mention_id", lone.alias("lone")).agg(F.count_if(asked).alias("n_a"), F.count_if(~asked).alias("n_b"), F.max(F.when(asked, F.col("revision"))).alias("at"), F.min(found).alias("low"), F.max(found).alias("high"))
+    # Dealt out before they are grouped: each row is nearly a group of its own, and a whole split's groups are too many for one task.
+    both = rows.repartition(batch, "mention_id").groupBy(batch, "mention_id", lone.alias("lone")).agg(F.count_if(asked).alias("n_a"), F.count_if(~asked).alias("n_b"), F.max(F.when(asked, F.col("revision"))).alias("at"), F.min(found).alias("low"), F.max(found).alias("high"))
     stale = (F.col("n_a") > 0) & (F.col("n_b") > 0) & ((F.col("low") != F.col("at")) | (F.col("high") != F.col("at")))
     out = both.groupBy(batch).agg(
         F.count_if(F.col("n_a") > 0).alias("n_mentions"),
