@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trusted_url
+from ..sources.shared import dealt, fewer
 
 
+#: Cited sources that are sent to tasks; more are met by a join.
+SENT = 500_000
 #: Bytes of text whose lines are made at once.
 LINE_BYTES = 4 << 20
 
@@ -141,9 +144,12 @@ def cite(claims: DataFrame, sources: DataFrame, cap: int, claim: str = "claim_id
     """(claim, source_id, n, url, span_start, span_stop): sources of each claim in order, ``cap`` at most.
 
     ``claims``: (claim, source_id, start, stop). Only sources with a trusted URL are cited. The span is given only where a claim
-    has a single source: its first that isn't empty.
+    has a single source: its first that isn't empty. Of the sources those that are asked for are sent to tasks, unless they are many:
+    few sources of many claims would be as many tasks of a join. Claims are dealt out once, before they are grouped.
     """
-    good = claims.join(sources.where(trusted_url("url")).select("source_id", "url"), "source_id")
+    asked = claims.select("source_id").distinct()
+    cited = fewer(sources.where(trusted_url("url")).select("source_id", "url").join(asked, "source_id", "left_semi"), SENT, "sources")
+    good = dealt(claims.join(cited, "source_id"), claim)
     first = F.min(F.when(F.col("stop") > F.col("start"), F.struct("start", "stop"))).alias("span")
     per = good.groupBy(claim, "source_id", "url").agg(first)
     per = per.withColumn("n", F.expr(f"row_number() OVER (PARTITION BY {claim} ORDER BY source_id)")).withColumn("of", F.expr(f"count(*) OVER (PARTITION BY {claim})"))
