@@ -165,9 +165,13 @@ def hydrate(hits: DataFrame, records: DataFrame, texts: DataFrame, key: str = "k
 
 
 def provenance(chunks: DataFrame, versions: DataFrame, chunk: str = "chunk_id") -> DataFrame:
-    """(chunk, n_versions, n_sources): chunk to versions to sources, distinct."""
-    rows = chunks.select(chunk, F.explode("version_ids").alias("version_id")).join(versions.select("version_id", "source_id"), "version_id")
-    return rows.groupBy(chunk).agg(F.count_distinct("version_id").alias("n_versions"), F.count_distinct("source_id").alias("n_sources"))
+    """(chunk, n_versions, n_sources): chunk to versions to sources, distinct.
+
+    Rows are dealt out by version, then by chunk, and grouped once: a chunk's distinct ids are no more than its own array holds.
+    """
+    asked = chunks.select(chunk, F.explode(F.array_distinct("version_ids")).alias("version_id"))
+    rows = dealt(asked.join(dealt(versions.select("version_id", "source_id"), "version_id"), "version_id"), chunk)
+    return rows.groupBy(chunk).agg(*(F.size(F.collect_set(f"{c}_id")).cast("long").alias(f"n_{c}s") for c in ("version", "source")))
 
 
 def account(hits: DataFrame, kept: DataFrame, rejected: DataFrame, key: str = "key") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import span_of_quote, terms, trusted_url
 from ..operators import evidence as ev
 from ..session import table
+from ..sources.shared import dealt
 
 
 def line_spans(s, d):
@@ -76,7 +77,9 @@ def hydration(s, d):
 
 
 def chunk_provenance(s, d):
-    chunks = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.collect_list("l_partkey").alias("version_ids"))
+    # Dealt out before they are grouped: the chunks of a whole split are too many for one task.
+    lines = dealt(table(s, d, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey")
+    chunks = lines.groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.collect_list("l_partkey").alias("version_ids"))
     versions = table(s, d, "part").select(F.col("p_partkey").alias("version_id"), F.col("p_brand").alias("source_id"))
     return ev.provenance(chunks, versions)
 

@@ -36,3 +36,12 @@ def test_few_sources_of_many_claims(spark, no_broadcast, monkeypatch):
     by_join = ev.cite(claims, sources, 2)
     assert "SortMergeJoin" in plan_of(by_join)
     assert rows_of(out) == rows_of(by_join) and out.count() == 200
+
+
+def test_chunks_are_dealt_out_and_grouped_once(spark, no_broadcast):
+    chunks = spark.createDataFrame([(1, [1, 2, 2, 3]), (2, [3, None, 9]), (3, [9]), (4, []), (5, None)], "chunk_id long, version_ids array<long>")
+    versions = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, None), (None, "c")], "version_id long, source_id string")
+    out = ev.provenance(chunks, versions)
+    assert sorted(map(tuple, out.collect())) == [(1, 3, 2), (2, 1, 0)]
+    assert "Expand" not in plan_of(out)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
