@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 
 from lontarix.operators import evidence as ev
+from lontarix.operators import graph
+from lontarix.sources import shared
 
 
 @pytest.fixture
@@ -45,3 +49,20 @@ def test_chunks_are_dealt_out_and_grouped_once(spark, no_broadcast):
     assert sorted(map(tuple, out.collect())) == [(1, 3, 2), (2, 1, 0)]
     assert "Expand" not in plan_of(out)
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_level_of_exceptions_meets_only_what_waits(spark, monkeypatch):
+    """1 waits for 2 and 3, which are done on different levels; the texts of those that nothing waits for are written once."""
+    a = spark.createDataFrame([(i, f"c{i}") for i in range(1, 200)], "assertion_id long, content string")
+    refs = spark.createDataFrame([(1, 2), (1, 3), (1, 3), (2, 4), (4, 5), (3, 5)], "assertion_id long, exception_id long")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {i: (sha(f"c{i}"), 0) for i in range(5, 200)}
+    want[4] = (sha(f"c4|{want[5][0]}"), 1)
+    want[3] = (sha(f"c3|{want[5][0]}"), 1)
+    want[2] = (sha(f"c2|{want[4][0]}"), 2)
+    want[1] = (sha("c1|" + ",".join(sorted([want[2][0], want[3][0], want[3][0]]))), 3)
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df, *a, **k: written.append(t := shared.cut(df, *a, **k)) or t)
+    got = {r.assertion_id: (r.canonical_id, r.level) for r in graph.exception_ids(a, refs).collect()}
+    assert got == want
+    assert [t.count() for t in written] == [199, 2, 2, 1]
