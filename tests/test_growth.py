@@ -66,3 +66,15 @@ def test_a_level_of_exceptions_meets_only_what_waits(spark, monkeypatch):
     got = {r.assertion_id: (r.canonical_id, r.level) for r in graph.exception_ids(a, refs).collect()}
     assert got == want
     assert [t.count() for t in written] == [199, 2, 2, 1]
+
+
+def test_paths_by_frontiers_sent_or_joined(spark, no_broadcast, monkeypatch):
+    e = spark.range(400).selectExpr("concat('e', id) AS assertion_id", "concat('n', id % 37) AS subject", "concat('n', id % 11 * 5) AS object")
+    seeds = spark.range(3).selectExpr("concat('n', id) AS node")
+    sent = graph.paths(e, seeds, 2)
+    near = graph.of_nodes(graph.directions(e), seeds)
+    assert "BroadcastHashJoin" in plan_of(near) and "Exchange hashpartitioning" not in plan_of(near)
+    got = rows_of(sent)
+    monkeypatch.setattr(graph, "SENT", 0)
+    assert "SortMergeJoin" in plan_of(graph.of_nodes(graph.directions(e), seeds))
+    assert got == rows_of(graph.paths(e, seeds, 2)) and len(got) > 100
