@@ -7,7 +7,7 @@ import hashlib
 import pytest
 
 from lontarix.operators import evidence as ev
-from lontarix.operators import graph
+from lontarix.operators import graph, traversal
 from lontarix.sources import shared
 
 
@@ -78,3 +78,12 @@ def test_paths_by_frontiers_sent_or_joined(spark, no_broadcast, monkeypatch):
     monkeypatch.setattr(graph, "SENT", 0)
     assert "SortMergeJoin" in plan_of(graph.of_nodes(graph.directions(e), seeds))
     assert got == rows_of(graph.paths(e, seeds, 2)) and len(got) > 100
+
+
+def test_ends_of_a_search_need_no_supports(spark):
+    e = spark.createDataFrame([("a", "x", "y"), ("b", "y", "z")], "assertion_id string, subject string, object string")
+    supports = spark.createDataFrame([("a", "s")], "assertion_id string, told_by string").withColumnRenamed("told_by", "support_id")
+    found, ends = traversal.search(e, supports, spark.createDataFrame([("x",), ("w",)], "node string"), 2, 5)
+    assert "support_id" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "support_id" not in ends._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.seed, r.n_paths, r.exhausted) for r in ends.collect()) == [("w", 0, True), ("x", 2, False)]
