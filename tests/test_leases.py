@@ -113,6 +113,26 @@ def test_stream_decides_like_the_fold_whatever_order_files_come_in(spark, tmp_pa
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_state_goes_by_its_keys_not_by_jobs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream, "SHARDS", 3)
+    rng = random.Random(9)
+    names = [None, "", 'a"b', "ü\n\\", *(f"job {i}" for i in range(200))]
+    actions = ("CLAIM", "CLAIM", "CLAIM", "RENEW", "COMPLETE", "CANCEL", "SUSPEND", "RESUME")
+    rows = [(name, at(rng.randrange(24), rng.randrange(60)), 10 * n + i, rng.choice(actions), rng.choice("ab"), rng.choice((None, 1)), "RETRY_WAIT", 600) for n, name in enumerate(names) for i in range(8)]
+    rows.append(("last", "2024-01-03 00:00:00", 9999, "CLAIM", "a", None, None, None))
+    df = spark.createDataFrame(rows, COLS.replace("job long", "job string")).withColumn("at", F.col("at").cast("timestamp"))
+    df.repartition(3).write.parquet(str(tmp_path / "ledger"))
+    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "ledger"))
+    spark.conf.set(*windows.STORE)
+    query = stream.decide(source, HOUR, 3, "1 day").writeStream.format("memory").queryName("by_keys").outputMode("append").option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 3
+    until = df.agg(F.unix_micros(F.max("at"))).first()[0] - 86_400_000_000
+    want = leases.decide(df, HOUR, 3, until_us=until).collect()
+    assert len(want) > 8 * len(names) and {"EXPIRED", "CANCELLING", "COMPLETED", "RENEWED"} <= {r.outcome for r in want}
+    assert sorted(map(str, spark.table("by_keys").collect())) == sorted(map(str, want))
+
+
 def test_late_and_unfinished_requests(spark, tmp_path):
     def written(name, rows, schema):
         df = spark.createDataFrame(rows, schema).withColumn(schema.split()[2], F.expr(f"timestamp_seconds(1700000000 + {schema.split()[2]})"))
