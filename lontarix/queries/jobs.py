@@ -46,8 +46,8 @@ def job_leases(s, d):
 
 
 def stream_leases(s, d):
-    """The same ledger as a stream; what the watermark, a day behind the newest command, has passed is decided."""
-    rows = windows.read_stream(s, d, "events")
+    """The same ledger as a stream; what the watermark, a day behind the newest command, has passed is decided. A table's files are in no order of time, so they come at once."""
+    rows = windows.read_stream(s, d, "events", files=None)
     return windows.all_available(stream.decide(_commands_of(rows), LEASE, ATTEMPTS, "1 day"), "leases", "append")
 
 

@@ -133,6 +133,17 @@ def test_state_goes_by_its_keys_not_by_jobs(spark, tmp_path, monkeypatch):
     assert sorted(map(str, spark.table("by_keys").collect())) == sorted(map(str, want))
 
 
+def test_no_command_of_a_table_of_many_files_is_dropped_as_late(spark, tmp_path):
+    from conftest import SF
+    from oracle import assert_same, connect
+
+    from lontarix import queries
+
+    spark.read.parquet(f"{SF}/events.parquet").repartition(40, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    assert len(list((tmp_path / "events.parquet").glob("*.parquet"))) > 32
+    assert_same(queries.queries()["stream_leases"](spark, str(tmp_path)), connect(SF), queries.oracles()["stream_leases"])
+
+
 def test_late_and_unfinished_requests(spark, tmp_path):
     def written(name, rows, schema):
         df = spark.createDataFrame(rows, schema).withColumn(schema.split()[2], F.expr(f"timestamp_seconds(1700000000 + {schema.split()[2]})"))
