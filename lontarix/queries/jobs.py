@@ -162,9 +162,9 @@ def stream_latest(s, d):
 
 
 def late_requests(s, d):
-    """Clicks are scheduled requests, their arrivals completions unless they are errors; both are streams. An hour is the deadline."""
-    rows = windows.read_stream(s, d, "clicks").withColumns({c: F.col(c).cast("timestamp") for c in ("ts", "arrived_at")})
-    done = windows.read_stream(s, d, "clicks").where("kind <> 'error'").select(F.col("click_id").alias("request_id"), F.col("arrived_at").cast("timestamp").alias("done_at"))
+    """Clicks are scheduled requests, their arrivals completions unless they are errors; both are streams, whose files come at once as in ``stream_leases``. An hour is the deadline."""
+    rows = windows.read_stream(s, d, "clicks", files=None).withColumns({c: F.col(c).cast("timestamp") for c in ("ts", "arrived_at")})
+    done = windows.read_stream(s, d, "clicks", files=None).where("kind <> 'error'").select(F.col("click_id").alias("request_id"), F.col("arrived_at").cast("timestamp").alias("done_at"))
     out = telemetry.outcomes(rows.select(F.col("click_id").alias("request_id"), F.col("ts").alias("at")), done, 3600, "4 days")
     return windows.all_available(out, "requests", "append").select("request_id", "latency_ms")
 

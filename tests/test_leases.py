@@ -144,6 +144,16 @@ def test_no_command_of_a_table_of_many_files_is_dropped_as_late(spark, tmp_path)
     assert_same(queries.queries()["stream_leases"](spark, str(tmp_path)), connect(SF), queries.oracles()["stream_leases"])
 
 
+def test_no_request_of_a_table_of_many_files_is_dropped_as_late(spark, tmp_path):
+    from conftest import SF
+    from oracle import assert_same, connect
+
+    from lontarix import queries
+
+    spark.read.parquet(f"{SF}/clicks.parquet").repartition(48, "click_id").write.parquet(str(tmp_path / "clicks.parquet"))
+    assert_same(queries.queries()["late_requests"](spark, str(tmp_path)), connect(SF), queries.oracles()["late_requests"])
+
+
 def test_late_and_unfinished_requests(spark, tmp_path):
     def written(name, rows, schema):
         df = spark.createDataFrame(rows, schema).withColumn(schema.split()[2], F.expr(f"timestamp_seconds(1700000000 + {schema.split()[2]})"))
