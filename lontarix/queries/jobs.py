@@ -162,11 +162,23 @@ def stream_latest(s, d):
 
 
 def late_requests(s, d):
-    """Clicks are scheduled requests, their arrivals completions unless they are errors; both are streams, whose files come at once as in ``stream_leases``. An hour is the deadline."""
-    rows = windows.read_stream(s, d, "clicks", files=None).withColumns({c: F.col(c).cast("timestamp") for c in ("ts", "arrived_at")})
-    done = windows.read_stream(s, d, "clicks", files=None).where("kind <> 'error'").select(F.col("click_id").alias("request_id"), F.col("arrived_at").cast("timestamp").alias("done_at"))
-    out = telemetry.outcomes(rows.select(F.col("click_id").alias("request_id"), F.col("ts").alias("at")), done, 3600, "4 days")
-    return windows.all_available(out, "requests", "append").select("request_id", "latency_ms")
+    """Clicks are scheduled requests, their arrivals completions unless they are errors; both are streams, whose files come at once as in ``stream_leases``. An hour is the deadline.
+
+    Unfinished ones are those due before four days behind the slower stream's newest row, to the microsecond: the stream's watermark is a
+    second ahead of that, and what isn't due is left out at the end. A click without an id is a request that nothing completes, so ids are in
+    a struct. What is no completion goes without an id, so that time passes where all are errors.
+    """
+
+    def stream():
+        return windows.read_stream(s, d, "clicks", files=None).withColumns({c: F.col(c).cast("timestamp") for c in ("ts", "arrived_at")})
+
+    done, ident = F.expr("kind <> 'error' AND arrived_at IS NOT NULL"), F.struct("click_id")
+    asked = stream().select(ident.alias("request_id"), F.col("ts").alias("at"))
+    completed = stream().select(F.when(done & F.col("click_id").isNotNull(), ident).alias("request_id"), F.when(done, F.col("arrived_at")).otherwise(F.greatest("ts", "arrived_at")).alias("done_at"))
+    out = telemetry.outcomes(asked, completed, 3600, "3 days 23 hours 59 minutes 59 seconds")
+    newest = table(s, d, "clicks").agg(F.least(F.max("ts"), F.max(F.when(F.col("kind") != "error", F.col("arrived_at")))).cast("timestamp").alias("newest"))
+    rows = windows.all_available(out, "requests", "append").crossJoin(F.broadcast(newest))
+    return rows.where("latency_ms < double('inf') OR at + INTERVAL 1 HOUR < newest - INTERVAL 4 DAYS").select(F.col("request_id.click_id").alias("request_id"), "latency_ms")
 
 
 def outbox_pending(s, d):

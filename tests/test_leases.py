@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import random
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from lontarix.operators import leases
@@ -173,6 +175,28 @@ def test_late_and_unfinished_requests(spark, tmp_path):
     assert sorted((r.request_id, r.latency_ms) for r in rows) == sorted(want.items())
 
 
+@pytest.mark.parametrize("answered", (True, False))
+def test_requests_at_the_bound_repeated_old_and_without_an_id(spark, tmp_path, answered):
+    import duckdb
+    from oracle import assert_same
+
+    from lontarix import queries
+
+    newest, hour, us = datetime(2024, 4, 29, 12, 43, 34, 38_607), timedelta(hours=1), timedelta(microseconds=1)
+    bound, day, kind = newest - timedelta(days=4) - hour, datetime(2024, 4, 1), "view" if answered else "error"
+    rows = [(100 + i, bound + n * us, bound + 2 * hour, kind) for i, n in enumerate((-2000, -1000, -607, -1, 0, 1, 1000))]
+    rows += [(1, newest, newest + us, kind), (2, day, day + us, kind), (2, day + hour, day + hour + us, kind), (3, day, day + 2 * hour, kind), (3, day, day + 5 * us, kind), (3, day, day + 9 * us, kind)]
+    rows += [(None, day, day + us, kind), (None, day + us, day + hour, kind), (4, day, None, kind), (5, None, day, kind), (6, day, day + us, None), (7, day, day + us, "error")]
+    rows += [(8 + i, datetime(1960, 1, 1), datetime(1960, 1, 1) + n * hour, kind) for i, n in enumerate((1, 2))]
+    rows += rows[:4]
+    spark.createDataFrame(rows, "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, kind string").repartition(3).write.parquet(str(tmp_path / "clicks.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW clicks AS SELECT * FROM '{tmp_path}/clicks.parquet/*.parquet'")
+    got = queries.queries()["late_requests"](spark, str(tmp_path))
+    assert got.count() == (16 if answered else 14)
+    assert_same(got, con, queries.oracles()["late_requests"])
+
+
 def test_a_table_in_a_folder_streams_as_one_in_a_file_does(spark, tmp_path):
     from conftest import SF
     from oracle import assert_same, connect
